@@ -1,9 +1,11 @@
 """Queries of this package and their SQL; a query without SQL is tested against brute force in tests/llm."""
 
-from foliospark.llm import exact_dedup, mixing, sharding
+from foliospark.llm import bpe, exact_dedup, language, mixing, sharding
 
 QUERIES = {
     "op2_feistel_sharding": sharding.op2_feistel_sharding,
+    "op5_bpe_codec": bpe.op5_bpe_codec,
+    "op6_language_id": language.op6_language_id,
     "op9_mixing": mixing.op9_mixing,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
