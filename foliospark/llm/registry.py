@@ -1,6 +1,6 @@
 """Queries of this package and their SQL; a query without SQL is tested against brute force in tests/llm."""
 
-from foliospark.llm import bpe, exact_dedup, language, mixing, sharding, substring_dedup, suffix_array_dedup
+from foliospark.llm import bpe, exact_dedup, language, mixing, near_dedup, sharding, substring_dedup, suffix_array_dedup
 
 QUERIES = {
     "op2_feistel_sharding": sharding.op2_feistel_sharding,
@@ -8,6 +8,7 @@ QUERIES = {
     "op5_bpe_codec": bpe.op5_bpe_codec,
     "op6_language_id": language.op6_language_id,
     "op7_suffix_array_dedup": suffix_array_dedup.op7_suffix_array_dedup,
+    "op8_minhash_near_dedup": near_dedup.op8_minhash_near_dedup,
     "op9_mixing": mixing.op9_mixing,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
