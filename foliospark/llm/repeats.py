@@ -20,7 +20,7 @@ from foliospark.llm import store, vectors
 #: An anchor's place, distance back to its first window's start and number of windows, packed in one number.
 STEP = 1 << 10
 #: Slices that a group task compares together; a gram's own group is never cut.
-TOGETHER = 16_384
+TOGETHER = 6_000
 
 
 def packed_anchors(values: np.ndarray, owner_start: np.ndarray, owner_end: np.ndarray, owner: np.ndarray, width: int, gram: int):
@@ -63,61 +63,89 @@ def units_of_bytes(data, starts, ends):
     return vectors.mix64(data.astype(np.uint64) + np.uint64(1)), doc, starts, ends, at, at + 1
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) as id, text and the text's key: kb and kc, two 64-bit hashes of it. Null text is empty."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("kb"), F.xxhash64(F.lit(1), text).alias("kc"))
+
+
+def _longs(table, *names) -> list[np.ndarray]:
+    return [table.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in names]
+
+
 def anchor_rows(docs: DataFrame, units: Callable, width: int, gram: int) -> DataFrame:
-    """gram, ka, kb, place of every anchor of docs(ka, kb, text)."""
+    """gram, ka, kb, kc, place of every anchor of docs(ka, kb, kc, text)."""
 
     def run(tables):
         import pyarrow as pa
 
         for table in tables:
-            ka, kb = (table.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            for row, data, starts, ends in vectors.batches(table.column(2)):
+            keys = _longs(table, "ka", "kb", "kc")
+            for row, data, starts, ends in vectors.batches(table.column("text")):
                 values, doc, first, last, _, _ = units(data, starts, ends)
                 hashes, own, place = packed_anchors(values, first, last, doc, width, gram)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (hashes, ka[row + own].astype(np.int64), kb[row + own].astype(np.int64), place)], names=["gram", "ka", "kb", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (hashes, *(k[row + own] for k in keys), place)], names=["gram", "ka", "kb", "kc", "place"])
 
-    return docs.select("ka", "kb", "text").mapInArrow(run, "gram long, ka long, kb long, place long")
+    return docs.select("ka", "kb", "kc", "text").mapInArrow(run, "gram long, ka long, kb long, kc long, place long")
+
+
+SLICE = "gram long, d1 long, d2 long, ka long, kb long, kc long, first long, ahead long, many long, data binary"
+#: Slices a task remembers; of those with equal text it sends the text once.
+REMEMBERED = 200_000
 
 
 def slices(docs: DataFrame, units: Callable, width: int) -> DataFrame:
-    """gram, ka, kb, first, ahead, many, data: for docs(ka, kb, text, wanted array<struct<gram, place>>) the text of each wanted anchor's windows.
+    """For docs(ka, kb, kc, text, wanted array<struct<gram, place>>) a row for each wanted anchor, with the text of its windows.
 
-    `first` is the unit at which the slice begins, `ahead` the anchor's distance from it, `many` its windows.
+    `first` is the unit at which the slice begins, `ahead` the anchor's distance from it, `many` its windows; d1 and d2
+    are the text's digest. A slice that the task has sent before goes without its text: copies are combined here.
     """
 
     def run(tables):
         import pyarrow as pa
 
+        seen: set = set()
         for table in tables:
-            ka, kb = (table.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
-            wanted = table.column(3)
-            ends_of = np.cumsum(wanted.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+            keys = _longs(table, "ka", "kb", "kc")
+            wanted = table.column("wanted")
+            ends_of = np.concatenate(([0], np.cumsum(wanted.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))))
             inner = wanted.flatten()
             grams, places = (inner.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
-            for row, data, starts, ends in vectors.batches(table.column(2)):
+            for row, data, starts, ends in vectors.batches(table.column("text")):
                 _, _, first, _, at, to = units(data, starts, ends)
-                lo = ends_of[row - 1] if row else 0
-                hi = ends_of[row + len(starts) - 1]
-                doc = np.repeat(np.arange(len(starts)), np.diff(np.concatenate(([lo], ends_of[row : row + len(starts)]))))
+                lo, hi = ends_of[row], ends_of[row + len(starts)]
+                doc = np.repeat(np.arange(len(starts)), np.diff(ends_of[row : row + len(starts) + 1]))
                 place, ahead, many = places[lo:hi] // (STEP * STEP), places[lo:hi] // STEP % STEP, places[lo:hi] % STEP
+                if not len(doc):
+                    continue
                 begin = place - ahead
-                a = at[first[doc] + begin] if len(doc) else np.zeros(0, np.int64)
-                b = to[first[doc] + begin + many + width - 2] if len(doc) else np.zeros(0, np.int64)
+                a, b = at[first[doc] + begin], to[first[doc] + begin + many + width - 2]
+                values = vectors.mix64(data.astype(np.uint64) + np.uint64(1))
+                d1, d2 = (vectors.range_hashes(values, a, b, base).view(np.int64) + ahead * STEP + many for base in (vectors.BYTE_BASE, vectors.ITEM_BASE))
                 whole = data.tobytes()
-                for x in range(0, len(doc), 4096):  # slices overlap, so a batch of them is kept small
-                    own = slice(x, x + 4096)
-                    parts = pa.array([whole[i:j] for i, j in zip(a[own].tolist(), b[own].tolist())], pa.binary())
-                    columns = [grams[lo:hi][own], ka[row + doc[own]], kb[row + doc[own]], begin[own], ahead[own], many[own]]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), parts], names=["gram", "ka", "kb", "first", "ahead", "many", "data"])
-
-    return docs.select("ka", "kb", "text", "wanted").mapInArrow(run, "gram long, ka long, kb long, first long, ahead long, many long, data binary")
+                for x in range(0, len(doc), 2048):  # slices overlap, so a batch of them is kept small
+                    own = slice(x, x + 2048)
+                    parts = []
+                    for i, j, h in zip(a[own].tolist(), b[own].tolist(), zip(d1[own].tolist(), d2[own].tolist())):
+                        if h in seen:
+                            parts.append(None)
+                        else:
+                            if len(seen) >= REMEMBERED:
+                                seen.clear()
+                            seen.add(h)
+                            parts.append(whole[i:j])
+                    columns = [grams[lo:hi][own], d1[own], d2[own], *(k[row + doc[own]] for k in keys), begin[own], ahead[own], many[own]]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(parts, pa.binary())], names=[x.split()[0] for x in SLICE.split(", ")])
+
+    return docs.select("ka", "kb", "kc", "text", "wanted").mapInArrow(run, SLICE)
 
 
 def compare(sliced: DataFrame, covered: Callable) -> DataFrame:
-    """ka, kb, lo, hi: the covered unit ranges of slices, by `covered(gram, ka, kb, ahead, many, data list) -> (index, from, to)`.
+    """kb, kc, lo, hi: the repeated windows' first and last start for each slice, by `covered`.
 
-    Rows are dealt by gram and sorted (on disk if need be), so a task holds whole groups, some at a time. `from` and
-    `to` are the first and last repeated window, counted from the slice's first.
+    Rows are dealt by gram and sorted (on disk if need be), so a task holds whole groups, some at a time, and of equal
+    slices one. covered(ahead, many, data, of, ka) gets the different slices, and of each row its slice and ka; it gives
+    rows and their first and last repeated window, counted from the slice's first.
     """
     n = store.partitions(sliced.sparkSession)
 
@@ -134,12 +162,15 @@ def compare(sliced: DataFrame, covered: Callable) -> DataFrame:
             cut = len(gram) if final else int(np.searchsorted(gram, gram[-1], side="left"))
             held, rows = ([] if final else table.slice(cut).to_batches()), len(gram) - cut
             table = table.slice(0, cut)
-            if not cut:
-                return None
-            ka, kb, first, ahead, many = (table.column(k).to_numpy() for k in ("ka", "kb", "first", "ahead", "many"))
-            index, a, b = covered(gram[:cut], ka, kb, ahead, many, table.column("data").combine_chunks())
-            out = [ka[index], kb[index], first[index] + a, first[index] + b]
-            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in out], names=["ka", "kb", "lo", "hi"])
+            d1, d2, ka, kb, kc, first, ahead, many = _longs(table, "d1", "d2", "ka", "kb", "kc", "first", "ahead", "many")
+            gram = gram[:cut]
+            new = np.ones(cut, dtype=bool)
+            new[1:] = (gram[1:] != gram[:-1]) | (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1])
+            lead = np.flatnonzero(new)  # the rows with text come first
+            data = table.column("data").combine_chunks().take(pa.array(lead))
+            index, a, b = covered(ahead[lead], many[lead], data, np.cumsum(new) - 1, ka)
+            out = [kb[index], kc[index], first[index] + a, first[index] + b]
+            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in out], names=["kb", "kc", "lo", "hi"])
 
         for table in tables:
             if not table.num_rows:
@@ -147,36 +178,28 @@ def compare(sliced: DataFrame, covered: Callable) -> DataFrame:
             held.append(table)
             rows += table.num_rows
             if rows >= TOGETHER and table.column("gram")[table.num_rows - 1] != held[0].column("gram")[0]:
-                found = flush(False)
-                if found is not None:
-                    yield found
+                yield flush(False)
         if held:
-            found = flush(True)
-            if found is not None:
-                yield found
+            yield flush(True)
 
-    dealt = sliced.repartition(n, "gram").sortWithinPartitions("gram")
-    return dealt.mapInArrow(run, "ka long, kb long, lo long, hi long")
+    order = ["gram", "d1", "d2", F.col("data").isNull()]
+    return sliced.repartition(n, "gram").sortWithinPartitions(*order).mapInArrow(run, "kb long, kc long, lo long, hi long")
 
 
-def covered_ranges(docs: DataFrame, units: Callable, width: int, gram: int, repeated: Column, covered: Callable, label: str) -> DataFrame:
-    """ka, kb, ranges array<struct<lo, hi>> of repeated windows' first starts and last starts, for docs(ka, kb, text).
+def covered_ranges(docs: DataFrame, units: Callable, width: int, gram: int, covered: Callable, label: str) -> DataFrame:
+    """kb, kc, ranges array<struct<lo, hi>> of repeated windows' first and last starts, for docs(ka, kb, kc, text).
 
-    `repeated` says of a gram, from count(*) as n, min(ka) as least and max(ka) as most, whether its anchors are compared.
+    Of rows with the same text the one with the least ka stands for all. An anchor is compared if its gram is at two
+    places, in one text or several.
     """
     anchors = store.save(anchor_rows(docs, units, width, gram), f"{label}-anchors")
-    often = anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("ka").alias("least"), F.max("ka").alias("most")).filter(repeated).select("gram")
-    wanted = store.save(
-        anchors.join(often.hint("merge"), "gram").groupBy("ka", "kb").agg(F.sort_array(F.collect_list(F.struct("gram", "place"))).alias("wanted")), f"{label}-wanted"
-    )
+    at = F.struct("kb", "kc", "place")
+    often = anchors.groupBy("gram").agg(F.min(at).alias("one"), F.max(at).alias("other")).filter("one <> other").select("gram")
+    own = anchors.join(often.hint("merge"), "gram").groupBy("kb", "kc").agg(F.min("ka").alias("least_ka"), F.sort_array(F.collect_set(F.struct("gram", "place"))).alias("wanted"))
+    wanted = store.save(own, f"{label}-wanted")
     store.drop(anchors)
-    total = wanted.agg(F.count(F.lit(1)), F.sum(F.size("wanted"))).first()
-    n, many = total[0], total[1] or 0
-    if n * 16 <= store.BROADCAST_BYTES:  # documents without a wanted anchor need not move
-        docs = docs.join(F.broadcast(wanted.select("ka", "kb")), ["ka", "kb"], "left_semi")
-    having = docs.join(wanted.hint("merge"), ["ka", "kb"]) if many else docs.withColumn("wanted", F.lit(None).cast(wanted.schema["wanted"].dataType)).limit(0)
-    ranges = compare(slices(having, units, width), covered)
-    return ranges.groupBy("ka", "kb").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    having = docs.join(wanted.hint("merge"), ["kb", "kc"]).filter("ka = least_ka")
+    return compare(slices(having, units, width), covered).groupBy("kb", "kc").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
 
 
 def merged_cover(lo: np.ndarray, hi: np.ndarray, width: int, size: int) -> np.ndarray:
@@ -187,26 +210,22 @@ def merged_cover(lo: np.ndarray, hi: np.ndarray, width: int, size: int) -> np.nd
     return np.cumsum(mark[:-1]) > 0
 
 
-def with_copies(docs: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
-    """docs(doc_id, text) as ka, text, kb, kc, n, least: how many rows have exactly this text and the smallest doc_id among them.
 
-    kb and kc are two 64-bit hashes of the text. Only texts that occur twice travel beside the documents.
-    """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("doc_id").cast("long").alias("ka"), text.alias("text"), F.xxhash64(text).alias("kb"), F.xxhash64(F.lit(1), text).alias("kc"))
-    copies = store.save(rows.groupBy("kb", "kc").agg(F.count(F.lit(1)).alias("n"), F.min("ka").alias("least")).filter("n > 1"), f"{label}-copies")
-    out = rows.join(store.small(copies, copies.count(), 40), ["kb", "kc"], "left")
-    return out, copies
+def copies(rows: DataFrame) -> DataFrame:
+    """kb, kc, copied (true) and least, the smallest id, of the texts that several rows have."""
+    return rows.groupBy("kb", "kc").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")).filter("n > 1").select("kb", "kc", "least", F.lit(True).alias("copied"))
 
 
-def apply_cover(rows: DataFrame, ranges: DataFrame, units: Callable, width: int, joined_by: bytes | None, label: str) -> DataFrame:
-    """doc_id, n_units, n_removed, n_spans, kept (binary) for rows(id, ka, kb, text, all_gone) and their ranges.
+def apply_cover(rows: DataFrame, ranges: DataFrame, all_gone: Column, units: Callable, width: int, joined_by: bytes | None, label: str, spared: Column | None = None) -> DataFrame:
+    """doc_id, n_units, n_removed, n_spans, kept (binary) for rows(id, kb, kc, text) and their texts' ranges.
 
-    Kept units are joined by `joined_by`; None concatenates the units' bytes.
+    `all_gone` says of a row, from id, `copied` and the `least` id of its copies (null without copies), whether all its windows are
+    repeated. Rows that are `spared` lose nothing. Kept units are joined by `joined_by`; None concatenates their bytes.
     """
     found = store.save(ranges, f"{label}-ranges")
-    size = found.agg(F.count(F.lit(1)), F.sum(F.size("ranges"))).first()
-    joined = rows.join(store.small(found, 1, (size[0] or 0) * 40 + (size[1] or 0) * 16), ["ka", "kb"], "left")
+    joined = rows.join(found.hint("merge"), ["kb", "kc"], "left").join(copies(rows).hint("merge"), ["kb", "kc"], "left").withColumn("all_gone", F.coalesce(all_gone, F.lit(False)))
+    if spared is not None:
+        joined = joined.withColumn("ranges", F.when(~spared, F.col("ranges"))).withColumn("all_gone", F.col("all_gone") & ~spared)
 
     def run(tables):
         import pyarrow as pa

@@ -81,9 +81,13 @@ def numbered(df: DataFrame, order: list, label: str, name: str = "row_no") -> Da
     return table.withColumn(name, F.col("_place") + offset).drop("_part", "_place")
 
 
-def row_count(df: DataFrame) -> int:
-    return df.count()
+#: Rows and bytes of an Arrow batch between Spark and Python: long texts come in batches of few.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1024"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864", "4194304")}
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents table; where the session has Spark's own Arrow batch sizes, smaller ones are set for whole texts."""
+    for key, (default, ours) in ARROW.items():
+        if spark.conf.get(key, default).lower().rstrip("b") in (default, "64m"):
+            spark.conf.set(key, ours)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -36,21 +36,26 @@ def deep_nodes(symbols: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarra
 
 
 def tree_cover(window: int):
-    def covered(gram, ka, kb, ahead, many, data):
-        (_, raw, starts, ends), *rest = vectors.batches(data, limit=1 << 62)
+    def covered(ahead, many, data, of, ka):
+        ((_, raw, starts, ends),) = vectors.batches(data, limit=1 << 62)
         values, _, first, _, _, _ = repeats.units_of_words(raw, starts, ends)
+        begin = np.cumsum(many) - many
         owner = np.repeat(np.arange(len(many)), many)
-        inside = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
-        node = deep_nodes(values, first[owner] + inside, window)
+        node = deep_nodes(values, first[owner] + np.arange(len(owner)) - begin[owner], window)
+        first_ka = np.full(len(many), np.iinfo(np.int64).max)
+        np.minimum.at(first_ka, of, ka)
         least = np.full(node.max() + 1, np.iinfo(np.int64).max)
-        np.minimum.at(least, node, ka[owner])
-        later = np.flatnonzero(ka[owner] > least[node])
+        np.minimum.at(least, node, first_ka[owner])
+        # Each row against the least ka at the nodes of its slice's windows.
+        rows = np.repeat(np.arange(len(of)), many[of])
+        inside = np.arange(len(rows)) - np.repeat(np.cumsum(many[of]) - many[of], many[of])
+        later = np.flatnonzero(ka[rows] > least[node[begin[of[rows]] + inside]])
         if not len(later):
             return later, later, later
-        slice_of = owner[later]
-        edge = np.flatnonzero(np.concatenate(([True], slice_of[1:] != slice_of[:-1])))
+        row = rows[later]
+        edge = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
         last = np.append(edge[1:], len(later)) - 1
-        return slice_of[edge], inside[later][edge], inside[later][last]
+        return row[edge], inside[later][edge], inside[later][last]
 
     return covered
 
@@ -62,11 +67,10 @@ def substring_dedup(df: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -
     has no words; texts shorter than a window keep all. A null doc_id is smaller than none and larger than none: its row
     is kept whole and removes nothing. Rows that share a doc_id do not remove each other's words. Other columns are ignored.
     """
-    rows, _ = repeats.with_copies(df, "substrings")
-    index = rows.filter(F.col("ka").isNotNull() & (F.col("least").isNull() | (F.col("ka") == F.col("least"))))
-    ranges = repeats.covered_ranges(index, repeats.units_of_words, window, prefix, F.col("least") < F.col("most"), tree_cover(window), "substrings")
-    marked = rows.withColumn("all_gone", F.coalesce(F.col("ka") > F.col("least"), F.lit(False)))
-    return repeats.apply_cover(marked, ranges, repeats.units_of_words, window, b" ", "substrings")
+    rows = repeats.keyed(df)
+    index = rows.filter("id IS NOT NULL").withColumn("ka", F.col("id"))
+    ranges = repeats.covered_ranges(index, repeats.units_of_words, window, prefix, tree_cover(window), "substrings")
+    return repeats.apply_cover(rows, ranges, F.col("id") > F.col("least"), repeats.units_of_words, window, b" ", "substrings", F.col("id").isNull())
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

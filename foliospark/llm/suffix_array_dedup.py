@@ -72,8 +72,8 @@ def merge_orders(symbols: np.ndarray, shard: int = SHARD) -> tuple[np.ndarray, n
 
 
 def interval_cover(window: int):
-    def covered(gram, ka, kb, ahead, many, data):
-        (_, raw, starts, ends), *rest = vectors.batches(data, limit=1 << 62)
+    def covered(ahead, many, data, of, ka):
+        ((_, raw, starts, ends),) = vectors.batches(data, limit=1 << 62)
         n = len(many)
         middle = starts + ahead
         nearest = ahead - many + 1  # distance from the last window's start to the anchor
@@ -102,8 +102,10 @@ def interval_cover(window: int):
             hit = live[order[twice]]
             low[hit] = np.minimum(low[hit], ahead[hit] - l)
             high[hit] = np.maximum(high[hit], ahead[hit] - l)
-        found = np.flatnonzero(high >= 0)
-        return found, low[found], high[found]
+        twice = np.bincount(of, minlength=n) > 1  # the slice itself is at several places
+        low[twice], high[twice] = 0, many[twice] - 1
+        rows = np.flatnonzero(high[of] >= 0)
+        return rows, low[of[rows]], high[of[rows]]
 
     return covered
 
@@ -115,12 +117,10 @@ def suffix_array_dedup(df: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     Matches never cross documents. Null text counts as empty; a repeated row counts as another document; a null
     doc_id is a document like any other. Other columns are ignored.
     """
-    rows, _ = repeats.with_copies(df, "bytes")
-    rows = rows.withColumn("ka", F.col("kc"))
-    one = F.col("n").isNull() | F.col("least").isNull() | (F.col("id") == F.col("least"))
-    ranges = repeats.covered_ranges(rows.filter(one), repeats.units_of_bytes, window, gram, F.col("n") > 1, interval_cover(window), "bytes")
-    marked = rows.withColumn("all_gone", F.col("n").isNotNull())
-    return repeats.apply_cover(marked, ranges, repeats.units_of_bytes, window, None, "bytes")
+    rows = repeats.keyed(df)
+    index = rows.withColumn("ka", F.coalesce("id", F.lit((1 << 63) - 1)))
+    ranges = repeats.covered_ranges(index, repeats.units_of_bytes, window, gram, interval_cover(window), "bytes")
+    return repeats.apply_cover(rows, ranges, F.col("copied"), repeats.units_of_bytes, window, None, "bytes")
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

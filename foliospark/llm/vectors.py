@@ -10,7 +10,7 @@ import numpy as np
 BYTE_BASE = 0x9E3779B97F4A7C15 | 1
 ITEM_BASE = 0xC2B2AE3D27D4EB4F | 1
 #: Bytes of text handled together; a longer document is handled alone.
-BATCH_BYTES = 1_000_000
+BATCH_BYTES = 500_000
 
 _SPACES = np.zeros(256, dtype=bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True
