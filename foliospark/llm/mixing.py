@@ -47,15 +47,17 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(store.WORD)), F.lit(0)).cast("long")
 
 
-def mix(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, seed: str = "mix") -> DataFrame:
+def mix(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, seed: str = "mix", carry: bool = False) -> DataFrame:
     """doc_id, size, source, source_size, target, taken, repeats for each row of `df` (doc_id, text, source, any others).
 
     Size is the number of words (null text: 0). A null source is a source of its own, the last. Reruns agree: the cut
     depends on the seed, doc_id and size only; repeated rows are cut one by one. The words taken from a source differ
-    from its target by half a document at most. An empty table gives no rows.
+    from its target by half a document at most. An empty table gives no rows. With `carry` the whole input row comes along
+    as struct column `row`.
     """
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    sized = df.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("cut_key"))
+    row = [F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")] if carry else []
+    sized = df.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("cut_key"), *row)
     table = store.save(sized.withColumn("bucket", F.substring("cut_key", 1, BUCKET_DIGITS)), "mix-sizes")
     by_bucket = store.save(table.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")), "mix-buckets")
     targets = store.save(water_fill(by_bucket.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, epochs), "mix-targets")
@@ -79,7 +81,13 @@ def mix(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS,
     upto = F.sum("size").over(Window.partitionBy("source").orderBy("cut_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)) + F.col("edge_before")
     cut = rows.filter(at_edge).withColumn("upto", upto).withColumn("more", ((F.col("upto") * 2 - F.col("size") <= F.col("part") * 2) & (F.col("size") > 0)).cast("long")).drop("upto")
     mixed = plain.unionByName(cut).withColumn("repeats", F.col("whole") + F.col("more"))
-    return mixed.select("doc_id", "size", "source", "source_size", "target", (F.col("repeats") * F.col("size")).alias("taken"), "repeats")
+    return mixed.select("doc_id", "size", "source", "source_size", "target", (F.col("repeats") * F.col("size")).alias("taken"), "repeats", *(["row"] if carry else []))
+
+
+def mixed_documents(df: DataFrame, **how) -> DataFrame:
+    """The rows of `df` as often as the mix takes them."""
+    taken = mix(df, carry=True, **how).filter("repeats > 0")
+    return taken.select(F.explode(F.array_repeat("row", F.col("repeats").cast("int"))).alias("row")).select("row.*")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
