@@ -8,7 +8,8 @@ the full shingle sets.
 
 Equal sets are one node. Candidates of a bucket are not paired off: all are compared with one of them, and only where
 the bucket still holds several components are members of different components compared, until every such pair of a
-bucket has been compared or joined.
+bucket has been compared or joined. A pair whose sketches agree far less than linked sets' would (six standard errors
+under the threshold) is let go without its sets.
 """
 
 from __future__ import annotations
@@ -20,10 +21,13 @@ from pyspark.sql import functions as F
 from foliospark.llm import components, store, vectors
 
 WIDTH = 5
-BANDS, ROWS = 24, 4
-#: Buckets up to this size are compared at once; in larger ones rounds of one against all come first.
-SMALL_BUCKET = 16
-ROUNDS = 4
+BANDS = 40
+#: Coordinates of a sketch, a byte of each, by which pairs are let go.
+FILTER = 128
+#: Buckets up to this size are compared at once; in larger ones rounds of one against all come first, then blocks against blocks.
+SMALL_BUCKET = 32
+ROUNDS = 2
+BLOCK = 256
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -66,6 +70,11 @@ def sketches(sets: np.ndarray, owner: np.ndarray, documents: int, size: int) ->
     return out.reshape(documents, size)
 
 
+def rows_for(share: float) -> int:
+    """Coordinates a band, so that BANDS bands miss a pair at the threshold less than once in 100,000."""
+    return max(1, int(np.log(1 - 1e-5 ** (1 / BANDS)) / np.log(share))) if share < 1 else 16
+
+
 def band_keys(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
     parts = sketch.reshape(len(sketch), bands, rows)
     keys = np.tile(np.arange(bands, dtype=np.uint64), (len(sketch), 1))
@@ -87,7 +96,7 @@ def set_digests(sets: np.ndarray, owner: np.ndarray, documents: int) -> tuple[np
 
 
 def _sketch_rows(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n, h1, h2, bands for docs(doc_id, text)."""
+    """doc_id, n, h1, h2, bands, sketch (a byte of each of FILTER coordinates) for docs(doc_id, text)."""
 
     def run(tables):
         import pyarrow as pa
@@ -97,11 +106,14 @@ def _sketch_rows(docs: DataFrame, width: int, bands: int, rows: int) -> DataFram
                 sets, owner = shingle_sets(data, starts, ends, width)
                 many = len(starts)
                 n, h1, h2 = set_digests(sets, owner, many)
-                keys = band_keys(sketches(sets, owner, many, bands * rows), bands, rows)
+                sketch = sketches(sets, owner, many, max(bands * rows, FILTER))
+                keys = band_keys(sketch[:, : bands * rows], bands, rows)
+                marks = (vectors.mix64(sketch[:, :FILTER]) & np.uint64(255)).astype(np.uint8)
+                marks = pa.Array.from_buffers(pa.binary(), many, [None, pa.py_buffer((np.arange(many + 1, dtype=np.int32) * FILTER).tobytes()), pa.py_buffer(marks.tobytes())])
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(many + 1, dtype=np.int32) * bands), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([table.column("doc_id").slice(row, many), pa.array(n.astype(np.int64)), pa.array(h1), pa.array(h2), lists], names=["doc_id", "n", "h1", "h2", "bands"])
+                yield pa.RecordBatch.from_arrays([table.column("doc_id").slice(row, many), pa.array(n.astype(np.int64)), pa.array(h1), pa.array(h2), lists, marks], names=["doc_id", "n", "h1", "h2", "bands", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, bands array<long>, sketch binary")
 
 
 def _set_rows(docs: DataFrame, width: int) -> DataFrame:
@@ -144,11 +156,101 @@ def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long, linked boolean")
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
+def _alike(pairs: DataFrame, share: float) -> DataFrame:
+    """a < b, each once, of pairs(a, b, ma, mb, na, nb) whose sizes allow a link and whose sketches do not speak against it."""
+    least = share - 6 * float(np.sqrt(share * (1 - share) / FILTER))
+
+    def run(tables):
+        import pyarrow as pa
+
+        for table in tables:
+            marks = [np.frombuffer(table.column(k).buffers()[2], dtype=np.uint8, count=FILTER * table.num_rows, offset=table.column(k).offset * FILTER).reshape(-1, FILTER) for k in ("ma", "mb")] if table.num_rows else None
+            if marks is None:
+                continue
+            stay = np.flatnonzero((marks[0] == marks[1]).mean(axis=1) >= least)
+            a, b = (table.column(k).to_numpy(zero_copy_only=False)[stay] for k in ("a", "b"))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    sized = pairs.filter((F.col("a") != F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(share - 1e-9)))
+    return sized.select("a", "b", "ma", "mb").mapInArrow(run, "a long, b long").distinct()
+
+
+def _common_counts(x: list, y: list) -> np.ndarray:
+    """Sizes of the intersections of each set of x with each of y (sorted 64-bit numbers), by products of incidence matrices."""
+    sizes = np.array([len(v) for v in (*x, *y)])
+    values, column = np.unique(np.concatenate((*x, *y)), return_inverse=True)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    shared = np.bincount(column, minlength=len(values)) > 1
+    number = np.cumsum(shared) - 1
+    stay = shared[column]
+    column, owner = number[column[stay]], owner[stay]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    out = np.zeros((len(x), len(y)), dtype=np.float32)
+    for a in range(0, int(shared.sum()), 4096):
+        lo, hi = np.searchsorted(column, (a, a + 4096))
+        has = np.zeros((len(sizes), 4096), dtype=np.float32)
+        has[owner[lo:hi], column[lo:hi] - a] = 1
+        out += has[: len(x)] @ has[len(x) :].T
+    return out.astype(np.int64)
+
+
+def _block_links(open_: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b: links between different components in the large buckets open_(bucket, node, root), blocks of members against blocks.
+
+    The bucket's most common component needs no comparison inside; its blocks meet only those of the others. A row goes
+    to as many places as the bucket has blocks of the other kind, not to every pair.
+    """
+    count = open_.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
+    main = count.groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("all"))
+    blocks = main.select("bucket", F.col("m.root").alias("main"), F.ceil(F.col("m.c") / BLOCK).alias("mains"), F.ceil((F.col("all") - F.col("m.c")) / BLOCK).alias("others"))
+    rows = open_.join(blocks, "bucket").withColumn("is_main", F.col("root") == F.col("main"))
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others")))
+    placed = rows.withColumn("own", own)
+    to_others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("others") - 1), lambda k: F.struct(
+        F.when(F.col("is_main"), F.lit(0)).otherwise(1).alias("kind"), F.when(F.col("is_main"), F.col("own")).otherwise(F.least("own", k)).alias("p"),
+        F.when(F.col("is_main"), k).otherwise(F.greatest("own", k)).alias("q"), (~F.col("is_main") & (F.col("own") > k)).alias("second")))
+    to_main = F.transform(F.sequence(F.lit(0).cast("long"), F.col("mains") - 1), lambda k: F.struct(F.lit(0).alias("kind"), k.alias("p"), F.col("own").alias("q"), F.lit(True).alias("second")))
+    places = F.when(F.col("is_main"), to_others).otherwise(F.concat(to_others, to_main))
+    dealt = placed.select("bucket", "node", "root", F.explode(places).alias("at")).select("bucket", "at.*", "node", "root").join(sets.hint("merge"), "node")
 
+    def run(tables):
+        import pyarrow as pa
 
-def near_duplicates(df: DataFrame, num: int = 80, den: int = 100, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+        def links(rows: list):
+            first = [r for r in rows if not r[2]]
+            second = [r for r in rows if r[2]] or first
+            if not first or len(rows) < 2:
+                return
+            common = _common_counts([r[3] for r in first], [r[3] for r in second])
+            sizes = [np.array([len(r[3]) for r in side]) for side in (first, second)]
+            linked = den * common >= num * (sizes[0][:, None] + sizes[1][None, :] - common)
+            linked &= np.array([r[1] for r in first])[:, None] != np.array([r[1] for r in second])[None, :]
+            for i, j in zip(*np.nonzero(linked)):
+                yield first[i][0], second[j][0]
+
+        def emit(found: list):
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        key, held = None, []
+        for table in tables:
+            keys = list(zip(*(table.column(k).to_pylist() for k in ("bucket", "kind", "p", "q"))))
+            nodes, roots, second = (table.column(k).to_pylist() for k in ("node", "root", "second"))
+            for i, at in enumerate(keys):
+                if at != key:
+                    if held:
+                        yield emit(list(links(held)))
+                    key, held = at, []
+                held.append((nodes[i], roots[i], second[i], np.frombuffer(table.column("shingles")[i].as_buffer().to_pybytes(), dtype=np.uint64)))
+        if held:
+            yield emit(list(links(held)))
+
+    where = ["bucket", "kind", "p", "q"]
+    dealt = dealt.repartition(store.partitions(open_.sparkSession), *where).sortWithinPartitions(*where)
+    return dealt.select(*where, "node", "root", "second", "shingles").mapInArrow(run, "a long, b long").distinct()
+
+
+def near_duplicates(df: DataFrame, num: int = 80, den: int = 100, width: int = WIDTH, bands: int = BANDS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of `df` (doc_id, text, any others, which are ignored).
 
     Documents are linked if den * |A and B| >= num * |A or B| for their sets of `width`-word shingles; component_id is
@@ -156,66 +258,74 @@ def near_duplicates(df: DataFrame, num: int = 80, den: int = 100, width: int = W
     share a doc_id are one document for the components. A row without doc_id is linked with nothing, has no component
     and is kept. An empty table gives no rows.
     """
+    share = num / den
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sketched = store.save(_sketch_rows(docs, width, bands, rows), "near-sketches")
+    sketched = store.save(_sketch_rows(docs, width, bands, rows_for(share)), "near-sketches")
+    has_set = F.expr("n > 0 AND doc_id IS NOT NULL")
     classes = store.save(
-        sketched.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "h1", "h2").agg(F.min(F.struct("doc_id", "bands")).alias("x"))
-        .select(F.monotonically_increasing_id().alias("node"), "n", "h1", "h2", F.col("x.doc_id").alias("rep"), F.col("x.bands").alias("bands")),
+        sketched.filter(has_set).groupBy("n", "h1", "h2").agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("x"))
+        .select(F.monotonically_increasing_id().alias("node"), "n", "h1", "h2", F.col("x.doc_id").alias("rep"), F.col("x.bands").alias("bands"), F.col("x.sketch").alias("sketch")),
         "near-classes",
     )
     key = ["n", "h1", "h2"]
     named = classes.select("node", *key, "rep")
     # One doc_id with several texts ties their classes together.
-    of_doc = sketched.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id", *key).join(named.select("node", *key), key)
-    node_of = store.save(of_doc.select("doc_id", "node").distinct(), "near-nodes")
-    ties = node_of.join(node_of.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("m")).filter("b < m"), "doc_id").select(F.col("node").alias("a"), "b")
-    links = [ties.filter("a <> b")]
+    twice = sketched.filter(has_set).groupBy("doc_id").agg(F.count_distinct(*key).alias("k")).filter("k > 1").select("doc_id")
+    node_of = sketched.filter(has_set).join(twice, "doc_id").join(named.select("node", *key), key).select("doc_id", "node").distinct()
+    links = node_of.join(node_of.groupBy("doc_id").agg(F.min("node").alias("b")), "doc_id").select(F.col("node").alias("a"), "b").filter("a <> b")
 
     exploded = classes.select("node", F.explode("bands").alias("bucket"))
     shared = exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("leader")).filter("size > 1")
     members = store.save(exploded.join(shared, "bucket"), "near-members")
-    need = store.save(members.select("node").distinct().join(named, "node"), "near-need")
-    texts = docs.join(store.small(need.select(F.col("rep").alias("doc_id")), need.count(), 16), "doc_id", "left_semi")
-    sets = store.save(
-        _set_rows(texts, width).join(need.withColumnRenamed("rep", "doc_id"), ["doc_id", *key]).groupBy("node").agg(F.min("shingles").alias("shingles")), "near-sets"
-    )
+    need = store.save(members.select("node").distinct().join(classes.drop("bands"), "node"), "near-need")
+    sets = store.save(_class_sets(docs, need, width), "near-sets")
+    marks = need.select("node", "n", "sketch")
 
+    def side(rows: DataFrame, node: str, as_: str) -> DataFrame:
+        return rows.join(marks.select(F.col("node").alias(node), F.col("n").alias(f"n{as_}"), F.col("sketch").alias(f"m{as_}")), node)
+
+    pairs = _alike(side(side(members.select(F.col("leader").alias("a"), F.col("node").alias("b")).filter("a <> b").distinct(), "a", "a"), "b", "b"), share)
     tested: DataFrame | None = None
-    pairs = _ordered(members.select(F.col("leader").alias("a"), F.col("node").alias("b")))
-    step = 0
-    while True:
-        if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        found = store.save(_links(store.save(pairs, "near-pairs"), sets, num, den), "near-links")
-        tested = found if tested is None else tested.unionByName(found)
-        links.append(found.filter("linked").select("a", "b"))
-        edges = links[0]
-        for more in links[1:]:
-            edges = edges.unionByName(more)
-        roots = store.save(components.components(edges), "near-roots")
-        step += 1
-        if step > ROUNDS + 1:
+    for step in range(ROUNDS + 1):
+        if step < ROUNDS:
+            if tested is not None:
+                pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+            found = store.save(_links(pairs, sets, num, den), "near-links")
+            tested = found
+            new = found.filter("linked").select("a", "b")
+        else:
+            new = store.save(_block_links(open_, sets, num, den), "near-links")
+        roots = store.save(components.components(links.unionByName(new)), "near-roots")
+        links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        if step == ROUNDS:
             break
         labelled = members.select("bucket", "node", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        open_ = labelled.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.min(F.struct(F.xxhash64("node", F.lit(step)).alias("h"), "node", "root")).alias("next")).filter("r1 <> r2")
-        open_members = store.save(labelled.join(open_.select("bucket", "next"), "bucket"), "near-open")
-        final = step > ROUNDS
-        at_once = open_members if final else open_members.filter(F.col("size") <= SMALL_BUCKET)
-        a, b = at_once.select("bucket", F.col("node").alias("a"), F.col("root").alias("ra")), at_once.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"))
-        crossed = a.join(b, "bucket").filter("a < b AND ra <> rb").select("a", "b")
-        if not final:
-            star = open_members.filter((F.col("size") > SMALL_BUCKET) & (F.col("root") != F.col("next.root"))).select(F.col("next.node").alias("a"), F.col("node").alias("b"))
-            crossed = crossed.unionByName(star)
-        pairs = _ordered(crossed)
-        if open_members.isEmpty():
+        several = labelled.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.min(F.struct(F.xxhash64("node", F.lit(step)).alias("h"), "node", "root")).alias("next")).filter("r1 <> r2")
+        # Small buckets are compared whole once; large ones with one member a round, then block by block.
+        now = F.col("size") > SMALL_BUCKET if step else F.lit(True)
+        open_ = store.save(labelled.join(several.select("bucket", "next"), "bucket").filter(now), "near-open")
+        if open_.isEmpty():
             break
-    node_root = named.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        if step < ROUNDS - 1:
+            few = open_.filter(F.col("size") <= SMALL_BUCKET)
+            a, b = (few.select("bucket", F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
+            crossed = a.join(b, "bucket").filter("a < b AND ra <> rb").select("a", "b")
+            star = open_.filter((F.col("size") > SMALL_BUCKET) & (F.col("root") != F.col("next.root"))).select(F.col("next.node").alias("a"), F.col("node").alias("b"))
+            pairs = _alike(side(side(crossed.unionByName(star).distinct(), "a", "a"), "b", "b"), share)
+    node_root = named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = node_root.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_class = classes.select("node", *key).join(node_root.select("node", "root"), "node").join(least, "root").select(*key, "component_id")
+    by_class = node_root.join(least, "root").select(*key, "component_id")
     out = sketched.select("doc_id", *key).join(by_class, key, "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def _class_sets(docs: DataFrame, need: DataFrame, width: int) -> DataFrame:
+    """node, shingles: the full sets of the classes need(node, n, h1, h2, rep), from the text of their representative."""
+    texts = docs.join(store.small(need.select(F.col("rep").alias("doc_id")), need.count(), 16), "doc_id", "left_semi")
+    wanted = need.select("node", F.col("rep").alias("doc_id"), "n", "h1", "h2")
+    return _set_rows(texts, width).join(wanted, ["doc_id", "n", "h1", "h2"]).groupBy("node").agg(F.min("shingles").alias("shingles"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(store.documents(spark, sf_dir), num=85)
