@@ -15,8 +15,12 @@ from pyspark.sql import functions as F
 
 from foliospark.llm import store
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: State on disk; changes, not whole snapshots, are written to the checkpoint, and small stores reserve no space ahead.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -45,8 +49,9 @@ def keyed_state(spark: SparkSession, path: str, schema, digest: Callable[[Column
         F.count(F.lit(1)).alias("n"),
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "file", "row")).alias("keep"),
     )
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {key: spark.conf.get(key, None) for key in STATE}
+    for key, value in STATE.items():
+        spark.conf.set(key, value)
     try:
         # A batch that is tried again overwrites its own folder, so each change counts once.
         query = (
@@ -58,7 +63,8 @@ def keyed_state(spark: SparkSession, path: str, schema, digest: Callable[[Column
         )
         query.awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     shape = f"digest {dict(state.dtypes)['digest']}, n long, keep {dict(state.dtypes)['keep']}, batch long"
     changes = spark.read.schema(shape).option("recursiveFileLookup", "true").parquet(out) if _exists(spark, out) else spark.createDataFrame([], shape)
     # Counts only grow and the smallest identifier only falls, so the last state of a digest is its extremes.
