@@ -220,6 +220,13 @@ class _Held:
         return _loaded(self.key, self)
 
 
+def _parts(batches, rows: int = 256):
+    """Batches of few rows, so that what a worker holds beside its input stays small."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def encode(df: DataFrame, vocabulary: str, pattern: str, column: str = "text", out: str = "ids") -> DataFrame:
     """df with the token ids of `column` as array column `out` (a column of that name is replaced).
 
@@ -234,7 +241,7 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, column: str = "text", o
         import pyarrow as pa
 
         encoder = held.encoder()
-        for batch in batches:
+        for batch in _parts(batches):
             packed = [encoder.encode(t) if t else b"" for t in batch.column(names.index(column)).to_pylist()]
             offsets = np.concatenate(([0], np.cumsum([len(p) // 4 for p in packed]))).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), dtype=np.int32)))
@@ -253,8 +260,9 @@ def decode(df: DataFrame, vocabulary: str, pattern: str, column: str = "ids", ou
         import pyarrow as pa
 
         v = held.encoder().vocabulary
-        for batch in batches:
-            lists = batch.column(names.index(column)).fill_null([])
+        for batch in _parts(batches):
+            lists = batch.column(names.index(column))
+            lists = lists.fill_null([]) if lists.null_count else lists
             ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             ends = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))))
             parts, sizes = [], []
