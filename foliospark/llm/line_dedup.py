@@ -55,16 +55,18 @@ def line_dedup(df: DataFrame, min_sites: int = MIN_SITES, most: float = MOST_OF_
     wide = store.save(spread_lines(named.select("k1", "k2", "site"), min_sites), "lines-spread")
     hits = named.join(store.small(wide, wide.count(), 32), ["k1", "k2"], "left_semi").distinct()
     cut = store.save(hits.groupBy("_id", "_h").agg(F.collect_set("at").alias("gone"), F.sum("size").alias("gone_size")), "lines-cut")
-    keyed = df.withColumn("_h", F.xxhash64(text))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_g"))
-    joined = keyed.join(cut.withColumnRenamed("_h", "_g").hint("merge"), same, "left")
-    lines = _lines(F.col("text"))
-    whole = F.length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
+    row = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col("doc_id").alias("id"), F.xxhash64(text).alias("h"))
+    joined = row.join(cut.hint("merge"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
+    given = F.col("row.text")
+    lines = _lines(given)
+    whole = F.length(F.replace(given, F.lit("\n"), F.lit("")))
     applies = F.col("gone").isNotNull() & (F.col("gone_size") <= whole * F.lit(most))
     kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains(F.col("gone"), i)), "\n")
-    done = joined.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long")).withColumn("n_removed", F.when(applies, F.size("gone")).otherwise(0).cast("long"))
-    done = done.withColumn("n_lines", F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(F.col("n_lines")))
-    return done.withColumn("text", F.when(applies, kept).otherwise(F.col("text"))).drop("_h", "_g", "_id", "gone", "gone_size")
+    return joined.select(
+        F.col("row").withField("text", F.when(applies, kept).otherwise(given)).alias("row"),
+        F.when(given.isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+        F.when(applies, F.size("gone")).otherwise(0).cast("long").alias("n_removed"),
+    ).select("row.*", "n_lines", "n_removed")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
