@@ -71,7 +71,7 @@ def size_label(size: Column) -> Column:
     for unit, power in reversed(steps):
         scaled = value / 1024.0**power
         label = F.when(scaled < 1024, F.format_string(f"%.1f {unit}", F.bround(scaled, 1))).otherwise(label)
-    return label
+    return F.when(size.isNotNull(), label)
 
 
 def without_blank_lines(text: Column) -> Column:

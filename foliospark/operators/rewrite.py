@@ -194,11 +194,12 @@ def minted(t: Column) -> Column:
 
 def floats(t: Column) -> Column:
     """Plain floats with a place, except in two-column classes; stray signs and braces around graphics go."""
+    t = F.regexp_replace(t, r"\{(figure|table)\*>", r"{$1*")
     plain = X.replaced(t, (r"(?i)\\begin\{(figure|table)\*\}(\[[^\]]*\])", r"\\begin{$1}$2"), (r"(?i)\\begin\{(figure|table)\*\}", r"\\begin{$1}[ht]"), (r"(?i)\\end\{(figure|table)\*\}", r"\\end{$1}"))
     one = F.when(_is_class(t, "ieeetran", "acmart"), t).otherwise(plain)
     graphics = r"(\\includegraphics[^{}]*\{[^{}]*\})"
     return X.replaced(
-        one, (r"\{(figure|table)\*>", r"{$1*"), (r"(?i)(\\(?:begin|end)\{(?:figure|table)\*?\})>", "$1"),
+        one, (r"(?i)(\\(?:begin|end)\{(?:figure|table)\*?\})>", "$1"),
         (r"(?i)\\begin\{(figure|table)\}(?!\[[^\]]*\])", r"\\begin{$1}[ht]"),
         (rf"(?i)(\\begin\{{(?:figure|table)\}}(?:\[[^\]]*\])?)\{{\s*{graphics}\s*\}}", "$1\n$2"), (rf"(?<!\S)\{{\s*{graphics}\s*\}}", "$1"),
     )
