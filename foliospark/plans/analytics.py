@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from foliospark.functions import geometry as G
-from foliospark.operators import diagnose, layout, report
+from foliospark.operators import diagnose, layout, report, structure
 from foliospark.plans.catalog import BOX_TEXTS_SQL, BOXES_SQL, PAGE_HEIGHT, PAGE_WIDTH, box_texts, boxes, query, table
 
 LINES = {0: "! LaTeX Error: File `foo.sty' not found.", 1: "! Undefined control sequence.", 2: "LaTeX Warning: Citation `a' on page 1 undefined", 3: "Overfull \\hbox (1pt)", 4: "Underfull \\hbox", 5: "Rerun to get cross-references right", 6: "No file main.bbl.", 7: "! Missing $ inserted."}
@@ -323,3 +323,78 @@ def flow(spark, d):
 def event_windows(spark, d):
     rows = table(spark, d, "events").groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     return rows.select("event_type", F.col("w.start").alias("hour"), "n", "total")
+
+
+@query("x58_p48_p45_block_kinds", f"WITH {BOX_TEXTS_SQL}" + r""", x AS (SELECT *, regexp_replace(text, '^\s+|\s+$', '', 'g') AS s FROM e), y AS (SELECT *, lower(s) AS low, string_split(s, chr(10)) AS ls FROM x),
+z AS (SELECT *, length(s) <= 150 AND ((contains(text, '@') AND contains(low, '.com')) OR contains(low, '.edu') OR contains(low, '.org') OR (len(ls) BETWEEN 2 AND 4 AND len(list_filter(ls, lambda q: length(q) >= 50)) = 0 AND contains(s, '@'))) AS au,
+ (regexp_matches(s, '^\d+(\.\d+)*\.?$') AND length(s) < 10) OR regexp_matches(s, '^\d+(\.\d+)*\.?\s+[\p{L}\p{N}_]') OR (len(ls) = 2 AND regexp_matches(trim(ls[1]), '^\d+(\.\d+)*$') AND length(trim(ls[2])) < 50)
+ OR (regexp_matches(s, '\p{Lu}') AND NOT regexp_matches(s, '\p{Ll}') AND len(string_split(trim(regexp_replace(s, '\s+', ' ', 'g')), ' ')) <= 5) AS he FROM y),
+k AS (SELECT vec_id, CASE WHEN class_name = 'title' AND page > 0 THEN 'section_heading' WHEN class_name = 'plain_text' AND page = 0 AND au THEN 'author_list' WHEN class_name = 'plain_text' AND length(text) < 100 AND he THEN 'section_heading'
+ WHEN class_name = 'plain_text' AND regexp_matches(text, '^[\d•\-*]\s') THEN 'list_item' WHEN contains(low, 'doi') OR contains(text, '10.1') THEN 'doi'
+ WHEN class_name IN ('plain_text', 'footnote') AND regexp_matches(text, '^[†‡*\d]') THEN 'footnote' ELSE CASE class_name """ + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in structure.CLASS_KINDS.items()) + r""" ELSE 'unknown' END END AS kind FROM z)
+SELECT vec_id, kind, CASE WHEN kind IN (""" + ", ".join(f"'{x}'" for x in structure.TRANSLATED) + r""") THEN 'yes' WHEN kind IN (""" + ", ".join(f"'{x}'" for x in structure.KEPT) + r""") THEN 'no' END AS translated FROM k""")
+def block_kinds(spark, d):
+    rows = box_texts(spark, d).withColumn("kind", structure.block_kind(F.col("class_name"), F.col("text"), F.col("page")))
+    return rows.select("vec_id", "kind", structure.translation_rule(F.col("kind")).alias("translated"))
+
+
+@query("w20_w21_captions", f"WITH {BOXES_SQL}" + r""", c AS (SELECT page, vec_id AS ord, concat('Fig. ', (vec_id % 3)::VARCHAR, ': of page ', (vec_id % 2)::VARCHAR) AS text FROM b WHERE class_name IN ('figure_caption', 'figure', 'title')),
+n AS (SELECT *, regexp_replace(lower(text), '^fig\. \d: ', '') AS key FROM c)
+SELECT page, ord, regexp_extract(text, '(\d)', 1) AS number, text FROM n QUALIFY row_number() OVER (PARTITION BY page, key ORDER BY ord) = 1""")
+def caption_numbers(spark, d):
+    rows = boxes(spark, d).filter("class_name IN ('figure_caption', 'figure', 'title')")
+    text = F.concat(F.lit("Fig. "), (F.col("vec_id") % 3).cast("string"), F.lit(": of page "), (F.col("vec_id") % 2).cast("string"))
+    return structure.captions(rows.select(F.floor(F.col("page") / 5).alias("doc"), "page", F.col("vec_id").alias("ord"), text.alias("text")), figure=True).drop("doc")
+
+
+@query("w06_author_rows", f"WITH RECURSIVE {BOXES_SQL}" + r""", o AS (SELECT page, y0, row_number() OVER (PARTITION BY page ORDER BY vec_id) AS i FROM b),
+r AS (SELECT page, i, [y0] AS keys, 1 AS n FROM o WHERE i = 1 UNION ALL SELECT o.page, o.i, CASE WHEN len(list_filter(keys, lambda k: abs(k - y0) < 20)) > 0 THEN keys ELSE list_append(keys, y0) END, n + 1 FROM r JOIN o ON o.page = r.page AND o.i = r.i + 1)
+SELECT page, len(arg_max(keys, i)) AS n_rows, list_sum(arg_max(keys, i)) AS key_sum FROM r GROUP BY page""")
+def author_rows(spark, d):
+    rows = boxes(spark, d).groupBy("page").agg(F.transform(F.sort_array(F.collect_list(F.struct("vec_id", "y0"))), lambda x: x["y0"]).alias("ys"))
+    keys = F.array_distinct(structure.row_of(F.col("ys")))
+    return rows.select("page", F.size(keys).alias("n_rows"), F.aggregate(keys, F.lit(0.0), lambda a, k: a + k).alias("key_sum"))
+
+
+@query("w24_span_lines")
+def span_lines(spark, d):
+    rows = boxes(spark, d).withColumn("math", F.col("class_name").isin("isolate_formula", "formula_caption"))
+    spans = rows.select("page", F.col("idx").alias("ord"), (F.col("idx") % 5 * 60).cast("double").alias("x"), F.floor(F.col("idx") / 5).cast("double").alias("y"), F.lit(59.5).alias("width"), F.lit(10.0).alias("size"), F.col("vec_id").cast("string").alias("text"), F.col("math").alias("is_math"))
+    return structure.line_text(spans, "page", "ord")
+
+
+@query("j11_uncovered_blocks")
+def uncovered_blocks(spark, d):
+    rows = boxes(spark, d)
+    return structure.uncovered(rows.filter("vec_id % 2 = 0"), rows.filter("vec_id % 2 = 1").withColumn("block", F.col("vec_id")))
+
+
+@query("w22_x21_balanced_blocks", r"""SELECT doc_id, count(*) AS n, count(*) FILTER (name = 'table') AS tables, sum(length(t))::BIGINT AS chars FROM (
+ SELECT doc_id, 'table' AS name, concat('\begin{table}', left(text, 20), '\begin{table}x\end{table}\end{table}') AS t FROM documents UNION ALL SELECT doc_id, 'table', '\begin{table}x\end{table}' FROM documents
+ UNION ALL SELECT doc_id, 'title', concat('\title {a {b} ', replace(replace(left(text, 20), '{', ''), '}', ''), '}') FROM documents) GROUP BY doc_id""")
+def balanced_blocks(spark, d):
+    short = F.replace(F.replace(F.substring("text", 1, 20), F.lit("{"), F.lit("")), F.lit("}"), F.lit(""))
+    tex = F.concat(F.lit("\\begin{table}"), F.substring("text", 1, 20), F.lit("\\begin{table}x\\end{table}\\end{table} \\title {a {b} "), short, F.lit("} \\title{open"))
+    rows = structure.blocks(table(spark, d, "documents").select("doc_id", tex.alias("tex")), "doc_id", "tex", ("table",), ("title",))
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("name") == "table").alias("tables"), F.sum(F.length("text")).cast("long").alias("chars"))
+
+
+@query("d04_d06_d07_elements", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
+SELECT doc_id, 1 AS comments, 1 AS tables, 1 AS unclosed, count(*) FILTER (trim(line) <> '')::BIGINT AS lines FROM l GROUP BY doc_id""")
+def tex_elements(spark, d):
+    tex = F.concat(F.lit("% note\n\\begin{table}\n\\begin{tabular}{l}x\n\\end{tabular}\n\\end{table}\n"), "text", F.lit("\n\\begin{align}\nx"))
+    rows = structure.elements(table(spark, d, "documents").select("doc_id", tex.alias("tex")), "doc_id", "tex")
+    return rows.groupBy("doc_id").agg(F.count_if(F.col("kind") == "comment").cast("int").alias("comments"), F.count_if(F.col("kind") == "table").cast("int").alias("tables"), F.count_if(F.col("kind") == "unclosed").cast("int").alias("unclosed"), (F.count(F.lit(1)) - 3).alias("lines"))
+
+
+@query("a12_r22_x75_wrapped_tables", r"""SELECT doc_id, CASE WHEN length(trim(regexp_replace(regexp_replace(left(text, 60), '[${}&%\\]', '', 'g'), '\s+', ' ', 'g'))) >= 20 THEN 'l|Y@{x}r' END AS spec FROM documents""")
+def wrapped_tables(spark, d):
+    cell = F.regexp_replace(F.substring("text", 1, 60), r"[${}&%\\]", "")
+    body = F.concat(F.lit("1 & "), cell, F.lit(" & 2 \\\\ 3 & b & 4"))
+    return structure.wrapped_columns(table(spark, d, "documents").select("doc_id", F.lit("l|c@{x}r").alias("spec"), body.alias("body")), "doc_id", "spec", "body")
+
+
+@query("c01_c02_run_outcomes", f"WITH {LOG_SQL} SELECT user_id, CASE user_id % 4 WHEN 0 THEN 'success' WHEN 1 THEN 'success_with_errors' WHEN 2 THEN 'success_after_timeout' ELSE 'failure' END AS outcome FROM g")
+def run_outcomes(spark, d):
+    k = F.col("user_id") % 4
+    return _logs(spark, d).select("user_id", structure.run_outcome(F.when(k == 0, 0).when(k == 2, 124).otherwise(1), F.col("log"), k < 3).alias("outcome"))
