@@ -40,8 +40,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text; what they decode to is compared with it."""
     import public_tokenizers
 
-    names = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    both = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), *names), *names)
+    both = bpe.recode(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     same = F.decode("decoded", "UTF-8") == F.coalesce("text", F.lit(""))
     return both.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from foliospark.llm import store
 
 #: Pieces and token pairs remembered by a worker; beyond it they are forgotten and found again.
-MEMORY = 400_000
+MEMORY = 200_000
 
 
 class Vocabulary:
@@ -227,14 +227,34 @@ def _parts(batches, rows: int = 256):
             yield batch.slice(a, rows)
 
 
-def encode(df: DataFrame, vocabulary: str, pattern: str, column: str = "text", out: str = "ids") -> DataFrame:
-    """df with the token ids of `column` as array column `out` (a column of that name is replaced).
+def _encoded(encoder: Encoder, texts: list):
+    """Token ids of texts as an Arrow list array; null text is empty."""
+    import pyarrow as pa
 
-    Null text counts as empty and gives an empty array; an empty table gives no rows; every other column passes
-    through. Special tokens' strings are ordinary text. `vocabulary` is a rank file read once, on the driver.
-    """
-    held = _Held(df.sparkSession, vocabulary, pattern)
-    df = df.drop(out)
+    packed = [encoder.encode(t) if t else b"" for t in texts]
+    offsets = np.concatenate(([0], np.cumsum([len(p) // 4 for p in packed]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), dtype=np.int32)))
+
+
+def _decoded(v: Vocabulary, lists):
+    """Bytes of an Arrow list array of ids, a document at a time, so that memory follows the longest one; null is empty."""
+    import pyarrow as pa
+
+    lists = lists.fill_null([]) if lists.null_count else lists
+    ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))))
+    parts = []
+    for a, b in zip(ends[:-1], ends[1:]):
+        own = ids[a:b]
+        lengths = v.offsets[own + 1] - v.offsets[own]
+        place = np.cumsum(lengths) - lengths
+        parts.append(v.bytes[np.repeat(v.offsets[own] - place, lengths) + np.arange(lengths.sum())].tobytes())
+    return pa.array(parts, pa.binary())
+
+
+def _with(df: DataFrame, held: _Held, new: dict[str, str], columns) -> DataFrame:
+    """df with columns(encoder, batch, names) appended, by batch; columns of the new names are replaced."""
+    df = df.drop(*new)
     names = df.columns
 
     def run(batches):
@@ -242,51 +262,40 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, column: str = "text", o
 
         encoder = held.encoder()
         for batch in _parts(batches):
-            packed = [encoder.encode(t) if t else b"" for t in batch.column(names.index(column)).to_pylist()]
-            offsets = np.concatenate(([0], np.cumsum([len(p) // 4 for p in packed]))).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), dtype=np.int32)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*names, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns(encoder, batch, names)], names=[*names, *new])
+
+    return df.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in [*df.dtypes, *new.items()]))
+
 
-    return df.mapInArrow(run, ", ".join([f"`{n}` {t}" for n, t in df.dtypes] + [f"`{out}` array<int>"]))
+def encode(df: DataFrame, vocabulary: str, pattern: str, column: str = "text", out: str = "ids") -> DataFrame:
+    """df with the token ids of `column` as array column `out` (a column of that name is replaced).
+
+    Null text counts as empty and gives an empty array; an empty table gives no rows; every other column passes
+    through. Special tokens' strings are ordinary text. `vocabulary` is a rank file read once, on the driver.
+    """
+    return _with(df, _Held(df.sparkSession, vocabulary, pattern), {out: "array<int>"}, lambda e, batch, names: [_encoded(e, batch.column(names.index(column)).to_pylist())])
 
 
 def decode(df: DataFrame, vocabulary: str, pattern: str, column: str = "ids", out: str = "decoded") -> DataFrame:
     """df with the bytes of the ids in `column` as binary column `out` (a column of that name is replaced). Null ids count as none."""
-    held = _Held(df.sparkSession, vocabulary, pattern)
-    df = df.drop(out)
-    names = df.columns
+    return _with(df, _Held(df.sparkSession, vocabulary, pattern), {out: "binary"}, lambda e, batch, names: [_decoded(e.vocabulary, batch.column(names.index(column)))])
 
-    def run(batches):
-        import pyarrow as pa
 
-        v = held.encoder().vocabulary
-        for batch in _parts(batches):
-            lists = batch.column(names.index(column))
-            lists = lists.fill_null([]) if lists.null_count else lists
-            ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            ends = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))))
-            parts, sizes = [], []
-            for a, b in zip(ends[:-1], ends[1:]):  # a document at a time: memory follows the longest one
-                own = ids[a:b]
-                lengths = v.offsets[own + 1] - v.offsets[own]
-                place = np.cumsum(lengths) - lengths
-                at = np.repeat(v.offsets[own] - place, lengths) + np.arange(lengths.sum())
-                parts.append(v.bytes[at])
-                sizes.append(len(at))
-            data = np.concatenate(parts) if parts else np.zeros(0, np.uint8)
-            offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-            decoded = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
-            yield pa.RecordBatch.from_arrays([*batch.columns, decoded], names=[*names, out])
-
-    return df.mapInArrow(run, ", ".join([f"`{n}` {t}" for n, t in df.dtypes] + [f"`{out}` binary"]))
+def recode(df: DataFrame, vocabulary: str, pattern: str, column: str = "text", out: str = "ids", back: str = "decoded") -> DataFrame:
+    """encode() and, from its ids, decode() in one pass of a worker over the rows."""
+
+    def both(e: Encoder, batch, names):
+        ids = _encoded(e, batch.column(names.index(column)).to_pylist())
+        return [ids, _decoded(e.vocabulary, ids)]
+
+    return _with(df, _Held(df.sparkSession, vocabulary, pattern), {out: "array<int>", back: "binary"}, both)
 
 
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    with_file = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    ids = encode(store.documents(spark, sf_dir).select("doc_id", "text"), *with_file).drop("text")
-    return decode(ids, *with_file).select(
+    both = recode(store.documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return both.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
     )
