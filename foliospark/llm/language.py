@@ -72,19 +72,21 @@ class CrossParser:
             c = chr(code)
             if c.isalpha():
                 self.symbol[code] = of.get(c.lower()[:1], self.unknown)
-        tables, self.roots, self.bits, base = [], [], [], 0
+        tables, self.roots, self.outside, self.bits, base = [], [], [], [], 0
         for name in self.languages:
             joined = self.symbols("\n".join(samples[name]))
             edges = automaton(joined.tolist())
-            to = np.full((len(edges), self.width), -1, dtype=np.int64)
+            outside = len(edges)  # before any phrase, and after a symbol that the sample lacks
+            to = np.full((outside + 1, self.width), -1, dtype=np.int64)
             for state, out in enumerate(edges):
                 for c, target in out.items():
                     to[state, c] = target
-            start = np.where(to[0] >= 0, to[0], 0) * self.width + base  # a phrase of the symbol alone, known or not
-            table = np.where(to >= 0, to * self.width + base, start[None, :] | NEW_PHRASE)
-            table[:, self.pad] = np.arange(len(edges)) * self.width + base
+            first = np.where(to[0] >= 0, to[0], outside) * self.width + base
+            table = np.where(to >= 0, to * self.width + base, first[None, :] | NEW_PHRASE)
+            table[:, self.pad] = np.arange(outside + 1) * self.width + base
             tables.append(table.ravel().astype(np.int32))
             self.roots.append(base)
+            self.outside.append(outside * self.width + base)
             self.bits.append(np.log2(max(len(joined), 2)))
             base += table.size
         if base >= NEW_PHRASE:
@@ -100,7 +102,7 @@ class CrossParser:
     def _parse(self, matrix: np.ndarray) -> np.ndarray:
         """Phrases of each column of `matrix` (steps x segments) for each language: languages x segments."""
         n = matrix.shape[1]
-        state = np.repeat(np.array(self.roots, dtype=np.int32), n)
+        state = np.repeat(np.array(self.outside, dtype=np.int32), n)
         count = np.zeros(len(state), dtype=np.int32)
         many = len(self.languages)
         for row in matrix:
@@ -126,14 +128,14 @@ class CrossParser:
             place = at[a:b][None, :] + np.arange(SEGMENT)[:, None]
             inside = place < end[a:b][None, :]
             matrix = np.where(inside, flat[np.minimum(place, len(flat) - 1)], self.pad).astype(np.int32)
-            counted = self._parse(matrix) + 1
+            counted = self._parse(matrix)
             for k in range(len(self.languages)):
                 total[k] += np.bincount(owner[a:b], weights=counted[k], minlength=len(texts)).astype(np.int64)
         return total, lengths
 
     def match_lengths(self, text: str) -> np.ndarray:
-        """Sum of longest-match lengths over all places of a short text, for each language; settles ties."""
-        symbols = self.symbols(text)[:4096].astype(np.int64)
+        """Sum of longest-match lengths (64 at most) over all places of a text, for each language; settles ties."""
+        symbols = self.symbols(text).astype(np.int64)
         sums = np.zeros(len(self.languages))
         for k, root in enumerate(self.roots):
             for i in range(len(symbols)):
