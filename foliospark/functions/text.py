@@ -122,10 +122,8 @@ def without_fence(text: Column) -> Column:
 
 
 def english_words(text: Column) -> Column:
-    """How many of the text's ASCII words are common English ones."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b[a-z]{2,}\b"), F.lit(0))
-    stop = F.array(*map(F.lit, ENGLISH_STOP_WORDS))
-    return F.size(F.filter(found, lambda w: F.array_contains(stop, w)))
+    """How many of the text's ASCII words of two letters or more are common English ones."""
+    return F.regexp_count(F.lower(text), F.lit(r"(?U)\b(?:" + "|".join(w for w in ENGLISH_STOP_WORDS if len(w) > 1) + r")\b"))
 
 
 def english_heavy(text: Column, least: int = 140, hits: int = 6) -> Column:

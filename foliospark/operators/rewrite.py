@@ -44,31 +44,40 @@ def closing_signs(t: Column) -> Column:
     )
 
 
+def _split_at(t: Column, at: Column) -> tuple[Column, Column]:
+    """What comes before a place (1 is the first, 0 none: all of the text) and the rest."""
+    end = F.when(at > 0, at - 1).otherwise(F.length(t))
+    return F.substring(t, F.lit(1), end), F.substring(t, end + 1, F.length(t))
+
+
 def single_packages(t: Column) -> Column:
-    """Of equal package lines before the document begins the first stays; spaces and comments do not count."""
-    kind = "struct<out: array<string>, seen: array<string>, body: boolean>"
+    """Of equal package lines before the document begins the first stays; spaces and comments do not count.
+
+    Only the preamble, which is short, is folded line by line.
+    """
+    preamble, rest = _split_at(t, F.instr(t, "\\begin{document}"))
+    kind = "struct<out: array<string>, seen: array<string>>"
     key = lambda line: F.regexp_replace(F.regexp_replace(line, "%.*", ""), r"(?U)\s+", "")
-    start = F.struct(F.array().alias("out"), F.array().alias("seen"), F.lit(False).alias("body")).cast(kind)
+    start = F.struct(F.array().alias("out"), F.array().alias("seen")).cast(kind)
 
     def add(acc: Column, line: Column) -> Column:
-        body = acc["body"] | line.contains("\\begin{document}")
-        package = ~body & F.ltrim(line).startswith("\\usepackage")
+        package = F.ltrim(line).startswith("\\usepackage")
         again = package & F.array_contains(acc["seen"], key(line))
         return F.struct(
             F.when(again, acc["out"]).otherwise(F.array_append(acc["out"], line)).alias("out"),
-            F.when(package & ~again, F.array_append(acc["seen"], key(line))).otherwise(acc["seen"]).alias("seen"), body.alias("body"),
+            F.when(package & ~again, F.array_append(acc["seen"], key(line))).otherwise(acc["seen"]).alias("seen"),
         ).cast(kind)
 
-    return F.aggregate(lines_of(t), start, add, lambda acc: F.array_join(acc["out"], "\n"))
+    single = F.aggregate(lines_of(preamble), start, add, lambda acc: F.array_join(acc["out"], "\n"))
+    return F.when(F.regexp_count(preamble, F.lit(r"\\usepackage")) > 1, F.concat(single, rest)).otherwise(t)
 
 
 def stray_class_lines(t: Column) -> Column:
     """Lines that mention the class command without braces, before the real one, become comments."""
-    real = r"^\s*\\documentclass(\[[^\]]*\])?\{[^}]+\}"
-    lines = lines_of(t)
-    first = F.coalesce(F.array_min(F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(real), i)), lambda i: i.isNotNull())), F.lit(1 << 30))
-    fix = lambda x, i: F.when((i < first) & x.contains("\\documentclass") & ~x.contains("{") & ~F.ltrim(x).startswith("%"), F.regexp_replace(x, r"^(\s*)", "$1% ")).otherwise(x)
-    return F.array_join(F.transform(lines, fix), "\n")
+    real = F.regexp_extract(t, r"(?m)(^\s*\\documentclass(?:\[[^\]]*\])?\{[^}]+\})", 1)
+    head, rest = _split_at(t, F.when(real != "", F.instr(t, real)).otherwise(0))
+    fixed = F.regexp_replace(head, r"(?m)^([ \t]*)(?![ \t%])([^\n{]*\\documentclass[^\n{]*)$", "$1% $2")
+    return F.when(head.contains("\\documentclass"), F.concat(fixed, rest)).otherwise(t)
 
 
 def redefined_commands(t: Column) -> Column:
@@ -97,31 +106,28 @@ def times_font(t: Column) -> Column:
 _CJK = "[ぁ-ゟ゠-ヿ一-龯]"
 
 
-def bilingual_lines(t: Column) -> Column:
-    """An English line goes if the next is its translation: kana or han, and the same anchors."""
-    lines = lines_of(t)
+def _without_twins(parts: Column, joint: str, is_twin) -> Column:
+    """Parts joined again without those that are twins of the part after them."""
+    pairs = F.zip_with(parts, F.slice(parts, F.lit(2), F.size(parts)), lambda a, b: F.struct(a.alias("own"), F.coalesce(b, F.lit("")).alias("after")))
+    return F.array_join(F.transform(F.filter(pairs, lambda p: ~is_twin(p["own"], p["after"])), lambda p: p["own"]), joint)
+
 
-    def stays(line: Column, i: Column) -> Column:
-        after = F.coalesce(F.get(lines, i + 1), F.lit(""))
-        a, b = X.anchors(line), X.anchors(after)
-        twin = (F.regexp_count(line, F.lit(r"\b[A-Za-z]{3,}\b")) >= 6) & after.rlike(_CJK) & ((F.size(a) >= 2) | (F.size(b) >= 2)) & (X.jaccard(a, b) >= 0.55)
-        return F.ltrim(line).startswith("%") | ~twin
+def _same_anchors(a: Column, b: Column, least: float) -> Column:
+    x, y = X.anchors(a), X.anchors(b)
+    return ((F.size(x) >= 2) | (F.size(y) >= 2)) & (X.jaccard(x, y) >= least)
 
-    return F.when(t.rlike(_CJK), F.array_join(F.filter(lines, stays), "\n")).otherwise(t)
+
+def bilingual_lines(t: Column) -> Column:
+    """An English line goes if the next is its translation: kana or han, and the same anchors."""
+    twin = lambda a, b: ~F.ltrim(a).startswith("%") & (F.regexp_count(a, F.lit(r"\b[A-Za-z]{3,}\b")) >= 6) & b.rlike(_CJK) & _same_anchors(a, b, 0.55)
+    return F.when(t.rlike(_CJK), _without_twins(lines_of(t), "\n", twin)).otherwise(t)
 
 
 def bilingual_paragraphs(t: Column) -> Column:
     """The same for paragraphs, outside environments and bibliographies."""
-    parts = F.split(t, r"\n\s*\n", -1)
     plain = lambda p: ~(p.contains("\\begin{") | p.contains("\\end{") | p.contains("\\bibitem"))
-
-    def stays(p: Column, i: Column) -> Column:
-        after = F.coalesce(F.get(parts, i + 1), F.lit(""))
-        a, b = X.anchors(p), X.anchors(after)
-        twin = (F.regexp_count(p, F.lit(r"\b[A-Za-z]{3,}\b")) >= 18) & ~p.rlike(_CJK) & after.rlike(_CJK) & plain(p) & plain(after) & ((F.size(a) >= 2) | (F.size(b) >= 2)) & (X.jaccard(a, b) >= 0.45)
-        return ~twin
-
-    return F.when(t.rlike(_CJK), F.array_join(F.filter(parts, stays), "\n\n")).otherwise(t)
+    twin = lambda a, b: (F.regexp_count(a, F.lit(r"\b[A-Za-z]{3,}\b")) >= 18) & ~a.rlike(_CJK) & b.rlike(_CJK) & plain(a) & plain(b) & _same_anchors(a, b, 0.45)
+    return F.when(t.rlike(_CJK), _without_twins(F.split(t, r"\n\s*\n", -1), "\n\n", twin)).otherwise(t)
 
 
 def acm_title(t: Column) -> Column:
@@ -294,6 +300,20 @@ def bold_sections(t: Column) -> Column:
     return X.replaced(t, (r"\\((?:sub)*(?:section|paragraph)|chapter|part|title)(\*?)\{(?!\\textbf\{)([^}]+)\}", r"\\$1$2{\\textbf{$3}}"))
 
 
+#: What a text must hold for a rule to change it: searching for that is much cheaper than the rule's patterns.
+NEEDLES = {
+    "closing_signs": (">", ")"), "redefined_commands": ("\\newcommand",), "section_fonts": ("sectsty",), "cjk_package": ("CJK",), "leftover_tokens": ("<<",), "minted": ("minted",),
+    "floats": ("figure", "table", "includegraphics", "Figure", "Table"), "column_graphics": ("textwidth",), "broken_graphics": ("\\1",), "broken_commands": ("\\ ", "head", "foot"),
+    "typos": ("e.g.", "i.e.", *PACKAGE_TYPOS), "abstract_name": ("abstract",), "abstract_page": ("abstract}",), "orphan_bibliography": ("thebibliography",),
+    "no_bibliography": ("nobibliography",), "last_end": ("\\end{document}",), "acm_countries": ("acmart",), "acm_title": ("acmart",), "acm_lines": ("acmart",), "package_order": ("fontenc",),
+}
+
+
+def gated(name: str, rule: Rule) -> Rule:
+    needles = NEEDLES.get(name)
+    return rule if not needles else lambda t: F.when(reduce(lambda a, b: a | b, [t.contains(n) for n in needles]), rule(t)).otherwise(t)
+
+
 def chain(lang: str = "ru") -> list[tuple[str, Rule]]:
     """The rules in order for a target language."""
     rules: list[tuple[str, Rule]] = [
@@ -307,7 +327,7 @@ def chain(lang: str = "ru") -> list[tuple[str, Rule]]:
     ]
     if lang in ("ja", "jp", "jpn"):
         rules.append(("line_spacing", line_spacing))
-    return [*rules, ("last_end", last_end)]
+    return [(name, gated(name, rule)) for name, rule in (*rules, ("last_end", last_end))]
 
 
 def rewritten(df: DataFrame, column: str, lang: str = "ru", rules: list[tuple[str, Rule]] | None = None) -> DataFrame:
