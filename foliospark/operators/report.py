@@ -62,3 +62,23 @@ def timeout_stage(*exists: Column) -> Column:
     for name, there in reversed(list(zip(names, exists))):
         out = F.when(there, F.lit(name)).otherwise(out)
     return out
+
+
+def token_breakdown(system: Column, user: Column, glossary: Column) -> Column:
+    """struct of estimated input tokens by part, a quarter of the characters each; the system prompt holds the glossary."""
+    size = lambda c: F.length(c) / 4
+    terms = F.when(F.coalesce(glossary, F.lit("{}")) == "{}", 0.0).otherwise(size(glossary))
+    whole = lambda c: c.cast("bigint")
+    return F.struct(whole(size(system) - terms).alias("system"), whole(terms).alias("glossary"), whole(size(user)).alias("document"), whole(size(system) + size(user)).alias("total"))
+
+
+def prompt(*parts: Column) -> Column:
+    """Parts of a prompt on lines of their own; blank ones are left out."""
+    return F.array_join(F.filter(F.array(*parts), lambda p: F.trim(p) != ""), "\n")
+
+
+def compared(df: DataFrame, kind: str = "renderer") -> DataFrame:
+    """kind, total, successes, rate, seconds of the successes: the two sides of a comparison, and how much faster each is than the slowest."""
+    rows = df.groupBy(kind).agg(F.count(F.lit(1)).alias("total"), F.count_if("ok").alias("successes"), F.coalesce(F.sum(F.when(F.col("ok"), F.col("seconds"))), F.lit(0.0)).alias("seconds"))
+    slowest = rows.agg(F.max("seconds").alias("slowest"))
+    return rows.crossJoin(F.broadcast(slowest)).withColumn("rate", F.col("successes") / F.col("total")).withColumn("speedup", F.try_divide("slowest", "seconds")).drop("slowest")

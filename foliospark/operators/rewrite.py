@@ -300,12 +300,76 @@ def bold_sections(t: Column) -> Column:
     return X.replaced(t, (r"\\((?:sub)*(?:section|paragraph)|chapter|part|title)(\*?)\{(?!\\textbf\{)([^}]+)\}", r"\\$1$2{\\textbf{$3}}"))
 
 
+_RTL = "[\u0590-\u05ff\u0600-\u06ff]"
+_LATIN = r"[A-Za-z][A-Za-z0-9@._:+\-/]*"
+#: What a line of right-to-left prose keeps as it is, and what makes a line no prose (fixed values).
+_RTL_KEPT = r"\\\[.*?\\\]|\$[^$]*\$|\\(?:[Cc]ite(?:t|p|alp|author)?|(?:eq|auto|page)?ref|label|url|href)\s*\{[^}]*\}|\\[A-Za-z@]+\*?"
+_RTL_NO_PROSE = r"\\(?:setlength|addtolength|newcommand|renewcommand|providecommand|def|let|Declare|usepackage|begin\{|end\{|includegraphics|bibitem|bibliography|AtBeginDocument)"
+_RTL_BLOCKS = r"(?s)(?=\\begin\{(?:thebibliography|tabular|array|longtable|align|flalign|alignat|equation|gather|multline))|(?<=\\end\{(?:thebibliography|tabularx|tabular|array|longtable|align|flalign|alignat|equation|gather|multline|align\*|equation\*|gather\*)\})"
+
+
+def wrapped_latin(line: Column) -> Column:
+    """Latin words of a line in left-to-right groups; commands, formulas and references stay. One pass over the line's tokens."""
+    tokens = F.regexp_extract_all(line, F.lit(f"(?s){_RTL_KEPT}|{_LATIN}|."), F.lit(0))
+    return F.array_join(F.transform(tokens, lambda t: F.when(t.rlike(f"^{_LATIN}$"), F.concat(F.lit("\\LR{"), t, F.lit("}"))).otherwise(t)), "")
+
+
+def latin_in_rtl(t: Column) -> Column:
+    """In the body of a right-to-left document Latin words are wrapped, line by line, outside tables, formulas and bibliographies."""
+    head, body = _split_at(t, F.instr(t, "\\begin{document}"))
+    plain = F.regexp_replace(F.substring(body, 17, 1 << 30), r"\\{1,2}[LR][LR]\{([^{}]*)\}", "$1")
+    prose = lambda x: x.rlike(_RTL) & ~F.ltrim(x).startswith("%") & ~x.rlike(_RTL_NO_PROSE)
+    lines = lambda part: F.array_join(F.transform(lines_of(part), lambda x: F.when(prose(x), wrapped_latin(x)).otherwise(x)), "\n")
+    block = r"^\\begin\{(?:thebibliography|tabular|array|longtable|align|flalign|alignat|equation|gather|multline)"
+    parts = F.transform(F.split(plain, _RTL_BLOCKS, -1), lambda part: F.when(part.rlike(block), part).otherwise(lines(part)))
+    return F.when(t.rlike(_RTL) & t.contains("\\begin{document}"), F.concat(head, F.lit("\\begin{document}"), F.array_join(parts, ""))).otherwise(t)
+
+
+def rtl_stamp(t: Column) -> Column:
+    """The stamp at the logical right edge, its text from left to right, and its call no comment."""
+    return X.replaced(t, (r"\\AtPageLowerLeft", r"\\AtPageLowerRight"), (r"(?m)^(.*rotatebox.*) #1", r"$1 \\LR{#1}"), (r"(?m)^\s*%[% ]*(\\ArxivStamp\{)", "$1"))
+
+
+def kept_preamble(translated: Column, original: Column) -> Column:
+    """A translation that lost its class gets the original's preamble, up to the title or the document's begin."""
+    title, begin = F.regexp_extract(original, r"(?s)^(.*?)\\title\s*\{", 1), F.regexp_extract(original, r"(?s)^(.*?)\\begin\s*\{document\}", 1)
+    preamble = F.when(original.rlike(r"\\title\s*\{"), title).otherwise(begin)
+    return F.when(translated.contains("\\documentclass"), translated).otherwise(F.concat(preamble, translated))
+
+
+def cyrillic_support(t: Column) -> Column:
+    """Packages for Cyrillic text after the class, as far as none of their kind is there, a harmless double quote, and UTF-8 listings."""
+    wanted = F.concat_ws(
+        "\n", F.when(t.contains("\\usepackage{cmap}"), None).otherwise("\\usepackage{cmap}"), F.when(t.rlike(r"\\usepackage.*?\{fontenc\}"), None).otherwise("\\usepackage[T2A]{fontenc}"),
+        F.when(t.rlike(r"\\usepackage.*?\{babel\}"), None).otherwise("\\usepackage[russian]{babel}"),
+    )
+    named = F.regexp_extract(t, r"(\\documentclass(?:\[.*?\])?\{.*?\})", 1)
+    at = F.instr(t, named) + F.length(named)
+    added = F.when(wanted == "", t).otherwise(F.concat(F.substring(t, F.lit(1), at - 1), F.lit("\n"), wanted, F.lit("\n"), F.substring(t, at, F.length(t))))
+    quoted = F.when(t.contains('\\shorthandoff{"}'), F.lit("")).otherwise(F.lit('\\AtBeginDocument{\\ifdefined\\shorthandoff\\shorthandoff{"}\\fi}\n'))
+    lists = t.rlike(r"\\usepackage(?:\[[^\]]*\])?\{listings\}|\\tcbuselibrary\{listings\}|\\begin\{lstlisting\}|\\lstset\s*\{|\\lstinputlisting\b")
+    utf8 = F.when(lists & ~t.contains("\\usepackage{listingsutf8}"), F.lit("\\usepackage{listingsutf8}\n")).otherwise("")
+    encoding = F.when(lists & ~t.contains("inputencoding=utf8"), F.lit("\\lstset{inputencoding=utf8,extendedchars=true}\n")).otherwise("")
+    extra = F.concat(quoted, utf8, encoding)
+    done = F.when(extra == "", added).otherwise(X.insert_before_document(added, extra))
+    return F.when(T.has_cyrillic(t) & (named != ""), done).otherwise(t)
+
+
+def stamped(t: Column, stamp: Column) -> Column:
+    """The page stamp's packages, macro and call before the document, each once."""
+    macro = "\\newcommand{\\ArxivStamp}[1]{\\AddToShipoutPictureBG*{\\AtPageLowerLeft{\\put(28,0){\\raisebox{0.5\\paperheight}{\\makebox(0,0){\\rotatebox{90}{\\rmfamily\\huge\\color{gray} #1}}}}}}}"
+    call = F.concat(F.lit("\\ArxivStamp{"), stamp, F.lit("}"))
+    absent = lambda needle, what: F.when(t.contains(needle), None).otherwise(what)
+    block = F.concat_ws("\n", absent("\\usepackage{eso-pic}", "\\usepackage{eso-pic}"), absent("\\usepackage{xcolor}", "\\usepackage{xcolor}"), absent("\\ArxivStamp", F.lit(macro)), F.when(t.contains(call), None).otherwise(call))
+    return F.when(F.coalesce(stamp, F.lit("")).eqNullSafe("") | (block == ""), t).otherwise(X.insert_before_document(t, F.concat(block, F.lit("\n"))))
+
+
 #: What a text must hold for a rule to change it: searching for that is much cheaper than the rule's patterns.
 NEEDLES = {
     "closing_signs": (">", ")"), "redefined_commands": ("\\newcommand",), "section_fonts": ("sectsty",), "cjk_package": ("CJK",), "leftover_tokens": ("<<",), "minted": ("minted",),
     "floats": ("figure", "table", "includegraphics", "Figure", "Table"), "column_graphics": ("textwidth",), "broken_graphics": ("\\1",), "broken_commands": ("\\ ", "head", "foot"),
     "typos": ("e.g.", "i.e.", *PACKAGE_TYPOS), "abstract_name": ("abstract",), "abstract_page": ("abstract}",), "orphan_bibliography": ("thebibliography",),
-    "no_bibliography": ("nobibliography",), "last_end": ("\\end{document}",), "acm_countries": ("acmart",), "acm_title": ("acmart",), "acm_lines": ("acmart",), "package_order": ("fontenc",),
+    "no_bibliography": ("nobibliography",), "last_end": ("\\end{document}",), "acm_countries": ("acmart",), "acm_title": ("acmart",), "acm_lines": ("acmart",), "package_order": ("fontenc",), "rtl_stamp": ("ArxivStamp",),
 }
 
 
@@ -325,6 +389,8 @@ def chain(lang: str = "ru") -> list[tuple[str, Rule]]:
         ("abstract_name", abstract_name(lang)), ("abstract_page", abstract_page), ("orphan_bibliography", orphan_bibliography),
         ("ragged_bibliography", ragged_bibliography), ("no_bibliography", no_bibliography), ("combining_marks", combining_marks),
     ]
+    if lang in ("ar", "he"):
+        rules += [("rtl_stamp", rtl_stamp), ("latin_in_rtl", latin_in_rtl)]
     if lang in ("ja", "jp", "jpn"):
         rules.append(("line_spacing", line_spacing))
     return [(name, gated(name, rule)) for name, rule in (*rules, ("last_end", last_end))]

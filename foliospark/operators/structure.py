@@ -219,3 +219,34 @@ def run_outcome(code: Column, log: Column, has_pdf: Column) -> Column:
     from foliospark.operators.diagnose import FATAL, any_of
 
     return F.when(code == 0, "success").when(has_pdf & (code == 124), "success_after_timeout").when(has_pdf & ~any_of(log, FATAL), "success_with_errors").otherwise("failure")
+
+
+def thanks_lines(tex: Column) -> Column:
+    """Lines of room for thanks on the title page, by the length of their arguments (three levels of braces)."""
+    arguments = F.regexp_extract_all(tex, F.lit(r"\\thanks\{((?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*)\}"), F.lit(1))
+    total = F.aggregate(arguments, F.lit(0), lambda a, x: a + F.length(x))
+    return F.when(total >= 1200, 16).when(total >= 700, 14).when(total >= 350, 12).otherwise(0)
+
+
+def distinct_spans(df: DataFrame, group: str = "page", order: str = "ord") -> DataFrame:
+    """Greedy in order: a span goes if a kept one of its page is within 2 points, or on its line with a text that holds the other.
+
+    Marginal notes of journals go first. What stays depends on what was kept before: a page is one group of an Arrow function.
+    """
+    margin = (F.col("x") < 20) | (F.col("y") < 15) | (F.col("y") > 785)
+    note = F.lower("text").rlike("preprint|journal|accepted") | (F.col("x") < 8) | (F.col("y") < 8)
+    marked = F.col("is_title") | F.lower("text").contains("arxiv")
+    rows = df.filter((F.trim("text") != "") & ~(margin & ~marked & (F.length("text") > 5) & note))
+
+    def keep(pdf):
+        kept: list = []
+        stay = []
+        for row in pdf.sort_values(order).itertuples():
+            t = row.text.strip()
+            same = any(((row.x - x) ** 2 + (row.y - y) ** 2) ** 0.5 < 2 or (abs(row.y - y) < 3 and (t in u or u in t)) for x, y, u in kept)
+            if not same:
+                kept.append((row.x, row.y, t))
+                stay.append(row.Index)
+        return pdf.loc[stay]
+
+    return rows.groupBy(group).applyInPandas(keep, df.schema)

@@ -85,3 +85,14 @@ def english_gate(text: Column, cjk: bool = False) -> Column:
     """Whether a translated chunk still has an English block."""
     blocks = F.split(text, r"(?U)\n\s*\n", -1)
     return F.exists(blocks, lambda b: T.english_heavy(b, 80 if cjk else 120, 4 if cjk else 6))
+
+
+def japanese_style(text: Column) -> Column:
+    """struct<sentences, dearu, topics, connectors, literal>: signs of literal translation in Japanese prose; topics are sought in the first 200 sentences."""
+    t = F.trim(F.regexp_replace(X.prose_for_chunks(text), r"\s+", " "))
+    sentences = F.filter(F.transform(F.split(t, "[。．.]"), lambda s: F.trim(s)), lambda s: s != "")
+    n, dearu = F.size(sentences), F.regexp_count(t, F.lit("である|であり|であった"))
+    topics = F.size(F.filter(F.slice(sentences, 1, 200), lambda s: s.rlike(r"^\S{1,24}は")))
+    connectors = F.regexp_count(t, F.lit("したがって|従って|そのため|なぜなら|つまり"))
+    literal = (n >= 18) & (dearu >= 10) & (topics >= 8) & (connectors >= 2)
+    return F.struct(n.alias("sentences"), dearu.alias("dearu"), topics.alias("topics"), connectors.alias("connectors"), literal.alias("literal"))

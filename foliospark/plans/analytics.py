@@ -398,3 +398,23 @@ def wrapped_tables(spark, d):
 def run_outcomes(spark, d):
     k = F.col("user_id") % 4
     return _logs(spark, d).select("user_id", structure.run_outcome(F.when(k == 0, 0).when(k == 2, 124).otherwise(1), F.col("log"), k < 3).alias("outcome"))
+
+
+@query("a24_compared", "WITH r AS (SELECT o_orderstatus AS renderer, o_orderkey % 3 > 0 AS ok, (o_orderkey % 50)::DOUBLE AS seconds FROM orders), g AS (SELECT renderer, count(*) AS total, count(*) FILTER (ok) AS successes, coalesce(sum(seconds) FILTER (ok), 0) AS seconds FROM r GROUP BY renderer) SELECT *, successes / total AS rate, max(seconds) OVER () / seconds AS speedup FROM g")
+def compared(spark, d):
+    k = F.col("o_orderkey")
+    rows = table(spark, d, "orders").select(F.col("o_orderstatus").alias("renderer"), (k % 3 > 0).alias("ok"), (k % 50).cast("double").alias("seconds"))
+    return report.compared(rows)
+
+
+@query("t12_distinct_spans")
+def distinct_spans(spark, d):
+    rows = box_texts(spark, d).select("page", F.col("idx").alias("ord"), "x0", "y0", F.substring("text", 1, 6).alias("text"), (F.col("class_name") == "title").alias("is_title")).withColumnsRenamed({"x0": "x", "y0": "y"})
+    return structure.distinct_spans(rows)
+
+
+@query("a28_content_totals", f"WITH {BOXES_SQL} SELECT page // 5 AS doc, count(*) AS elements, count(DISTINCT page) AS pages, count(*) FILTER (class_name = 'figure') AS figures, count(*) FILTER (class_name = 'table') AS tables, count(*) FILTER (class_name = 'reference') AS refs FROM b GROUP BY 1")
+def content_totals(spark, d):
+    named = lambda c: F.count_if(F.col("class_name") == c)
+    rows = boxes(spark, d).groupBy(F.floor(F.col("page") / 5).alias("doc"))
+    return rows.agg(F.count(F.lit(1)).alias("elements"), F.count_distinct("page").alias("pages"), named("figure").alias("figures"), named("table").alias("tables"), named("reference").alias("refs"))

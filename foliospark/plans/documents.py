@@ -250,3 +250,53 @@ def suspicious_blocks(spark, d):
     rows = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "t"))
     scored = rows.withColumn("score", T.english_words(F.col("t")) + F.when(F.col("t").contains("@"), 1000).otherwise(0)).filter("score > 0")
     return scored.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "i"))).filter("n <= 6").select("doc_id", "i", "score")
+
+
+@query("a25_x32_token_breakdown", r"""SELECT doc_id, (length(concat('s', chr(10), left(text, 400))) / 4.0 - 2)::DOUBLE::DECIMAL(18, 2)::DOUBLE AS x, floor(length(concat('s', chr(10), left(text, 400))) / 4.0 - 2)::BIGINT AS system_tokens, 2 AS glossary_tokens, length(text) // 4 AS document_tokens FROM documents WHERE length(text) > 20""")
+def token_breakdown(spark, d):
+    from foliospark.operators import report
+
+    system = report.prompt(F.lit("s"), F.lit(" "), F.substring("text", 1, 400))
+    parts = report.token_breakdown(system, F.col("text"), F.lit('{"a":"b"}'[:8]))
+    rows = table(spark, d, "documents").filter("length(text) > 20").select("doc_id", system.alias("s"), parts.alias("p"))
+    return rows.select("doc_id", (F.length("s") / 4 - 2).alias("x"), F.col("p.system").alias("system_tokens"), F.col("p.glossary").alias("glossary_tokens"), F.col("p.document").alias("document_tokens"))
+
+
+@query("x28_kept_preamble", r"""SELECT doc_id, sha256(CASE WHEN doc_id % 2 = 0 THEN concat('\documentclass{b} ', text) ELSE concat('\documentclass{a}', chr(10), text) END) AS tex_sha FROM documents""")
+def kept_preamble(spark, d):
+    reply = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("\\documentclass{b} "), "text")).otherwise(F.col("text"))
+    original = F.concat(F.lit("\\documentclass{a}\n\\begin{document}"), "text")
+    return table(spark, d, "documents").select("doc_id", F.sha2(rewrite.kept_preamble(reply, original), 256).alias("tex_sha"))
+
+
+@query("x29_x30_added_support")
+def added_support(spark, d):
+    tex = F.concat(F.lit("\\documentclass{a}\n\\begin{document}\nтекст "), "text")
+    both = rewrite.stamped(rewrite.cyrillic_support(tex), F.concat(F.lit("arXiv:"), F.col("doc_id").cast("string")))
+    return table(spark, d, "documents").select("doc_id", both.alias("tex"))
+
+
+@query("a16_thanks_lines", r"""SELECT doc_id, CASE WHEN 2 * length(t) + 4 >= 1200 THEN 16 WHEN 2 * length(t) + 4 >= 700 THEN 14 WHEN 2 * length(t) + 4 >= 350 THEN 12 ELSE 0 END AS lines FROM (SELECT doc_id, replace(replace(left(text, 1000), '{', ''), '}', '') AS t FROM documents)""")
+def thanks_lines(spark, d):
+    from foliospark.operators import structure
+
+    t = F.replace(F.replace(F.substring("text", 1, 1000), F.lit("{"), F.lit("")), F.lit("}"), F.lit(""))
+    tex = F.concat(F.lit("\\thanks{"), t, F.lit("} x \\thanks{{a}"), t, F.lit("b}"))
+    return table(spark, d, "documents").select("doc_id", structure.thanks_lines(tex).alias("lines"))
+
+
+@query("a22_japanese_style", r"""SELECT doc_id, 20 + (doc_id % 3)::INT AS sentences, (doc_id % 3)::INT + 20 AS dearu, 20 + (doc_id % 3)::INT AS topics, doc_id % 2 = 0 AS literal FROM documents""")
+def japanese_style(spark, d):
+    from foliospark.operators import validation as V
+
+    k = F.col("doc_id")
+    tex = F.concat(F.repeat(F.lit("これは本である。"), (20 + k % 3).cast("int")), F.when(k % 2 == 0, "つまりそのため。").otherwise("つまり。"))
+    s = V.japanese_style(tex)
+    rows = table(spark, d, "documents").select("doc_id", s.alias("s"))
+    return rows.select("doc_id", (F.col("s.sentences") - 1).alias("sentences"), "s.dearu", "s.topics", "s.literal")
+
+
+@query("r33_r35_right_to_left")
+def right_to_left(spark, d):
+    tex = F.concat(F.lit("\\begin{document}\nשלום "), F.replace("text", F.lit("\n"), F.lit("\nשלום ")))
+    return table(spark, d, "documents").select("doc_id", rewrite.latin_in_rtl(tex).alias("tex"))

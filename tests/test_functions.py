@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import tex as X
 from foliospark.functions import text as T
-from foliospark.operators import cache, diagnose, rewrite, validation
+from foliospark.operators import cache, diagnose, report, rewrite, structure, validation
 
 
 @pytest.mark.parametrize("text,expected", [
@@ -57,6 +57,14 @@ RULES = [
 ]
 
 
+RULES += [
+    (rewrite.latin_in_rtl, "\\begin{document}\nשלום model \\cite{a} $x$\nonly latin\n\\begin{tabular}{l}שלום x\\end{tabular} שלום y", "\\begin{document}\nשלום \\LR{model} \\cite{a} $x$\nonly latin\n\\begin{tabular}{l}שלום x\\end{tabular} שלום \\LR{y}"),
+    (rewrite.rtl_stamp, "\\AtPageLowerLeft{\n\\rotatebox{90}{ #1}\n% \\ArxivStamp{a}", "\\AtPageLowerRight{\n\\rotatebox{90}{ \\LR{#1}}\n\\ArxivStamp{a}"),
+    (rewrite.cyrillic_support, "\\documentclass{a}\n\\usepackage{babel}\n\\begin{document}текст", "\\documentclass{a}\n\\usepackage{cmap}\n\\usepackage[T2A]{fontenc}\n\n\\usepackage{babel}\n\\AtBeginDocument{\\ifdefined\\shorthandoff\\shorthandoff{\"}\\fi}\n\\begin{document}текст"),
+    (lambda c: rewrite.kept_preamble(c, F.lit("\\documentclass{a}\n\\title {x}")), "body", "\\documentclass{a}\nbody"),
+]
+
+
 @pytest.mark.parametrize("rule,tex,expected", RULES)
 def test_rules(value, rule, tex, expected):
     once = value(rule, x=tex)
@@ -102,3 +110,22 @@ def test_verdict(value):
     assert v.reasons == ["missing_package: a.sty"] and v.warnings == ["nonfatal_log_category: x"]
     v = value(lambda c: diagnose.verdict(reasons(), F.lit("! Emergency stop."), F.lit(True)))
     assert len(v.reasons) == 2 and not v.warnings
+
+
+def test_stamp_and_parts(value):
+    once = value(lambda c: rewrite.stamped(c, F.lit("arXiv:1")), x="\\begin{document}")
+    assert once.endswith("\\ArxivStamp{arXiv:1}\n\\begin{document}") and value(lambda c: rewrite.stamped(c, F.lit("arXiv:1")), x=once) == once
+    parts = value(lambda c: report.token_breakdown(F.lit("s" * 40), c, F.lit("{" + "g" * 6 + "}")), x="u" * 10)
+    assert parts.asDict() == {"system": 8, "glossary": 2, "document": 2, "total": 12}
+    assert value(lambda c: report.prompt(c, F.lit(" "), F.lit("b")), x="a") == "a\nb"
+    assert value(structure.thanks_lines, x="\\thanks{" + "a{b{c}}" * 60 + "}") == 12
+    style = value(validation.japanese_style, x="これは本である。" * 20 + "つまりそのため")
+    assert style.literal and style.topics == 20
+
+
+def test_spans(spark):
+    rows = [(0, 0, 100.0, 100.0, "Title here", True), (0, 1, 101.0, 100.5, "x", False), (0, 2, 300.0, 101.0, "Title", False), (0, 3, 5.0, 300.0, "accepted paper", False), (0, 4, 200.0, 300.0, "other", False), (1, 0, 100.0, 100.0, "x", False)]
+    df = spark.createDataFrame(rows, "page int, ord int, x double, y double, text string, is_title boolean")
+    assert {(r.page, r.ord) for r in structure.distinct_spans(df).collect()} == {(0, 0), (0, 4), (1, 0)}
+    ab = spark.createDataFrame([("latex", True, 4.0), ("latex", False, 9.0), ("typst", True, 2.0)], "renderer string, ok boolean, seconds double")
+    assert {r.renderer: (r.successes, r.rate, r.speedup) for r in report.compared(ab).collect()} == {"latex": (1, 0.5, 1.0), "typst": (1, 1.0, 2.0)}
