@@ -5,6 +5,9 @@ windows have equal anchors at equal distances. Documents are reduced to their an
 places); anchors whose gram occurs once are done with. The text around the others, all windows that belong to the
 anchor, is dealt out by gram: the anchors of a gram are a group of suffixes with that prefix, compared exactly by the
 operator's own structure. What comes back is a covered range per anchor.
+
+A gram with very many anchors is no group: each of its windows becomes a row of its digest, one a document, which are
+counted by aggregation and joined back, so that no task gathers them.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from foliospark.llm import store, vectors
 STEP = 1 << 10
 #: Slices that a group task compares together; a gram's own group is never cut.
 TOGETHER = 6_000
+#: Anchors of a gram beyond which its windows are counted one by one.
+HOT = 50_000
 
 
 def packed_anchors(values: np.ndarray, owner_start: np.ndarray, owner_end: np.ndarray, owner: np.ndarray, width: int, gram: int):
@@ -89,17 +94,41 @@ def anchor_rows(docs: DataFrame, units: Callable, width: int, gram: int) -> Data
     return docs.select("ka", "kb", "kc", "text").mapInArrow(run, "gram long, ka long, kb long, kc long, place long")
 
 
-SLICE = "gram long, d1 long, d2 long, ka long, kb long, kc long, first long, ahead long, many long, data binary"
+SLICE = "gram long, d1 long, d2 long, ka long, kb long, kc long, first long, ahead long, many long, data binary, runs array<struct<lo: bigint, hi: bigint>>"
 #: Slices a task remembers; of those with equal text it sends the text once.
 REMEMBERED = 200_000
 
 
 def slices(docs: DataFrame, units: Callable, width: int) -> DataFrame:
-    """For docs(ka, kb, kc, text, wanted array<struct<gram, place>>) a row for each wanted anchor, with the text of its windows.
+    """For docs(ka, kb, kc, text, wanted array<struct<gram, place, hot>>) a row for each wanted anchor, with the text of its windows.
 
     `first` is the unit at which the slice begins, `ahead` the anchor's distance from it, `many` its windows; d1 and d2
-    are the text's digest. A slice that the task has sent before goes without its text: copies are combined here.
+    are the text's digest. A slice that the task has sent before goes without its text: copies are combined here. Of hot
+    anchors each different window of the document is a row, with its digest, its places in `many` and runs of its starts.
     """
+    names = ["gram", "d1", "d2", "ka", "kb", "kc", "first", "ahead", "many", "data", "runs"]
+
+    def windows(values, first, doc, gram, place, keys):
+        import pyarrow as pa
+
+        begin, many = place // (STEP * STEP) - place // STEP % STEP, place % STEP
+        owner = np.repeat(np.arange(len(doc)), many)
+        start = begin[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+        at = first[doc[owner]] + start
+        d1, d2 = (vectors.range_hashes(values, at, at + width, base).view(np.int64) for base in (vectors.BYTE_BASE, vectors.ITEM_BASE))
+        order = np.lexsort((start, d2, d1, doc[owner]))
+        owner, start, d1, d2 = owner[order], start[order], d1[order], d2[order]
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (doc[owner][1:] != doc[owner][:-1]) | (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1])
+        apart = new.copy()
+        apart[1:] |= start[1:] - start[:-1] > width  # closer starts cover everything between them
+        lead, run = np.flatnonzero(new), np.flatnonzero(apart)
+        ends = np.append(run[1:], len(order)) - 1
+        spans = pa.StructArray.from_arrays([pa.array(start[run]), pa.array(start[ends])], names=["lo", "hi"])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(run, lead), len(run)).astype(np.int32)), spans)
+        own, zero, times = owner[lead], np.zeros(len(lead), dtype=np.int64), np.diff(np.append(lead, len(order)))
+        columns = [gram[own], d1[lead], d2[lead], *(k[doc[own]] for k in keys), zero, zero, times]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(len(lead), pa.binary()), lists], names=names)
 
     def run(tables):
         import pyarrow as pa
@@ -110,12 +139,16 @@ def slices(docs: DataFrame, units: Callable, width: int) -> DataFrame:
             wanted = table.column("wanted")
             ends_of = np.concatenate(([0], np.cumsum(wanted.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))))
             inner = wanted.flatten()
-            grams, places = (inner.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+            grams, places, is_hot = (inner.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1, 2))
             for row, data, starts, ends in vectors.batches(table.column("text")):
-                _, _, first, _, at, to = units(data, starts, ends)
+                unit_values, _, first, _, at, to = units(data, starts, ends)
                 lo, hi = ends_of[row], ends_of[row + len(starts)]
                 doc = np.repeat(np.arange(len(starts)), np.diff(ends_of[row : row + len(starts) + 1]))
-                place, ahead, many = places[lo:hi] // (STEP * STEP), places[lo:hi] // STEP % STEP, places[lo:hi] % STEP
+                gram, place, hot = grams[lo:hi], places[lo:hi], is_hot[lo:hi] > 0
+                if hot.any():
+                    yield from windows(unit_values, first, doc[hot], gram[hot], place[hot], [k[row:] for k in keys])
+                gram, place, doc = gram[~hot], place[~hot], doc[~hot]
+                place, ahead, many = place // (STEP * STEP), place // STEP % STEP, place % STEP
                 if not len(doc):
                     continue
                 begin = place - ahead
@@ -134,8 +167,8 @@ def slices(docs: DataFrame, units: Callable, width: int) -> DataFrame:
                                 seen.clear()
                             seen.add(h)
                             parts.append(whole[i:j])
-                    columns = [grams[lo:hi][own], d1[own], d2[own], *(k[row + doc[own]] for k in keys), begin[own], ahead[own], many[own]]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(parts, pa.binary())], names=[x.split()[0] for x in SLICE.split(", ")])
+                    columns = [gram[own], d1[own], d2[own], *(k[row + doc[own]] for k in keys), begin[own], ahead[own], many[own]]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(parts, pa.binary()), pa.nulls(len(parts), pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))], names=names)
 
     return docs.select("ka", "kb", "kc", "text", "wanted").mapInArrow(run, SLICE)
 
@@ -186,20 +219,33 @@ def compare(sliced: DataFrame, covered: Callable) -> DataFrame:
     return sliced.repartition(n, "gram").sortWithinPartitions(*order).mapInArrow(run, "kb long, kc long, lo long, hi long")
 
 
-def covered_ranges(docs: DataFrame, units: Callable, width: int, gram: int, covered: Callable, label: str) -> DataFrame:
+def hot_ranges(rows: DataFrame, repeated: Column, label: str) -> DataFrame:
+    """kb, kc, ranges of the repeated windows among rows(d1, d2, ka, kb, kc, many, runs), by `repeated` over n, least and ka."""
+    count = rows.groupBy("d1", "d2").agg(F.sum("many").alias("n"), F.min("ka").alias("least"))
+    known = store.save(count.filter("n > 1"), f"{label}-hot")
+    hit = rows.join(known.hint("merge"), ["d1", "d2"]).filter(repeated)
+    return hit.select("kb", "kc", F.col("runs").alias("ranges"))
+
+
+def covered_ranges(docs: DataFrame, units: Callable, width: int, gram: int, covered: Callable, repeated: Column, label: str) -> DataFrame:
     """kb, kc, ranges array<struct<lo, hi>> of repeated windows' first and last starts, for docs(ka, kb, kc, text).
 
     Of rows with the same text the one with the least ka stands for all. An anchor is compared if its gram is at two
-    places, in one text or several.
+    places, in one text or several. `covered` compares a group's slices, `repeated` says the same of a single window.
     """
     anchors = store.save(anchor_rows(docs, units, width, gram), f"{label}-anchors")
     at = F.struct("kb", "kc", "place")
-    often = anchors.groupBy("gram").agg(F.min(at).alias("one"), F.max(at).alias("other")).filter("one <> other").select("gram")
-    own = anchors.join(often.hint("merge"), "gram").groupBy("kb", "kc").agg(F.min("ka").alias("least_ka"), F.sort_array(F.collect_set(F.struct("gram", "place"))).alias("wanted"))
+    grouped = anchors.groupBy("gram").agg(F.min(at).alias("one"), F.max(at).alias("other"), F.count(F.lit(1)).alias("n"))
+    # Written first: both sides of the next join are then shuffles, which Spark splits where a gram is skewed.
+    often = store.save(grouped.filter("one <> other").select("gram", (F.col("n") > HOT).alias("hot")), f"{label}-often")
+    own = anchors.join(often.hint("merge"), "gram").groupBy("kb", "kc").agg(F.min("ka").alias("least_ka"), F.sort_array(F.collect_set(F.struct("gram", "place", "hot"))).alias("wanted"))
     wanted = store.save(own, f"{label}-wanted")
     store.drop(anchors)
     having = docs.join(wanted.hint("merge"), ["kb", "kc"]).filter("ka = least_ka")
-    return compare(slices(having, units, width), covered).groupBy("kb", "kc").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    sliced = store.save(slices(having, units, width), f"{label}-slices")
+    cold = compare(sliced.filter("runs IS NULL").drop("runs"), covered).select("kb", "kc", F.array(F.struct("lo", "hi")).alias("ranges"))
+    both = cold.unionByName(hot_ranges(sliced.filter("runs IS NOT NULL"), repeated, label))
+    return both.groupBy("kb", "kc").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
 
 
 def merged_cover(lo: np.ndarray, hi: np.ndarray, width: int, size: int) -> np.ndarray:

@@ -69,7 +69,7 @@ def substring_dedup(df: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -
     """
     rows = repeats.keyed(df)
     index = rows.filter("id IS NOT NULL").withColumn("ka", F.col("id"))
-    ranges = repeats.covered_ranges(index, repeats.units_of_words, window, prefix, tree_cover(window), "substrings")
+    ranges = repeats.covered_ranges(index, repeats.units_of_words, window, prefix, tree_cover(window), F.col("least") < F.col("ka"), "substrings")
     return repeats.apply_cover(rows, ranges, F.col("id") > F.col("least"), repeats.units_of_words, window, b" ", "substrings", F.col("id").isNull())
 
 

@@ -119,7 +119,7 @@ def suffix_array_dedup(df: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     """
     rows = repeats.keyed(df)
     index = rows.withColumn("ka", F.coalesce("id", F.lit((1 << 63) - 1)))
-    ranges = repeats.covered_ranges(index, repeats.units_of_bytes, window, gram, interval_cover(window), "bytes")
+    ranges = repeats.covered_ranges(index, repeats.units_of_bytes, window, gram, interval_cover(window), F.col("n") > 1, "bytes")
     return repeats.apply_cover(rows, ranges, F.col("copied"), repeats.units_of_bytes, window, None, "bytes")
 
 

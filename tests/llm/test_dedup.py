@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from foliospark.llm import components, exact_dedup, near_dedup, substring_dedup, suffix_array_dedup
+from foliospark.llm import components, exact_dedup, near_dedup, repeats, substring_dedup, suffix_array_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -64,15 +64,17 @@ def brute_bytes(rows, width):
     return sorted(out, key=order)
 
 
-@pytest.mark.parametrize("seed,width,prefix", [(1, 12, 4), (2, 20, 10)])
-def test_substrings(spark, seed, width, prefix):
+@pytest.mark.parametrize("seed,width,prefix,hot", [(1, 12, 4, 50_000), (2, 20, 10, 50_000), (5, 12, 4, 3), (6, 20, 10, 0)])
+def test_substrings(spark, monkeypatch, seed, width, prefix, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)
     rows = corpus(seed)
     got = [(x.doc_id, x.n_units, x.n_removed, bytes(x.kept)) for x in substring_dedup.substring_dedup(frame(spark, rows), width, prefix).collect()]
     assert sorted(got, key=order) == brute_words(rows, width)
 
 
-@pytest.mark.parametrize("seed,width,gram", [(3, 40, 10), (4, 60, 25)])
-def test_suffix_arrays(spark, seed, width, gram):
+@pytest.mark.parametrize("seed,width,gram,hot", [(3, 40, 10, 50_000), (4, 60, 25, 50_000), (7, 40, 10, 3), (8, 60, 25, 0)])
+def test_suffix_arrays(spark, monkeypatch, seed, width, gram, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)
     rows = corpus(seed)
     got = [(x.doc_id, x.n_units, x.n_removed, x.n_spans, bytes(x.kept)) for x in suffix_array_dedup.suffix_array_dedup(frame(spark, rows), width, gram).collect()]
     assert sorted(got, key=order) == brute_bytes(rows, width)
