@@ -8,14 +8,20 @@ from pyspark.sql import functions as F
 from foliospark.llm import bpe, language, line_dedup, mixing, near_dedup, store
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Mean match, in symbols, under which a text is like no learned language.
-LEAST_PHRASE = 2.0
+#: A text is like no learned language if its mean match is under this share of what unrelated symbols would have.
+LEAST_MATCH = 0.7
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or like no language of the labelled ones, go; a missing lang is filled in."""
-    found = language.identify(docs, language.fit(docs))
-    clean = found.filter((F.col("lang_pred") != language.UNDETERMINED) & (F.col("phrase_chars") >= LEAST_PHRASE))
+    """Documents without a letter, or like no language of the labelled ones, go; a missing lang is filled in.
+
+    Where no row is labelled no language is learned, and only documents without a letter go.
+    """
+    model = language.fit(docs)
+    if not model.languages:
+        return docs.filter(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
+    found = language.identify(docs, model)
+    clean = found.filter((F.col("lang_pred") != language.UNDETERMINED) & (F.col("phrase_chars") >= LEAST_MATCH * model.chance))
     return clean.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 

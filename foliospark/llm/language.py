@@ -7,12 +7,10 @@ each normalised by the bits that name a place in its sample, wins.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import regex
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from foliospark.llm import store
 
@@ -24,7 +22,7 @@ SEGMENT = 128
 #: Symbols parsed together.
 BATCH = 1_000_000
 NEW_PHRASE = 1 << 30
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 UNDETERMINED = "und"
 
 
@@ -93,6 +91,11 @@ class CrossParser:
             raise ValueError("the samples are too large for 30-bit states")
         self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
 
+    @property
+    def chance(self) -> float:
+        """Mean match that text of unrelated symbols would have: the logarithm of the smallest sample to the base of the alphabet."""
+        return min(self.bits, default=0.0) / float(np.log2(self.width))
+
     def symbols(self, text: str) -> np.ndarray:
         raw = self.symbol[np.minimum(np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32), 65536)]
         keep = raw != 0
