@@ -70,15 +70,13 @@ def numbered(df: DataFrame, order: list, label: str, name: str = "row_no") -> Da
     ranged = df.repartitionByRange(max(partitions(spark), 1), *order).sortWithinPartitions(*order)
     at = F.monotonically_increasing_id()
     table = save(ranged.withColumn("_part", F.shiftright(at, 33).cast("int")).withColumn("_place", at.bitwiseAND(F.lit((1 << 33) - 1))), label)
-    counts = table.groupBy("_part").count().collect()  # one row a partition
-    before, starts = 0, []
-    for part, n in sorted((r[0], r[1]) for r in counts):
-        starts += [F.lit(part), F.lit(before)]
+    counts = sorted((r[0], r[1]) for r in table.groupBy("_part").count().collect())  # one row a partition
+    starts, before = [], 0
+    for part, n in counts:
+        starts.append((part, before))
         before += n
-    if not starts:
-        return table.withColumn(name, F.lit(0).cast("long")).drop("_part", "_place")
-    offset = F.element_at(F.create_map(*[x.cast("int") if i % 2 == 0 else x.cast("long") for i, x in enumerate(starts)]), F.col("_part"))
-    return table.withColumn(name, F.col("_place") + offset).drop("_part", "_place")
+    offsets = spark.createDataFrame(starts, "_part int, _start long")
+    return table.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_place") + F.col("_start")).drop("_part", "_place", "_start")
 
 
 #: Rows and bytes of an Arrow batch between Spark and Python: long texts come in batches of few.
