@@ -56,3 +56,9 @@ def translated(requests: DataFrame, cache: DataFrame, translate: Callable[[str],
             yield pdf
 
     return hit.mapInPandas(run, hit.schema)
+
+
+def compiled(documents: DataFrame, cache: DataFrame, key: str = "sha256") -> DataFrame:
+    """documents with the path of an earlier result: the same digest, successful, its file still there; of several the last."""
+    usable = cache.filter("success AND path IS NOT NULL").groupBy(key).agg(F.max_by("path", "written").alias("compiled_path"))
+    return documents.join(usable, key, "left")

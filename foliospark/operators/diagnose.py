@@ -111,3 +111,27 @@ def table_errors(found: Column) -> Column:
     """Whether the errors speak of a broken table."""
     joined = F.array_join(found, "\n")
     return joined.contains("\\begin{tabular}") & any_of(joined, ("Misplaced \\noalign", "Extra alignment tab", "Missing } inserted", "Misplaced alignment tab"))
+
+
+#: Marks of a failed run in the second engine's log (fixed values).
+TYPST_FAILURES = ("error:", "unclosed delimiter", "failed")
+
+
+def typst_check(log: Column) -> Column:
+    """struct<reasons, warnings> of the second engine's log: its first failure mark unless it returned 0, and another return code."""
+    low = F.lower(log)
+    fine = low.contains("returncode: 0")
+    mark, code = F.lit(None).cast("string"), F.regexp_extract(low, r"returncode:\s*(\d+)", 1)
+    for m in reversed(TYPST_FAILURES):
+        mark = F.when(low.contains(m), F.lit(f"typst_log_marker: {m}")).otherwise(mark)
+    absent = F.trim(F.coalesce(log, F.lit(""))) == ""
+    reasons = _some(F.when(~fine, mark), F.when(~fine & ~code.isin("", "0"), F.concat(F.lit("typst_returncode="), code)))
+    none = F.array().cast("array<string>")
+    return F.struct(F.when(absent, none).otherwise(reasons).alias("reasons"), F.when(absent, F.array(F.lit("missing_typst_log"))).otherwise(none).alias("warnings"))
+
+
+def error_context(log: Column, after: int = 2) -> Column:
+    """The first error line of a log with the lines after it."""
+    lines = F.split(log, "\n", -1)
+    first = F.array_position(F.transform(lines, lambda x: x.startswith("!")), True)
+    return F.when(first > 0, F.array_join(F.slice(lines, first.cast("int"), F.lit(after + 1)), "\n"))

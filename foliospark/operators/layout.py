@@ -160,3 +160,13 @@ def margins(df: DataFrame, page_width: float, page_height: float) -> DataFrame:
 
 def box(prefix: str = "") -> tuple:
     return G.cols(prefix)
+
+
+def page_geometry(df: DataFrame, page_width: float, page_height: float) -> DataFrame:
+    """page with its margins, columns, header and footer heights and whether it is a title page: one row a page, joined on it."""
+    edges = df.groupBy("page").agg(
+        F.coalesce(F.max(F.when(F.col("class_name") == "page_header", F.col("y1"))), F.lit(0.0)).alias("header_height"),
+        F.coalesce(page_height - F.min(F.when(F.col("class_name") == "page_footer", F.col("y0"))), F.lit(0.0)).alias("footer_height"),
+        F.bool_or(F.col("class_name").isin("title", "abstract") & (F.col("page") == 0)).alias("title_page"),
+    )
+    return edges.join(page_columns(df, page_width), "page").join(margins(df, page_width, page_height), "page", "left")

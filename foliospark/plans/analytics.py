@@ -418,3 +418,37 @@ def content_totals(spark, d):
     named = lambda c: F.count_if(F.col("class_name") == c)
     rows = boxes(spark, d).groupBy(F.floor(F.col("page") / 5).alias("doc"))
     return rows.agg(F.count(F.lit(1)).alias("elements"), F.count_distinct("page").alias("pages"), named("figure").alias("figures"), named("table").alias("tables"), named("reference").alias("refs"))
+
+
+@query("p39_second_engine_log", r"""WITH t AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '  ' WHEN 1 THEN concat('Error: x', chr(10), 'returncode: 3') WHEN 2 THEN concat('failed once', chr(10), 'returncode: 0') ELSE 'returncode: 7' END AS log FROM orders)
+SELECT o_orderkey, CASE o_orderkey % 4 WHEN 1 THEN ['typst_log_marker: error:', 'typst_returncode=3'] WHEN 3 THEN ['typst_returncode=7'] ELSE [] END AS reasons, CASE WHEN o_orderkey % 4 = 0 THEN ['missing_typst_log'] ELSE [] END AS warnings FROM t""")
+def second_engine_log(spark, d):
+    k = F.col("o_orderkey") % 4
+    log = F.when(k == 0, "  ").when(k == 1, "Error: x\nreturncode: 3").when(k == 2, "failed once\nreturncode: 0").otherwise("returncode: 7")
+    return table(spark, d, "orders").select("o_orderkey", diagnose.typst_check(log).alias("c")).select("o_orderkey", "c.reasons", "c.warnings")
+
+
+@query("c13_error_context", f"WITH {LOG_SQL}, n AS (SELECT user_id, string_split(log, chr(10)) AS ls FROM g), p AS (SELECT user_id, ls, list_position(list_transform(ls, lambda x: starts_with(x, '!')), true) AS f FROM n) SELECT user_id, CASE WHEN f > 0 THEN array_to_string(ls[f:f + 2], chr(10)) END AS context FROM p")
+def error_context(spark, d):
+    return _logs(spark, d).select("user_id", diagnose.error_context(F.col("log")).alias("context"))
+
+
+@query("c11_k05_compile_cache", r"""WITH c AS (SELECT o_custkey % 500 AS sha256, o_orderkey AS written, o_orderkey % 3 > 0 AS success, concat('p', o_orderkey::VARCHAR) AS path FROM orders), u AS (SELECT sha256, arg_max(path, written) AS compiled_path FROM c WHERE success GROUP BY sha256)
+SELECT c_custkey, compiled_path FROM customer LEFT JOIN u ON u.sha256 = c_custkey""")
+def compile_cache(spark, d):
+    from foliospark.operators import cache
+
+    k = F.col("o_orderkey")
+    kept = table(spark, d, "orders").select((F.col("o_custkey") % 500).alias("sha256"), k.alias("written"), (k % 3 > 0).alias("success"), F.concat(F.lit("p"), k.cast("string")).alias("path"))
+    return cache.compiled(table(spark, d, "customer").select("c_custkey", F.col("c_custkey").alias("sha256")), kept).select("c_custkey", "compiled_path")
+
+
+@query("x57_d13_page_geometry", f"WITH {BOXES_SQL}, g AS (SELECT page, coalesce(max(y1) FILTER (class_name = 'page_header'), 0) AS header_height, coalesce(792 - min(y0) FILTER (class_name = 'page_footer'), 0) AS footer_height, bool_or(class_name IN ('title', 'abstract') AND page = 0) AS title_page FROM b GROUP BY page) SELECT * FROM g")
+def page_geometry(spark, d):
+    return layout.page_geometry(box_texts(spark, d), PAGE_WIDTH, PAGE_HEIGHT).select("page", "header_height", "footer_height", "title_page")
+
+
+@query("p44_x36_region_fonts", f"WITH {BOX_TEXTS_SQL} SELECT page, arg_min(vec_id, idx) AS first_span, arg_min(8 + vec_id % 5, idx) AS first_size, count(*) FILTER (contains(text, (page + 1)::VARCHAR) OR contains(text, page::VARCHAR)) AS with_number FROM e GROUP BY page")
+def region_fonts(spark, d):
+    numbered = F.expr("contains(text, cast(page + 1 AS string)) OR contains(text, cast(page AS string))")
+    return box_texts(spark, d).groupBy("page").agg(F.min_by("vec_id", "idx").alias("first_span"), F.min_by(8 + F.col("vec_id") % 5, "idx").alias("first_size"), F.count_if(numbered).alias("with_number"))

@@ -300,3 +300,13 @@ def japanese_style(spark, d):
 def right_to_left(spark, d):
     tex = F.concat(F.lit("\\begin{document}\nשלום "), F.replace("text", F.lit("\n"), F.lit("\nשלום ")))
     return table(spark, d, "documents").select("doc_id", rewrite.latin_in_rtl(tex).alias("tex"))
+
+
+@query("t06_candidate_lines", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+c AS (SELECT doc_id, i, line FROM l WHERE len(list_filter(string_split_regex(lower(line), '[^\p{L}\p{N}_]+'), lambda x: length(x) >= 2 AND list_contains([""" + ", ".join(f"'{w}'" for w in T.ENGLISH_STOP_WORDS) + r"""], x))) >= 10)
+SELECT doc_id, (i - 1)::INT AS i, length(line) AS size FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i) <= 25""")
+def candidate_lines(spark, d):
+    from pyspark.sql import Window
+
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line")).filter(T.english_words(F.col("line")) >= 10)
+    return rows.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("i"))).filter("n <= 25").select("doc_id", "i", F.length("line").alias("size"))
