@@ -443,7 +443,7 @@ def compile_cache(spark, d):
     return cache.compiled(table(spark, d, "customer").select("c_custkey", F.col("c_custkey").alias("sha256")), kept).select("c_custkey", "compiled_path")
 
 
-@query("x57_d13_page_geometry", f"WITH {BOXES_SQL}, g AS (SELECT page, coalesce(max(y1) FILTER (class_name = 'page_header'), 0) AS header_height, coalesce(792 - min(y0) FILTER (class_name = 'page_footer'), 0) AS footer_height, bool_or(class_name IN ('title', 'abstract') AND page = 0) AS title_page FROM b GROUP BY page) SELECT * FROM g")
+@query("x57_d13_page_geometry", f"WITH {BOX_TEXTS_SQL}, g AS (SELECT page, coalesce(max(y1) FILTER (class_name = 'page_header'), 0) AS header_height, coalesce(792 - min(y0) FILTER (class_name = 'page_footer'), 0) AS footer_height, bool_or(class_name IN ('title', 'abstract') AND page = 0) AS title_page FROM e GROUP BY page) SELECT * FROM g")
 def page_geometry(spark, d):
     return layout.page_geometry(box_texts(spark, d), PAGE_WIDTH, PAGE_HEIGHT).select("page", "header_height", "footer_height", "title_page")
 
