@@ -97,3 +97,27 @@ def merkle_fingerprints(df: DataFrame) -> DataFrame:
 
 def op1_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_fingerprints(store.documents(spark, sf_dir))
+
+
+def _sql() -> str:
+    def tree(t: str) -> str:
+        cut = rf"regexp_replace(regexp_replace(replace({t}, chr(10), concat(chr(10), chr(1))), '([.!?]\s)([^\s\x01])', '\1' || chr(1) || '\2', 'g'), '([.!?]\s)([^\s\x01])', '\1' || chr(1) || '\2', 'g')"
+        leaves = f"array_to_string(list_transform(list_filter(string_split({cut}, chr(1)), lambda p: p <> ''), lambda p: left(sha256(p), {DIGITS})), ',')"
+        runs = f"string_split(regexp_replace({leaves}, '([{SECTION_END}]),', '\\1;', 'g'), ';')"
+        return f"concat(sha256({t}), ';', array_to_string(list_transform({runs}, lambda r: concat(left(sha256(r), {DIGITS}), ':', r)), ';'))"
+
+    def near(a: str, b: str) -> str:
+        x, y = (f"list_distinct(regexp_extract_all({t}, '[:,]([0-9a-f]{{{DIGITS}}})', 1))" for t in (a, b))
+        return f"CASE WHEN {a} = {b} THEN 1.0 WHEN len({x}) + len({y}) = 0 THEN 0.0 ELSE len(list_intersect({x}, {y}))::DOUBLE * 2 / (len({x}) + len({y})) END"
+
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+n AS (SELECT doc_id, text, coalesce(lead(text) OVER w, first_value(text) OVER w) AS after, coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER w) AS next_id FROM d WINDOW w AS (ORDER BY doc_id)),
+e AS (SELECT *, concat(left(text, length(text) - length(text) // 2), left(after, length(text) // 2)) AS edited FROM n),
+f AS (SELECT *, {tree("text")} AS fingerprint, {tree("edited")} AS edited_fingerprint, {tree("after")} AS after_fingerprint FROM e)
+SELECT doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256, fingerprint, edited_fingerprint, {near("fingerprint", "edited_fingerprint")} AS near_edited, {near("fingerprint", "after_fingerprint")} AS near_next,
+ len(list_filter(string_split(fingerprint, ';')[2:], lambda s: NOT list_contains(string_split(edited_fingerprint, ';')[2:], s))) AS n_changed_sections, next_id FROM f
+"""
+
+
+SQL = _sql()

@@ -16,7 +16,12 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_merkle_fingerprints": fingerprints.SQL,
+    "op2_feistel_sharding": sharding.SQL,
+    "op3_substring_dedup": substring_dedup.SQL,
     "op4_line_dedup": line_dedup.SQL,
+    "op7_suffix_array_dedup": suffix_array_dedup.SQL,
+    "op8_minhash_near_dedup": near_dedup.SQL,
     "op9_mixing": mixing.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
 }

@@ -73,3 +73,24 @@ def op2_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feistel_shards(store.documents(spark, sf_dir)).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_no"
     )
+
+
+def _sql() -> str:
+    """The same permutation as a recursive walk; CRC-32 by its table, byte by byte."""
+    mix = lambda v, key: f"((({v} * {FACTOR} + {key}) % 2147483647) * 48271 + (({v} * {FACTOR} + {key}) % 2147483647) // 65536) % 2147483647"
+    steps = "SELECT rn, n, side, step, x // side AS a0, x % side AS b0 FROM walk WHERE step = 0 OR x >= n"
+    for k, key in enumerate(ROUND_KEYS):
+        steps = f"SELECT rn, n, side, step, b{k} AS a{k + 1}, (a{k} + {mix(f'b{k}', key)}) % side AS b{k + 1} FROM ({steps})"
+    return rf"""
+WITH RECURSIVE crc_table AS (SELECT list(list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END, n) ORDER BY n) AS t FROM (SELECT unnest(range(256))::BIGINT AS n)),
+d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+c AS (SELECT doc_id, octet_length(b) + 1 AS size,
+  xor(4294967295, list_reduce(list_transform(range(0, octet_length(b)), lambda i: concat('0x', hex(b[i + 1:i + 1]))::BIGINT), lambda a, b: xor(t[(xor(a, b) & 255) + 1], a // 256), 4294967295::BIGINT)) AS text_crc32 FROM d, crc_table),
+k AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS rn, count(*) OVER () AS n FROM c),
+walk(rn, n, side, step, x) AS (SELECT rn, n, ceil(sqrt(n))::BIGINT, 0, rn FROM k UNION ALL SELECT rn, n, side, step + 1, a{len(ROUND_KEYS)} * side + b{len(ROUND_KEYS)} FROM ({steps})),
+f AS (SELECT rn, arg_max(x, step) AS x FROM walk GROUP BY rn)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'rows' AS law, (x % 16)::INT AS shard, x // 16 AS slot, NULL::INT AS grown_shard, rn AS row_no FROM k JOIN f USING (rn)
+"""
+
+
+SQL = _sql()

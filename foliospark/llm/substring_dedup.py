@@ -76,3 +76,17 @@ def substring_dedup(df: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup(store.documents(spark, sf_dir))
     return found.select("doc_id", F.col("n_units").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"), "n_spans")
+
+
+SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, unnest(range(1, len(ws) - 48)) AS i, ws FROM w),
+k AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS k FROM s),
+h AS (SELECT k.doc_id, i FROM k JOIN (SELECT k, min(doc_id) AS first FROM k GROUP BY k) m USING (k) WHERE first < k.doc_id),
+e AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS j FROM w),
+c AS (SELECT e.doc_id, word, j, coalesce(j - h.i <= 49, false) AS gone FROM e ASOF LEFT JOIN h ON h.doc_id = e.doc_id AND h.i <= e.j),
+p AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY j), false) AS opens FROM c),
+a AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, coalesce(string_agg(word, ' ' ORDER BY j) FILTER (NOT gone), '') AS kept FROM p GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256, coalesce(n_spans, 0)::BIGINT AS n_spans
+FROM w LEFT JOIN a USING (doc_id)
+"""

@@ -126,3 +126,19 @@ def suffix_array_dedup(df: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_array_dedup(store.documents(spark, sf_dir))
     return found.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT doc_id, unnest(range(0, octet_length(b) - 399)) AS i, b FROM d),
+k AS (SELECT doc_id, i, md5(b[i + 1:i + 400]) AS k FROM s),
+t AS (SELECT doc_id, i FROM k JOIN (SELECT k FROM k GROUP BY k HAVING count(*) > 1) USING (k)),
+o AS (SELECT doc_id, i, CASE WHEN i > 400 + lag(i) OVER w OR lag(i) OVER w IS NULL THEN 1 ELSE 0 END AS opens FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM o),
+r AS (SELECT doc_id, run, min(i) AS lo, max(i) + 400 AS hi FROM g GROUP BY doc_id, run),
+b AS (SELECT doc_id, run, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY run), 0) AS before FROM r),
+a AS (SELECT b.doc_id, count(*) AS n_spans, sum(hi - lo) AS n_removed, concat(string_agg(h[2 * before + 1:2 * lo], '' ORDER BY run), any_value(h[2 * last + 1:])) AS kept
+  FROM b JOIN d USING (doc_id) JOIN (SELECT doc_id, max(hi) AS last FROM r GROUP BY doc_id) z USING (doc_id) GROUP BY b.doc_id)
+SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN a USING (doc_id)
+"""
