@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import text as T
 
-#: Glossaries up to so many terms are broadcast; larger ones meet the documents' word n-grams in a shuffled join.
+#: Glossaries up to so many terms are broadcast; larger ones meet the documents' words in a shuffled join.
 BROADCAST_TERMS = 100_000
 
 
@@ -31,23 +31,16 @@ def bounded(term: Column) -> Column:
 def relevant_terms(docs: DataFrame, glossary: DataFrame, key: str, text: str) -> DataFrame:
     """key, term: the glossary terms (lower case) that occur in a document between word boundaries.
 
-    Each document's distinct n-grams of as many words as a term has meet the terms in an equi-join, so the work follows
-    the text and not text times glossary; the boundary test then settles terms with other characters than words.
+    Each document's distinct words meet the terms' first words in an equi-join, so the work follows the text and not
+    text times glossary; the term itself and its boundaries settle the rest. A term without a word is found nowhere.
     """
-    terms = glossary.select(F.lower("term").alias("term")).distinct()
     words = lambda t: F.regexp_extract_all(t, F.lit(r"(?U)\w+"), F.lit(0))
-    keyed = terms.withColumn("w", words(F.col("term"))).withColumn("gram", F.array_join("w", " ")).withColumn("n", F.size("w"))
-    sizes = sorted(r[0] for r in keyed.select("n").distinct().collect())  # a few numbers: words in a term
-    if keyed.count() <= BROADCAST_TERMS:
-        keyed = F.broadcast(keyed)
-    doc = docs.select(F.col(key), F.lower(text).alias("low")).withColumn("w", words(F.col("low")))
-    def of_size(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1)))
-        return F.transform(starts, lambda i: F.array_join(F.slice(F.col("w"), i, F.lit(n)), " "))
-
-    grams = F.array_distinct(F.flatten(F.array(*[of_size(n) for n in sizes if n])))
-    hits = doc.select(key, "low", F.explode(grams).alias("gram")).join(keyed, "gram")
-    return hits.filter(F.rlike("low", bounded(F.col("term")))).select(key, "term").distinct()
+    terms = glossary.select(F.lower("term").alias("term")).distinct().withColumn("word", F.get(words(F.col("term")), F.lit(0))).filter("word IS NOT NULL")
+    if terms.count() <= BROADCAST_TERMS:
+        terms = F.broadcast(terms)
+    doc = docs.select(F.col(key), F.lower(text).alias("low"))
+    hits = doc.select(key, "low", F.explode(F.array_distinct(words(F.col("low")))).alias("word")).join(terms, "word")
+    return hits.filter(F.col("low").contains(F.col("term")) & F.rlike("low", bounded(F.col("term")))).select(key, "term").distinct()
 
 
 def compact(pairs: Column) -> Column:
