@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from foliospark.llm import store
 
-#: Pieces and token pairs remembered by a worker; beyond it they are forgotten and found again.
+#: Pieces and token pairs remembered by a worker. Of pieces, those not met again while half as many new ones came are forgotten.
 MEMORY = 200_000
+PAIRS = 1_000_000
 
 
 class Vocabulary:
@@ -37,12 +38,13 @@ class Vocabulary:
         self.longest = max(map(len, self.ranks))
         self.split = regex.compile(pattern).findall
         self.find_iter = regex.compile(pattern).finditer
+        #: For each token the tokens (-1: none) whose bytes before it encode to the two.
+        self.lefts: dict[int, dict[int, bool]] = {rank: {} for rank in self.ranks.values()}
+        self.known = 0
         self.ends = ahocorasick.Automaton()
         for token, rank in self.ranks.items():
-            self.ends.add_word(token.decode("latin-1"), (rank, len(token)))
+            self.ends.add_word(token.decode("latin-1"), (rank, len(token), self.lefts[rank]))
         self.ends.make_automaton()
-        self.pairs: dict[int, bool] = {}
-        self.whole: dict[int, bool] = {}
         size = max(self.tokens) + 1
         lengths = np.zeros(size, dtype=np.int64)
         for rank, token in self.tokens.items():
@@ -60,34 +62,30 @@ class Vocabulary:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
-    def alone(self, token: int) -> bool:
-        """Whether the token's own bytes encode to it."""
-        if token not in self.whole:
-            self.whole[token] = self.merged(self.tokens[token]) == [token]
-        return self.whole[token]
-
-    def beside(self, left: int, right: int) -> bool:
-        """Whether the bytes of the two tokens encode to the two tokens."""
-        known = self.pairs.get(left << 32 | right)
-        if known is None:
-            if len(self.pairs) >= MEMORY:
-                self.pairs.clear()
-            known = self.pairs[left << 32 | right] = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
-        return known
+    def beside(self, left: int, token: int) -> bool:
+        """Whether the bytes of `left` (-1: nothing) and of the token encode to just these."""
+        lefts = self.lefts[token]
+        found = lefts.get(left)
+        if found is None:
+            if self.known >= PAIRS:
+                for each in self.lefts.values():
+                    each.clear()
+                self.known = 0
+            own = [token] if left < 0 else [left, token]
+            found = lefts[left] = self.merged(b"".join(self.tokens[t] for t in own)) == own
+            self.known += 1
+        return found
 
     def prefixes(self, data: bytes) -> list[int]:
         """The last token of each prefix of `data`; -1 for the empty one."""
-        last, settled, known, beside = [-1], 0, self.pairs.get, self.beside
-        for end, (token, length) in self.ends.iter(data.decode("latin-1")):
+        last, settled, beside = [-1], 0, self.beside
+        for end, (token, length, lefts) in self.ends.iter(data.decode("latin-1")):
             if end < settled:
                 continue
-            start = end + 1 - length
-            if start:
-                ok = known(last[start] << 32 | token)
-                if ok is None:
-                    ok = beside(last[start], token)
-            else:
-                ok = self.alone(token)
+            left = last[end + 1 - length]
+            ok = lefts.get(left)
+            if ok is None:
+                ok = beside(left, token)
             if ok:
                 last.append(token)
                 settled = end + 1
@@ -97,6 +95,17 @@ class Vocabulary:
             raise ValueError(f"no token of the vocabulary ends at byte {len(last)}")
         return last
 
+    def encode_piece(self, data: bytes) -> list[int]:
+        """The tokens of a piece, read back from its prefixes' last tokens."""
+        whole = self.ranks.get(data)
+        if whole is not None and self.beside(-1, whole):
+            return [whole]
+        last, tokens, at, out = self.prefixes(data), self.tokens, len(data), []
+        while at:
+            out.append(last[at])
+            at -= len(tokens[last[at]])
+        return out[::-1]
+
 
 class PrefixEncoding:
     """The encoding of one piece, open to appends and edits. last[i] is the last token of the prefix of i bytes."""
@@ -116,7 +125,7 @@ class PrefixEncoding:
         agree = 0
         candidates: list = []
         at = start + 1
-        for end_at, (token, length) in v.ends.iter(self.data[back:].decode("latin-1")):
+        for end_at, (token, length, _) in v.ends.iter(self.data[back:].decode("latin-1")):
             end_at += back + 1
             if end_at < at:
                 continue
@@ -134,7 +143,7 @@ class PrefixEncoding:
     def _settle(self, candidates: list, at: int, old: list[int], shift: int, changed_to: int, agree: int) -> int:
         v, last = self.vocabulary, self.last
         for token, length in candidates:
-            if at == length and v.alone(token) or at > length and v.beside(last[at - length], token):
+            if v.beside(last[at - length], token):
                 last.append(token)
                 break
         else:
@@ -179,13 +188,18 @@ class Encoder(dict):
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self.vocabulary = vocabulary
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= MEMORY:
+        packed = self.older.get(piece)
+        if packed is None:
+            packed = array("i", self.vocabulary.encode_piece(piece.encode("utf-8"))).tobytes()
+            if len(piece) >= 64:
+                return packed
+        if len(self) >= MEMORY // 2:
+            self.older = dict(self)
             self.clear()
-        packed = array("i", PrefixEncoding(self.vocabulary, piece.encode("utf-8")).tokens()).tobytes()
-        if len(piece) < 64:
-            self[piece] = packed
+        self[piece] = packed
         return packed
 
     def encode(self, text: str) -> bytes:
