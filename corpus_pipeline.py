@@ -26,8 +26,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of many sites are cut out of the texts."""
-    return line_dedup.line_dedup(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+    """Lines of many sites are cut out of the texts, whatever their share; texts of many sites are left to the next stage."""
+    return line_dedup.line_dedup(docs, most=None).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

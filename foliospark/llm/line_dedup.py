@@ -1,8 +1,9 @@
 """Cross-site boilerplate lines, by how many distinct sites a line has.
 
 Each line hash has a HyperLogLog sketch of its sites; sketches merge by aggregation, before the shuffle and after it.
-Lines whose estimate is near the threshold get an exact distinct count. Lines on enough sites are removed, unless they
-are most of a document: such a document is a copy, which is for document deduplication, and it is left whole.
+Lines whose estimate is near the threshold get an exact distinct count. Lines on enough sites are removed. Which
+documents are copies, left whole for document deduplication, is decided by a share of their characters (the query, as
+its SQL says) or by whether the whole text is itself on enough sites (the pipeline).
 """
 
 from __future__ import annotations
@@ -40,27 +41,45 @@ def spread_lines(rows: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return wide.filter(~is_near).select("k1", "k2").unionByName(exact.filter(F.col("n") >= min_sites).select("k1", "k2"))
 
 
-def line_dedup(df: DataFrame, min_sites: int = MIN_SITES, most: float = MOST_OF_DOCUMENT) -> DataFrame:
+def _spread_by_others(hits: DataFrame, min_sites: int) -> DataFrame:
+    """hits(k1, k2, site, _h, _g, any others) without lines of texts on `min_sites` sites that other texts do not spread as far."""
+    hits = store.save(hits, "lines-hits")
+    copied = store.save(spread_lines(hits.select(F.col("_h").alias("k1"), F.col("_g").alias("k2"), "site"), min_sites), "lines-copied")
+    copied = store.small(copied.select(F.col("k1").alias("_h"), F.col("k2").alias("_g")), copied.count(), 32)
+    others = hits.join(copied, ["_h", "_g"], "left_anti")
+    wide = store.save(spread_lines(others.select("k1", "k2", "site"), min_sites), "lines-others")
+    still = hits.join(copied, ["_h", "_g"], "left_semi").join(store.small(wide, wide.count(), 32), ["k1", "k2"], "left_semi")
+    return others.unionByName(still.select(others.columns))
+
+
+def line_dedup(df: DataFrame, min_sites: int = MIN_SITES, most: float | None = MOST_OF_DOCUMENT) -> DataFrame:
     """df (doc_id, text, source, any others) with boilerplate lines cut out of `text`, and n_lines, n_removed.
 
     Lines end at line feeds; blank lines are never boilerplate. A null source is a site of its own. Null text has no
     lines and stays null; empty text has one. A document more than `most` of whose line characters are boilerplate
     keeps all. Rows of the same doc_id and text are treated alike. Columns named n_lines or n_removed are replaced.
+
+    With `most` None boilerplate is cut whatever its share; only a text that is itself on `min_sites` sites keeps the
+    lines that no other texts spread to as many: its copies have made them boilerplate.
     """
     df = df.drop("n_lines", "n_removed")
     text = F.coalesce(F.col("text"), F.lit(""))
     key = [F.col("doc_id").alias("_id"), F.xxhash64(text).alias("_h")]
+    if most is None:
+        key.append(F.xxhash64(F.lit(1), text).alias("_g"))
     each = df.select(*key, F.xxhash64(F.coalesce(F.col("source").cast("string"), F.lit("\u0000"))).alias("site"), F.posexplode(_lines(F.col("text"))).alias("at", "line"))
-    named = each.withColumn("plain", _plain(F.col("line"))).filter("plain <> ''").select("_id", "_h", "site", "at", F.length("line").alias("size"), F.xxhash64("plain").alias("k1"), F.xxhash64(F.lit(1), "plain").alias("k2"))
+    named = each.withColumn("plain", _plain(F.col("line"))).filter("plain <> ''").select(*each.columns[: len(key)], "site", "at", F.length("line").alias("size"), F.xxhash64("plain").alias("k1"), F.xxhash64(F.lit(1), "plain").alias("k2"))
     wide = store.save(spread_lines(named.select("k1", "k2", "site"), min_sites), "lines-spread")
     hits = named.join(store.small(wide, wide.count(), 32), ["k1", "k2"], "left_semi").distinct()
+    if most is None:
+        hits = _spread_by_others(hits, min_sites)
     cut = store.save(hits.groupBy("_id", "_h").agg(F.collect_set("at").alias("gone"), F.sum("size").alias("gone_size")), "lines-cut")
     row = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col("doc_id").alias("id"), F.xxhash64(text).alias("h"))
     joined = row.join(cut.hint("merge"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
     given = F.col("row.text")
     lines = _lines(given)
     whole = F.length(F.replace(given, F.lit("\n"), F.lit("")))
-    applies = F.col("gone").isNotNull() & (F.col("gone_size") <= whole * F.lit(most))
+    applies = F.col("gone").isNotNull() & (F.lit(True) if most is None else F.col("gone_size") <= whole * F.lit(most))
     kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains(F.col("gone"), i)), "\n")
     return joined.select(
         F.col("row").withField("text", F.when(applies, kept).otherwise(given)).alias("row"),

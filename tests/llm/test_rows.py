@@ -116,6 +116,24 @@ def test_lines(spark):
     assert line_dedup.line_dedup(df.limit(0)).count() == 0
 
 
+def test_lines_of_any_share(spark):
+    """Boilerplate that is most of a document goes; the text that many sites copy keeps its lines, but not those of other texts."""
+    copied = "An article\nthat ten sites have\nCookie notice"
+    rows = [(k, f"Cookie notice of this site\nown {k}", f"s{k}") for k in range(9)] + [(20 + k, copied, f"s{k}") for k in range(10)]
+    rows += [(40 + k, f"Cookie notice\n{k}", f"s{k}") for k in range(8)] + [(60, "Cookie notice", "s0"), (61, "that ten sites have\nalone", "s1")]
+    out = {x.doc_id: (x.text, x.n_lines, x.n_removed) for x in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string, source string"), most=None).collect()}
+    expected = {k: (f"own {k}", 2, 1) for k in range(9)} | {20 + k: ("An article\nthat ten sites have", 3, 1) for k in range(10)}
+    assert out == expected | {40 + k: (f"{k}", 2, 1) for k in range(8)} | {60: ("", 1, 1), 61: ("alone", 2, 1)}
+
+
+def test_pipeline_cuts_lines_of_any_share(spark):
+    import corpus_pipeline as P
+
+    rows = [(k, f"Cookie notice of this site\nown {k}", "en", f"s{k}", 0) for k in range(9)]
+    got = P.lines(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "").collect()
+    assert {(x.doc_id, x.text, x.n_chars) for x in got} == {(k, f"own {k}", 5) for k in range(9)}
+
+
 def brute_targets(sizes, weights=(5, 2, 1), epochs=3):
     names = sorted([s for s in sizes if s is not None]) + [None] * (None in sizes)
     weight = {s: weights[k % len(weights)] for k, s in enumerate(names)}
