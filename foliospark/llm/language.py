@@ -55,41 +55,76 @@ def automaton(symbols: list[int]) -> list[dict[int, int]]:
     return edges
 
 
+class Edges:
+    """Transitions (state, symbol) -> state of any alphabet in one open-addressing hash table, looked up in arrays."""
+
+    def __init__(self, keys: np.ndarray, targets: np.ndarray):
+        self.shift = 64 - max(2, int(np.ceil(np.log2(4 * len(keys) + 4))))
+        self.mask = (1 << (64 - self.shift)) - 1
+        self.keys, self.targets = np.full(self.mask + 1, -1, np.int64), np.zeros(self.mask + 1, np.int32)
+        self.probes, left, at = 0, np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[left[free]]  # of several, one stays
+            placed = self.keys[at] == keys[left]
+            self.targets[at[placed]] = targets[left[placed]]
+            left, at = left[~placed], (at[~placed] + 1) & self.mask
+            self.probes += 1
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(self.shift)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Target of each key, -1 where there is none."""
+        at = self._slot(keys)
+        there = self.keys[at]
+        out = np.where(there == keys, self.targets[at], np.int32(-1))
+        open_ = np.flatnonzero((there != keys) & (there >= 0))
+        for _ in range(self.probes - 1):
+            if not len(open_):
+                break
+            step = at[open_] = (at[open_] + 1) & self.mask
+            there, want = self.keys[step], keys[open_]
+            hit = there == want
+            out[open_[hit]] = self.targets[step[hit]]
+            open_ = open_[~hit & (there >= 0)]
+        return out
+
+
 class CrossParser:
-    """Dense tables of the automata of all languages over one alphabet; symbol 0 stands for every run of non-letters."""
+    """The automata of all languages over one alphabet of every sampled letter; symbol 0 stands for every run of non-letters."""
 
     def __init__(self, samples: dict[str, list[str]]):
         self.languages = sorted(samples)
-        letters = sorted({c for texts in samples.values() for t in texts for c in t.lower() if c.isalpha() and ord(c) < 65536})
-        letters = letters[:250]  # an alphabet byte; the rest share the symbol of unknown letters
+        letters = sorted({c for texts in samples.values() for t in texts for c in t.lower() if c.isalpha()})
         self.unknown, self.pad = len(letters) + 1, len(letters) + 2
         self.width = len(letters) + 3
         of = {c: i + 1 for i, c in enumerate(letters)}
-        self.symbol = np.zeros(65537, dtype=np.uint8)
-        for code in range(65536):
+        self.symbol = np.zeros(0x110000, dtype=np.int32)
+        for code in range(len(self.symbol)):
             c = chr(code)
             if c.isalpha():
                 self.symbol[code] = of.get(c.lower()[:1], self.unknown)
-        tables, self.roots, self.outside, self.bits, base = [], [], [], [], 0
-        for name in self.languages:
+        keys, targets, self.roots, self.outside, self.bits, base = [], [], [], [], [], 0
+        self.first = np.zeros((len(samples), self.width), dtype=np.int32)  # where a phrase that begins with a symbol goes
+        for k, name in enumerate(self.languages):
             joined = self.symbols("\n".join(samples[name]))
             edges = automaton(joined.tolist())
             outside = len(edges)  # before any phrase, and after a symbol that the sample lacks
-            to = np.full((outside + 1, self.width), -1, dtype=np.int64)
-            for state, out in enumerate(edges):
-                for c, target in out.items():
-                    to[state, c] = target
-            first = np.where(to[0] >= 0, to[0], outside) * self.width + base
-            table = np.where(to >= 0, to * self.width + base, first[None, :] | NEW_PHRASE)
-            table[:, self.pad] = np.arange(outside + 1) * self.width + base
-            tables.append(table.ravel().astype(np.int32))
+            if base + outside >= NEW_PHRASE:
+                raise ValueError("the samples are too large for 30-bit states")
+            sizes = np.array([len(out) for out in edges])
+            symbols = np.fromiter((c for out in edges for c in out), np.int64, sizes.sum())
+            keys.append((np.repeat(np.arange(len(edges)), sizes) + base) * self.width + symbols)
+            targets.append(np.fromiter((t for out in edges for t in out.values()), np.int64, sizes.sum()) + base)
+            self.first[k] = outside + base
+            for c, target in edges[0].items():
+                self.first[k, c] = target + base
             self.roots.append(base)
-            self.outside.append(outside * self.width + base)
+            self.outside.append(outside + base)
             self.bits.append(np.log2(max(len(joined), 2)))
-            base += table.size
-        if base >= NEW_PHRASE:
-            raise ValueError("the samples are too large for 30-bit states")
-        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
+            base += outside + 1
+        self.edges = Edges(np.concatenate(keys), np.concatenate(targets)) if keys else Edges(np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     @property
     def chance(self) -> float:
@@ -97,22 +132,26 @@ class CrossParser:
         return min(self.bits, default=0.0) / float(np.log2(self.width))
 
     def symbols(self, text: str) -> np.ndarray:
-        raw = self.symbol[np.minimum(np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32), 65536)]
+        raw = self.symbol[np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)]
         keep = raw != 0
         keep[1:] |= raw[:-1] != 0
         return raw[keep]
 
     def _parse(self, matrix: np.ndarray) -> np.ndarray:
         """Phrases of each column of `matrix` (steps x segments) for each language: languages x segments."""
-        n = matrix.shape[1]
-        state = np.repeat(np.array(self.outside, dtype=np.int32), n)
-        count = np.zeros(len(state), dtype=np.int32)
-        many = len(self.languages)
+        n, many = matrix.shape[1], len(self.languages)
+        state = np.repeat(np.array(self.outside, dtype=np.int64)[:, None], n, axis=1)
+        count = np.zeros((many, n), dtype=np.int32)
         for row in matrix:
-            step = self.table[state + np.tile(row, many)]
-            count += step >> 30
-            state = step & (NEW_PHRASE - 1)
-        return count.reshape(many, n)
+            live = np.flatnonzero(row != self.pad)
+            if not len(live) or not many:
+                break
+            on = row[live]
+            step = self.edges.find((state[:, live] * self.width + on).ravel()).reshape(many, -1)
+            new = step < 0
+            count[:, live] += new
+            state[:, live] = np.where(new, self.first[:, on], step)
+        return count
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(languages x texts) phrases and the number of symbols of each text."""
@@ -120,7 +159,7 @@ class CrossParser:
         lengths = np.array([len(f) for f in found], dtype=np.int64)
         total = np.zeros((len(self.languages), len(texts)), dtype=np.int64)
         pieces = (lengths + SEGMENT - 1) // SEGMENT
-        flat = np.concatenate(found) if found else np.zeros(0, np.uint8)
+        flat = np.concatenate(found) if found else np.zeros(0, np.int32)
         starts = np.cumsum(lengths) - lengths
         owner = np.repeat(np.arange(len(texts)), pieces)
         first = np.cumsum(pieces) - pieces
@@ -141,14 +180,12 @@ class CrossParser:
         symbols = self.symbols(text).astype(np.int64)
         sums = np.zeros(len(self.languages))
         for k, root in enumerate(self.roots):
-            for i in range(len(symbols)):
-                state = root
-                for c in symbols[i : i + 64]:
-                    step = int(self.table[state + c])
-                    if step >= NEW_PHRASE:
-                        break
-                    sums[k] += 1
-                    state = step
+            at, state = np.arange(len(symbols)), np.full(len(symbols), root, dtype=np.int64)
+            for step in range(64):
+                state = self.edges.find(state * self.width + symbols[at + step])
+                sums[k] += (state >= 0).sum()
+                on = (state >= 0) & (at + step + 1 < len(symbols))
+                at, state = at[on], state[on]
         return sums
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:

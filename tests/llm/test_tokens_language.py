@@ -95,6 +95,25 @@ def test_parse_equals_substring_search():
             assert lengths[i] == len(plain) and total[k, i] == brute_phrases(plain, sample)
 
 
+def test_large_alphabets():
+    """Every sampled letter keeps its own symbol, those beyond U+FFFF too: languages of thousands of letters are told apart."""
+    r = random.Random(7)
+    han, hangul, gothic = ([chr(a + k) for k in range(n)] for a, n in ((0x4E00, 3000), (0xAC00, 3000), (0x10330, 17)))
+    words = {name: ["".join(r.choice(letters) for _ in range(2)) for _ in range(800)] for name, letters in (("han", han), ("han2", han), ("hangul", hangul), ("gothic", gothic))}
+    text = lambda name, n: " ".join(r.choice(words[name]) for _ in range(n))
+    samples = {name: [text(name, 2000)] for name in words}
+    parser = language.CrossParser(samples)
+    sampled = {c for texts in samples.values() for c in texts[0] if c != " "}
+    assert len({int(parser.symbol[ord(c)]) for c in sampled}) == len(sampled) > 250
+    names = list(words) * 5
+    texts = [text(name, 60) for name in names]
+    assert parser.predict(texts)[0] == names and (parser.predict(texts)[1] > 0).all()
+    total, lengths = parser.phrases(texts)
+    for k, name in enumerate(parser.languages):
+        sample = "".join(map(chr, parser.symbols(samples[name][0])))
+        assert [brute_phrases("".join(map(chr, parser.symbols(t))), sample) for t in texts] == total[k].tolist()
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = language.identify(docs, language.fit(docs)).withColumn("held", language.held_out(F.col("doc_id"))).filter("held").collect()
