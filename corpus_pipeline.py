@@ -31,10 +31,21 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component at five words and 0.8, the document with the smallest doc_id stays, once; rows without one stay."""
-    kept = near_dedup.near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    first = docs.join(kept.hint("merge"), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("row"))
-    return first.select("doc_id", "row.*").unionByName(docs.filter("doc_id IS NULL")).select(*COLUMNS)
+    """Of each component at five words and 0.8, the document with the smallest doc_id stays, once; rows without one stay.
+
+    Different texts under one doc_id are documents of their own, in order of their hashes.
+    """
+    text = F.coalesce("text", F.lit(""))
+    named = docs.filter("doc_id IS NOT NULL").select(*COLUMNS, F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("g"))
+    own = ["doc_id", "h", "g"]
+    if named.groupBy("doc_id").agg((F.min(F.struct("h", "g")) < F.max(F.struct("h", "g"))).alias("several")).filter("several").isEmpty():
+        keyed = named.withColumn("key", F.col("doc_id"))
+    else:
+        numbers = store.save(store.numbered(named.select(*own).distinct(), list(map(F.col, own)), "near-order", "key"), "near-numbers")
+        keyed = store.save(named.join(numbers.hint("merge"), own), "near-keyed")
+    kept = near_dedup.near_duplicates(keyed.select(F.col("key").alias("doc_id"), "text")).filter("kept").select(F.col("doc_id").alias("key")).distinct()
+    first = keyed.join(kept.hint("merge"), "key").groupBy("key").agg(F.min(F.struct("text", "doc_id", "lang", "source", "n_chars")).alias("row"))
+    return first.select("row.*").select(*COLUMNS).unionByName(docs.filter("doc_id IS NULL").select(*COLUMNS))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -205,6 +205,16 @@ def test_pipeline(spark, tmp_path):
     assert P.run(spark, "/root/testdata/sf0.001").count() > 0 and near_dedup.BANDS == 40
 
 
+def test_pipeline_keeps_different_texts_of_one_id(spark):
+    import corpus_pipeline as P
+
+    words = lambda a: " ".join(f"w{a + k}" for k in range(60))
+    rows = [(3, words(0)), (3, words(100)), (4, words(200)), (4, words(200) + " more"), (5, words(100) + " more"), (6, words(300)), (6, words(300)), (None, words(0))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((x.doc_id, x.text.split()[0]) for x in P.near_duplicates(spark, docs, "").collect())
+    assert got == Counter([(3, "w0"), (3, "w100"), (4, "w200"), (6, "w300"), (None, "w0")])
+
+
 def test_registry():
     from foliospark.llm import registry
 
