@@ -1,9 +1,8 @@
 """Removal of byte strings that occur twice anywhere, by merged suffix orders.
 
 The contexts of a gram's anchors (to the right, and to the left reversed) are split into shards, each sorted by itself.
-The shards' orders are merged by refining their interleave: in each round, entries whose contexts agree so far are
-interleaved by their next symbol, eight bytes at a time, keeping each shard's own order; the round in which two
-neighbours part is their common prefix. Suffixes are not sorted again. Entries that agree over a whole window, some
+Then all are sorted together by rounds: entries whose contexts agree so far are sorted by their next symbol, eight bytes
+at a time, whatever shard they came from; the round in which two neighbours part is their common prefix. Entries that agree over a whole window, some
 bytes to the left and the rest to the right, are the repeated intervals.
 """
 
