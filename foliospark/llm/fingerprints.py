@@ -2,8 +2,9 @@
 
 Leaves are the hashes of a text's paragraphs: lines, cut further after sentence ends so that one edit in a long line
 does not change all of it. A section is a run of paragraphs that ends at a paragraph whose hash says so, so an edit
-moves no other section's borders. Sections hash their paragraphs' hashes and the root hashes the sections'. Equal roots
-mean equal texts; where roots differ, the sections and in them the paragraphs that differ locate the edit. Only
+moves no other section's borders. Sections hash their paragraphs' hashes; the root is flat, the hash of the whole text,
+and cannot be checked from the sections'. Equal roots mean equal texts; where roots differ, the sections and in them
+the paragraphs that differ locate the edit. Only
 DataFrame and SQL functions are used.
 """
 
