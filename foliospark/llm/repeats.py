@@ -6,8 +6,9 @@ places); anchors whose gram occurs once are done with. The text around the other
 anchor, is dealt out by gram: the anchors of a gram are a group of suffixes with that prefix, compared exactly by the
 operator's own structure. What comes back is a covered range per anchor.
 
-A gram with very many anchors is no group: each of its windows becomes a row of its digest, one a document, which are
-counted by aggregation and joined back, so that no task gathers them.
+Prefixes have variable lengths. The bytes of a group are counted before its text is moved; a group beyond GROUP_BYTES
+is split by a longer prefix: its windows, and only they, are anchored again by longer grams, until every group fits or
+the prefix is as long as the window. Such a prefix is the node itself, and its members are counted by aggregation.
 """
 
 from __future__ import annotations
@@ -22,27 +23,29 @@ from foliospark.llm import store, vectors
 
 #: An anchor's place, distance back to its first window's start and number of windows, packed in one number.
 STEP = 1 << 10
-#: Slices that a group task compares together; a gram's own group is never cut.
+#: Bytes of text beyond which a group gets longer prefixes.
+GROUP_BYTES = 2 << 20
+#: Rows and bytes of text of the groups that a task compares together; no group is cut.
 TOGETHER = 6_000
-#: Anchors of a gram beyond which its windows are counted one by one.
-HOT = 50_000
+TOGETHER_BYTES = 4 << 20
 
 
-def packed_anchors(values: np.ndarray, owner_start: np.ndarray, owner_end: np.ndarray, owner: np.ndarray, width: int, gram: int):
+def packed_anchors(values: np.ndarray, owner_start: np.ndarray, owner: np.ndarray, width: int, gram: int, asked: np.ndarray | None = None):
     """Of unit hashes and each unit's document: (gram hash, document row, packed place) of every anchor.
 
-    `owner_start` and `owner_end` are each document's range of units, `owner` the document of each unit.
+    `owner_start` is each document's first unit, `owner` the document of each unit; `asked` says of each unit whether
+    the window that starts there is asked for (all are where it is None).
     """
     n = len(values)
+    empty = np.zeros(0, dtype=np.int64)
     if n < width:
-        empty = np.zeros(0, dtype=np.int64)
         return empty, empty, empty
     grams = vectors.window_hashes(values, gram, vectors.ITEM_BASE)
     at = vectors.anchors(grams, width - gram + 1)  # a window that crosses documents is dropped next
-    starts = np.flatnonzero(owner[: n - width + 1] == owner[width - 1 :])
+    inside = owner[: n - width + 1] == owner[width - 1 :]
+    starts = np.flatnonzero(inside if asked is None else inside & asked[: n - width + 1])
     at = at[starts]
     if not len(at):
-        empty = np.zeros(0, dtype=np.int64)
         return empty, empty, empty
     new = np.ones(len(at), dtype=bool)
     new[1:] = (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1)
@@ -78,57 +81,67 @@ def _longs(table, *names) -> list[np.ndarray]:
     return [table.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in names]
 
 
+def _lists(column) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets, from 0, and values of an Arrow list column of longs without nulls."""
+    upto = np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))))
+    return upto, column.flatten()
+
+
+def _starts(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First window start, and number of windows, of packed places."""
+    return place // (STEP * STEP) - place // STEP % STEP, place % STEP
+
+
+def _each(first: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Owner and value of all of first, first + 1, ... (`many` of them) of each range."""
+    owner = np.repeat(np.arange(len(many)), many)
+    return owner, first[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+
+
 def anchor_rows(docs: DataFrame, units: Callable, width: int, gram: int) -> DataFrame:
-    """gram, ka, kb, kc, place of every anchor of docs(ka, kb, kc, text)."""
+    """gram, ka, kb, kc, place and size (bytes of its windows' text) of every anchor of docs(ka, kb, kc, text).
+
+    Where docs has `asked`, places of shorter grams, only the windows that belong to these have anchors.
+    """
+    some = ["asked"] if "asked" in docs.columns else []
 
     def run(tables):
         import pyarrow as pa
 
         for table in tables:
             keys = _longs(table, "ka", "kb", "kc")
+            if some:
+                upto, places = _lists(table.column("asked"))
+                places = places.to_numpy(zero_copy_only=False).astype(np.int64)
             for row, data, starts, ends in vectors.batches(table.column("text")):
-                values, doc, first, last, _, _ = units(data, starts, ends)
-                hashes, own, place = packed_anchors(values, first, last, doc, width, gram)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (hashes, *(k[row + own] for k in keys), place)], names=["gram", "ka", "kb", "kc", "place"])
-
-    return docs.select("ka", "kb", "kc", "text").mapInArrow(run, "gram long, ka long, kb long, kc long, place long")
-
-
-SLICE = "gram long, d1 long, d2 long, ka long, kb long, kc long, first long, ahead long, many long, data binary, runs array<struct<lo: bigint, hi: bigint>>"
+                values, doc, first, _, at, to = units(data, starts, ends)
+                asked = None
+                if some:
+                    begin, many = _starts(places[upto[row] : upto[row + len(starts)]])
+                    own = np.repeat(np.arange(len(starts)), np.diff(upto[row : row + len(starts) + 1]))
+                    asked = np.zeros(len(values), dtype=bool)
+                    asked[_each(first[own] + begin, many)[1]] = True
+                hashes, own, place = packed_anchors(values, first, doc, width, gram, asked)
+                begin, many = _starts(place)
+                begin += first[own]
+                size = to[begin + many + width - 2] - at[begin] if len(own) else begin
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (hashes, *(k[row + own] for k in keys), place, size)], names=["gram", "ka", "kb", "kc", "place", "size"])
+
+    return docs.select("ka", "kb", "kc", "text", *some).mapInArrow(run, "gram long, ka long, kb long, kc long, place long, size long")
+
+
+SLICE = "gram long, d1 long, d2 long, ka long, kb long, kc long, first long, ahead long, many long, data binary"
 #: Slices a task remembers; of those with equal text it sends the text once.
 REMEMBERED = 200_000
 
 
 def slices(docs: DataFrame, units: Callable, width: int) -> DataFrame:
-    """For docs(ka, kb, kc, text, wanted array<struct<gram, place, hot>>) a row for each wanted anchor, with the text of its windows.
+    """For docs(ka, kb, kc, text, wanted array<struct<gram, place>>) a row for each wanted anchor, with the text of its windows.
 
     `first` is the unit at which the slice begins, `ahead` the anchor's distance from it, `many` its windows; d1 and d2
-    are the text's digest. A slice that the task has sent before goes without its text: copies are combined here. Of hot
-    anchors each different window of the document is a row, with its digest, its places in `many` and runs of its starts.
+    are the text's digest. A slice that the task has sent before goes without its text: copies are combined here.
     """
-    names = ["gram", "d1", "d2", "ka", "kb", "kc", "first", "ahead", "many", "data", "runs"]
-
-    def windows(values, first, doc, gram, place, keys):
-        import pyarrow as pa
-
-        begin, many = place // (STEP * STEP) - place // STEP % STEP, place % STEP
-        owner = np.repeat(np.arange(len(doc)), many)
-        start = begin[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
-        at = first[doc[owner]] + start
-        d1, d2 = (vectors.range_hashes(values, at, at + width, base).view(np.int64) for base in (vectors.BYTE_BASE, vectors.ITEM_BASE))
-        order = np.lexsort((start, d2, d1, doc[owner]))
-        owner, start, d1, d2 = owner[order], start[order], d1[order], d2[order]
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = (doc[owner][1:] != doc[owner][:-1]) | (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1])
-        apart = new.copy()
-        apart[1:] |= start[1:] - start[:-1] > width  # closer starts cover everything between them
-        lead, run = np.flatnonzero(new), np.flatnonzero(apart)
-        ends = np.append(run[1:], len(order)) - 1
-        spans = pa.StructArray.from_arrays([pa.array(start[run]), pa.array(start[ends])], names=["lo", "hi"])
-        lists = pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(run, lead), len(run)).astype(np.int32)), spans)
-        own, zero, times = owner[lead], np.zeros(len(lead), dtype=np.int64), np.diff(np.append(lead, len(order)))
-        columns = [gram[own], d1[lead], d2[lead], *(k[doc[own]] for k in keys), zero, zero, times]
-        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(len(lead), pa.binary()), lists], names=names)
+    names = ["gram", "d1", "d2", "ka", "kb", "kc", "first", "ahead", "many", "data"]
 
     def run(tables):
         import pyarrow as pa
@@ -136,22 +149,17 @@ def slices(docs: DataFrame, units: Callable, width: int) -> DataFrame:
         seen: set = set()
         for table in tables:
             keys = _longs(table, "ka", "kb", "kc")
-            wanted = table.column("wanted")
-            ends_of = np.concatenate(([0], np.cumsum(wanted.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))))
-            inner = wanted.flatten()
-            grams, places, is_hot = (inner.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1, 2))
+            upto, inner = _lists(table.column("wanted"))
+            grams, places = (inner.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
             for row, data, starts, ends in vectors.batches(table.column("text")):
-                unit_values, _, first, _, at, to = units(data, starts, ends)
-                lo, hi = ends_of[row], ends_of[row + len(starts)]
-                doc = np.repeat(np.arange(len(starts)), np.diff(ends_of[row : row + len(starts) + 1]))
-                gram, place, hot = grams[lo:hi], places[lo:hi], is_hot[lo:hi] > 0
-                if hot.any():
-                    yield from windows(unit_values, first, doc[hot], gram[hot], place[hot], [k[row:] for k in keys])
-                gram, place, doc = gram[~hot], place[~hot], doc[~hot]
-                place, ahead, many = place // (STEP * STEP), place // STEP % STEP, place % STEP
+                _, _, first, _, at, to = units(data, starts, ends)
+                lo, hi = upto[row], upto[row + len(starts)]
+                doc = np.repeat(np.arange(len(starts)), np.diff(upto[row : row + len(starts) + 1]))
+                gram, place = grams[lo:hi], places[lo:hi]
                 if not len(doc):
                     continue
-                begin = place - ahead
+                ahead = place // STEP % STEP
+                begin, many = _starts(place)
                 a, b = at[first[doc] + begin], to[first[doc] + begin + many + width - 2]
                 values = vectors.mix64(data.astype(np.uint64) + np.uint64(1))
                 d1, d2 = (vectors.range_hashes(values, a, b, base).view(np.int64) + ahead * STEP + many for base in (vectors.BYTE_BASE, vectors.ITEM_BASE))
@@ -168,11 +176,52 @@ def slices(docs: DataFrame, units: Callable, width: int) -> DataFrame:
                             seen.add(h)
                             parts.append(whole[i:j])
                     columns = [gram[own], d1[own], d2[own], *(k[row + doc[own]] for k in keys), begin[own], ahead[own], many[own]]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(parts, pa.binary()), pa.nulls(len(parts), pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))], names=names)
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(parts, pa.binary())], names=names)
 
     return docs.select("ka", "kb", "kc", "text", "wanted").mapInArrow(run, SLICE)
 
 
+def window_rows(docs: DataFrame, units: Callable, width: int) -> DataFrame:
+    """d1, d2, ka, kb, kc, many, runs: a row for each different window that belongs to the places `asked` of docs(ka, kb, kc, text, asked).
+
+    d1 and d2 are the window's digest, `many` its places in the document, `runs` these as ranges of window starts.
+    """
+    names = ["d1", "d2", "ka", "kb", "kc", "many", "runs"]
+
+    def run(tables):
+        import pyarrow as pa
+
+        for table in tables:
+            keys = _longs(table, "ka", "kb", "kc")
+            upto, places = _lists(table.column("asked"))
+            places = places.to_numpy(zero_copy_only=False).astype(np.int64)
+            for row, data, starts, ends in vectors.batches(table.column("text")):
+                values, _, first, _, _, _ = units(data, starts, ends)
+                begin, many = _starts(places[upto[row] : upto[row + len(starts)]])
+                doc = np.repeat(np.arange(len(starts)), np.diff(upto[row : row + len(starts) + 1]))
+                owner, start = _each(begin, many)
+                if not len(owner):
+                    continue
+                doc = doc[owner]
+                at = first[doc] + start
+                d1, d2 = (vectors.range_hashes(values, at, at + width, base).view(np.int64) for base in (vectors.BYTE_BASE, vectors.ITEM_BASE))
+                order = np.lexsort((start, d2, d1, doc))
+                doc, start, d1, d2 = doc[order], start[order], d1[order], d2[order]
+                new = np.ones(len(order), dtype=bool)
+                new[1:] = (doc[1:] != doc[:-1]) | (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1])
+                apart = new.copy()
+                apart[1:] |= start[1:] - start[:-1] > width  # closer starts cover everything between them
+                lead, first_of = np.flatnonzero(new), np.flatnonzero(apart)
+                last_of = np.append(first_of[1:], len(order)) - 1
+                spans = pa.StructArray.from_arrays([pa.array(start[first_of]), pa.array(start[last_of])], names=["lo", "hi"])
+                lists = pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(first_of, lead), len(first_of)).astype(np.int32)), spans)
+                times = np.diff(np.append(lead, len(order)))
+                columns = [d1[lead], d2[lead], *(k[row + doc[lead]] for k in keys), times]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), lists], names=names)
+
+    return docs.select("ka", "kb", "kc", "text", "asked").mapInArrow(run, "d1 long, d2 long, ka long, kb long, kc long, many long, runs array<struct<lo: bigint, hi: bigint>>")
+
+
 def compare(sliced: DataFrame, covered: Callable) -> DataFrame:
     """kb, kc, lo, hi: the repeated windows' first and last start for each slice, by `covered`.
 
@@ -186,14 +235,14 @@ def compare(sliced: DataFrame, covered: Callable) -> DataFrame:
         import pyarrow as pa
 
         held: list = []
-        rows = 0
+        rows = size = 0
 
         def flush(final: bool):
-            nonlocal held, rows
+            nonlocal held, rows, size
             table = pa.Table.from_batches(held).combine_chunks()
             gram = table.column("gram").to_numpy()
             cut = len(gram) if final else int(np.searchsorted(gram, gram[-1], side="left"))
-            held, rows = ([] if final else table.slice(cut).to_batches()), len(gram) - cut
+            held, rows, size = ([] if final else table.slice(cut).to_batches()), len(gram) - cut, 0
             table = table.slice(0, cut)
             d1, d2, ka, kb, kc, first, ahead, many = _longs(table, "d1", "d2", "ka", "kb", "kc", "first", "ahead", "many")
             gram = gram[:cut]
@@ -210,7 +259,8 @@ def compare(sliced: DataFrame, covered: Callable) -> DataFrame:
                 continue
             held.append(table)
             rows += table.num_rows
-            if rows >= TOGETHER and table.column("gram")[table.num_rows - 1] != held[0].column("gram")[0]:
+            size += table.column("data").nbytes
+            if (rows >= TOGETHER or size >= TOGETHER_BYTES) and table.column("gram")[table.num_rows - 1] != held[0].column("gram")[0]:
                 yield flush(False)
         if held:
             yield flush(True)
@@ -219,32 +269,48 @@ def compare(sliced: DataFrame, covered: Callable) -> DataFrame:
     return sliced.repartition(n, "gram").sortWithinPartitions(*order).mapInArrow(run, "kb long, kc long, lo long, hi long")
 
 
-def hot_ranges(rows: DataFrame, repeated: Column, label: str) -> DataFrame:
-    """kb, kc, ranges of the repeated windows among rows(d1, d2, ka, kb, kc, many, runs), by `repeated` over n, least and ka."""
+def counted_ranges(rows: DataFrame, repeated: Column, label: str) -> DataFrame:
+    """kb, kc, ranges of the repeated windows among window_rows, by `repeated` over n, least and ka."""
     count = rows.groupBy("d1", "d2").agg(F.sum("many").alias("n"), F.min("ka").alias("least"))
-    known = store.save(count.filter("n > 1"), f"{label}-hot")
+    known = store.save(count.filter("n > 1"), f"{label}-nodes")
     hit = rows.join(known.hint("merge"), ["d1", "d2"]).filter(repeated)
     return hit.select("kb", "kc", F.col("runs").alias("ranges"))
 
 
-def covered_ranges(docs: DataFrame, units: Callable, width: int, gram: int, covered: Callable, repeated: Column, label: str) -> DataFrame:
+def covered_ranges(docs: DataFrame, units: Callable, width: int, prefixes: tuple[int, ...], covered: Callable, repeated: Column, label: str) -> DataFrame:
     """kb, kc, ranges array<struct<lo, hi>> of repeated windows' first and last starts, for docs(ka, kb, kc, text).
 
-    Of rows with the same text the one with the least ka stands for all. An anchor is compared if its gram is at two
-    places, in one text or several. `covered` compares a group's slices, `repeated` says the same of a single window.
+    `prefixes` are the lengths that a group's prefix can have, growing, before the window's own. Of rows with the same
+    text the one with the least ka stands for all. An anchor is compared if its gram is at two places, in one text or
+    several. `covered` compares a group's slices, `repeated` says the same of a single window.
     """
-    anchors = store.save(anchor_rows(docs, units, width, gram), f"{label}-anchors")
-    at = F.struct("kb", "kc", "place")
-    grouped = anchors.groupBy("gram").agg(F.min(at).alias("one"), F.max(at).alias("other"), F.count(F.lit(1)).alias("n"))
-    # Written first: both sides of the next join are then shuffles, which Spark splits where a gram is skewed.
-    often = store.save(grouped.filter("one <> other").select("gram", (F.col("n") > HOT).alias("hot")), f"{label}-often")
-    own = anchors.join(often.hint("merge"), "gram").groupBy("kb", "kc").agg(F.min("ka").alias("least_ka"), F.sort_array(F.collect_set(F.struct("gram", "place", "hot"))).alias("wanted"))
-    wanted = store.save(own, f"{label}-wanted")
-    store.drop(anchors)
-    having = docs.join(wanted.hint("merge"), ["kb", "kc"]).filter("ka = least_ka")
-    sliced = store.save(slices(having, units, width), f"{label}-slices")
-    cold = compare(sliced.filter("runs IS NULL").drop("runs"), covered).select("kb", "kc", F.array(F.struct("lo", "hi")).alias("ranges"))
-    both = cold.unionByName(hot_ranges(sliced.filter("runs IS NOT NULL"), repeated, label))
+    if not 0 < prefixes[0] <= prefixes[-1] < width or width - prefixes[0] >= STEP - 1:
+        raise ValueError(f"prefixes must be shorter than the window and the window at most {STEP - 2} longer than the first")
+    found, some = [], docs
+    for gram in prefixes:
+        anchors = store.save(anchor_rows(some, units, width, gram), f"{label}-anchors-{gram}")
+        at = F.struct("kb", "kc", "place")
+        grouped = anchors.groupBy("gram").agg(F.min(at).alias("one"), F.max(at).alias("other"), F.sum("size").alias("size"))
+        # Written first: both sides of the next join are then shuffles, which Spark splits where a gram is skewed.
+        often = store.save(grouped.filter("one <> other").select("gram", (F.col("size") > GROUP_BYTES).alias("long")), f"{label}-often-{gram}")
+        split = not often.filter("long").isEmpty()
+        own = anchors.join(often.hint("merge"), "gram").groupBy("kb", "kc").agg(
+            F.min("ka").alias("least_ka"),
+            F.sort_array(F.collect_set(F.when(~F.col("long"), F.struct("gram", "place")))).alias("wanted"), F.sort_array(F.collect_set(F.when(F.col("long"), F.col("place")))).alias("asked"),
+        )
+        wanted = store.save(own, f"{label}-wanted-{gram}")
+        store.drop(anchors)
+        of_text = docs.join(wanted.hint("merge"), ["kb", "kc"]).filter("ka = least_ka")
+        sliced = store.save(slices(of_text.filter(F.size("wanted") > 0), units, width), f"{label}-slices-{gram}")
+        found.append(compare(sliced, covered).select("kb", "kc", F.array(F.struct("lo", "hi")).alias("ranges")))
+        if not split:
+            break
+        some = of_text.filter(F.size("asked") > 0).select("ka", "kb", "kc", "text", "asked")
+    else:
+        found.append(counted_ranges(store.save(window_rows(some, units, width), f"{label}-windows"), repeated, label))
+    both = found[0]
+    for more in found[1:]:
+        both = both.unionByName(more)
     return both.groupBy("kb", "kc").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
 
 
@@ -256,7 +322,6 @@ def merged_cover(lo: np.ndarray, hi: np.ndarray, width: int, size: int) -> np.nd
     return np.cumsum(mark[:-1]) > 0
 
 
-
 def copies(rows: DataFrame) -> DataFrame:
     """kb, kc, copied (true) and least, the smallest id, of the texts that several rows have."""
     return rows.groupBy("kb", "kc").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")).filter("n > 1").select("kb", "kc", "least", F.lit(True).alias("copied"))

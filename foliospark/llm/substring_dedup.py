@@ -1,9 +1,11 @@
 """Removal of passages that an earlier document has, by prefix-partitioned suffix trees over words.
 
-Suffixes are grouped by a prefix of a few words, each group small enough for a task's memory, and a group becomes a
-suffix tree built level by level: a node at depth 2d is a pair of nodes at depth d. Internal nodes as deep as a window
-are the repeats; a window is a repeat of an earlier document if its node holds a smaller doc_id. Only suffixes that
-start at a window's anchor name a group, and groups of a single suffix are never gathered.
+Suffixes are partitioned by their first words. Prefixes have variable lengths: a group of suffixes that is larger than
+a task's share of memory, in bytes counted before anything moves, is split by a longer prefix (llm.repeats). Of each
+group the suffix tree is built in preorder: its leaves in lexicographic order with the depth at which each parts from
+the one before. Its internal nodes as deep as a window are the maximal repeats; a window is a repeat of an earlier
+document if its node's least doc_id is smaller. Only suffixes that belong to a window's anchor name a group, and groups of a
+single suffix are never gathered.
 """
 
 from __future__ import annotations
@@ -15,52 +17,73 @@ from pyspark.sql import functions as F
 from foliospark.llm import repeats, store, vectors
 
 WINDOW = 50
-#: Words of the prefix that names a group.
-PREFIX = 10
+#: Words that a group's prefix can have; the last resort is the whole window.
+PREFIXES = (10, 25)
 
 
-def _ranks(*keys: np.ndarray) -> np.ndarray:
-    """Dense ranks of the tuples of keys (each below 2**31, or one alone)."""
-    if len(keys) == 2:
-        keys = (keys[0].astype(np.int64) << 32 | keys[1].astype(np.int64),)
-    return np.unique(keys[0], return_inverse=True)[1]
+def _doubled(rank: np.ndarray, step: int) -> np.ndarray:
+    """Ranks of twice as many symbols from the ranks of `step` symbols; past the end there is nothing, rank 0."""
+    after = np.zeros_like(rank)
+    after[:-step] = rank[step:]
+    return np.unique(rank.astype(np.int64) << 32 | after, return_inverse=True)[1].astype(np.int32)
 
 
-def deep_nodes(symbols: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
-    """The tree node at `depth` above each suffix that begins at `starts`: equal exactly if the first `depth` symbols are."""
-    node, level = _ranks(symbols), 1
-    while level * 2 <= depth:
-        node = _ranks(node[:-level], node[level:]) if len(node) > level else node[:0]
-        level *= 2
-    return _ranks(node[starts], node[starts + depth - level]) if level < depth else _ranks(node[starts])
+def subtree(symbols: np.ndarray, sizes: np.ndarray, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix tree over strings of `sizes` symbols, in preorder, with the suffixes that begin at `leaves` (places in `symbols`).
+
+    Returns the leaves in lexicographic order and the string depth at which each parts from the one before it (0 for
+    the first): the depth of their lowest common ancestor. A string's end is a symbol that equals no other.
+    """
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.arange(len(symbols)) + owner  # an end after each string
+    rank = np.zeros(len(symbols) + len(sizes) + 1, dtype=np.int32)
+    rank[at] = np.unique(symbols, return_inverse=True)[1] + 1
+    left = np.zeros(len(rank), dtype=np.int32)
+    left[at] = (np.cumsum(sizes)[owner] - np.arange(len(symbols))).astype(np.int32)
+    levels, step = [rank], 1
+    while step < int(sizes.max(initial=0)):
+        levels.append(_doubled(levels[-1], step))
+        step *= 2
+    order = leaves[np.argsort(levels[-1][at[leaves]], kind="stable")]
+    a, b = at[order[:-1]], at[order[1:]]
+    most, depth = np.minimum(left[a], left[b]), np.zeros(max(len(order) - 1, 0), dtype=np.int32)
+    for level in reversed(levels):
+        equal = level[np.minimum(a + depth, len(rank) - 1)] == level[np.minimum(b + depth, len(rank) - 1)]
+        depth = np.where(equal & (depth < most), depth + step, depth)
+        step //= 2
+    return order, np.concatenate((np.zeros(min(len(order), 1), np.int32), np.minimum(depth, most)))
+
+
+def deep_nodes(parting: np.ndarray, depth: int) -> np.ndarray:
+    """Of each leaf, in order, the highest node at `depth` or deeper above it: an internal node if several leaves have it, else the leaf."""
+    return np.cumsum(parting < depth) - 1
 
 
 def tree_cover(window: int):
     def covered(ahead, many, data, of, ka):
         ((_, raw, starts, ends),) = vectors.batches(data, limit=1 << 62)
-        values, _, first, _, _, _ = repeats.units_of_words(raw, starts, ends)
-        begin = np.cumsum(many) - many
-        owner = np.repeat(np.arange(len(many)), many)
-        node = deep_nodes(values, first[owner] + np.arange(len(owner)) - begin[owner], window)
+        values, doc, first, last, _, _ = repeats.units_of_words(raw, starts, ends)
+        owner, leaf = repeats._each(first, many)
+        order, parting = subtree(values, last - first, leaf)
+        node = np.empty(len(values), dtype=np.int64)
+        node[order] = deep_nodes(parting, window)
         first_ka = np.full(len(many), np.iinfo(np.int64).max)
         np.minimum.at(first_ka, of, ka)
-        least = np.full(node.max() + 1, np.iinfo(np.int64).max)
-        np.minimum.at(least, node, first_ka[owner])
+        least = np.full(len(order), np.iinfo(np.int64).max)
+        np.minimum.at(least, node[leaf], first_ka[owner])
         # Each row against the least ka at the nodes of its slice's windows.
-        rows = np.repeat(np.arange(len(of)), many[of])
-        inside = np.arange(len(rows)) - np.repeat(np.cumsum(many[of]) - many[of], many[of])
-        later = np.flatnonzero(ka[rows] > least[node[begin[of[rows]] + inside]])
+        rows, place = repeats._each(first[of], many[of])
+        later = np.flatnonzero(ka[rows] > least[node[place]])
         if not len(later):
             return later, later, later
-        row = rows[later]
+        row, inside = rows[later], place[later] - first[of][rows[later]]
         edge = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-        last = np.append(edge[1:], len(later)) - 1
-        return row[edge], inside[later][edge], inside[later][last]
+        return row[edge], inside[edge], inside[np.append(edge[1:], len(later)) - 1]
 
     return covered
 
 
-def substring_dedup(df: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
+def substring_dedup(df: DataFrame, window: int = WINDOW, prefixes: tuple[int, ...] = PREFIXES) -> DataFrame:
     """doc_id, n_units (words), n_removed, n_spans, kept (the rest, joined by one space, as bytes) for each row of `df` (doc_id, text).
 
     A word goes if it is in a window of `window` words that also starts in a document with a smaller doc_id. Null text
@@ -69,7 +92,7 @@ def substring_dedup(df: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -
     """
     rows = repeats.keyed(df)
     index = rows.filter("id IS NOT NULL").withColumn("ka", F.col("id"))
-    ranges = repeats.covered_ranges(index, repeats.units_of_words, window, prefix, tree_cover(window), F.col("least") < F.col("ka"), "substrings")
+    ranges = repeats.covered_ranges(index, repeats.units_of_words, window, prefixes, tree_cover(window), F.col("least") < F.col("ka"), "substrings")
     return repeats.apply_cover(rows, ranges, F.col("id") > F.col("least"), repeats.units_of_words, window, b" ", "substrings", F.col("id").isNull())
 
 

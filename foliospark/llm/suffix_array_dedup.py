@@ -1,9 +1,11 @@
-"""Removal of byte strings that occur twice anywhere, by merged suffix orders.
-
-The contexts of a gram's anchors (to the right, and to the left reversed) are split into shards, each sorted by itself.
-Then all are sorted together by rounds: entries whose contexts agree so far are sorted by their next symbol, eight bytes
-at a time, whatever shard they came from; the round in which two neighbours part is their common prefix. Entries that agree over a whole window, some
-bytes to the left and the rest to the right, are the repeated intervals.
+"""Removal of byte strings that occur twice anywhere, by merged Burrows-Wheeler transforms.
+
+The contexts of a group's anchors (to the right, and to the left reversed) are strings of eight-byte symbols. They are
+split into shards, each with its own Burrows-Wheeler transform over all rotations of its strings. The transforms
+are merged by refining their interleave: a round deals the entries out by their transformed symbols, in the order so
+far, which orders them by one symbol more; no suffix is sorted again and no text is looked at. Two neighbours part in
+the round that first tells them apart, and that round is their common prefix. Contexts that agree over a whole window,
+some bytes to the left and the rest to the right, are the repeated intervals.
 """
 
 from __future__ import annotations
@@ -15,9 +17,10 @@ from pyspark.sql import functions as F
 from foliospark.llm import repeats, store, vectors
 
 WINDOW = 400
-#: Bytes of the gram that names a group.
-GRAM = 100
-SHARD = 4096
+#: Bytes that a group's prefix can have; the last resort is the whole window.
+GRAMS = (100, 200)
+#: Strings of a shard.
+SHARD = 2048
 
 
 def contexts(raw: np.ndarray, begin: np.ndarray, length: np.ndarray, step: int, most: int) -> np.ndarray:
@@ -39,35 +42,79 @@ def _common_bytes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def merge_orders(symbols: np.ndarray, shard: int = SHARD) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the rows of `symbols` and the bytes each has in common with the one before it."""
-    n, rounds = symbols.shape
-    orders = [a + np.lexsort(symbols[a : a + shard].T[::-1]) for a in range(0, n, shard)]
-    order = np.concatenate(orders) if orders else np.zeros(0, dtype=np.int64)
-    common = np.full(n, rounds * 8, dtype=np.int64)
-    common[:1] = 0
-    block = np.zeros(n, dtype=np.int64)
-    live = np.arange(n) if n > 1 else np.zeros(0, dtype=np.int64)
-    for k in range(rounds):
-        if not len(live):
+def transform(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The Burrows-Wheeler transform of the rows of `symbols` (whole numbers over 0), each closed by symbol 0.
+
+    All rotations of all rows are in order, equal ones by row. Returns for each the symbol before it, cyclically, and
+    the row whose beginning it is (-1 for a rotation that begins elsewhere).
+    """
+    n, wide = symbols.shape[0], symbols.shape[1] + 1
+    closed = np.zeros((n, wide), dtype=np.int64)
+    closed[:, :-1] = symbols
+    rank, step = closed, 1
+    while step < wide:
+        key = rank << 32 | np.roll(rank, -step, axis=1)
+        rank = np.unique(key, return_inverse=True)[1].reshape(n, wide).astype(np.int64)
+        step *= 2
+    order = np.argsort(rank.T.ravel(), kind="stable")  # row by row among equals
+    column, row = order // n, order % n
+    return closed[row, column - 1], np.where(column == 0, row, -1)
+
+
+def _distributed(keys: np.ndarray) -> np.ndarray:
+    """Stable order of whole numbers under 2**32, in linear time."""
+    order = np.argsort(keys.astype(np.uint16), kind="stable")
+    return order[np.argsort((keys >> 16).astype(np.uint16)[order], kind="stable")] if keys.max(initial=0) >> 16 else order
+
+
+def merge(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Interleave of the shards' transforms `parts` and the symbols that each entry has in common with the one before it.
+
+    The interleave is the place of each entry in the concatenated transforms. It begins as their concatenation, ordered
+    by no symbol. Each round is a stable distribution of the entries by transformed symbol; blocks of entries that
+    no round has told apart are split further until a round splits none.
+    """
+    before = np.concatenate(parts).astype(np.int32)
+    shard = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])
+    n = len(before)
+    at, block = np.arange(n), np.zeros(n, dtype=np.int32)
+    common = np.full(n, -1, dtype=np.int32)
+    own, matched = shard, 0
+    while n:
+        symbol = before[at]
+        dealt = _distributed(symbol)
+        symbol, own, block = symbol[dealt], own[dealt], block[dealt]
+        # What follows a closing symbol is a new string: all that agree so far are one block.
+        fresh = np.ones(n, dtype=bool)
+        fresh[1:] = (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])
+        at[_distributed(own)] = np.arange(n)
+        parted = fresh & (common < 0)
+        if not parted.any():
             break
-        symbol = symbols[order[live], k]
-        moved = np.lexsort((symbol, block[live]))
-        order[live] = order[live][moved]
-        symbol = symbol[moved]
-        same = (block[live][1:] == block[live][:-1]) & (live[1:] == live[:-1] + 1)
-        parts = np.flatnonzero(same & (symbol[1:] != symbol[:-1])) + 1
-        common[live[parts]] = 8 * k + _common_bytes(symbol[parts], symbol[parts - 1])
-        edge = np.zeros(n + 1, dtype=bool)
-        edge[live[0]] = True
-        fresh = np.ones(len(live), dtype=bool)
-        fresh[1:] = ~same
-        fresh[parts] = True
-        number = np.cumsum(fresh)
-        size = np.bincount(number)
-        block[live] = number
-        live = live[size[number] > 1]
-    return order, common
+        common[parted] = matched
+        block, matched = np.cumsum(fresh, dtype=np.int32), matched + 1
+    common[common < 0] = np.iinfo(np.int32).max
+    return at, common
+
+
+def merged_order(symbols: np.ndarray, shard: int = SHARD) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the rows of `symbols` (eight-byte numbers) and the bytes each has in common with the one before it."""
+    n, wide = symbols.shape
+    if not n:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    dense = (np.unique(symbols, return_inverse=True)[1] + 1).reshape(n, wide)
+    shards = [(a, *transform(dense[a : a + shard])) for a in range(0, n, shard)]
+    at, common = merge([before for _, before, _ in shards])
+    begins = np.concatenate([np.where(row < 0, -1, row + a) for a, _, row in shards])[at]
+    first = np.flatnonzero(begins >= 0)
+    order = begins[first]
+    # Rows that follow each other have in common the least of what lies between them.
+    shared = np.minimum(np.minimum.reduceat(common[: first[-1] + 1], np.append(0, first[:-1] + 1)), wide).astype(np.int64)
+    shared[0] = 0
+    out = shared * 8
+    part = np.flatnonzero((shared < wide) & (np.arange(len(order)) > 0))
+    out[part] += _common_bytes(symbols[order[part], shared[part]], symbols[order[part - 1], shared[part]])
+    return order, out
 
 
 def interval_cover(window: int):
@@ -80,7 +127,7 @@ def interval_cover(window: int):
         left = contexts(raw, middle - 1, ahead, -1, int(ahead.max()) or 1)
         places, runs = [], []
         for symbols in (left, right):
-            order, common = merge_orders(symbols)
+            order, common = merged_order(symbols)
             place = np.empty(n, dtype=np.int64)
             place[order] = np.arange(n)
             places.append(place)
@@ -109,7 +156,7 @@ def interval_cover(window: int):
     return covered
 
 
-def suffix_array_dedup(df: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def suffix_array_dedup(df: DataFrame, window: int = WINDOW, grams: tuple[int, ...] = GRAMS) -> DataFrame:
     """doc_id, n_units (bytes), n_removed, n_spans, kept (the other bytes) for each row of `df` (doc_id, text).
 
     A byte goes if it is in a `window`-byte string that starts at another place too, in any document or its own.
@@ -118,7 +165,7 @@ def suffix_array_dedup(df: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     """
     rows = repeats.keyed(df)
     index = rows.withColumn("ka", F.coalesce("id", F.lit((1 << 63) - 1)))
-    ranges = repeats.covered_ranges(index, repeats.units_of_bytes, window, gram, interval_cover(window), F.col("n") > 1, "bytes")
+    ranges = repeats.covered_ranges(index, repeats.units_of_bytes, window, grams, interval_cover(window), F.col("n") > 1, "bytes")
     return repeats.apply_cover(rows, ranges, F.col("copied"), repeats.units_of_bytes, window, None, "bytes")
 
 

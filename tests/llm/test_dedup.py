@@ -64,33 +64,101 @@ def brute_bytes(rows, width):
     return sorted(out, key=order)
 
 
-@pytest.mark.parametrize("seed,width,prefix,hot", [(1, 12, 4, 50_000), (2, 20, 10, 50_000), (5, 12, 4, 3), (6, 20, 10, 0)])
-def test_substrings(spark, monkeypatch, seed, width, prefix, hot):
-    monkeypatch.setattr(repeats, "HOT", hot)
+def wide_corpus(seed):
+    """corpus() with a very long text, one long word and texts of some shared words."""
     rows = corpus(seed)
-    got = [(x.doc_id, x.n_units, x.n_removed, bytes(x.kept)) for x in substring_dedup.substring_dedup(frame(spark, rows), width, prefix).collect()]
+    long = " ".join(t or "" for _, t in rows)
+    return [*rows, (950, long * 6), (951, "z" * 40_000 + " " + long), (952, "\x00 \x00" * 90)]
+
+
+@pytest.mark.parametrize("seed,width,prefixes,most", [(1, 12, (4, 8), 2 << 20), (2, 20, (10,), 2 << 20), (5, 12, (4, 6, 9), 600), (6, 20, (10, 15), 0)])
+def test_substrings(spark, monkeypatch, seed, width, prefixes, most):
+    """Groups that fit, groups that need longer prefixes, and windows that are their own prefix."""
+    monkeypatch.setattr(repeats, "GROUP_BYTES", most)
+    monkeypatch.setattr(repeats, "TOGETHER", 50)
+    rows = wide_corpus(seed)
+    got = [(x.doc_id, x.n_units, x.n_removed, bytes(x.kept)) for x in substring_dedup.substring_dedup(frame(spark, rows), width, prefixes).collect()]
     assert sorted(got, key=order) == brute_words(rows, width)
 
 
-@pytest.mark.parametrize("seed,width,gram,hot", [(3, 40, 10, 50_000), (4, 60, 25, 50_000), (7, 40, 10, 3), (8, 60, 25, 0)])
-def test_suffix_arrays(spark, monkeypatch, seed, width, gram, hot):
-    monkeypatch.setattr(repeats, "HOT", hot)
-    rows = corpus(seed)
-    got = [(x.doc_id, x.n_units, x.n_removed, x.n_spans, bytes(x.kept)) for x in suffix_array_dedup.suffix_array_dedup(frame(spark, rows), width, gram).collect()]
+@pytest.mark.parametrize("seed,width,grams,most", [(3, 40, (10, 20), 2 << 20), (4, 60, (25,), 2 << 20), (7, 40, (10, 15, 30), 600), (8, 60, (25, 40), 0)])
+def test_suffix_arrays(spark, monkeypatch, seed, width, grams, most):
+    monkeypatch.setattr(repeats, "GROUP_BYTES", most)
+    monkeypatch.setattr(suffix_array_dedup, "SHARD", 16)
+    rows = wide_corpus(seed)
+    got = [(x.doc_id, x.n_units, x.n_removed, x.n_spans, bytes(x.kept)) for x in suffix_array_dedup.suffix_array_dedup(frame(spark, rows), width, grams).collect()]
     assert sorted(got, key=order) == brute_bytes(rows, width)
 
 
+def test_windows_too_long_for_a_place(spark):
+    with pytest.raises(ValueError):
+        substring_dedup.substring_dedup(frame(spark, corpus(1)), 2000, (10, 25))
+    with pytest.raises(ValueError):
+        substring_dedup.substring_dedup(frame(spark, corpus(1)), 20, (20,))
+
+
+def common(a, b):
+    return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+def test_subtrees():
+    """Preorder, parting depths and deep internal nodes against sorted suffixes."""
+    import numpy as np
+
+    r = random.Random(9)
+    for _ in range(30):
+        texts = [[r.randrange(3) for _ in range(r.randrange(1, 30))] for _ in range(r.randrange(1, 9))]
+        texts += [t[:] for t in texts[:2]]
+        sizes = np.array([len(t) for t in texts])
+        first = np.cumsum(sizes) - sizes
+        suffix = {int(first[k]) + j: t[j:] for k, t in enumerate(texts) for j in range(len(t))}
+        leaves = np.array(sorted(suffix))
+        at, parting = substring_dedup.subtree(np.concatenate([np.array(t, dtype=np.uint64) for t in texts]), sizes, leaves)
+        assert sorted(at) == leaves.tolist() and parting[0] == 0
+        assert [suffix[i] for i in at] == sorted(suffix.values())
+        assert parting[1:].tolist() == [common(suffix[a], suffix[b]) for a, b in zip(at, at[1:])]
+        node = substring_dedup.deep_nodes(parting, 4)
+        groups = {}
+        for k, i in enumerate(at):
+            groups.setdefault(int(node[k]), []).append(suffix[i])
+        for own in groups.values():
+            assert len(own) == 1 or len({tuple(s[:4]) for s in own}) == 1
+        deep = [tuple(s[:4]) for own in groups.values() for s in own[:1] if len(s) >= 4]
+        assert len(deep) == len(set(deep))
+
+
+def test_transform_and_merge():
+    """Shard transforms against sorted rotations, the merged one against the transform of all rows at once, common prefixes against plain ones."""
+    import numpy as np
+
+    r = np.random.default_rng(0)
+    rows = r.integers(1, 3, (70, 9))
+    rows[40:60] = rows[:20]
+    shards = [rows[:30], rows[30:31], rows[31:]]
+    rotations = [[(tuple(np.roll([*x, 0], -k)), i, k) for i, x in enumerate(part) for k in range(10)] for part in shards]
+    for part, rot in zip(shards, rotations):
+        before, begins = suffix_array_dedup.transform(part)
+        ranked = sorted(rot)
+        assert before.tolist() == [x[0][-1] for x in ranked] and begins.tolist() == [i if k == 0 else -1 for _, i, k in ranked]
+    at, shared = suffix_array_dedup.merge([suffix_array_dedup.transform(p)[0] for p in shards])
+    flat = [x[0] for rot in rotations for x in sorted(rot)]
+    merged = [flat[i] for i in at]
+    assert merged == sorted(flat)
+    assert [min(int(x), 10) for x in shared[1:]] == [common(a, b) for a, b in zip(merged, merged[1:])]
+    assert [flat[i][-1] for i in at] == suffix_array_dedup.transform(rows)[0].tolist()
+
+
 def test_merged_orders():
     import numpy as np
 
     r = np.random.default_rng(0)
     texts = [bytes(r.integers(97, 99, 24, dtype=np.uint8)) for _ in range(300)]
+    texts += texts[:50] + [t[:9] + bytes(15) for t in texts[:50]]
     symbols = np.frombuffer(b"".join(texts), dtype=">u8").reshape(-1, 3).astype(np.uint64)
-    at, common = suffix_array_dedup.merge_orders(symbols, shard=40)
+    at, shared = suffix_array_dedup.merged_order(symbols, shard=40)
     ordered = [texts[i] for i in at]
     assert ordered == sorted(texts)
-    for a, b, n in zip(ordered, ordered[1:], common[1:]):
-        assert n == next((k for k in range(24) if a[k] != b[k]), 24)
+    assert shared[1:].tolist() == [common(a, b) for a, b in zip(ordered, ordered[1:])]
 
 
 def shingles(text):
