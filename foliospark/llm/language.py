@@ -17,10 +17,15 @@ from foliospark.llm import store
 #: Bounds of the sample: characters a language, documents a language, so characters a document.
 SAMPLE_CHARS = 32_768
 SAMPLE_DOCS = 64
-#: Texts are parsed in segments of so many symbols, in step with each other; phrases do not cross segments.
-SEGMENT = 128
-#: Symbols parsed together.
-BATCH = 1_000_000
+#: Characters of the samples of all languages together: with more languages than fit, each has a smaller sample. This
+#: bounds the model, which is broadcast: two states and three transitions a character, of 48 bytes each at most.
+ALL_CHARS = 1 << 20
+#: Characters a language must have at least; a `lang` column of more values is no language column.
+LEAST_CHARS = 512
+#: Texts are cut into segments of so many symbols that are parsed in step; parses are then carried across the cuts.
+SEGMENT = 256
+#: Characters times languages that are parsed together; a longer text is parsed alone.
+BATCH = 8_000_000
 NEW_PHRASE = 1 << 30
 LETTER = regex.compile(r"\p{L}")
 UNDETERMINED = "und"
@@ -59,7 +64,7 @@ class Edges:
     """Transitions (state, symbol) -> state of any alphabet in one open-addressing hash table, looked up in arrays."""
 
     def __init__(self, keys: np.ndarray, targets: np.ndarray):
-        self.shift = 64 - max(2, int(np.ceil(np.log2(4 * len(keys) + 4))))
+        self.shift = 64 - max(2, int(np.ceil(np.log2(2 * len(keys) + 4))))
         self.mask = (1 << (64 - self.shift)) - 1
         self.keys, self.targets = np.full(self.mask + 1, -1, np.int64), np.zeros(self.mask + 1, np.int32)
         self.probes, left, at = 0, np.arange(len(keys)), self._slot(keys)
@@ -97,8 +102,8 @@ class CrossParser:
     def __init__(self, samples: dict[str, list[str]]):
         self.languages = sorted(samples)
         letters = sorted({c for texts in samples.values() for t in texts for c in t.lower() if c.isalpha()})
-        self.unknown, self.pad = len(letters) + 1, len(letters) + 2
-        self.width = len(letters) + 3
+        self.unknown = len(letters) + 1
+        self.width = len(letters) + 2
         of = {c: i + 1 for i, c in enumerate(letters)}
         self.symbol = np.zeros(0x110000, dtype=np.int32)
         for code in range(len(self.symbol)):
@@ -137,55 +142,80 @@ class CrossParser:
         keep[1:] |= raw[:-1] != 0
         return raw[keep]
 
-    def _parse(self, matrix: np.ndarray) -> np.ndarray:
-        """Phrases of each column of `matrix` (steps x segments) for each language: languages x segments."""
-        n, many = matrix.shape[1], len(self.languages)
-        state = np.repeat(np.array(self.outside, dtype=np.int64)[:, None], n, axis=1)
-        count = np.zeros((many, n), dtype=np.int32)
-        for row in matrix:
-            live = np.flatnonzero(row != self.pad)
-            if not len(live) or not many:
-                break
-            on = row[live]
-            step = self.edges.find((state[:, live] * self.width + on).ravel()).reshape(many, -1)
+    def _run(self, flat: np.ndarray, at: np.ndarray, end: np.ndarray, lang: np.ndarray, segment: np.ndarray, state: np.ndarray, starts: np.ndarray, join: bool) -> np.ndarray:
+        """Parse lanes, each a language and a segment at..end of `flat` entered in `state`, and mark in `starts` where phrases begin.
+
+        With `join` a lane stops at a place where the parse marked before begins a phrase too: from there both agree.
+        Returns each lane's state at its segment's end, -1 where it stopped before.
+        """
+        out = np.full(len(lang), -1, dtype=np.int64)
+        lanes, place = np.arange(len(lang)), at[segment]
+        state = state.copy()
+        while True:
+            on = place < end[segment[lanes]]
+            out[lanes[~on]] = state[~on]
+            lanes, place, state = lanes[on], place[on], state[on]
+            if not len(lanes):
+                return out
+            symbol, own = flat[place], lang[lanes]
+            step = self.edges.find(state * self.width + symbol)
             new = step < 0
-            count[:, live] += new
-            state[:, live] = np.where(new, self.first[:, on], step)
-        return count
+            if join:
+                apart = ~(new & starts[own, place])
+                lanes, place, symbol, own, step, new = (x[apart] for x in (lanes, place, symbol, own, step, new))
+            starts[own, place] = new
+            state = np.where(new, self.first[own, symbol], step).astype(np.int64)
+            place = place + 1
+
+    def _phrase_starts(self, flat: np.ndarray, at: np.ndarray, end: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """Where phrases begin in the whole texts of `flat`, for each language; their segments are at..end, in order, of text `owner`.
+
+        All segments are parsed as if each began a text. Then each is entered in the state in which the one before it
+        ended, until its parse meets the one it has; where it meets none, the segment after it is entered again.
+        """
+        many, n = len(self.languages), len(at)
+        starts = np.zeros((many, len(flat)), dtype=bool)
+        lang, segment = np.repeat(np.arange(many), n), np.tile(np.arange(n), many)
+        ends = self._run(flat, at, end, lang, segment, np.array(self.outside, dtype=np.int64)[lang], starts, False).reshape(many, n)
+        inner = np.append(owner[1:] == owner[:-1], False)  # another segment of the text follows
+        todo = np.zeros((many, n), dtype=bool)
+        todo[:, 1:] = inner[:-1]
+        while todo.any():
+            lang, segment = np.nonzero(todo)
+            reached = self._run(flat, at, end, lang, segment, ends[lang, segment - 1], starts, True)
+            moved = (reached >= 0) & (reached != ends[lang, segment])
+            lang, segment = lang[moved], segment[moved]
+            ends[lang, segment] = reached[moved]
+            todo[:] = False
+            todo[lang[inner[segment]], segment[inner[segment]] + 1] = True
+        return starts
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(languages x texts) phrases and the number of symbols of each text."""
+        """(languages x texts) phrases of the whole texts and the number of symbols of each text."""
         found = [self.symbols(t) for t in texts]
         lengths = np.array([len(f) for f in found], dtype=np.int64)
-        total = np.zeros((len(self.languages), len(texts)), dtype=np.int64)
-        pieces = (lengths + SEGMENT - 1) // SEGMENT
         flat = np.concatenate(found) if found else np.zeros(0, np.int32)
-        starts = np.cumsum(lengths) - lengths
+        starts, pieces = np.cumsum(lengths) - lengths, (lengths + SEGMENT - 1) // SEGMENT
         owner = np.repeat(np.arange(len(texts)), pieces)
-        first = np.cumsum(pieces) - pieces
-        at = starts[owner] + (np.arange(len(owner)) - first[owner]) * SEGMENT
-        end = (starts + lengths)[owner]
-        for a in range(0, len(owner), BATCH // SEGMENT):
-            b = a + BATCH // SEGMENT
-            place = at[a:b][None, :] + np.arange(SEGMENT)[:, None]
-            inside = place < end[a:b][None, :]
-            matrix = np.where(inside, flat[np.minimum(place, len(flat) - 1)], self.pad).astype(np.int32)
-            counted = self._parse(matrix)
-            for k in range(len(self.languages)):
-                total[k] += np.bincount(owner[a:b], weights=counted[k], minlength=len(texts)).astype(np.int64)
+        at = starts[owner] + (np.arange(len(owner)) - (np.cumsum(pieces) - pieces)[owner]) * SEGMENT
+        begun = self._phrase_starts(flat, at, np.minimum(at + SEGMENT, (starts + lengths)[owner]), owner)
+        total = np.zeros((len(self.languages), len(texts)), dtype=np.int64)
+        for k, own in enumerate(begun):
+            sums = np.concatenate(([0], np.cumsum(own)))
+            total[k] = sums[starts + lengths] - sums[starts]
         return total, lengths
 
     def match_lengths(self, text: str) -> np.ndarray:
-        """Sum of longest-match lengths (64 at most) over all places of a text, for each language; settles ties."""
+        """Sum of longest-match lengths over all places of a text, for each language; settles ties."""
         symbols = self.symbols(text).astype(np.int64)
         sums = np.zeros(len(self.languages))
         for k, root in enumerate(self.roots):
             at, state = np.arange(len(symbols)), np.full(len(symbols), root, dtype=np.int64)
-            for step in range(64):
-                state = self.edges.find(state * self.width + symbols[at + step])
+            while len(at):
+                state = self.edges.find(state * self.width + symbols[at])
                 sums[k] += (state >= 0).sum()
-                on = (state >= 0) & (at + step + 1 < len(symbols))
-                at, state = at[on], state[on]
+                on = (state >= 0) & (at + 1 < len(symbols))
+                at, state = at[on] + 1, state[on]
         return sums
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -218,8 +248,14 @@ def fit(df: DataFrame, sample_chars: int = SAMPLE_CHARS, sample_docs: int = SAMP
     """Learn from rows with text, lang and doc_id whose crc32(doc_id) mod 5 is not 0.
 
     The documents with the least hash of doc_id are the sample: at most `sample_docs` a language, of each at most
-    sample_chars * 4 / sample_docs leading characters, `sample_chars` in all. Only that reaches the driver.
+    sample_chars * 4 / sample_docs leading characters, `sample_chars` in all. Where the languages are so many that their
+    samples would exceed ALL_CHARS, sample_chars is ALL_CHARS over their number, for all of them; under LEAST_CHARS
+    that is an error. Only the sample reaches the driver.
     """
+    languages = df.filter("lang IS NOT NULL").select("lang").distinct().count()
+    sample_chars = min(sample_chars, ALL_CHARS // max(languages, 1))
+    if sample_chars < LEAST_CHARS and languages > 1:
+        raise ValueError(f"{languages} different values of lang leave {sample_chars} characters for each")
     rows = df.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     keyed = rows.withColumn("key", F.xxhash64(F.col("doc_id").cast("string"))).withColumn("text", F.substring("text", 1, sample_chars * 4 // sample_docs))
     first = keyed.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("key", "doc_id", "text"))).filter(F.col("n") <= sample_docs)
@@ -243,12 +279,13 @@ def identify(df: DataFrame, model: CrossParser, column: str = "text") -> DataFra
         import pyarrow as pa
 
         parser = shared.value
+        together = BATCH // max(len(parser.languages), 1)
         for batch in batches:
             texts = batch.column(names.index(column)).to_pylist()
             langs, scores, means, a = [], [], [], 0
             while a < len(texts):
                 b, chars = a, 0
-                while b < len(texts) and (b == a or chars < 2 * BATCH):
+                while b < len(texts) and (b == a or chars < together):
                     chars += len(texts[b] or "")
                     b += 1
                 found = parser.predict(texts[a:b])

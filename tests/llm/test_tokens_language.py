@@ -71,22 +71,22 @@ def test_operator(spark, library):
 
 
 def brute_phrases(text, sample):
-    """Greedy parse of normalised text by substring search, in segments."""
-    count, whole = 0, text
-    for a in range(0, len(whole), language.SEGMENT):
-        part, i = whole[a : a + language.SEGMENT], 0
-        while i < len(part):
-            n = 1
-            while i + n < len(part) and part[i : i + n + 1] in sample:
-                n += 1
-            count, i = count + 1, i + n
+    """Greedy parse of the whole normalised text by substring search."""
+    count, i = 0, 0
+    while i < len(text):
+        n = 1
+        while i + n < len(text) and text[i : i + n + 1] in sample:
+            n += 1
+        count, i = count + 1, i + n
     return count
 
 
 def test_parse_equals_substring_search():
     samples = {"x": ["the cat sat on the mat, the end"], "y": ["la casa del gato en la mesa"]}
     parser = language.CrossParser(samples)
-    texts = ["the cat on the table", "el gato!! en casa 12", "zzz", "The The the " * 40, "q"]
+    r = random.Random(4)
+    texts = ["the cat on the table", "el gato!! en casa 12", "zzz", "The The the " * 400, "q", "", "the cat sat on the mat, the end" * 60, "za" * 2000]
+    texts += [" ".join(r.choice(["the", "cat", "gato", "en", "la", "zz", "mat"]) for _ in range(2500))]
     total, lengths = parser.phrases(texts)
     for k, name in enumerate(parser.languages):
         sample = "".join(map(chr, parser.symbols("\n".join(samples[name]))))
@@ -114,6 +114,58 @@ def test_large_alphabets():
         assert [brute_phrases("".join(map(chr, parser.symbols(t))), sample) for t in texts] == total[k].tolist()
 
 
+def test_predictions_and_ties_equal_plain_ones():
+    """The fewest bits win; of equal ones the longer matches over all places, then the first by name."""
+    r = random.Random(5)
+    words = ["ab", "abc", "bca", "cab", "a", "c", "cc", "ba"]
+    samples = {name: [" ".join(r.choice(words) for _ in range(12))] for name in "zyx"}
+    samples["w"] = samples["x"]
+    parser = language.CrossParser(samples)
+    plain = lambda t: "".join(map(chr, parser.symbols(t)))
+    normal = {name: plain("\n".join(t)) for name, t in samples.items()}
+
+    def judge(text):
+        p, scored = plain(text), {}
+        for name, own in normal.items():
+            bits = brute_phrases(p, own) * float(np.log2(len(own)))
+            match = sum(next(n for n in range(len(p) - i, -1, -1) if p[i : i + n] in own) for i in range(len(p)))
+            scored[name] = (bits, -match, name)
+        return min(scored, key=scored.get)
+
+    texts = [" ".join(r.choice(words) for _ in range(r.randrange(1, 9))) for _ in range(150)] + [samples["x"][0], "a" * 300]
+    assert parser.predict(texts)[0] == [judge(t) for t in texts]
+
+
+def test_queries_of_tokens_and_languages(spark, library):
+    """op5 and op6 as registered, over the whole table."""
+    import hashlib
+
+    text = {x.doc_id: x.text or "" for x in spark.read.parquet(DOCS).select("doc_id", "text").collect()}
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    out = bpe.op5_bpe_codec(spark, DOCS.rsplit("/", 1)[0]).collect()
+    assert sorted(x.doc_id for x in out) == sorted(text)
+    for x in out:
+        ids = library.encode_ordinary(text[x.doc_id])
+        assert (x.n_tokens, x.ids_sha256, x.decoded_sha256) == (len(ids), sha(" ".join(map(str, ids)).encode()), sha(text[x.doc_id].encode()))
+    out = language.op6_language_id(spark, DOCS.rsplit("/", 1)[0])
+    assert dict(out.dtypes)["held_out"] == "boolean" and dict(out.dtypes)["score"] == "double"
+    rows = out.collect()
+    assert sorted(x.doc_id for x in rows) == sorted(text)
+    for x in rows:
+        assert x.held_out == (zlib.crc32(str(x.doc_id).encode()) % 5 == 0) and 0 <= x.score <= 1
+        assert (x.lang_pred == "und") == (not any(c.isalpha() for c in text[x.doc_id]))
+
+
+def test_many_languages_share_the_sample(spark, monkeypatch):
+    rows = [(k, f"word{k % 7} " * 200, f"l{k % 7}") for k in range(70)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(language, "ALL_CHARS", 7 * 600)
+    assert max(len(x) for x in [language.fit(df).bits]) == 7
+    monkeypatch.setattr(language, "ALL_CHARS", 700)
+    with pytest.raises(ValueError):
+        language.fit(df)
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = language.identify(docs, language.fit(docs)).withColumn("held", language.held_out(F.col("doc_id"))).filter("held").collect()
