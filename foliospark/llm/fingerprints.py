@@ -1,15 +1,18 @@
 """Document fingerprints: Merkle trees over paragraphs and sections.
 
-Leaves are the hashes of a text's paragraphs: lines, cut further after sentence ends so that one edit in a long line
-does not change all of it. A section is a run of paragraphs that ends at a paragraph whose hash says so, so an edit
-moves no other section's borders. Sections hash their paragraphs' hashes; the root is flat, the hash of the whole text,
-and cannot be checked from the sections'. Equal roots mean equal texts; where roots differ, the sections and in them
-the paragraphs that differ locate the edit. Only
-DataFrame and SQL functions are used.
+Leaves are the hashes of a text's paragraphs: lines, cut further after sentence ends. A paragraph of more than LONG
+code points is cut on where its own words say so (a hash of the word, or the wide character, before the cut), and every
+so many words at the latest, so one edit in a long line does not change all of it and no leaf is without bound. A
+section is a run of paragraphs that ends at a paragraph whose hash says so, so an edit moves no other section's
+borders. A section is the hash of its leaves' full hashes, the root the hash of its sections' full hashes. Equal roots
+mean equal texts; where roots differ, descending into the sections that differ, and in them the leaves, locates the
+edit. Only DataFrame and SQL functions are used.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,37 +20,84 @@ from foliospark.llm import store
 
 #: After a line feed, or after white space that follows a sentence end. Nothing is lost: pieces keep their ends.
 PARAGRAPH_END = r"(?<=\n)|(?<=[.!?]\s)(?=\S)"
-#: Hex digits of a leaf or section hash; a paragraph whose hash ends in one of SECTION_END (a quarter) ends its section.
-DIGITS = 8
-SECTION_END = "0123"
+#: Code points from which a paragraph is cut at its own words.
+LONG = 100
+#: A wide character, or up to 64 others and the white space after them, or white space.
+TOKEN = r"[\x{2E80}-\x{10FFFF}]|[^\x20\x09-\x0D\x{2E80}-\x{10FFFF}]{1,64}[\x20\x09-\x0D]{0,64}|[\x20\x09-\x0D]{1,64}"
+#: Tokens whose md5 begins with one of these end a leaf (an eighth), and so does each 64th token of a paragraph.
+TOKEN_END = ("0", "1")
+MOST_TOKENS = 64
+#: Marks a cut; where the text itself has the first of the two, ESCAPE follows it there.
+MARK, SIGN, ESCAPE = "\x01\x03", "\x01", "\x02"
+#: Hex digits of a leaf that are shown; a paragraph whose hash ends in one of SECTION_END (an eighth) ends its section.
+DIGITS = 12
+SECTION_END = "01"
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def paragraphs(text: Column) -> Column:
+    """The pieces that are leaves, in order; joined they are the text with each SIGN escaped."""
+    lines = F.filter(F.split(F.replace(text, F.lit(SIGN), F.lit(SIGN + ESCAPE)), PARAGRAPH_END, -1), lambda p: p != "")
+
+    def cut(p: Column) -> Column:
+        ends = lambda t, i: F.substring(F.md5(t), 1, 1).isin(*TOKEN_END) | (i % MOST_TOKENS == MOST_TOKENS - 1)
+        marked = F.transform(F.regexp_extract_all(p, F.lit(TOKEN), F.lit(0)), lambda t, i: F.when(ends(t, i), F.concat(t, F.lit(MARK))).otherwise(t))
+        return F.filter(F.split(F.array_join(marked, ""), MARK, -1), lambda x: x != "")
+
+    return F.flatten(F.transform(lines, lambda p: F.when(F.char_length(p) > LONG, cut(p)).otherwise(F.array(p))))
 
 
 def fingerprint(text: Column) -> Column:
-    """The tree as text: root;section:leaf,leaf,...;section:leaf,... Equal texts have equal fingerprints."""
-    paragraphs = F.filter(F.split(text, PARAGRAPH_END, -1), lambda p: p != "")
-    leaves = F.transform(paragraphs, lambda p: F.substring(F.sha2(p, 256), 1, DIGITS))
-    runs = F.split(F.array_join(leaves, ","), f"(?<=[{SECTION_END}]),(?=.)")
-    sections = F.transform(runs, lambda run: F.concat(F.substring(F.sha2(run, 256), 1, DIGITS), F.lit(":"), run))
-    return F.concat(F.sha2(text, 256), F.lit(";"), F.array_join(sections, ";"))
+    """The tree as text: root;section:leaf,leaf,...;section:leaf,... Equal texts have equal fingerprints.
+
+    Root and sections are shown whole, so the root can be checked from them; of leaves the first DIGITS digits are shown.
+    """
+    leaves = F.transform(paragraphs(text), lambda p: F.sha2(p, 256))
+    runs = F.split(F.array_join(leaves, ","), f"(?<=[{SECTION_END}]),")
+    shown = lambda run: F.regexp_replace(run, rf"([0-9a-f]{{{DIGITS}}})[0-9a-f]{{{64 - DIGITS}}}", "$1")
+    sections = F.transform(runs, lambda run: F.concat(F.sha2(run, 256), F.lit(":"), shown(run)))
+    root = lambda s: F.sha2(F.array_join(F.transform(s, lambda x: F.substring(x, 1, 64)), ","), 256)
+    return _let(sections, lambda s: F.concat(root(s), F.lit(";"), F.array_join(s, ";")))
 
 
 def leaves_of(tree: Column) -> Column:
-    """The different leaf hashes of a fingerprint; none for empty text."""
-    return F.array_distinct(F.filter(F.regexp_extract_all(tree, F.lit(rf"[:,]([0-9a-f]{{{DIGITS}}})"), F.lit(1)), lambda x: x != ""))
+    """The different leaves of a fingerprint, or of sections of one; none for empty text."""
+    return F.array_distinct(F.regexp_extract_all(tree, F.lit(rf"[:,]([0-9a-f]{{{DIGITS}}})"), F.lit(1)))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Twice the common leaves over all leaves of two fingerprints, 0 to 1; 1 for equal ones."""
-    x, y = leaves_of(a), leaves_of(b)
-    shared = F.size(F.array_intersect(x, y)).cast("double") * 2
-    return F.when(a == b, F.lit(1.0)).otherwise(F.coalesce(F.try_divide(shared, F.size(x) + F.size(y)), F.lit(0.0)))
+    dice = lambda x: F.coalesce(F.try_divide(F.size(F.array_intersect(x["a"], x["b"])).cast("double") * 2, F.size(x["a"]) + F.size(x["b"])), F.lit(0.0))
+    return F.when(a == b, F.lit(1.0)).otherwise(_let(F.struct(leaves_of(a).alias("a"), leaves_of(b).alias("b")), dice))
 
 
-def changed_sections(a: Column, b: Column) -> Column:
-    """Numbers, from 0, of the sections of `a` that `b` has not: where the edit is."""
-    cut = lambda tree: F.slice(F.split(tree, ";"), 2, 1 << 30)
-    missing = F.transform(cut(a), lambda s, i: F.when(~F.array_contains(cut(b), s), i))
-    return F.filter(missing, lambda i: i.isNotNull())
+def _sections(tree: Column) -> Column:
+    return F.slice(F.split(tree, ";"), 2, 1 << 30)
+
+
+def changes(a: Column, b: Column) -> Column:
+    """Where `a` differs from `b`, by descending from the root: struct of the numbers of different sections and leaves that
+    `a` has and `b` has not, and the path of the first, as section/leaf counted from 0 (null for equal roots, and where
+    `b` only has more).
+
+    Leaves are compared only inside sections that differ.
+    """
+
+    def leaves(x: Column) -> Column:
+        fresh = F.array_except(leaves_of(F.array_join(x["mine"], ";")), leaves_of(F.array_join(x["other"], ";")))
+        first = F.element_at(x["mine"], 1)
+        own = F.split(F.substring_index(first, ":", -1), ",")
+        at = F.array_position(F.transform(own, lambda l: F.array_contains(fresh, l)), True)
+        path = F.when(F.size(x["mine"]) > 0, F.concat_ws("/", F.array_position(x["all"], first) - 1, F.greatest(at - 1, F.lit(0))))
+        return F.struct(F.size(x["mine"]).alias("sections"), F.size(fresh).alias("leaves"), path.alias("first"))
+
+    none = F.struct(F.lit(0).alias("sections"), F.lit(0).alias("leaves"), F.lit(None).cast("string").alias("first"))
+    both = F.struct(_sections(a).alias("all"), F.array_except(_sections(a), _sections(b)).alias("mine"), F.array_except(_sections(b), _sections(a)).alias("other"))
+    return F.when(F.substring(a, 1, 64) == F.substring(b, 1, 64), none).otherwise(_let(both, leaves))
 
 
 def document_order(docs: DataFrame) -> DataFrame:
@@ -62,7 +112,8 @@ def document_order(docs: DataFrame) -> DataFrame:
 
 
 def merkle_fingerprints(df: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_changed_sections and next_id for each row of `df` (doc_id, text).
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_changed_sections, n_changed_leaves, first_change and next_id
+    for each row of `df` (doc_id, text).
 
     A document's edited text has its last floor(n_chars / 2) code points replaced by the first as many, or all, of the
     next document's, by doc_id, the last being followed by the first. Null text is empty. Documents are ordered by
@@ -87,12 +138,13 @@ def merkle_fingerprints(df: DataFrame) -> DataFrame:
     trees = own.join(lent.hint("merge"), ["h", "g"]).select(
         "doc_id", n.cast("long").alias("n_chars"), F.concat(kept, F.col("next.lent")).alias("edited"), fingerprint(F.col("text")).alias("fingerprint"), "next"
     )
-    trees = trees.withColumn("edited_fingerprint", fingerprint(F.col("edited")))
+    trees = trees.withColumn("edited_fingerprint", fingerprint(F.col("edited"))).withColumn("changed", changes(F.col("fingerprint"), F.col("edited_fingerprint")))
     return trees.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next.next_fingerprint")).alias("near_next"),
-        F.size(changed_sections(F.col("fingerprint"), F.col("edited_fingerprint"))).alias("n_changed_sections"), F.col("next.next_id").alias("next_id"),
+        F.col("changed.sections").alias("n_changed_sections"), F.col("changed.leaves").alias("n_changed_leaves"), F.col("changed.first").alias("first_change"),
+        F.col("next.next_id").alias("next_id"),
     )
 
 
@@ -101,23 +153,41 @@ def op1_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
+    mark = "chr(1) || chr(3)"
+    ends = " OR ".join(f"md5(t)[1] = '{x}'" for x in TOKEN_END)
+    tokens = f"regexp_extract_all(p, '{TOKEN}')"
+    cut = f"string_split(array_to_string(list_transform({tokens}, lambda t, i: t || CASE WHEN {ends} OR i % {MOST_TOKENS} = 0 THEN {mark} ELSE '' END), ''), {mark})"
+
     def tree(t: str) -> str:
-        cut = rf"regexp_replace(regexp_replace(replace({t}, chr(10), concat(chr(10), chr(1))), '([.!?]\s)([^\s\x01])', '\1' || chr(1) || '\2', 'g'), '([.!?]\s)([^\s\x01])', '\1' || chr(1) || '\2', 'g')"
-        leaves = f"array_to_string(list_transform(list_filter(string_split({cut}, chr(1)), lambda p: p <> ''), lambda p: left(sha256(p), {DIGITS})), ',')"
+        sentence = lambda x: f"regexp_replace({x}, '([.!?]\\s)([^\\s\\x01])', '\\1' || {mark} || '\\2', 'g')"
+        lines = f"string_split({sentence(sentence(f'replace(replace({t}, chr(1), chr(1) || chr(2)), chr(10), chr(10) || {mark})'))}, {mark})"
+        pieces = f"flatten(list_transform({lines}, lambda p: CASE WHEN length(p) > {LONG} THEN {cut} ELSE [p] END))"
+        leaves = f"array_to_string(list_transform(list_filter({pieces}, lambda p: p <> ''), lambda p: sha256(p)), ',')"
         runs = f"string_split(regexp_replace({leaves}, '([{SECTION_END}]),', '\\1;', 'g'), ';')"
-        return f"concat(sha256({t}), ';', array_to_string(list_transform({runs}, lambda r: concat(left(sha256(r), {DIGITS}), ':', r)), ';'))"
+        return f"list_transform({runs}, lambda r: concat(sha256(r), ':', regexp_replace(r, '([0-9a-f]{{{DIGITS}}})[0-9a-f]{{{64 - DIGITS}}}', '\\1', 'g')))"
+
+    def shown(s: str) -> str:
+        return f"concat(sha256(array_to_string(list_transform({s}, lambda x: left(x, 64)), ',')), ';', array_to_string({s}, ';'))"
+
+    def leaves_in(s: str) -> str:
+        return f"list_distinct(regexp_extract_all({s}, '[:,]([0-9a-f]{{{DIGITS}}})', 1))"
 
     def near(a: str, b: str) -> str:
-        x, y = (f"list_distinct(regexp_extract_all({t}, '[:,]([0-9a-f]{{{DIGITS}}})', 1))" for t in (a, b))
+        x, y = leaves_in(a), leaves_in(b)
         return f"CASE WHEN {a} = {b} THEN 1.0 WHEN len({x}) + len({y}) = 0 THEN 0.0 ELSE len(list_intersect({x}, {y}))::DOUBLE * 2 / (len({x}) + len({y})) END"
 
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 n AS (SELECT doc_id, text, coalesce(lead(text) OVER w, first_value(text) OVER w) AS after, coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER w) AS next_id FROM d WINDOW w AS (ORDER BY doc_id)),
 e AS (SELECT *, concat(left(text, length(text) - length(text) // 2), left(after, length(text) // 2)) AS edited FROM n),
-f AS (SELECT *, {tree("text")} AS fingerprint, {tree("edited")} AS edited_fingerprint, {tree("after")} AS after_fingerprint FROM e)
+s AS (SELECT *, {tree("text")} AS ts, {tree("edited")} AS es, {tree("after")} AS ats FROM e),
+f AS (SELECT *, {shown("ts")} AS fingerprint, {shown("es")} AS edited_fingerprint, {shown("ats")} AS after_fingerprint,
+  list_filter(ts, lambda x: NOT list_contains(es, x)) AS mine, list_filter(es, lambda x: NOT list_contains(ts, x)) AS other FROM s),
+c AS (SELECT *, list_filter({leaves_in("array_to_string(mine, ';')")}, lambda l: NOT list_contains({leaves_in("array_to_string(other, ';')")}, l)) AS fresh FROM f)
 SELECT doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256, fingerprint, edited_fingerprint, {near("fingerprint", "edited_fingerprint")} AS near_edited, {near("fingerprint", "after_fingerprint")} AS near_next,
- len(list_filter(string_split(fingerprint, ';')[2:], lambda s: NOT list_contains(string_split(edited_fingerprint, ';')[2:], s))) AS n_changed_sections, next_id FROM f
+ len(list_distinct(mine)) AS n_changed_sections, len(fresh) AS n_changed_leaves,
+ CASE WHEN len(mine) > 0 THEN concat(list_position(ts, mine[1]) - 1, '/', greatest(coalesce(list_position(list_transform(string_split(split_part(mine[1], ':', 2), ','), lambda l: list_contains(fresh, l)), true), 0) - 1, 0)) END AS first_change,
+ next_id FROM c
 """
 
 

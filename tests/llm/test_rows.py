@@ -46,29 +46,70 @@ def test_fingerprints(spark):
     assert alone.near_next == 1 and alone.next_id == 1
 
 
+def brute_paragraphs(text):
+    text = text.replace("\x01", "\x01\x02")
+    out = []
+    for p in re.split(r"(?<=\n)|(?<=[.!?][ \t-\r])(?=[^ \t-\r])", text):
+        if len(p) <= 100:
+            out.append(p)
+            continue
+        piece = ""
+        for k, t in enumerate(re.findall("[\u2e80-\U0010ffff]|[^\x20\x09-\x0D\u2e80-\U0010ffff]{1,64}[\x20\x09-\x0D]{0,64}|[\x20\x09-\x0D]{1,64}", p)):
+            piece += t
+            if hashlib.md5(t.encode()).hexdigest()[0] in "01" or k % 64 == 63:
+                out.append(piece)
+                piece = ""
+        out.append(piece)
+    assert "".join(out) == text
+    return [p for p in out if p]
+
+
 def brute_fingerprint(text):
-    parts = [p for p in re.split(r"(?<=\n)|(?<=[.!?]\s)(?=\S)", text) if p]
-    leaves = [hashlib.sha256(p.encode()).hexdigest()[:8] for p in parts]
+    """The tree from its leaves upwards."""
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
     runs, run = [], []
-    for k, leaf in enumerate(leaves):
-        run.append(leaf)
-        if leaf[-1] in "0123" and k + 1 < len(leaves):
+    for p in brute_paragraphs(text):
+        run.append(sha(p))
+        if run[-1][-1] in "01":
             runs, run = runs + [run], []
-    runs.append(run)
-    sections = [hashlib.sha256(",".join(r).encode()).hexdigest()[:8] + ":" + ",".join(r) for r in runs]
-    return hashlib.sha256(text.encode()).hexdigest() + ";" + ";".join(sections)
+    if run or not runs:
+        runs.append(run)
+    sections = [sha(",".join(r)) for r in runs]
+    return sha(",".join(sections)) + ";" + ";".join(f"{h}:" + ",".join(leaf[:12] for leaf in r) for h, r in zip(sections, runs))
 
 
 def test_tree_and_likeness(spark):
     rows = [(x.text,) for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()] + [("",), ("\n\n",), ("a.\nb! c? d",)]
+    rows += [("word " * 3000,), ("x" * 9000,), ("中文" * 300 + " end\x01\x02 of it " * 30,), (" \t" * 900,), ("a\x01b" * 60,)]
+    rows = [r for r in rows if r[0] is not None]
     out = spark.createDataFrame(rows, "text string").select("text", fingerprints.fingerprint(F.col("text")).alias("f")).collect()
-    assert all(x.f == brute_fingerprint(x.text) for x in out)
+    trees = [(x.f, brute_fingerprint(x.text)) for x in out]
+    for got, want in trees:
+        assert got == want
+        heads = ",".join(s.split(":")[0] for s in got.split(";")[1:])
+        assert got[:64] == hashlib.sha256(heads.encode()).hexdigest()  # the root from its children
     long = "".join(f"Sentence number {k} here. " for k in range(60))
     changed = long.replace("number 30 here", "number 30 there")
     row = spark.createDataFrame([(long, changed)], "a string, b string")
     fa, fb = fingerprints.fingerprint(F.col("a")), fingerprints.fingerprint(F.col("b"))
-    x = row.select(fingerprints.likeness(fa, fb).alias("near"), fingerprints.changed_sections(fa, fb).alias("where")).first()
-    assert x.near == pytest.approx(59 / 60) and len(x["where"]) in (1, 2)
+    x = row.select(fingerprints.likeness(fa, fb).alias("near"), fingerprints.changes(fa, fb).alias("c"), fingerprints.changes(fa, fa).alias("same"), fa.alias("fa"), fb.alias("fb")).first()
+    assert x.near == pytest.approx(59 / 60) and x.c.leaves == 1 and x.c.sections in (1, 2) and x.same == (0, 0, None)
+    section, leaf = map(int, x.c.first.split("/"))
+    before = sum(len(s.split(",")) for s in x.fa.split(";")[1 : 1 + section])
+    assert before + leaf == 30 and x.fa[:64] != x.fb[:64]
+
+
+def test_edits_in_long_lines_are_located(spark):
+    """A long line, text of wide characters and one repeated word: half of the text changed leaves about half of the leaves."""
+    r = random.Random(3)
+    line = " ".join("".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 9))) for _ in range(3000))
+    wide = "".join(chr(0x4E00 + r.randrange(2000)) for _ in range(3000))
+    for text in (line, wide):
+        a, b = (spark.createDataFrame([(x,)], "t string") for x in (text, text[: len(text) // 2] + text[: len(text) // 2][::-1]))
+        fa, fb = (d.select(fingerprints.fingerprint(F.col("t"))).first()[0] for d in (a, b))
+        near = spark.range(1).select(fingerprints.likeness(F.lit(fa), F.lit(fb))).first()[0]
+        assert 0.4 < near < 0.6
+        assert max(map(len, brute_paragraphs(text))) < 1200
 
 
 def test_permutation():
