@@ -3,12 +3,14 @@
 A window is a run of `width` units (words or bytes). Its anchor is the place of the least hash among its grams, so equal
 windows have equal anchors at equal distances. Documents are reduced to their anchors (a few per cent of their
 places); anchors whose gram occurs once are done with. The text around the others, all windows that belong to the
-anchor, is dealt out by gram: the anchors of a gram are a group of suffixes with that prefix, compared exactly by the
-operator's own structure. What comes back is a covered range per anchor.
+anchor, is a slice. Equal slices are counted by aggregation, and one of them is dealt out by gram: the different slices of a
+gram are a group of suffixes with that prefix, compared exactly by the operator's own structure. What comes back is
+a covered range per different slice, which every place of it is joined with.
 
 Prefixes have variable lengths. The bytes of a group are counted before its text is moved; a group beyond GROUP_BYTES
-is split by a longer prefix: its windows, and only they, are anchored again by longer grams, until every group fits or
-the prefix is as long as the window. Such a prefix is the node itself, and its members are counted by aggregation.
+is split by longer prefixes: its different slices are the documents of the same search with longer grams, until every
+group fits or the prefix is as long as the window. Such a prefix is the node itself, and its members are counted by
+aggregation.
 """
 
 from __future__ import annotations
@@ -23,18 +25,17 @@ from foliospark.llm import store, vectors
 
 #: An anchor's place, distance back to its first window's start and number of windows, packed in one number.
 STEP = 1 << 10
-#: Bytes of text beyond which a group gets longer prefixes.
-GROUP_BYTES = 2 << 20
-#: Rows and bytes of text of the groups that a task compares together; no group is cut.
-TOGETHER = 6_000
+#: Bytes of different slices beyond which a group gets longer prefixes.
+GROUP_BYTES = 1 << 19
+#: Rows (two a slice) and bytes of text of the groups that a task compares together; no group is cut.
+TOGETHER = 12_000
 TOGETHER_BYTES = 4 << 20
 
 
-def packed_anchors(values: np.ndarray, owner_start: np.ndarray, owner: np.ndarray, width: int, gram: int, asked: np.ndarray | None = None):
+def packed_anchors(values: np.ndarray, owner_start: np.ndarray, owner: np.ndarray, width: int, gram: int):
     """Of unit hashes and each unit's document: (gram hash, document row, packed place) of every anchor.
 
-    `owner_start` is each document's first unit, `owner` the document of each unit; `asked` says of each unit whether
-    the window that starts there is asked for (all are where it is None).
+    `owner_start` is each document's first unit, `owner` the document of each unit.
     """
     n = len(values)
     empty = np.zeros(0, dtype=np.int64)
@@ -42,8 +43,7 @@ def packed_anchors(values: np.ndarray, owner_start: np.ndarray, owner: np.ndarra
         return empty, empty, empty
     grams = vectors.window_hashes(values, gram, vectors.ITEM_BASE)
     at = vectors.anchors(grams, width - gram + 1)  # a window that crosses documents is dropped next
-    inside = owner[: n - width + 1] == owner[width - 1 :]
-    starts = np.flatnonzero(inside if asked is None else inside & asked[: n - width + 1])
+    starts = np.flatnonzero(owner[: n - width + 1] == owner[width - 1 :])
     at = at[starts]
     if not len(at):
         return empty, empty, empty
@@ -99,38 +99,22 @@ def _each(first: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def anchor_rows(docs: DataFrame, units: Callable, width: int, gram: int) -> DataFrame:
-    """gram, ka, kb, kc, place and size (bytes of its windows' text) of every anchor of docs(ka, kb, kc, text).
-
-    Where docs has `asked`, places of shorter grams, only the windows that belong to these have anchors.
-    """
-    some = ["asked"] if "asked" in docs.columns else []
+    """gram, ka, kb, kc and place of every anchor of docs(ka, kb, kc, text)."""
 
     def run(tables):
         import pyarrow as pa
 
         for table in tables:
             keys = _longs(table, "ka", "kb", "kc")
-            if some:
-                upto, places = _lists(table.column("asked"))
-                places = places.to_numpy(zero_copy_only=False).astype(np.int64)
             for row, data, starts, ends in vectors.batches(table.column("text")):
-                values, doc, first, _, at, to = units(data, starts, ends)
-                asked = None
-                if some:
-                    begin, many = _starts(places[upto[row] : upto[row + len(starts)]])
-                    own = np.repeat(np.arange(len(starts)), np.diff(upto[row : row + len(starts) + 1]))
-                    asked = np.zeros(len(values), dtype=bool)
-                    asked[_each(first[own] + begin, many)[1]] = True
-                hashes, own, place = packed_anchors(values, first, doc, width, gram, asked)
-                begin, many = _starts(place)
-                begin += first[own]
-                size = to[begin + many + width - 2] - at[begin] if len(own) else begin
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (hashes, *(k[row + own] for k in keys), place, size)], names=["gram", "ka", "kb", "kc", "place", "size"])
+                values, doc, first, _, _, _ = units(data, starts, ends)
+                hashes, own, place = packed_anchors(values, first, doc, width, gram)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (hashes, *(k[row + own] for k in keys), place)], names=["gram", "ka", "kb", "kc", "place"])
 
-    return docs.select("ka", "kb", "kc", "text", *some).mapInArrow(run, "gram long, ka long, kb long, kc long, place long, size long")
+    return docs.select("ka", "kb", "kc", "text").mapInArrow(run, "gram long, ka long, kb long, kc long, place long")
 
 
-SLICE = "gram long, d1 long, d2 long, ka long, kb long, kc long, first long, ahead long, many long, data binary"
+SLICE = "gram long, d1 long, d2 long, ka long, kb long, kc long, first long, ahead long, many long, size long, data binary"
 #: Slices a task remembers; of those with equal text it sends the text once.
 REMEMBERED = 200_000
 
@@ -138,10 +122,10 @@ REMEMBERED = 200_000
 def slices(docs: DataFrame, units: Callable, width: int) -> DataFrame:
     """For docs(ka, kb, kc, text, wanted array<struct<gram, place>>) a row for each wanted anchor, with the text of its windows.
 
-    `first` is the unit at which the slice begins, `ahead` the anchor's distance from it, `many` its windows; d1 and d2
-    are the text's digest. A slice that the task has sent before goes without its text: copies are combined here.
+    `first` is the unit at which the slice begins, `ahead` the anchor's distance from it, `many` its windows, `size` its
+    bytes; d1 and d2 are the digest of text and anchor. A slice that the task has sent before goes without its text.
     """
-    names = ["gram", "d1", "d2", "ka", "kb", "kc", "first", "ahead", "many", "data"]
+    names = ["gram", "d1", "d2", "ka", "kb", "kc", "first", "ahead", "many", "size", "data"]
 
     def run(tables):
         import pyarrow as pa
@@ -175,16 +159,16 @@ def slices(docs: DataFrame, units: Callable, width: int) -> DataFrame:
                                 seen.clear()
                             seen.add(h)
                             parts.append(whole[i:j])
-                    columns = [gram[own], d1[own], d2[own], *(k[row + doc[own]] for k in keys), begin[own], ahead[own], many[own]]
+                    columns = [gram[own], d1[own], d2[own], *(k[row + doc[own]] for k in keys), begin[own], ahead[own], many[own], (b - a)[own]]
                     yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(parts, pa.binary())], names=names)
 
     return docs.select("ka", "kb", "kc", "text", "wanted").mapInArrow(run, SLICE)
 
 
 def window_rows(docs: DataFrame, units: Callable, width: int) -> DataFrame:
-    """d1, d2, ka, kb, kc, many, runs: a row for each different window that belongs to the places `asked` of docs(ka, kb, kc, text, asked).
+    """d1, d2, ka, kb, kc, many, runs: a row for each different window of docs(ka, kb, kc, text).
 
-    d1 and d2 are the window's digest, `many` its places in the document, `runs` these as ranges of window starts.
+    d1 and d2 are the window's digest, `many` its places in the text, `runs` these as ranges of window starts.
     """
     names = ["d1", "d2", "ka", "kb", "kc", "many", "runs"]
 
@@ -193,17 +177,12 @@ def window_rows(docs: DataFrame, units: Callable, width: int) -> DataFrame:
 
         for table in tables:
             keys = _longs(table, "ka", "kb", "kc")
-            upto, places = _lists(table.column("asked"))
-            places = places.to_numpy(zero_copy_only=False).astype(np.int64)
             for row, data, starts, ends in vectors.batches(table.column("text")):
-                values, _, first, _, _, _ = units(data, starts, ends)
-                begin, many = _starts(places[upto[row] : upto[row + len(starts)]])
-                doc = np.repeat(np.arange(len(starts)), np.diff(upto[row : row + len(starts) + 1]))
-                owner, start = _each(begin, many)
-                if not len(owner):
+                values, _, first, last, _, _ = units(data, starts, ends)
+                doc, at = _each(first, np.maximum(last - first - width + 1, 0))
+                if not len(doc):
                     continue
-                doc = doc[owner]
-                at = first[doc] + start
+                start = at - first[doc]
                 d1, d2 = (vectors.range_hashes(values, at, at + width, base).view(np.int64) for base in (vectors.BYTE_BASE, vectors.ITEM_BASE))
                 order = np.lexsort((start, d2, d1, doc))
                 doc, start, d1, d2 = doc[order], start[order], d1[order], d2[order]
@@ -219,54 +198,63 @@ def window_rows(docs: DataFrame, units: Callable, width: int) -> DataFrame:
                 columns = [d1[lead], d2[lead], *(k[row + doc[lead]] for k in keys), times]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns), lists], names=names)
 
-    return docs.select("ka", "kb", "kc", "text", "asked").mapInArrow(run, "d1 long, d2 long, ka long, kb long, kc long, many long, runs array<struct<lo: bigint, hi: bigint>>")
+    return docs.select("ka", "kb", "kc", "text").mapInArrow(run, "d1 long, d2 long, ka long, kb long, kc long, many long, runs array<struct<lo: bigint, hi: bigint>>")
 
 
-def compare(sliced: DataFrame, covered: Callable) -> DataFrame:
-    """kb, kc, lo, hi: the repeated windows' first and last start for each slice, by `covered`.
+def compare(heads: DataFrame, counted: DataFrame, covered: Callable) -> DataFrame:
+    """d1, d2, least, n, lo, hi for the slices counted(gram, d1, d2, least, n, ahead, many) at several places or with repeated windows.
 
-    Rows are dealt by gram and sorted (on disk if need be), so a task holds whole groups, some at a time, and of equal
-    slices one. covered(ahead, many, data, of, ka) gets the different slices, and of each row its slice and ka; it gives
-    rows and their first and last repeated window, counted from the slice's first.
+    lo and hi are the first and last repeated window (-1: none) by covered(ahead, many, data, least), which gets the
+    different slices of whole groups and gives their numbers, lo and hi. heads(gram, d1, d2, data) has the text of each slice, once or more.
+    Rows are dealt by gram and sorted (on disk if need be); of equal slices a task holds one.
     """
-    n = store.partitions(sliced.sparkSession)
+    n = store.partitions(heads.sparkSession)
+    none = {k: F.lit(None).cast(t) for k, t in (("least", "long"), ("n", "long"), ("ahead", "long"), ("many", "long"), ("data", "binary"))}
+    key = ["gram", "d1", "d2"]
+    rows = heads.select(*key, *[none[k].alias(k) for k in ("least", "n", "ahead", "many")], "data").unionByName(counted.select(*key, "least", "n", "ahead", "many", none["data"].alias("data")))
 
     def run(tables):
         import pyarrow as pa
 
         held: list = []
-        rows = size = 0
+        many_rows = size = 0
+        before = None
 
         def flush(final: bool):
-            nonlocal held, rows, size
+            nonlocal held, many_rows, size
             table = pa.Table.from_batches(held).combine_chunks()
             gram = table.column("gram").to_numpy()
             cut = len(gram) if final else int(np.searchsorted(gram, gram[-1], side="left"))
-            held, rows, size = ([] if final else table.slice(cut).to_batches()), len(gram) - cut, 0
-            table = table.slice(0, cut)
-            d1, d2, ka, kb, kc, first, ahead, many = _longs(table, "d1", "d2", "ka", "kb", "kc", "first", "ahead", "many")
-            gram = gram[:cut]
-            new = np.ones(cut, dtype=bool)
-            new[1:] = (gram[1:] != gram[:-1]) | (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1])
-            lead = np.flatnonzero(new)  # the rows with text come first
-            data = table.column("data").combine_chunks().take(pa.array(lead))
-            index, a, b = covered(ahead[lead], many[lead], data, np.cumsum(new) - 1, ka)
-            out = [kb[index], kc[index], first[index] + a, first[index] + b]
-            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in out], names=["kb", "kc", "lo", "hi"])
+            held, many_rows, size = ([] if final else table.slice(cut).to_batches()), len(gram) - cut, 0
+            text, own = (table.slice(0, cut).take(pa.array(np.arange(k, cut, 2))) for k in (0, 1))  # a slice's text, then its counts
+            d1, d2, least, times, ahead, many = _longs(own, "d1", "d2", "least", "n", "ahead", "many")
+            low, high = np.full(len(d1), -1), np.full(len(d1), -1)
+            index, a, b = covered(ahead, many, text.column("data").combine_chunks(), least)
+            low[index], high[index] = a, b
+            keep = (times > 1) | (low >= 0)
+            return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (d1, d2, least, times, low, high)], names=["d1", "d2", "least", "n", "lo", "hi"])
 
         for table in tables:
+            if not table.num_rows:
+                continue
+            gram, d1, d2 = _longs(table, *key)
+            fresh = np.ones(len(gram), dtype=bool)
+            fresh[1:] = (gram[1:] != gram[:-1]) | (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1])
+            fresh[0] = before != (gram[0], d1[0], d2[0])
+            before = gram[-1], d1[-1], d2[-1]
+            counts = table.column("data").is_null().to_numpy(zero_copy_only=False)
+            table = table.take(pa.array(np.flatnonzero(fresh | counts)))
             if not table.num_rows:
                 continue
             held.append(table)
-            rows += table.num_rows
+            many_rows += table.num_rows
             size += table.column("data").nbytes
-            if (rows >= TOGETHER or size >= TOGETHER_BYTES) and table.column("gram")[table.num_rows - 1] != held[0].column("gram")[0]:
+            if (many_rows >= TOGETHER or size >= TOGETHER_BYTES) and table.column("gram")[table.num_rows - 1] != held[0].column("gram")[0]:
                 yield flush(False)
         if held:
             yield flush(True)
 
-    order = ["gram", "d1", "d2", F.col("data").isNull()]
-    return sliced.repartition(n, "gram").sortWithinPartitions(*order).mapInArrow(run, "kb long, kc long, lo long, hi long")
+    return rows.repartition(n, "gram").sortWithinPartitions(*key, F.col("data").isNull()).mapInArrow(run, "d1 long, d2 long, least long, n long, lo long, hi long")
 
 
 def counted_ranges(rows: DataFrame, repeated: Column, label: str) -> DataFrame:
@@ -286,32 +274,49 @@ def covered_ranges(docs: DataFrame, units: Callable, width: int, prefixes: tuple
     """
     if not 0 < prefixes[0] <= prefixes[-1] < width or width - prefixes[0] >= STEP - 1:
         raise ValueError(f"prefixes must be shorter than the window and the window at most {STEP - 2} longer than the first")
-    found, some = [], docs
-    for gram in prefixes:
-        anchors = store.save(anchor_rows(some, units, width, gram), f"{label}-anchors-{gram}")
-        at = F.struct("kb", "kc", "place")
-        grouped = anchors.groupBy("gram").agg(F.min(at).alias("one"), F.max(at).alias("other"), F.sum("size").alias("size"))
-        # Written first: both sides of the next join are then shuffles, which Spark splits where a gram is skewed.
-        often = store.save(grouped.filter("one <> other").select("gram", (F.col("size") > GROUP_BYTES).alias("long")), f"{label}-often-{gram}")
-        split = not often.filter("long").isEmpty()
-        own = anchors.join(often.hint("merge"), "gram").groupBy("kb", "kc").agg(
-            F.min("ka").alias("least_ka"),
-            F.sort_array(F.collect_set(F.when(~F.col("long"), F.struct("gram", "place")))).alias("wanted"), F.sort_array(F.collect_set(F.when(F.col("long"), F.col("place")))).alias("asked"),
-        )
-        wanted = store.save(own, f"{label}-wanted-{gram}")
-        store.drop(anchors)
-        of_text = docs.join(wanted.hint("merge"), ["kb", "kc"]).filter("ka = least_ka")
-        sliced = store.save(slices(of_text.filter(F.size("wanted") > 0), units, width), f"{label}-slices-{gram}")
-        found.append(compare(sliced, covered).select("kb", "kc", F.array(F.struct("lo", "hi")).alias("ranges")))
-        if not split:
-            break
-        some = of_text.filter(F.size("asked") > 0).select("ka", "kb", "kc", "text", "asked")
+    ranges = _ranges(docs, units, width, prefixes, covered, repeated, label)
+    return ranges.groupBy("kb", "kc").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+
+
+def _ranges(docs: DataFrame, units: Callable, width: int, prefixes: tuple[int, ...], covered: Callable, repeated: Column, label: str) -> DataFrame:
+    """kb, kc, ranges of one prefix length and, for groups that are too large, of the longer ones; a text can have several rows."""
+    if not prefixes:
+        return counted_ranges(store.save(window_rows(docs, units, width), f"{label}-windows"), repeated, label)
+    gram, longer = prefixes[0], prefixes[1:]
+    anchors = store.save(anchor_rows(docs, units, width, gram), f"{label}-anchors-{gram}")
+    at = F.struct("kb", "kc", "place")
+    grouped = anchors.groupBy("gram").agg(F.min(at).alias("one"), F.max(at).alias("other"))
+    # Written first: both sides of the next join are then shuffles, which Spark splits where a gram is skewed.
+    often = store.save(grouped.filter("one <> other").select("gram"), f"{label}-often-{gram}")
+    own = anchors.join(often.hint("merge"), "gram").groupBy("kb", "kc").agg(F.min("ka").alias("least_ka"), F.sort_array(F.collect_set(F.struct("gram", "place"))).alias("wanted"))
+    wanted = store.save(own, f"{label}-wanted-{gram}")
+    store.drop(anchors)
+    sliced = store.save(slices(docs.join(wanted.hint("merge"), ["kb", "kc"]).filter("ka = least_ka"), units, width), f"{label}-slices-{gram}")
+    store.drop(wanted)
+    key = ["gram", "d1", "d2"]
+    counted = store.save(sliced.groupBy(*key).agg(F.min("ka").alias("least"), F.count(F.lit(1)).alias("n"), *[F.max(c).alias(c) for c in ("ahead", "many", "size")]), f"{label}-counted-{gram}")
+    large = store.save(counted.groupBy("gram").agg(F.sum("size").alias("size")).filter(F.col("size") > GROUP_BYTES).select("gram"), f"{label}-large-{gram}")
+    n_large = large.count()
+    heads = sliced.filter("data IS NOT NULL").select(*key, "data")
+    if not n_large:
+        known = compare(heads, counted, covered)
     else:
-        found.append(counted_ranges(store.save(window_rows(some, units, width), f"{label}-windows"), repeated, label))
-    both = found[0]
-    for more in found[1:]:
-        both = both.unionByName(more)
-    return both.groupBy("kb", "kc").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+        large = store.small(large, n_large, 32)
+        known = compare(heads.join(large, "gram", "left_anti"), counted.join(large, "gram", "left_anti"), covered)
+        split = counted.join(large, "gram", "left_semi").select("d1", "d2", "least", "n")
+        texts = heads.join(large, "gram", "left_semi").dropDuplicates(["d1", "d2"]).join(split, ["d1", "d2"])
+        texts = store.save(texts.select(F.col("least").alias("ka"), F.col("d1").alias("kb"), F.col("d2").alias("kc"), F.col("data").alias("text")), f"{label}-split-{gram}")
+        deeper = _ranges(texts, units, width, longer, covered, repeated, f"{label}-{gram}")
+        # Windows of a slice overlap, so the first and the last that are repeated cover all between them.
+        spans = deeper.groupBy(F.col("kb").alias("d1"), F.col("kc").alias("d2")).agg(F.min(F.array_min(F.col("ranges.lo"))).alias("lo"), F.max(F.array_max(F.col("ranges.hi"))).alias("hi"))
+        found = split.join(spans, ["d1", "d2"], "left").select("d1", "d2", "least", "n", F.coalesce("lo", F.lit(-1)).alias("lo"), F.coalesce("hi", F.lit(-1)).alias("hi"))
+        known = known.unionByName(found.filter("n > 1 OR lo >= 0"))
+    known = store.save(known, f"{label}-known-{gram}")
+    hits = sliced.select("d1", "d2", "ka", "kb", "kc", "first", "many").join(known.hint("merge"), ["d1", "d2"])
+    span = F.when(repeated, F.struct(F.col("first").alias("lo"), (F.col("first") + F.col("many") - 1).alias("hi"))).when(
+        (F.col("lo") >= 0) & (F.col("ka") == F.col("least")), F.struct((F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi")).alias("hi"))
+    )
+    return hits.select("kb", "kc", span.alias("span")).filter("span IS NOT NULL").select("kb", "kc", F.array("span").alias("ranges"))
 
 
 def merged_cover(lo: np.ndarray, hi: np.ndarray, width: int, size: int) -> np.ndarray:

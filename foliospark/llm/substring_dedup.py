@@ -60,23 +60,20 @@ def deep_nodes(parting: np.ndarray, depth: int) -> np.ndarray:
 
 
 def tree_cover(window: int):
-    def covered(ahead, many, data, of, ka):
+    def covered(ahead, many, data, ka):
         ((_, raw, starts, ends),) = vectors.batches(data, limit=1 << 62)
-        values, doc, first, last, _, _ = repeats.units_of_words(raw, starts, ends)
+        values, _, first, last, _, _ = repeats.units_of_words(raw, starts, ends)
         owner, leaf = repeats._each(first, many)
         order, parting = subtree(values, last - first, leaf)
         node = np.empty(len(values), dtype=np.int64)
         node[order] = deep_nodes(parting, window)
-        first_ka = np.full(len(many), np.iinfo(np.int64).max)
-        np.minimum.at(first_ka, of, ka)
+        node = node[leaf]
         least = np.full(len(order), np.iinfo(np.int64).max)
-        np.minimum.at(least, node[leaf], first_ka[owner])
-        # Each row against the least ka at the nodes of its slice's windows.
-        rows, place = repeats._each(first[of], many[of])
-        later = np.flatnonzero(ka[rows] > least[node[place]])
+        np.minimum.at(least, node, ka[owner])
+        later = np.flatnonzero(ka[owner] > least[node])
         if not len(later):
             return later, later, later
-        row, inside = rows[later], place[later] - first[of][rows[later]]
+        row, inside = owner[later], leaf[later] - first[owner[later]]
         edge = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
         return row[edge], inside[edge], inside[np.append(edge[1:], len(later)) - 1]
 

@@ -118,7 +118,7 @@ def merged_order(symbols: np.ndarray, shard: int = SHARD) -> tuple[np.ndarray, n
 
 
 def interval_cover(window: int):
-    def covered(ahead, many, data, of, ka):
+    def covered(ahead, many, data, ka):
         ((_, raw, starts, ends),) = vectors.batches(data, limit=1 << 62)
         n = len(many)
         middle = starts + ahead
@@ -148,10 +148,8 @@ def interval_cover(window: int):
             hit = live[order[twice]]
             low[hit] = np.minimum(low[hit], ahead[hit] - l)
             high[hit] = np.maximum(high[hit], ahead[hit] - l)
-        twice = np.bincount(of, minlength=n) > 1  # the slice itself is at several places
-        low[twice], high[twice] = 0, many[twice] - 1
-        rows = np.flatnonzero(high[of] >= 0)
-        return rows, low[of[rows]], high[of[rows]]
+        rows = np.flatnonzero(high >= 0)
+        return rows, low[rows], high[rows]
 
     return covered
 
