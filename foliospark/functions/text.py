@@ -23,10 +23,10 @@ LANGUAGE_NAMES = {
 }
 #: Common English words that mark untranslated text (fixed values).
 ENGLISH_STOP_WORDS = (
-    "the and or of to in for with without from on at by as that this these those which who whom whose a an is are was were "
-    "be been being it its we our us their they them can could may might will would should also such than then there here "
-    "where when while"
-).split()
+    "the", "and", "or", "of", "to", "in", "for", "with", "without", "from", "on", "at", "by", "as", "that", "this", "these", "those", "which", "who",
+    "whom", "whose", "a", "an", "is", "are", "was", "were", "be", "been", "being", "it", "its", "we", "our", "us", "their", "they", "them", "can",
+    "could", "may", "might", "will", "would", "should", "also", "such", "than", "then", "there", "here", "where", "when", "while",
+)
 
 
 def squeezed(text: Column) -> Column:

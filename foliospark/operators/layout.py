@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import geometry as G
 from foliospark.functions import text as T
+from foliospark.operators.components import components
 
 #: Groups of classes (fixed values).
 FORMULAS, FOOTNOTES = ("isolate_formula", "formula_caption"), ("footnote", "table_footnote")
@@ -14,9 +15,9 @@ MARGINALIA = ("page_header", "page_footer", "page_number")
 CONTINUABLE = ("plain_text", "abstract", "reference", "footnote", "table_footnote", "figure_caption", "table_caption")
 #: Words that seldom begin a sentence (fixed values).
 CONTINUATION_WORDS = (
-    "and or but so yet nor for which that who whom whose where when however therefore moreover furthermore although though while whereas "
-    "и или но а однако также поэтому который которая которое которые что чтобы если хотя потому"
-).split()
+    "and", "or", "but", "so", "yet", "nor", "for", "which", "that", "who", "whom", "whose", "where", "when", "however", "therefore", "moreover", "furthermore", "although", "though", "while", "whereas",
+    "и", "или", "но", "а", "однако", "также", "поэтому", "который", "которая", "которое", "которые", "что", "чтобы", "если", "хотя", "потому",
+)
 #: Weight of a cue (fixed values).
 CUES = {"no_sentence_end": 0.3, "hyphenation": 0.5, "ends_with_comma": 0.2, "lowercase_start": 0.4, "continuation_word": 0.3, "same_element_type": 0.2, "same_column": 0.1}
 
@@ -67,21 +68,12 @@ def continuations(df: DataFrame, page_width: float, page_height: float, least: f
 
 
 def units(elements: DataFrame, links: DataFrame) -> DataFrame:
-    """page, idx, unit (its first element), text: links closed transitively by passing the least label along.
+    """unit (its first element), elements, full_text: links closed transitively.
 
-    A label is a page's number times 2**20 plus the element's; rounds go on until no label changes.
+    An element's number is its page times 2**20 plus its place on it.
     """
     number = lambda p, i: (F.col(p).cast("long") * (1 << 20) + F.col(i)).cast("long")
-    edges = links.select(number("a_page", "a_idx").alias("a"), number("b_page", "b_idx").alias("b"))
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).cache()
-    labels = both.select(F.col("a").alias("node")).distinct().withColumn("unit", F.col("node"))
-    while True:
-        spread = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("unit").alias("m"))
-        new = labels.join(spread, labels["node"] == spread["a"]).select("node", F.least("unit", "m").alias("unit")).checkpoint()
-        changed = new.join(labels.withColumnRenamed("unit", "old"), "node").filter("unit <> old").limit(1).count()
-        labels = new
-        if not changed:
-            break
+    labels = components(links.select(number("a_page", "a_idx").alias("a"), number("b_page", "b_idx").alias("b")), "units").withColumnRenamed("root", "unit")
     texts = elements.withColumn("node", number("page", "idx")).join(labels, "node")
     parts = texts.groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("node", "text"))).alias("p"))
     return parts.select("unit", F.size("p").alias("elements"), T.joined_lines(F.transform("p", lambda x: x["text"])).alias("full_text"))

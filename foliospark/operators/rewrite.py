@@ -22,6 +22,7 @@ ABSTRACT_NAMES = {
 #: Classes that load babel themselves, and classes that get on with sectsty (fixed values).
 BABEL_CLASSES = ("googlecloud", "acl", "aclpub", "nips", "neurips", "icml", "aaai", "ijcai", "emnlp", "naacl", "coling", "acl_natbib", "acmart", "revtex")
 STANDARD_CLASSES = ("article", "report", "book", "letter", "slides", "memoir", "scrartcl", "scrreprt", "scrbook", "extarticle", "extreport", "extbook")
+#: Commands that lose their backslash's neighbour, and misspelt packages (fixed values).
 SPACED_COMMANDS = ("text", "cite", "ref", "label", "section", "chapter", "item", "begin", "end", "caption", "include", "input")
 PACKAGE_TYPOS = {"pifong": "pifont", "graphix": "graphicx", "hypperef": "hyperref"}
 
@@ -325,6 +326,50 @@ def latin_in_rtl(t: Column) -> Column:
     return F.when(t.rlike(_RTL) & t.contains("\\begin{document}"), F.concat(head, F.lit("\\begin{document}"), F.array_join(parts, ""))).otherwise(t)
 
 
+#: A command's argument with two more levels of braces inside; what a right-to-left title keeps as it is (fixed patterns).
+_ARGUMENT = r"\{(?:[^{}]++|\{(?:[^{}]++|\{[^{}]*+\})*+\})*+\}"
+_TITLE_KEPT = r"\\(?:texttt|url)\s*\{[^}]*\}|\\href\s*\{[^}]*\}\s*\{[^}]*\}|\$[^$]*\$|\\\[.*?\\\]|\\[A-Za-z@]+\*?"
+
+
+def latin_in_title(t: Column) -> Column:
+    """In the title and authors of a right-to-left document, before it begins, Latin words are wrapped; addresses, formulas and command names stay."""
+    head, body = _split_at(t, F.instr(t, "\\begin{document}"))
+    parts = F.regexp_extract_all(head, F.lit(rf"(?s)\\(?:title|author)\s*{_ARGUMENT}|[^\\]+|\\"), F.lit(0))
+    tokens = lambda x: F.regexp_extract_all(x, F.lit(rf"(?s){_TITLE_KEPT}|{_LATIN}|."), F.lit(0))
+    wrap = lambda x: F.array_join(F.transform(tokens(F.regexp_replace(x, r"\\(?:LR|RL)\{([^{}]*)\}", "$1")), lambda w: F.when(w.rlike(f"^{_LATIN}$"), F.concat(F.lit("\\LR{"), w, F.lit("}"))).otherwise(w)), "")
+    done = F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\\(?:title|author)\s*\{"), wrap(p)).otherwise(p)), "")
+    return F.when(t.rlike(_RTL) & t.contains("\\begin{document}"), F.concat(done, body)).otherwise(t)
+
+
+def joined_dollars(t: Column) -> Column:
+    """Not in the chain: a space between two dollar signs goes. It joins neighbouring formulas, so it is for texts that have none."""
+    return F.replace(t, F.lit("$ $"), F.lit("$$"))
+
+
+def _supported(needle: str, block: str) -> Rule:
+    return lambda t: F.when(t.contains(needle) | ~t.contains("\\begin{document}"), t).otherwise(X.insert_before_document(t, F.lit(block)))
+
+
+#: Packages that wrapped and wide tables need, before the document, once.
+tabularx_support = _supported("\\newcolumntype{Y}", "\\usepackage{tabularx}\n\\newcolumntype{Y}{>{\\raggedright\\arraybackslash}X}\n")
+adjustbox_support = _supported("\\usepackage{adjustbox}", "\\usepackage{adjustbox}\n")
+
+
+def thanks_layout(t: Column) -> Column:
+    """Thanks in small print, and room for them on the title page: ten lines, more for long ones."""
+    from foliospark.operators.structure import thanks_lines
+
+    patch = "\\makeatletter\n\\let\\folio@thanks\\@thanks\n\\def\\@thanks{\\par\\begingroup\\scriptsize\\folio@thanks\\par\\endgroup}\n\\makeatother\n"
+    begin = F.lit("\\begin{document}")
+    at = F.instr(t, "\\begin{document}")
+    small = F.when(t.contains("\\folio@thanks") | (at == 0), t).otherwise(F.concat(F.substring(t, F.lit(1), at - 1), begin, F.lit("\n" + patch), F.substring(t, at + 16, F.length(t))))
+    near = small.rlike(r"\\maketitle\s*\n\s*\\enlargethispage\*?\{") | small.rlike(r"\\enlargethispage\*?\{[^}]+\}\s*\n\s*\\maketitle")
+    room = F.concat(F.lit("\\maketitle\n\\enlargethispage*{"), F.greatest(thanks_lines(t), F.lit(10)).cast("string"), F.lit("\\baselineskip}"))
+    title = F.instr(small, "\\maketitle")
+    done = F.when(near, small).otherwise(F.concat(F.substring(small, F.lit(1), title - 1), room, F.substring(small, title + 10, F.length(small))))
+    return F.when(t.contains("\\maketitle"), done).otherwise(t)
+
+
 def rtl_stamp(t: Column) -> Column:
     """The stamp at the logical right edge, its text from left to right, and its call no comment."""
     return X.replaced(t, (r"\\AtPageLowerLeft", r"\\AtPageLowerRight"), (r"(?m)^(.*rotatebox.*) #1", r"$1 \\LR{#1}"), (r"(?m)^\s*%[% ]*(\\ArxivStamp\{)", "$1"))
@@ -369,7 +414,7 @@ NEEDLES = {
     "closing_signs": (">", ")"), "redefined_commands": ("\\newcommand",), "section_fonts": ("sectsty",), "cjk_package": ("CJK",), "leftover_tokens": ("<<",), "minted": ("minted",),
     "floats": ("figure", "table", "includegraphics", "Figure", "Table"), "column_graphics": ("textwidth",), "broken_graphics": ("\\1",), "broken_commands": ("\\ ", "head", "foot"),
     "typos": ("e.g.", "i.e.", *PACKAGE_TYPOS), "abstract_name": ("abstract",), "abstract_page": ("abstract}",), "orphan_bibliography": ("thebibliography",),
-    "no_bibliography": ("nobibliography",), "last_end": ("\\end{document}",), "acm_countries": ("acmart",), "acm_title": ("acmart",), "acm_lines": ("acmart",), "package_order": ("fontenc",), "rtl_stamp": ("ArxivStamp",),
+    "no_bibliography": ("nobibliography",), "last_end": ("\\end{document}",), "acm_countries": ("acmart",), "acm_title": ("acmart",), "acm_lines": ("acmart",), "package_order": ("fontenc",), "rtl_stamp": ("ArxivStamp",), "thanks_layout": ("\\maketitle",),
 }
 
 
@@ -382,7 +427,7 @@ def chain(lang: str = "ru") -> list[tuple[str, Rule]]:
     """The rules in order for a target language."""
     rules: list[tuple[str, Rule]] = [
         ("closing_signs", closing_signs), ("single_packages", single_packages), ("stray_class_lines", stray_class_lines), ("redefined_commands", redefined_commands),
-        ("font_encoding", font_encoding), ("times_font", times_font), ("bilingual_paragraphs", bilingual_paragraphs), ("bilingual_lines", bilingual_lines),
+        ("font_encoding", font_encoding), ("times_font", times_font), ("bilingual_paragraphs", bilingual_paragraphs), ("bilingual_lines", bilingual_lines), ("thanks_layout", thanks_layout),
         ("acm_title", acm_title), ("acm_countries", acm_countries), ("acm_lines", acm_lines), ("package_order", package_order), ("babel_options", babel_options),
         ("section_fonts", section_fonts), ("cjk_package", cjk_package), ("leftover_tokens", without_leftovers), ("minted", minted), ("floats", floats),
         ("column_graphics", column_graphics), ("broken_graphics", broken_graphics), ("latin_macro", latin_macro), ("broken_commands", broken_commands), ("typos", typos),
@@ -390,7 +435,7 @@ def chain(lang: str = "ru") -> list[tuple[str, Rule]]:
         ("ragged_bibliography", ragged_bibliography), ("no_bibliography", no_bibliography), ("combining_marks", combining_marks),
     ]
     if lang in ("ar", "he"):
-        rules += [("rtl_stamp", rtl_stamp), ("latin_in_rtl", latin_in_rtl)]
+        rules += [("rtl_stamp", rtl_stamp), ("latin_in_title", latin_in_title), ("latin_in_rtl", latin_in_rtl)]
     if lang in ("ja", "jp", "jpn"):
         rules.append(("line_spacing", line_spacing))
     return [(name, gated(name, rule)) for name, rule in (*rules, ("last_end", last_end))]

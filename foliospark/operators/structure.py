@@ -223,7 +223,7 @@ def run_outcome(code: Column, log: Column, has_pdf: Column) -> Column:
 
 def thanks_lines(tex: Column) -> Column:
     """Lines of room for thanks on the title page, by the length of their arguments (three levels of braces)."""
-    arguments = F.regexp_extract_all(tex, F.lit(r"\\thanks\{((?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*)\}"), F.lit(1))
+    arguments = F.regexp_extract_all(tex, F.lit(r"\\thanks\{((?:[^{}]++|\{(?:[^{}]++|\{[^{}]*+\})*+\})*+)\}"), F.lit(1))
     total = F.aggregate(arguments, F.lit(0), lambda a, x: a + F.length(x))
     return F.when(total >= 1200, 16).when(total >= 700, 14).when(total >= 350, 12).otherwise(0)
 

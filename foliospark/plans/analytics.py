@@ -59,7 +59,7 @@ def continuations(spark, d):
     return layout.continuations(box_texts(spark, d), PAGE_WIDTH, PAGE_HEIGHT).select("a_page", "a_idx", "b_page", "b_idx", "continuity", "confidence")
 
 
-@query("j17_j18_x18_units", f"WITH RECURSIVE {BOX_TEXTS_SQL}, {CUES_SQL}," + r"""
+@query("j17_j18_x18_d11_units", f"WITH RECURSIVE {BOX_TEXTS_SQL}, {CUES_SQL}," + r"""
 ed AS (SELECT a_page * 1048576 + a_idx AS a, b_page * 1048576 + b_idx AS b FROM k UNION SELECT b_page * 1048576 + b_idx, a_page * 1048576 + a_idx FROM k),
 r AS (SELECT DISTINCT a AS node, a AS seen FROM ed UNION SELECT r.node, ed.b FROM r JOIN ed ON ed.a = r.seen),
 u AS (SELECT node, min(seen) AS unit FROM r GROUP BY node),
@@ -67,10 +67,6 @@ t AS (SELECT u.unit, u.node, e.text FROM u JOIN e ON e.page * 1048576 + e.idx =
 SELECT unit, count(*) AS elements, replace(string_agg(text, chr(1) ORDER BY node), chr(1), ' ') AS full_text FROM t GROUP BY unit""")
 def units(spark, d):
     elements = box_texts(spark, d)
-    if not spark.sparkContext.getCheckpointDir():
-        from pathlib import PurePosixPath
-
-        spark.sparkContext.setCheckpointDir(str(spark.conf.get("spark.checkpoint.dir", PurePosixPath("/tmp/checkpoints"))))
     return layout.units(elements, layout.continuations(elements, PAGE_WIDTH, PAGE_HEIGHT))
 
 
@@ -107,7 +103,11 @@ def spans_in_elements(spark, d):
     return b.join(s, "page").filter(inside).groupBy(F.col("vec_id").alias("element")).agg(F.count(F.lit(1)).alias("spans"), F.min("span").alias("first_span"))
 
 
-@query("t07_distinct_images")
+@query("t07_distinct_images", f"WITH RECURSIVE {BOXES_SQL}" + r""", o AS (SELECT page, vec_id, class_name, x0, y0, x1, y1, (x1 - x0) * (y1 - y0) AS a, row_number() OVER (PARTITION BY page ORDER BY (x1 - x0) * (y1 - y0) DESC, vec_id) AS i FROM b),
+r AS (SELECT page, 1 AS i, [{'v': vec_id, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1, 'a': a}] AS kept FROM o WHERE i = 1 UNION ALL
+  SELECT o.page, o.i::INT, CASE WHEN len(list_filter(list_transform(kept, lambda k: {'c': CASE WHEN least(k.x1, o.x1) > greatest(k.x0, o.x0) AND least(k.y1, o.y1) > greatest(k.y0, o.y0) THEN (least(k.x1, o.x1) - greatest(k.x0, o.x0)) * (least(k.y1, o.y1) - greatest(k.y0, o.y0)) ELSE 0 END, 'a': k.a}),
+    lambda z: z.c / (z.a + o.a - z.c) > 0.4 OR z.c / o.a > 0.6 OR z.c / z.a > 0.6)) > 0 THEN kept ELSE list_append(kept, {'v': o.vec_id, 'x0': o.x0, 'y0': o.y0, 'x1': o.x1, 'y1': o.y1, 'a': o.a}) END FROM r JOIN o ON o.page = r.page AND o.i = r.i + 1),
+z AS (SELECT unnest(list_transform(arg_max(kept, i), lambda k: k.v)) AS vec_id FROM r GROUP BY page) SELECT page, vec_id, class_name FROM b JOIN z USING (vec_id)""")
 def distinct_images(spark, d):
     return layout.distinct_images(boxes(spark, d)).select("page", "vec_id", "class_name")
 
@@ -229,10 +229,10 @@ def totals(spark, d):
     return report.totals(_cases(spark, d), "label")
 
 
-@query("p08_p09_p10_p11_tiers", f"WITH {CASES_SQL} SELECT case_id, 'smoke' AS asked FROM k WHERE tier = 'smoke' UNION ALL SELECT case_id, 'extended' FROM k WHERE tier = 'extended' AND case_id % 2 = 0")
+@query("p08_p09_p10_p11_tiers", f"WITH {CASES_SQL} SELECT case_id, 'smoke' AS asked FROM k WHERE tier = 'smoke' UNION ALL SELECT case_id, 'extended' FROM k WHERE tier = 'extended'")
 def tiers(spark, d):
     cases = _cases(spark, d)
-    return report.in_tier(cases, "smoke").select("case_id", F.lit("smoke").alias("asked")).unionByName(report.in_tier(cases, " EXTENDED ").filter("case_id % 2 = 0").select("case_id", F.lit("extended").alias("asked")))
+    return report.in_tier(cases, "smoke").select("case_id", F.lit("smoke").alias("asked")).unionByName(report.in_tier(cases, " EXTENDED ").select("case_id", F.lit("extended").alias("asked")))
 
 
 @query("k07_k08_report_rows", f"WITH {CASES_SQL} SELECT case_id, concat('| ', concat_ws(' | ', case_id::VARCHAR, label, CASE WHEN len(reasons) = 0 THEN 'PASS' ELSE 'FAIL' END, array_to_string(reasons[1:3], ', ')), ' |') AS line FROM k")
@@ -356,25 +356,33 @@ def author_rows(spark, d):
     return rows.select("page", F.size(keys).alias("n_rows"), F.aggregate(keys, F.lit(0.0), lambda a, k: a + k).alias("key_sum"))
 
 
-@query("w24_span_lines")
+@query("w24_span_lines", f"WITH {BOXES_SQL}" + r""", s AS (SELECT page, idx AS ord, idx // 5 AS y, vec_id::VARCHAR AS t, class_name IN ('isolate_formula', 'formula_caption') AS m FROM b),
+l AS (SELECT *, lag(t) OVER w IS NULL AS first, coalesce(m AND lag(m) OVER w, false) AS inside FROM s WINDOW w AS (PARTITION BY page ORDER BY ord)),
+c AS (SELECT *, sum((first OR NOT inside)::INT) OVER (PARTITION BY page ORDER BY ord) AS part FROM l),
+p AS (SELECT page, part, string_agg(t, '' ORDER BY ord) AS glued, arg_min(m, ord) AS m FROM c GROUP BY page, part)
+SELECT page, string_agg(CASE WHEN m THEN concat('$ ', glued, ' $') ELSE glued END, '' ORDER BY part) AS text FROM p GROUP BY page""")
 def span_lines(spark, d):
     rows = boxes(spark, d).withColumn("math", F.col("class_name").isin("isolate_formula", "formula_caption"))
     spans = rows.select("page", F.col("idx").alias("ord"), (F.col("idx") % 5 * 60).cast("double").alias("x"), F.floor(F.col("idx") / 5).cast("double").alias("y"), F.lit(59.5).alias("width"), F.lit(10.0).alias("size"), F.col("vec_id").cast("string").alias("text"), F.col("math").alias("is_math"))
     return structure.line_text(spans, "page", "ord")
 
 
-@query("j11_uncovered_blocks")
+@query("j11_uncovered_blocks", f"WITH RECURSIVE {BOXES_SQL}" + r""", o AS (SELECT *, (x1 - x0) * (y1 - y0) AS a, row_number() OVER (PARTITION BY page ORDER BY vec_id) AS i FROM b WHERE vec_id % 2 = 1),
+s AS (SELECT page, list({'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1, 'a': (x1 - x0) * (y1 - y0)}) AS there FROM b WHERE vec_id % 2 = 0 GROUP BY page),
+r AS (SELECT page, 0 AS i, there, []::BIGINT[] AS new FROM s UNION ALL SELECT page, i, there, new FROM (SELECT o.page, o.i::INT AS i, o.vec_id, len(list_filter(list_transform(there, lambda k: {'c': CASE WHEN least(k.x1, o.x1) > greatest(k.x0, o.x0) AND least(k.y1, o.y1) > greatest(k.y0, o.y0) THEN (least(k.x1, o.x1) - greatest(k.x0, o.x0)) * (least(k.y1, o.y1) - greatest(k.y0, o.y0)) ELSE 0 END, 'a': k.a}),
+    lambda z: z.c / o.a > 0.2 OR z.c > 0.2 * z.a)) > 0 AS met, CASE WHEN met THEN there ELSE list_append(there, {'x0': o.x0, 'y0': o.y0, 'x1': o.x1, 'y1': o.y1, 'a': o.a}) END AS there, CASE WHEN met THEN new ELSE list_append(new, o.vec_id) END AS new FROM r JOIN o ON o.page = r.page AND o.i = r.i + 1))
+SELECT page, unnest(arg_max(new, i)) AS block FROM r GROUP BY page""")
 def uncovered_blocks(spark, d):
     rows = boxes(spark, d)
     return structure.uncovered(rows.filter("vec_id % 2 = 0"), rows.filter("vec_id % 2 = 1").withColumn("block", F.col("vec_id")))
 
 
 @query("w22_x21_balanced_blocks", r"""SELECT doc_id, count(*) AS n, count(*) FILTER (name = 'table') AS tables, sum(length(t))::BIGINT AS chars FROM (
- SELECT doc_id, 'table' AS name, concat('\begin{table}', left(text, 20), '\begin{table}x\end{table}\end{table}') AS t FROM documents UNION ALL SELECT doc_id, 'table', '\begin{table}x\end{table}' FROM documents
- UNION ALL SELECT doc_id, 'title', concat('\title {a {b} ', replace(replace(left(text, 20), '{', ''), '}', ''), '}') FROM documents) GROUP BY doc_id""")
+ SELECT doc_id, 'table' AS name, concat('\begin{table}', text, '\begin{table}x\end{table}\end{table}') AS t FROM documents UNION ALL SELECT doc_id, 'table', '\begin{table}x\end{table}' FROM documents
+ UNION ALL SELECT doc_id, 'title', concat('\title {a {b} ', replace(replace(text, '{', ''), '}', ''), '}') FROM documents) GROUP BY doc_id""")
 def balanced_blocks(spark, d):
-    short = F.replace(F.replace(F.substring("text", 1, 20), F.lit("{"), F.lit("")), F.lit("}"), F.lit(""))
-    tex = F.concat(F.lit("\\begin{table}"), F.substring("text", 1, 20), F.lit("\\begin{table}x\\end{table}\\end{table} \\title {a {b} "), short, F.lit("} \\title{open"))
+    short = F.replace(F.replace("text", F.lit("{"), F.lit("")), F.lit("}"), F.lit(""))
+    tex = F.concat(F.lit("\\begin{table}"), "text", F.lit("\\begin{table}x\\end{table}\\end{table} \\title {a {b} "), short, F.lit("} \\title{open"))
     rows = structure.blocks(table(spark, d, "documents").select("doc_id", tex.alias("tex")), "doc_id", "tex", ("table",), ("title",))
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("name") == "table").alias("tables"), F.sum(F.length("text")).cast("long").alias("chars"))
 
@@ -387,9 +395,9 @@ def tex_elements(spark, d):
     return rows.groupBy("doc_id").agg(F.count_if(F.col("kind") == "comment").cast("int").alias("comments"), F.count_if(F.col("kind") == "table").cast("int").alias("tables"), F.count_if(F.col("kind") == "unclosed").cast("int").alias("unclosed"), (F.count(F.lit(1)) - 3).alias("lines"))
 
 
-@query("a12_r22_x75_wrapped_tables", r"""SELECT doc_id, CASE WHEN length(trim(regexp_replace(regexp_replace(left(text, 60), '[${}&%\\]', '', 'g'), '\s+', ' ', 'g'))) >= 20 THEN 'l|Y@{x}r' END AS spec FROM documents""")
+@query("a12_r22_x75_wrapped_tables", r"""SELECT doc_id, CASE WHEN length(trim(regexp_replace(regexp_replace(text, '[${}&%\\]', '', 'g'), '\s+', ' ', 'g'))) >= 20 THEN 'l|Y@{x}r' END AS spec FROM documents""")
 def wrapped_tables(spark, d):
-    cell = F.regexp_replace(F.substring("text", 1, 60), r"[${}&%\\]", "")
+    cell = F.regexp_replace("text", r"[${}&%\\]", "")
     body = F.concat(F.lit("1 & "), cell, F.lit(" & 2 \\\\ 3 & b & 4"))
     return structure.wrapped_columns(table(spark, d, "documents").select("doc_id", F.lit("l|c@{x}r").alias("spec"), body.alias("body")), "doc_id", "spec", "body")
 
@@ -407,10 +415,14 @@ def compared(spark, d):
     return report.compared(rows)
 
 
-@query("t12_distinct_spans")
+@query("t12_distinct_spans", f"WITH RECURSIVE {BOX_TEXTS_SQL}" + r""", o AS (SELECT page, vec_id, idx AS ord, x0 AS x, y0 AS y, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t, row_number() OVER (PARTITION BY page ORDER BY idx) AS i FROM e
+  WHERE regexp_matches(text, '\S') AND NOT ((x0 < 20 OR y0 < 15 OR y0 > 785) AND NOT (class_name = 'title' OR contains(lower(text), 'arxiv')) AND length(text) > 5 AND (regexp_matches(lower(text), 'preprint|journal|accepted') OR x0 < 8 OR y0 < 8))),
+r AS (SELECT page, 1 AS i, [{'o': ord, 'x': x, 'y': y, 't': t}] AS kept FROM o WHERE i = 1 UNION ALL
+  SELECT o.page, o.i::INT, CASE WHEN len(list_filter(kept, lambda k: sqrt((k.x - o.x) * (k.x - o.x) + (k.y - o.y) * (k.y - o.y)) < 2 OR (abs(k.y - o.y) < 3 AND (contains(k.t, o.t) OR contains(o.t, k.t))))) > 0 THEN kept ELSE list_append(kept, {'o': o.ord, 'x': o.x, 'y': o.y, 't': o.t}) END FROM r JOIN o ON o.page = r.page AND o.i = r.i + 1)
+SELECT page, unnest(list_transform(arg_max(kept, i), lambda k: k.o)) AS ord FROM r GROUP BY page""")
 def distinct_spans(spark, d):
-    rows = box_texts(spark, d).select("page", F.col("idx").alias("ord"), "x0", "y0", F.substring("text", 1, 6).alias("text"), (F.col("class_name") == "title").alias("is_title")).withColumnsRenamed({"x0": "x", "y0": "y"})
-    return structure.distinct_spans(rows)
+    rows = box_texts(spark, d).select("page", F.col("idx").alias("ord"), "x0", "y0", "text", (F.col("class_name") == "title").alias("is_title")).withColumnsRenamed({"x0": "x", "y0": "y"})
+    return structure.distinct_spans(rows).select("page", "ord")
 
 
 @query("a28_content_totals", f"WITH {BOXES_SQL} SELECT page // 5 AS doc, count(*) AS elements, count(DISTINCT page) AS pages, count(*) FILTER (class_name = 'figure') AS figures, count(*) FILTER (class_name = 'table') AS tables, count(*) FILTER (class_name = 'reference') AS refs FROM b GROUP BY 1")

@@ -6,7 +6,6 @@ builds the first form and applies the operator, SQL builds the second.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -14,33 +13,9 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import tex as X
 from foliospark.operators import masking, rewrite
-from foliospark.plans.catalog import query, table
+from foliospark.plans.catalog import query, table, varied, varied_sql
 
 Cases = list[tuple[str, str]]
-_PARTS = re.compile("([¤№])")
-
-
-def _column(form: str) -> Column:
-    cols = {"¤": F.col("text"), "№": F.col("doc_id").cast("string")}
-    return F.concat(*[cols[p] if p in cols else F.lit(p) for p in _PARTS.split(form) if p] or [F.lit("")])
-
-
-def _sql(form: str) -> str:
-    cols = {"¤": "text", "№": "doc_id::VARCHAR"}
-    return "concat(" + ", ".join(cols[p] if p in cols else "'" + p.replace("'", "''") + "'" for p in _PARTS.split(form) if p or form == "") + ")"
-
-
-def varied(forms: list[str]) -> Column:
-    """The form number doc_id % len(forms)."""
-    out = _column(forms[-1])
-    for k, form in enumerate(forms[:-1]):
-        out = F.when(F.col("doc_id") % len(forms) == k, _column(form)).otherwise(out)
-    return out
-
-
-def varied_sql(forms: list[str]) -> str:
-    arms = "".join(f" WHEN {k} THEN {_sql(form)}" for k, form in enumerate(forms))
-    return f"CASE doc_id % {len(forms)}{arms} END"
 
 
 def rule_query(name: str, rule: Callable[[Column], Column], cases: Cases) -> None:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,9 +69,37 @@ BOXES_SQL = (
 
 
 def box_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """boxes with the first 80 characters of the document of the same number as their text."""
-    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.substring("text", 1, 80).alias("text"))
+    """boxes with the document of the same number as their text; of three, one breaks off and one goes on from another."""
+    k = F.col("doc_id") % 3
+    text = F.when(k == 0, F.concat("text", F.lit(" and"))).when(k == 1, F.concat(F.lit("however "), "text")).otherwise(F.col("text"))
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), text.alias("text"))
     return boxes(spark, sf_dir).join(texts, "vec_id")
 
 
-BOX_TEXTS_SQL = BOXES_SQL + ", e AS (SELECT b.*, left(d.text, 80) AS text FROM b JOIN documents d ON d.doc_id = b.vec_id)"
+BOX_TEXTS_SQL = BOXES_SQL + ", e AS (SELECT b.*, CASE d.doc_id % 3 WHEN 0 THEN concat(d.text, ' and') WHEN 1 THEN concat('however ', d.text) ELSE d.text END AS text FROM b JOIN documents d ON d.doc_id = b.vec_id)"
+
+
+_PARTS = re.compile("([¤№])")
+
+
+def _column(form: str) -> Column:
+    cols = {"¤": F.col("text"), "№": F.col("doc_id").cast("string")}
+    return F.concat(*[cols[p] if p in cols else F.lit(p) for p in _PARTS.split(form) if p] or [F.lit("")])
+
+
+def _sql(form: str) -> str:
+    cols = {"¤": "text", "№": "doc_id::VARCHAR"}
+    return "concat(" + ", ".join(cols[p] if p in cols else "'" + p.replace("'", "''") + "'" for p in _PARTS.split(form) if p or form == "") + ")"
+
+
+def varied(forms: list[str]) -> Column:
+    """The form number doc_id % len(forms)."""
+    out = _column(forms[-1])
+    for k, form in enumerate(forms[:-1]):
+        out = F.when(F.col("doc_id") % len(forms) == k, _column(form)).otherwise(out)
+    return out
+
+
+def varied_sql(forms: list[str]) -> str:
+    arms = "".join(f" WHEN {k} THEN {_sql(form)}" for k, form in enumerate(forms))
+    return f"CASE doc_id % {len(forms)}{arms} END"

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as T
-from foliospark.operators import cache, chunking, glossary, masking, rewrite, validation
-from foliospark.plans.catalog import TEX_SQL, query, table, tex_documents
+from foliospark.operators import cache, chunking, containment, glossary, masking, rewrite, validation
+from foliospark.plans.catalog import TEX_SQL, query, table, tex_documents, varied, varied_sql
 
 #: A small glossary over the words of the tables: term, language (null: Russian), translation.
 GLOSSARY = [
@@ -139,11 +139,18 @@ def validated(spark, d):
     return issues.select("doc_id", F.size("issues").alias("n_issues"), score.alias("score"), (score >= 0.8).alias("valid"))
 
 
-@query("j25_style_and_terms")
+@query("j25_style_and_terms", r"""WITH t AS (SELECT doc_id, concat(text, ' ну !! я ') AS s FROM documents),
+p AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '%[^\n]*', ' ', 'g'), '(?s)\$\$.*?\$\$', ' ', 'g'), '\$[^$]*\$', ' ', 'g'), '\\[a-zA-Z]+\*?', ' ', 'g'), '[{}\[\]]', ' ', 'g'), '\s+', ' ', 'g')) AS prose FROM t),
+q AS (SELECT *, lower(prose) AS low, len(regexp_extract_all(prose, '!')) AS marks FROM p),
+i AS (SELECT doc_id, list_filter([CASE WHEN regexp_matches(low, '(^|[^\p{L}\p{N}_])the($|[^\p{L}\p{N}_])') THEN 'Glossary term left untranslated: ''the''' END, CASE WHEN NOT contains(low, 'что') THEN 'Glossary translation missing for ''the'' -> ''что''' END,
+ CASE WHEN regexp_matches(low, '(^|[^\p{L}\p{N}_])queue($|[^\p{L}\p{N}_])') THEN 'Glossary term left untranslated: ''queue''' END, CASE WHEN NOT contains(low, 'le') THEN 'Glossary translation missing for ''queue'' -> ''le''' END,
+ CASE WHEN contains(low, 'ну ') THEN 'Colloquial register detected: ну ' END, CASE WHEN marks >= 2 THEN concat('Excessive exclamation marks: ', marks::VARCHAR) END,
+ CASE WHEN contains(prose, '!!') OR contains(prose, '???') THEN 'Informal punctuation detected' END, CASE WHEN regexp_matches(low, '(^|\s)я(\s|$)') THEN 'First-person singular detected (''я'')' END], lambda x: x IS NOT NULL) AS issues FROM q)
+SELECT doc_id, array_to_string(issues, '|') AS issues, greatest(100 - list_sum(list_transform(issues, lambda x: CASE WHEN contains(x, 'left untranslated') THEN 20 WHEN contains(x, 'translation missing') THEN 15 WHEN contains(x, 'Colloquial') OR contains(x, 'Excessive') OR contains(x, 'Informal') THEN 10 ELSE 5 END)), 0)::DOUBLE / 100 AS score FROM i""")
 def style_and_terms(spark, d):
     expected = F.array(F.struct(F.lit("the").alias("term"), F.lit("что").alias("translation")), F.struct(F.lit("queue").alias("term"), F.lit("le").alias("translation")))
     rows = table(spark, d, "documents").withColumn("t", F.concat("text", F.lit(" ну !! я ")))
-    return rows.select("doc_id", F.concat(validation.term_issues(expected, F.col("t")), validation.style_issues(F.col("t"))).alias("issues")).withColumn("score", validation.score(F.col("issues")))
+    return rows.select("doc_id", F.concat(validation.term_issues(expected, F.col("t")), validation.style_issues(F.col("t"))).alias("issues")).withColumn("score", validation.score(F.col("issues"))).withColumn("issues", F.array_join("issues", "|"))
 
 
 @query("l03_english_gate", r"""
@@ -176,9 +183,22 @@ def rules(spark, d):
     return rows.select("doc_id", *[F.sha2(rule(s), 256).alias(name) for name, rule in named.items()])
 
 
-@query("r00_rewritten")
+R00_FORMS = [
+    (
+        "\\documentclass[a]{article}\n\\usepackage{subfiles>\n\\begin{document}\n\\nobibliography* \n\\begin{thebibliography}{9} e.g. x \\ cite{a} ¤\u0301\n\\end{document}\n\\end{document}",
+        "\\documentclass[a]{article}\n\\usepackage{subfiles}\n\\begin{document}\n\\raggedbottom\n\\begin{thebibliography}{9} e.g.\\ x \\cite{a} ¤\n\\end{document}",
+    ),
+    (
+        "\\documentclass{article}\n\\usepackage{a}\n\\usepackage{ a } % again\n\\usepackage[T1]{fontenc}\n\\begin{document}\nтекст <<CMD_3>>\n\\begin{figure*}¤\\end{figure*}\n\\end{document}",
+        "\\PassOptionsToPackage{russian}{babel}\n\\documentclass{article}\n\\usepackage{a}\n\\usepackage[T2A]{fontenc}\n\\begin{document}\nтекст \n\\begin{figure}[ht]¤\\end{figure}\n\\end{document}",
+    ),
+    ("№ ¤", "№ ¤"),
+]
+
+
+@query("r00_v04_rewritten", f"SELECT doc_id, length(t) AS size, sha256(t) AS text_sha FROM (SELECT doc_id, {varied_sql([b for _, b in R00_FORMS])} AS t FROM documents)")
 def rewritten(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", _rule_tex().alias("s"))
+    rows = table(spark, d, "documents").select("doc_id", varied([a for a, _ in R00_FORMS]).alias("s"))
     return rewrite.rewritten(rows, "s").select("doc_id", F.length("s").alias("size"), F.sha2("s", 256).alias("text_sha"))
 
 
@@ -196,47 +216,22 @@ def resume(spark, d):
     return out.join(left, "conv_id", "left").join(gone, "conv_id", "left").fillna(0, ["pending", "missing"])
 
 
-@query("j08_l01_cache_probe", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN concat('[', left(text, 20), ']') ELSE concat('<', left(text, 20), '>') END AS reply FROM documents")
+@query("j08_l01_cache_probe", "SELECT doc_id, sha256(CASE WHEN doc_id % 2 = 0 THEN concat('[', text, ']') ELSE concat('<', text, '>') END) AS reply_sha FROM documents")
 def cache_probe(spark, d):
-    short = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 20).alias("text"), F.sha2(F.concat(F.col("doc_id").cast("string"), F.lit(":"), "text"), 256).alias("key"))
+    short = table(spark, d, "documents").select("doc_id", "text", F.sha2(F.concat(F.col("doc_id").cast("string"), F.lit(":"), "text"), 256).alias("key"))
     kept = short.filter("doc_id % 2 = 0").select("key", F.concat(F.lit("["), "text", F.lit("]")).alias("reply"))
-    return cache.translated(short, kept, lambda t: f"<{t}>").select("doc_id", "reply")
-
-
-@query("j21_j22_j23_numbered_replies", r"""
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
-SELECT doc_id, count(*) AS lines, count(*) FILTER (i % 3 <> 0 AND trim(line) <> '') AS answered FROM l GROUP BY doc_id""")
-def numbered_replies(spark, d):
-    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line")).withColumn("i", F.col("i") + 1)
-    say = F.when(F.col("i") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("@@@"), F.lpad(F.col("i").cast("string"), 5, "0"), F.lit("@@@"), F.col("line"), F.lit("@@@END"), F.lpad(F.col("i").cast("string"), 5, "0"), F.lit("@@@")))
-    reply = lines.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", say.alias("s")))), lambda x: x["s"]), "\n").alias("reply"))
-    parsed = reply.select("doc_id", F.explode(F.regexp_extract_all("reply", F.lit(r"(?s)@@@(\d{5})@@@.*?@@@END\1@@@"), F.lit(0))).alias("m"))
-    got = parsed.select("doc_id", F.regexp_extract("m", r"^@@@(\d{5})", 1).cast("int").alias("i"), F.regexp_extract("m", r"(?s)^@@@\d{5}@@@(.*)@@@END\d{5}@@@$", 1).alias("t")).filter(F.trim("t") != "")
-    return lines.join(got, ["doc_id", "i"], "left").groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.count("t").alias("answered"))
-
-
-@query("j24_restored_tables", r"""SELECT doc_id, sha256(concat('<T>A0</T> x <T>A1</T> y <T>b2</T>', left(text, 10))) AS tex_sha FROM documents""")
-def restored_tables(spark, d):
-    broken = F.concat(F.lit("<T>b0</T> x <T>b1</T> y <T>b2</T>"), F.substring("text", 1, 10))
-    original = F.lit("<T>A0</T> <T>A1</T>")
-    tables = lambda t: F.regexp_extract_all(t, F.lit("(?s)<T>.*?</T>"), F.lit(0))
-    between = F.split(broken, "(?s)<T>.*?</T>", -1)
-    both = F.zip_with(tables(broken), tables(original), lambda b, a: F.coalesce(a, b))
-    glued = F.array_join(F.zip_with(between, both, lambda t, x: F.concat(t, F.coalesce(x, F.lit("")))), "")
-    return table(spark, d, "documents").select("doc_id", F.sha2(glued, 256).alias("tex_sha"))
+    return cache.translated(short, kept, lambda t: f"<{t}>").select("doc_id", F.sha2("reply", 256).alias("reply_sha"))
 
 
 @query("j30_j31_contained_benchmark", r"""
-SELECT b.item_id, count(*) AS documents, min(d.doc_id) AS first_doc FROM benchmark b JOIN documents d ON contains(d.text, left(b.text, 80)) GROUP BY b.item_id""")
+WITH i AS (SELECT item_id, text AS probe FROM benchmark UNION ALL SELECT item_id + 1000000, regexp_extract(text, '(\S+)', 1) FROM benchmark)
+SELECT item_id, count(*) AS documents, min(doc_id) AS first_doc FROM i JOIN documents d ON contains(d.text, probe) WHERE probe <> '' GROUP BY item_id""")
 def contained_benchmark(spark, d):
-    """Documents that hold an item's first 80 characters: 20-character pieces meet in an equi-join before the test."""
-    items = table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 80).alias("probe"))
-    words = lambda t: F.split(t, r"\s+")
-    gram = lambda w, i: F.array_join(F.slice(w, i, F.lit(4)), " ")
-    items = items.withColumn("gram", gram(words(F.col("probe")), F.lit(2)))
-    docs = table(spark, d, "documents").select("doc_id", "text", words(F.col("text")).alias("w"))
-    grams = docs.select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda i: gram(F.col("w"), i)))).alias("gram"))
-    hits = grams.join(F.broadcast(items), "gram").filter(F.col("text").contains(F.col("probe"))).select("item_id", "doc_id").distinct()
+    """Documents that hold a whole item, and those that hold its first word as text."""
+    items = table(spark, d, "benchmark")
+    first = items.select((F.col("item_id") + 1000000).alias("item_id"), F.regexp_extract("text", r"(\S+)", 1).alias("probe"))
+    probes = items.select("item_id", F.col("text").alias("probe")).unionByName(first)
+    hits = containment.contained(table(spark, d, "documents"), "doc_id", "text", probes, "item_id", "probe")
     return hits.groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.min("doc_id").alias("first_doc"))
 
 
@@ -252,13 +247,13 @@ def suspicious_blocks(spark, d):
     return scored.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "i"))).filter("n <= 6").select("doc_id", "i", "score")
 
 
-@query("a25_x32_token_breakdown", r"""SELECT doc_id, (length(concat('s', chr(10), left(text, 400))) / 4.0 - 2)::DOUBLE::DECIMAL(18, 2)::DOUBLE AS x, floor(length(concat('s', chr(10), left(text, 400))) / 4.0 - 2)::BIGINT AS system_tokens, 2 AS glossary_tokens, length(text) // 4 AS document_tokens FROM documents WHERE length(text) > 20""")
+@query("a25_x32_token_breakdown", r"""SELECT doc_id, (length(s) / 4.0 - 2)::DOUBLE::DECIMAL(18, 2)::DOUBLE AS x, greatest(floor(length(s) / 4.0 - 2)::BIGINT, 0) AS system_tokens, 2 AS glossary_tokens, length(text) // 4 AS document_tokens FROM (SELECT *, CASE WHEN regexp_matches(text, '\S') THEN concat('s', chr(10), text) ELSE 's' END AS s FROM documents)""")
 def token_breakdown(spark, d):
     from foliospark.operators import report
 
-    system = report.prompt(F.lit("s"), F.lit(" "), F.substring("text", 1, 400))
+    system = report.prompt(F.lit("s"), F.lit(" "), F.col("text"))
     parts = report.token_breakdown(system, F.col("text"), F.lit('{"a":"b"}'[:8]))
-    rows = table(spark, d, "documents").filter("length(text) > 20").select("doc_id", system.alias("s"), parts.alias("p"))
+    rows = table(spark, d, "documents").select("doc_id", system.alias("s"), parts.alias("p"))
     return rows.select("doc_id", (F.length("s") / 4 - 2).alias("x"), F.col("p.system").alias("system_tokens"), F.col("p.glossary").alias("glossary_tokens"), F.col("p.document").alias("document_tokens"))
 
 
@@ -269,18 +264,26 @@ def kept_preamble(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(rewrite.kept_preamble(reply, original), 256).alias("tex_sha"))
 
 
-@query("x29_x30_added_support")
+X29_FORM = (
+    "\\documentclass{a}\n\\usepackage{cmap}\n\\usepackage[T2A]{fontenc}\n\\usepackage[russian]{babel}\n\n\\AtBeginDocument{\\ifdefined\\shorthandoff\\shorthandoff{\"}\\fi}\n\\usepackage{eso-pic}\n\\usepackage{xcolor}\n"
+    "\\newcommand{\\ArxivStamp}[1]{\\AddToShipoutPictureBG*{\\AtPageLowerLeft{\\put(28,0){\\raisebox{0.5\\paperheight}{\\makebox(0,0){\\rotatebox{90}{\\rmfamily\\huge\\color{gray} #1}}}}}}}\n\\ArxivStamp{arXiv:№}\n"
+    "\\begin{document}\nтекст ¤"
+)
+
+
+@query("x29_x30_added_support", f"SELECT doc_id, sha256({varied_sql([X29_FORM])}) AS tex_sha, sha256({varied_sql([X29_FORM])}) AS again_sha FROM documents")
 def added_support(spark, d):
     tex = F.concat(F.lit("\\documentclass{a}\n\\begin{document}\nтекст "), "text")
-    both = rewrite.stamped(rewrite.cyrillic_support(tex), F.concat(F.lit("arXiv:"), F.col("doc_id").cast("string")))
-    return table(spark, d, "documents").select("doc_id", both.alias("tex"))
+    both = lambda t: rewrite.stamped(rewrite.cyrillic_support(t), F.concat(F.lit("arXiv:"), F.col("doc_id").cast("string")))
+    rows = table(spark, d, "documents").select("doc_id", both(tex).alias("tex"))
+    return rows.select("doc_id", F.sha2("tex", 256).alias("tex_sha"), F.sha2(both(F.col("tex")), 256).alias("again_sha"))
 
 
-@query("a16_thanks_lines", r"""SELECT doc_id, CASE WHEN 2 * length(t) + 4 >= 1200 THEN 16 WHEN 2 * length(t) + 4 >= 700 THEN 14 WHEN 2 * length(t) + 4 >= 350 THEN 12 ELSE 0 END AS lines FROM (SELECT doc_id, replace(replace(left(text, 1000), '{', ''), '}', '') AS t FROM documents)""")
+@query("a16_thanks_lines", r"""SELECT doc_id, CASE WHEN 2 * length(t) + 4 >= 1200 THEN 16 WHEN 2 * length(t) + 4 >= 700 THEN 14 WHEN 2 * length(t) + 4 >= 350 THEN 12 ELSE 0 END AS lines FROM (SELECT doc_id, replace(replace(text, '{', ''), '}', '') AS t FROM documents)""")
 def thanks_lines(spark, d):
     from foliospark.operators import structure
 
-    t = F.replace(F.replace(F.substring("text", 1, 1000), F.lit("{"), F.lit("")), F.lit("}"), F.lit(""))
+    t = F.replace(F.replace("text", F.lit("{"), F.lit("")), F.lit("}"), F.lit(""))
     tex = F.concat(F.lit("\\thanks{"), t, F.lit("} x \\thanks{{a}"), t, F.lit("b}"))
     return table(spark, d, "documents").select("doc_id", structure.thanks_lines(tex).alias("lines"))
 
@@ -296,10 +299,12 @@ def japanese_style(spark, d):
     return rows.select("doc_id", (F.col("s.sentences") - 1).alias("sentences"), "s.dearu", "s.topics", "s.literal")
 
 
-@query("r33_r35_right_to_left")
+@query("r35_m18_right_to_left", r"""WITH t AS (SELECT doc_id, translate(text, '\$%{}<', '') AS s FROM documents)
+SELECT doc_id, sha256(concat('\begin{document}', chr(10), 'שלום \cite{a} $x$ ', regexp_replace(replace(s, chr(10), concat(chr(10), 'שלום ')), '([A-Za-z][A-Za-z0-9@._:+\-/]*)', '\\LR{\1}', 'g'), chr(10), 'only Latin')) AS tex_sha FROM t""")
 def right_to_left(spark, d):
-    tex = F.concat(F.lit("\\begin{document}\nשלום "), F.replace("text", F.lit("\n"), F.lit("\nשלום ")))
-    return table(spark, d, "documents").select("doc_id", rewrite.latin_in_rtl(tex).alias("tex"))
+    s = F.replace(F.translate("text", "\\$%{}<", ""), F.lit("\n"), F.lit("\nשלום "))
+    tex = F.concat(F.lit("\\begin{document}\nשלום \\cite{a} $x$ "), s, F.lit("\nonly Latin"))
+    return table(spark, d, "documents").select("doc_id", F.sha2(rewrite.latin_in_rtl(tex), 256).alias("tex_sha"))
 
 
 @query("t06_candidate_lines", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),

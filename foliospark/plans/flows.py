@@ -42,10 +42,10 @@ def answered_stream(spark, d):
     return spark.read.parquet(out).groupBy(F.col("key").alias("conv_id")).agg(F.count(F.lit(1)).alias("asked"), F.count("reply").alias("answered"))
 
 
-@query("k02_s11_cache_round_trip", "SELECT sha256(doc_id::VARCHAR) AS key, left(text, 50) AS translated_content, length(text) // 4 AS input_tokens FROM documents")
+@query("k02_s11_cache_round_trip", "SELECT sha256(doc_id::VARCHAR) AS key, text AS translated_content, length(text) // 4 AS input_tokens FROM documents")
 def cache_round_trip(spark, d):
     path = new_path(spark, "replies")
-    rows = table(spark, d, "documents").select(F.sha2(F.col("doc_id").cast("string"), 256).alias("key"), F.substring("text", 1, 50).alias("translated_content"), F.floor(F.length("text") / 4).alias("input_tokens"))
+    rows = table(spark, d, "documents").select(F.sha2(F.col("doc_id").cast("string"), 256).alias("key"), F.col("text").alias("translated_content"), F.floor(F.length("text") / 4).alias("input_tokens"))
     sinks.cache_results(rows, path)
     return spark.read.schema("key string, translated_content string, input_tokens bigint").json(path).select("key", "translated_content", "input_tokens")
 
@@ -82,14 +82,14 @@ def properties(spark, d):
     return table(spark, d, "documents").select("doc_id", shown["abstract"].alias("abstract"), image.alias("image"), sinks.storage(F.col("n_chars") * 100000).alias("service"))
 
 
-@query("s03_s07_main_files", r"""SELECT doc_id::VARCHAR AS archive, CASE doc_id % 3 WHEN 0 THEN 'main.tex' WHEN 1 THEN 'z.tex' ELSE 'a.tex' END AS member, sha256(CASE doc_id % 3 WHEN 0 THEN concat('\documentclass{a} ', left(text, 30)) ELSE concat('\documentclass{b} ', left(text, 30)) END) AS text_sha FROM documents""")
+@query("s03_s07_main_files", r"""SELECT doc_id::VARCHAR AS archive, CASE doc_id % 3 WHEN 0 THEN 'main.tex' WHEN 1 THEN 'z.tex' ELSE 'a.tex' END AS member, sha256(CASE doc_id % 3 WHEN 0 THEN concat('\documentclass{a} ', text) ELSE concat('\documentclass{b} ', text) END) AS text_sha FROM documents""")
 def main_files(spark, d):
     k = F.col("doc_id") % 3
     key = F.col("doc_id").cast("string").alias("archive")
     docs = table(spark, d, "documents")
     main = docs.select(key, F.when(k == 0, "main.tex").when(k == 1, "z.tex").otherwise("a.tex").alias("member"), F.when(k == 0, "\\documentclass{a} \\input{part}").otherwise("\\documentclass{b} \\input{part.tex}").alias("text"))
     other = docs.select(key, F.lit("b/other.tex").alias("member"), F.lit("\\documentclass{c}").alias("text"))
-    part = docs.select(key, F.lit("part.tex").alias("member"), F.substring("text", 1, 30).alias("text"))
+    part = docs.select(key, F.lit("part.tex").alias("member"), F.col("text"))
     all_files = main.unionByName(other).unionByName(part)
     elected = files.main_files(all_files)
     flat = files.flattened(all_files, elected).select("archive", F.sha2("text", 256).alias("text_sha"))

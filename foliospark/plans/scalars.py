@@ -33,13 +33,13 @@ def x01(spark, d):
 
 
 @query("x03_x04_x05_names", r"""
-WITH t AS (SELECT doc_id, concat(' .', replace(left(text, 70), 'a', ':'), '?. ') AS s FROM documents),
+WITH t AS (SELECT doc_id, concat(' .', replace(text, 'a', ':'), '?. ') AS s FROM documents),
 n AS (SELECT doc_id, s, trim(translate(s, '<>:"/\|?*', '_________'), ' .') AS file_name, left(trim(regexp_replace(s, '[^\p{L}\p{N} _-]', '', 'g')), 50) AS short_name,
   trim(regexp_replace(trim(s), '[^\p{L}\p{N}\-_.]', '_', 'g'), '._-') AS safe FROM t)
-SELECT doc_id, file_name, short_name, CASE WHEN safe = '' THEN 'paper' ELSE safe END AS safe_id FROM n""")
+SELECT doc_id, sha256(file_name) AS file_sha, short_name, sha256(CASE WHEN safe = '' THEN 'paper' ELSE safe END) AS safe_sha FROM n""")
 def names(spark, d):
-    s = F.concat(F.lit(" ."), F.replace(F.substring("text", 1, 70), F.lit("a"), F.lit(":")), F.lit("?. "))
-    return table(spark, d, "documents").select("doc_id", T.file_name(s).alias("file_name"), T.short_name(s).alias("short_name"), T.safe_id(s).alias("safe_id"))
+    s = F.concat(F.lit(" ."), F.replace("text", F.lit("a"), F.lit(":")), F.lit("?. "))
+    return table(spark, d, "documents").select("doc_id", F.sha2(T.file_name(s), 256).alias("file_sha"), T.short_name(s).alias("short_name"), F.sha2(T.safe_id(s), 256).alias("safe_sha"))
 
 
 @query("x06_size_label", r"""
@@ -110,10 +110,10 @@ def titles(spark, d):
 
 
 @query("x26_escaped", r"""
-SELECT doc_id, replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(left(text, 300), '\', chr(1)), '&', '\&'), '%', '\%'), '$', '\$'), '#', '\#'), '_', '\_'),
- '{', '\{'), '}', '\}'), '~', '\textasciitilde{}'), '^', '\textasciicircum{}'), chr(1), '\textbackslash{}') AS escaped FROM documents""")
+SELECT doc_id, sha256(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(text, '\', chr(1)), '&', '\&'), '%', '\%'), '$', '\$'), '#', '\#'), '_', '\_'),
+ '{', '\{'), '}', '\}'), '~', '\textasciitilde{}'), '^', '\textasciicircum{}'), chr(1), '\textbackslash{}')) AS escaped_sha FROM documents""")
 def escaped(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.escaped(F.substring("text", 1, 300)).alias("escaped"))
+    return table(spark, d, "documents").select("doc_id", F.sha2(X.escaped(F.col("text")), 256).alias("escaped_sha"))
 
 
 @query("x31_x40_stamp", r"""
@@ -205,11 +205,6 @@ def prose(spark, d):
     return tex_documents(spark, d).select("doc_id", F.sha2(X.prose_for_validation(F.col("latex")), 256).alias("prose_sha"))
 
 
-@query("p02_prose_for_repair")
-def prose_repair(spark, d):
-    return tex_documents(spark, d).select("doc_id", X.prose_for_repair(F.col("latex")).alias("prose"))
-
-
 @query("p03_p04_prose", f"WITH {TEX_SQL}" + r"""
 SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(latex, '<<[A-Z_]+_\d+>>', '', 'g'), '\\[a-zA-Z]+\*?(\[[^\]]*\])?(\{[^}]*\})*', '', 'g'), '[{}\\$%&]', '', 'g'), '^\s+|\s+$', '', 'g')) AS chunk_sha,
  sha256(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(latex, '\$[^$]*\$', '', 'g'), '\\[a-zA-Z*]+(?:\[[^\]]*\])?(?:\{[^{}]*\})?', '', 'g'), '[{}]', ' ', 'g'), '\s+', ' ', 'g'))) AS cell_sha FROM l""")
@@ -257,40 +252,45 @@ def braces(spark, d):
 
 
 @query("p23_p24_headings_authors", r"""
-WITH t AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN concat('3.', (doc_id % 9)::VARCHAR, ' ', left(text, 30)) WHEN 1 THEN upper(left(text, 12)) WHEN 2 THEN 'Related Work' WHEN 3 THEN concat(left(text, 20), '@mail.com')
-  WHEN 4 THEN concat('2', chr(10), left(regexp_replace(text, '\s+', ' ', 'g'), 20)) ELSE left(text, 200) END AS s FROM documents),
-u AS (SELECT doc_id, s, regexp_replace(s, '^\s+|\s+$', '', 'g') AS x FROM t)
-SELECT doc_id, (regexp_matches(x, '^\d+(\.\d+)*\.?$') AND length(x) < 10) OR regexp_matches(x, '^\d+(\.\d+)*\.?\s+[\p{L}\p{N}_]')
+WITH w AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 + doc_id AS k FROM documents),
+t AS (SELECT doc_id, CASE k % 6 WHEN 0 THEN concat('3.', (doc_id % 9)::VARCHAR, ' ', line) WHEN 1 THEN upper(line) WHEN 2 THEN 'Related Work' WHEN 3 THEN concat(line, '@mail.com') WHEN 4 THEN concat('2', chr(10), line) ELSE line END AS s FROM w),
+u AS (SELECT doc_id, s, regexp_replace(s, '^\s+|\s+$', '', 'g') AS x FROM t),
+y AS (SELECT doc_id, (regexp_matches(x, '^\d+(\.\d+)*\.?$') AND length(x) < 10) OR regexp_matches(x, '^\d+(\.\d+)*\.?\s+[\p{L}\p{N}_]')
   OR (len(string_split(x, chr(10))) = 2 AND regexp_matches(trim(string_split(x, chr(10))[1]), '^\d+(\.\d+)*$') AND length(trim(string_split(x, chr(10))[2])) < 50)
   OR (regexp_matches(x, '\p{Lu}') AND NOT regexp_matches(x, '\p{Ll}') AND len(string_split(trim(regexp_replace(x, '\s+', ' ', 'g')), ' ')) <= 5) OR lower(x) = 'related work' AS heading,
  length(x) <= 150 AND ((contains(s, '@') AND contains(lower(s), '.com')) OR contains(lower(s), '.edu') OR contains(lower(s), '.org')
-  OR (len(string_split(x, chr(10))) BETWEEN 2 AND 4 AND len(list_filter(string_split(x, chr(10)), lambda y: length(y) >= 50)) = 0 AND contains(x, '@'))) AS authors FROM u""")
+  OR (len(string_split(x, chr(10))) BETWEEN 2 AND 4 AND len(list_filter(string_split(x, chr(10)), lambda y: length(y) >= 50)) = 0 AND contains(x, '@'))) AS authors FROM u)
+SELECT doc_id, count(*) AS lines, count(*) FILTER (heading) AS headings, count(*) FILTER (authors) AS authors FROM y GROUP BY doc_id""")
 def headings(spark, d):
-    m, t = F.col("doc_id") % 6, F.col("text")
+    """Every line of every document, made a heading or an author line in five ways of six."""
+    m, t = (F.col("i") + F.col("doc_id")) % 6, F.col("line")
     s = (
-        F.when(m == 0, F.concat(F.lit("3."), (F.col("doc_id") % 9).cast("string"), F.lit(" "), F.substring(t, 1, 30))).when(m == 1, F.upper(F.substring(t, 1, 12))).when(m == 2, "Related Work")
-        .when(m == 3, F.concat(F.substring(t, 1, 20), F.lit("@mail.com"))).when(m == 4, F.concat(F.lit("2\n"), F.substring(F.regexp_replace(t, r"\s+", " "), 1, 20))).otherwise(F.substring(t, 1, 200))
+        F.when(m == 0, F.concat(F.lit("3."), (F.col("doc_id") % 9).cast("string"), F.lit(" "), t)).when(m == 1, F.upper(t)).when(m == 2, "Related Work")
+        .when(m == 3, F.concat(t, F.lit("@mail.com"))).when(m == 4, F.concat(F.lit("2\n"), t)).otherwise(t)
     )
-    return table(spark, d, "documents").select("doc_id", T.like_heading(s).alias("heading"), T.like_authors(s).alias("authors"))
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line")).select("doc_id", T.like_heading(s).alias("heading"), T.like_authors(s).alias("authors"))
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.count_if("heading").alias("headings"), F.count_if("authors").alias("authors"))
 
 
 @query("p17_untranslated_heading", r"""
-WITH t AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '2. Related  Work' WHEN 1 THEN left(text, 25) ELSE 'Итоги 5' END AS s FROM documents),
+WITH w AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 + doc_id AS k FROM documents),
+t AS (SELECT doc_id, CASE k % 4 WHEN 0 THEN '2. Related  Work' WHEN 1 THEN concat(line, ' Итоги') ELSE line END AS s FROM w),
 u AS (SELECT doc_id, trim(regexp_replace(lower(trim(regexp_replace(s, '\s+', ' ', 'g'))), '^[^\p{L}]+', '')) AS x FROM t)
-SELECT doc_id, CASE WHEN x = '' THEN false ELSE x = 'related work' OR (len(regexp_extract_all(x, '[A-Za-z]')) >= 4 AND NOT regexp_matches(x, '[а-яА-ЯёЁ]')) END AS untranslated FROM u""")
+SELECT doc_id, count(*) FILTER (x <> '' AND (x = 'related work' OR (len(regexp_extract_all(x, '[A-Za-z]')) >= 4 AND NOT regexp_matches(x, '[а-яА-ЯёЁ]')))) AS untranslated FROM u GROUP BY doc_id""")
 def untranslated(spark, d):
-    m = F.col("doc_id") % 3
-    s = F.when(m == 0, "2. Related  Work").when(m == 1, F.substring("text", 1, 25)).otherwise("Итоги 5")
-    return table(spark, d, "documents").select("doc_id", X.untranslated_heading(s).alias("untranslated"))
+    m = (F.col("i") + F.col("doc_id")) % 4
+    s = F.when(m == 0, "2. Related  Work").when(m == 1, F.concat("line", F.lit(" Итоги"))).otherwise(F.col("line"))
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
+    return rows.groupBy("doc_id").agg(F.count_if(X.untranslated_heading(s)).alias("untranslated"))
 
 
 @query("p27_p28_p29_x74_tables", r"""
-WITH t AS (SELECT doc_id, concat('a & b % note', chr(10), '\\ \hline ', replace(replace(left(text, 200), '%', ''), chr(10), ' & '), ' \\ 12.5 & 7\%') AS body, repeat('l|', 1 + doc_id % 9) AS spec FROM documents),
+WITH t AS (SELECT doc_id, concat('a & b % note', chr(10), '\\ \hline ', replace(replace(text, '%', ''), chr(10), ' & '), ' \\ 12.5 & 7\%') AS body, repeat('l|', 1 + doc_id % 9) AS spec FROM documents),
 r AS (SELECT doc_id, spec, list_filter(list_transform(string_split(regexp_replace(body, '% note', ''), '\\'), lambda x: regexp_replace(replace(x, '\hline', ''), '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS rows FROM t)
 SELECT doc_id, len(rows) AS n_rows, list_sum(list_transform(rows, lambda x: len(string_split(x, '&'))))::BIGINT AS n_cells, length(regexp_replace(spec, '[^lcr]', '', 'g')) >= 6 AS wide,
  regexp_matches(trim(string_split(rows[len(rows)], '&')[1]), '^[\d\s.,+\-()%/]+$') AS numeric_cell, regexp_matches(rows[2], '\p{L}') AS letters FROM r""")
 def tables(spark, d):
-    body = F.concat(F.lit("a & b % note\n\\\\ \\hline "), F.replace(F.replace(F.substring("text", 1, 200), F.lit("%"), F.lit("")), F.lit("\n"), F.lit(" & ")), F.lit(" \\\\ 12.5 & 7\\%"))
+    body = F.concat(F.lit("a & b % note\n\\\\ \\hline "), F.replace(F.replace("text", F.lit("%"), F.lit("")), F.lit("\n"), F.lit(" & ")), F.lit(" \\\\ 12.5 & 7\\%"))
     spec = F.repeat(F.lit("l|"), (F.col("doc_id") % 9 + 1).cast("int"))
     rows = table(spark, d, "documents").select("doc_id", X.table_rows(body).alias("rows"), spec.alias("spec"))
     last = F.element_at("rows", -1)
@@ -320,11 +320,11 @@ def cut_at_sentence(spark, d):
 
 
 @query("u04_u05_w10_anchor_jaccard", r"""
-WITH t AS (SELECT doc_id, concat('\ref{a} ', left(text, 200), ' 12.5 7') AS a, concat('\ref{a} ', (doc_id % 20)::VARCHAR, ' 7 ', left(text, 50)) AS b FROM documents),
+WITH t AS (SELECT doc_id, concat('\ref{a} ', text, ' 12.5 7') AS a, concat('\ref{a} ', (doc_id % 20)::VARCHAR, ' 7 ', replace(text, '5', '6')) AS b FROM documents),
 s AS (SELECT doc_id, list_distinct(list_concat(list_concat(regexp_extract_all(a, '\\[A-Za-z]+\*?(?:\[[^\]]*\])?(?:\{[^{}]*\})?'), regexp_extract_all(a, '\$[^$]*\$')), regexp_extract_all(a, '\b\d+(?:\.\d+)?\b'))) AS x,
   list_distinct(list_concat(list_concat(regexp_extract_all(b, '\\[A-Za-z]+\*?(?:\[[^\]]*\])?(?:\{[^{}]*\})?'), regexp_extract_all(b, '\$[^$]*\$')), regexp_extract_all(b, '\b\d+(?:\.\d+)?\b'))) AS y FROM t)
 SELECT doc_id, len(x) AS n_anchors, len(list_intersect(x, y))::DOUBLE / len(list_distinct(list_concat(x, y))) AS likeness FROM s""")
 def anchor_jaccard(spark, d):
-    a = F.concat(F.lit("\\ref{a} "), F.substring("text", 1, 200), F.lit(" 12.5 7"))
-    b = F.concat(F.lit("\\ref{a} "), (F.col("doc_id") % 20).cast("string"), F.lit(" 7 "), F.substring("text", 1, 50))
+    a = F.concat(F.lit("\\ref{a} "), "text", F.lit(" 12.5 7"))
+    b = F.concat(F.lit("\\ref{a} "), (F.col("doc_id") % 20).cast("string"), F.lit(" 7 "), F.replace("text", F.lit("5"), F.lit("6")))
     return table(spark, d, "documents").select("doc_id", F.size(X.anchors(a)).alias("n_anchors"), X.jaccard(X.anchors(a), X.anchors(b)).alias("likeness"))

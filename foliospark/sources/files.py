@@ -187,3 +187,14 @@ def documentclass(tex: Column, lines: int = 250) -> Column:
     """The class in the first lines that are no comments; options after a comma do not count."""
     head = F.array_join(F.filter(F.slice(F.split(tex, "\n"), 1, lines), lambda x: ~F.ltrim(x).startswith("%")), "\n")
     return F.trim(F.split(F.regexp_extract(head, r"\\documentclass(?:\[[^\]]*\])?\{([^}]+)\}", 1), ",")[0])
+
+
+def with_originals(papers: DataFrame, originals: DataFrame, key: str) -> DataFrame:
+    """papers with the path of their original where there is one (several: the first by path); none is an error."""
+    own = originals.groupBy(key).agg(F.min("path").alias("original_path"))
+    return papers.join(own, key, "left")
+
+
+def articles(metadata: DataFrame, mains: DataFrame, originals: DataFrame, key: str) -> DataFrame:
+    """What is known of each paper that has metadata and an elected main file, with its original if there is one."""
+    return with_originals(metadata.join(mains, key), originals, key)

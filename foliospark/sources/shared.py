@@ -8,13 +8,20 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path under spark.checkpoint.dir (a private folder only where that is unset), deleted when the application ends."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir. Where it is unset a local session gets a private one; a cluster is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="foliospark-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/foliospark/{label}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    """A fresh path in the shared folder, deleted when the application ends."""
+    path = f"{shared_dir(spark)}/foliospark/{label}-{uuid.uuid4().hex}"
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return path

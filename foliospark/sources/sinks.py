@@ -63,3 +63,60 @@ def storage(size: Column) -> Column:
     """The first service, by priority, that takes a file of a size; null beyond all (fixed limits)."""
     mb = 1024 * 1024
     return F.when(size <= 5 * mb, "direct").when(size <= 100 * mb, "file.io").when(size <= 512 * mb, "0x0").when(size <= 10 * 1024 * mb, "transfer")
+
+
+#: What front ends take, in bytes (fixed limits): a direct upload, a chat message.
+DIRECT_LIMIT, CHAT_LIMIT = 5 << 20, 8 << 20
+
+
+def size_gate(size: Column, limit: int = CHAT_LIMIT) -> Column:
+    """send, or list where the file is too large or its size unknown."""
+    return F.when(size <= limit, "send").otherwise("list")
+
+
+def missing_attachments(wanted: DataFrame, present: DataFrame, page: str, file: str) -> DataFrame:
+    """Files of wanted(page, file, …) that the page has not yet, each once."""
+    return wanted.dropDuplicates([page, file]).join(present.select(page, file), [page, file], "left_anti")
+
+
+def block_ladder(direct: Column, permanent: Column, external: Column, name: Column) -> Column:
+    """struct<way, value>: the first way of showing a file that worked, a note with its name else."""
+    way = F.when(direct.isNotNull(), "direct").when(permanent.isNotNull(), "permanent").when(external.isNotNull(), "external").otherwise("note")
+    return F.struct(way.alias("way"), F.coalesce(direct, permanent, external, F.concat(F.lit("PDF: "), name)).alias("value"))
+
+
+def page_status(status: Column, error: Column) -> Column:
+    """struct<status, error> of a page, the error cut to 2000 characters; null where there is none."""
+    return F.struct(status.alias("status"), F.substring(error, 1, 2000).alias("error"))
+
+
+def permanent_place(folder: str, paper: Column, kind: Column, file: Column, base: str | None = None) -> Column:
+    """struct<path, url> of a kept file: folder/paper/kind_file, the url only with a base."""
+    name = F.concat(paper, F.lit("/"), kind, F.lit("_"), file)
+    url = F.concat(F.lit(f"{base.rstrip('/')}/"), name) if base else F.lit(None).cast("string")
+    return F.struct(F.concat(F.lit(f"{folder.rstrip('/')}/"), name).alias("path"), url.alias("url"))
+
+
+def debug_record(blocks: Column, text: int = 500, caption: int = 100) -> Column:
+    """JSON of array<struct<kind, text>> for inspection: captions cut to 100 characters, other texts to 500."""
+    cut = lambda b: F.struct(b["kind"].alias("kind"), F.when(b["kind"] == "caption", F.substring(b["text"], 1, caption)).otherwise(F.substring(b["text"], 1, text)).alias("text"))
+    return F.to_json(F.transform(blocks, cut))
+
+
+def log_line(ts: Column, level: Column, logger: Column, message: Column) -> Column:
+    """The fixed format of a log, which sources.files reads again."""
+    return F.concat_ws(" | ", F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), level, logger, message)
+
+
+def installed_bbl(candidates: DataFrame, paper: str, stem: str) -> DataFrame:
+    """paper, target, content: of candidates(paper, path, content) the longest that has entries, under the name that a run reads."""
+    usable = candidates.filter(F.col("content").contains("\\bibitem"))
+    best = usable.groupBy(paper).agg(F.max_by("content", F.struct(F.length("content"), "path")).alias("content"))
+    return best.select(paper, F.lit(f"{stem}.bbl").alias("target"), "content")
+
+
+def merged_report(batches: DataFrame, run: str) -> DataFrame:
+    """run, payload: a run's batches(run, batch_index, start, count, passed, failed) with their totals as one JSON text."""
+    fields = ["batch_index", "start", "count", "passed", "failed"]
+    rows = batches.groupBy(run).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("batches"), F.sum("passed").alias("total_passed"), F.sum("failed").alias("total_failed"))
+    return rows.select(run, F.to_json(F.struct("batches", "total_passed", "total_failed")).alias("payload"))
