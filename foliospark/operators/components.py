@@ -21,7 +21,8 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     now = _saved(_oriented(edges), f"{label}-0")
     before = None
     for k in range(1, MOST_STEPS + 1):
-        now = _saved(_small_star(_large_star(now)), f"{label}-{k}")
+        old, now = now, _saved(_small_star(_large_star(now)), f"{label}-{k}")
+        _deleted(old)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break
@@ -35,7 +36,15 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
 def _saved(df: DataFrame, label: str) -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._foliospark_path = path
+    return out
+
+
+def _deleted(df: DataFrame) -> None:
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._foliospark_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _oriented(edges: DataFrame) -> DataFrame:
