@@ -39,13 +39,17 @@ def _with_place(df: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
     )
 
 
-def keyed_state(spark: SparkSession, path: str, schema, digest: Callable[[Column], Column] = sha, files_per_batch: int = 4096) -> DataFrame:
-    """Run the stream over all files of `path`; returns one row a digest: digest, n, keep(no_id, doc_id, file, row)."""
-    out, points = store.new_path(spark, "dedup-state"), store.new_path(spark, "dedup-stream")
+def keyed_state(spark: SparkSession, path: str, schema, digest: Callable[[Column], Column] = sha, files_per_batch: int = 4096, state: str | None = None) -> DataFrame:
+    """Run the stream over the files of `path`; returns one row a digest: digest, n, keep(no_id, doc_id, file, row).
+
+    `state` is the shared folder that holds the stream's checkpoint with its keyed state, and the changes. A later run
+    with the same folder reads only files that are new in `path`; without one the state ends with the application.
+    """
+    out, points = (f"{state.rstrip('/')}/{part}" for part in ("changes", "stream")) if state else (store.new_path(spark, "dedup-state"), store.new_path(spark, "dedup-stream"))
     path = path.rstrip("/")
     path = f"{path[:-1]}[{path[-1]}]"  # as a pattern, so that a table of one file streams as well as a folder
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
-    state = _with_place(stream, digest).groupBy("digest").agg(
+    keyed = _with_place(stream, digest).groupBy("digest").agg(
         F.count(F.lit(1)).alias("n"),
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "file", "row")).alias("keep"),
     )
@@ -55,7 +59,7 @@ def keyed_state(spark: SparkSession, path: str, schema, digest: Callable[[Column
     try:
         # A batch that is tried again overwrites its own folder, so each change counts once.
         query = (
-            state.writeStream.outputMode("update")
+            keyed.writeStream.outputMode("update")
             .foreachBatch(lambda changed, k: changed.withColumn("batch", F.lit(k)).write.mode("overwrite").parquet(f"{out}/changes={k}"))
             .option("checkpointLocation", points)
             .trigger(availableNow=True)
@@ -65,7 +69,7 @@ def keyed_state(spark: SparkSession, path: str, schema, digest: Callable[[Column
     finally:
         for key, value in before.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
-    shape = f"digest {dict(state.dtypes)['digest']}, n long, keep {dict(state.dtypes)['keep']}, batch long"
+    shape = f"digest {dict(keyed.dtypes)['digest']}, n long, keep {dict(keyed.dtypes)['keep']}, batch long"
     changes = spark.read.schema(shape).option("recursiveFileLookup", "true").parquet(out) if _exists(spark, out) else spark.createDataFrame([], shape)
     # Counts only grow and the smallest identifier only falls, so the last state of a digest is its extremes.
     return changes.groupBy("digest").agg(F.max("n").alias("n"), F.min("keep").alias("keep"))
@@ -76,21 +80,22 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
-def exact_dedup(spark: SparkSession, path: str, digest: Callable[[Column], Column] = sha, files_per_batch: int = 4096) -> DataFrame:
+def exact_dedup(spark: SparkSession, path: str, digest: Callable[[Column], Column] = sha, files_per_batch: int = 4096, state: str | None = None) -> DataFrame:
     """One row for each row of the table at `path` (columns doc_id, text, any others): doc_id, keep_id, group_size, kept, text_sha256.
 
     Null text counts as empty and equals other empty texts. A null doc_id is larger than every other; of rows that
     share the smallest doc_id, the first in file order is kept, so one row of each group is. An empty table gives no
-    rows. Columns beside doc_id and text are ignored, whatever their names.
+    rows. Columns beside doc_id and text are ignored, whatever their names. With a `state` folder only files that
+    earlier runs have not seen go through the stream; the result is that of all files.
     """
     docs = spark.read.parquet(path).select("doc_id", "text")
-    groups = store.save(keyed_state(spark, path, docs.schema, digest, files_per_batch), "dedup-groups")
+    groups = store.save(keyed_state(spark, path, docs.schema, digest, files_per_batch, state), "dedup-groups")
     rows = _with_place(spark.read.parquet(path), digest)
     hit = groups.filter("n > 1")
     n_hit = hit.count()
     located = hit.select(F.col("digest").alias("d"), F.col("keep.file").alias("file"), F.col("keep.row").alias("row"))
     first = rows.join(store.small(located, n_hit, 400), ["file", "row"]).select("d", F.col("norm").alias("keep_norm"))
-    members = rows.join(store.small(hit.select("digest"), n_hit, 160), "digest", "left_semi") if n_hit * 160 <= store.BROADCAST_BYTES else rows
+    members = rows.join(store.small(hit.select("digest"), n_hit, 160), "digest", "left_semi")
     differs = store.save(
         members.join(first.hint("merge"), F.col("digest") == F.col("d")).filter(F.col("norm") != F.col("keep_norm")).select("doc_id", "file", "row", "digest", "norm"),
         "dedup-collisions",

@@ -1,9 +1,9 @@
 """Cross-site boilerplate lines, by how many distinct sites a line has.
 
 Each line hash has a HyperLogLog sketch of its sites; sketches merge by aggregation, before the shuffle and after it.
-Lines whose estimate is near the threshold get an exact distinct count. Lines on enough sites are removed. Which
-documents are copies, left whole for document deduplication, is decided by a share of their characters (the query, as
-its SQL says) or by whether the whole text is itself on enough sites (the pipeline).
+Lines whose estimate is near the threshold get an exact distinct count. Lines on enough sites are removed, whatever
+their share of a document. Only a text that is itself on enough sites is a copy, not boilerplate: it keeps the lines
+that no other texts spread as far, for document deduplication to judge.
 """
 
 from __future__ import annotations
@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from foliospark.llm import store
 
 MIN_SITES = 8
-#: Share of a document's line characters that boilerplate may be.
-MOST_OF_DOCUMENT = 0.5
 #: log2 of the sketch's registers, and how far off, relative to the threshold, an estimate counts as near (six standard errors).
 LG_K = 11
 NEAR = 0.15
@@ -52,15 +50,14 @@ def _spread_by_others(hits: DataFrame, min_sites: int) -> DataFrame:
     return others.unionByName(still.select(others.columns))
 
 
-def line_dedup(df: DataFrame, min_sites: int = MIN_SITES, most: float | None = MOST_OF_DOCUMENT) -> DataFrame:
+def line_dedup(df: DataFrame, min_sites: int = MIN_SITES, most: float | None = None) -> DataFrame:
     """df (doc_id, text, source, any others) with boilerplate lines cut out of `text`, and n_lines, n_removed.
 
     Lines end at line feeds; blank lines are never boilerplate. A null source is a site of its own. Null text has no
-    lines and stays null; empty text has one. A document more than `most` of whose line characters are boilerplate
-    keeps all. Rows of the same doc_id and text are treated alike. Columns named n_lines or n_removed are replaced.
-
-    With `most` None boilerplate is cut whatever its share; only a text that is itself on `min_sites` sites keeps the
-    lines that no other texts spread to as many: its copies have made them boilerplate.
+    lines and stays null; empty text has one. Rows of the same doc_id and text are treated alike. Columns named n_lines or
+    n_removed are replaced. A text that is itself on `min_sites` sites keeps the lines that no other texts spread to as
+    many: its copies have made them boilerplate. With `most` no text is a copy for that reason, but a document more than
+    `most` of whose line characters are boilerplate keeps all.
     """
     df = df.drop("n_lines", "n_removed")
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -80,7 +77,8 @@ def line_dedup(df: DataFrame, min_sites: int = MIN_SITES, most: float | None = M
     lines = _lines(given)
     whole = F.length(F.replace(given, F.lit("\n"), F.lit("")))
     applies = F.col("gone").isNotNull() & (F.lit(True) if most is None else F.col("gone_size") <= whole * F.lit(most))
-    kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains(F.col("gone"), i)), "\n")
+    # The places that stay by a set difference, then the lines there: linear in long documents too.
+    kept = F.element_at(F.transform(F.array(lines), lambda each: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(each) - 1), F.col("gone")), lambda i: F.get(each, i)), "\n")), 1)
     return joined.select(
         F.col("row").withField("text", F.when(applies, kept).otherwise(given)).alias("row"),
         F.when(given.isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
@@ -99,13 +97,11 @@ WITH e AS (
   FROM documents),
 n AS (SELECT *, trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')) AS plain FROM e),
 w AS (SELECT plain FROM n WHERE plain <> '' GROUP BY plain HAVING count(DISTINCT coalesce(source, chr(0))) >= 8),
-m AS (SELECT n.*, w.plain IS NOT NULL AS hit FROM n LEFT JOIN w USING (plain)),
-d AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (hit) AS hits, coalesce(sum(length(line)) FILTER (hit), 0) AS gone_size,
-             any_value(length(replace(text, chr(10), ''))) AS whole, any_value(text) AS text,
-             string_agg(line, chr(10) ORDER BY pos) FILTER (NOT hit) AS rest
-      FROM m GROUP BY doc_id)
-SELECT t.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines,
-       coalesce(CASE WHEN gone_size <= whole * 0.5 THEN hits ELSE 0 END, 0)::BIGINT AS n_removed,
-       sha256(CASE WHEN hits > 0 AND gone_size <= whole * 0.5 THEN coalesce(rest, '') ELSE coalesce(t.text, '') END) AS kept_sha256
+c AS (SELECT text FROM documents GROUP BY text HAVING count(DISTINCT coalesce(source, chr(0))) >= 8),
+o AS (SELECT plain FROM n WHERE plain <> '' AND text NOT IN (SELECT text FROM c WHERE text IS NOT NULL) GROUP BY plain HAVING count(DISTINCT coalesce(source, chr(0))) >= 8),
+m AS (SELECT n.*, w.plain IS NOT NULL AND (c.text IS NULL OR o.plain IS NOT NULL) AS hit FROM n LEFT JOIN w USING (plain) LEFT JOIN c ON c.text = n.text LEFT JOIN o ON o.plain = n.plain),
+d AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (hit) AS hits, string_agg(line, chr(10) ORDER BY pos) FILTER (NOT hit) AS rest FROM m GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(hits, 0)::BIGINT AS n_removed,
+       sha256(CASE WHEN hits > 0 THEN coalesce(rest, '') ELSE coalesce(t.text, '') END) AS kept_sha256
 FROM documents t LEFT JOIN d USING (doc_id)
 """

@@ -18,7 +18,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import components, store, vectors
+from foliospark.llm import store, vectors
+from foliospark.operators import components
 
 WIDTH = 5
 BANDS = 40

@@ -7,7 +7,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from foliospark.llm import components, exact_dedup, near_dedup, repeats, substring_dedup, suffix_array_dedup
+from foliospark.llm import exact_dedup, near_dedup, repeats, store, substring_dedup, suffix_array_dedup
+from foliospark.operators import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -254,6 +255,55 @@ def test_exact(spark, tmp_path, weak):
     assert set(kept.values()) == {1} and len(kept) == len({x.text_sha256 for x in out})
 
 
+def test_exact_goes_on_from_its_state(spark, tmp_path):
+    """A second run over a table that has grown takes only the new files through the stream, and agrees with a run over all."""
+    rows = corpus(8)
+    path, state = f"{tmp_path}/documents.parquet", f"file://{tmp_path}/state"
+    frame(spark, rows[:60]).repartition(3).write.parquet(path)
+    first = exact_dedup.exact_dedup(spark, path, state=state).collect()
+    assert Counter((x.doc_id, x.keep_id, x.group_size) for x in first) == brute_exact(rows[:60])
+    frame(spark, rows[60:]).repartition(2).write.mode("append").parquet(path)
+    both = exact_dedup.exact_dedup(spark, path, state=state).collect()
+    assert Counter((x.doc_id, x.keep_id, x.group_size) for x in both) == brute_exact(rows)
+    assert len(list((tmp_path / "state" / "changes").glob("changes=*"))) == 2
+
+
+def test_shuffled_branches_agree(spark, tmp_path, monkeypatch):
+    """What is broadcast while small is joined by shuffles beyond the bound, with the same rows."""
+    rows = corpus(9)
+    path = f"{tmp_path}/documents.parquet"
+    frame(spark, rows).repartition(3).write.parquet(path)
+    runs = []
+    for bound in (store.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(store, "BROADCAST_BYTES", bound)
+        near = near_dedup.near_duplicates(frame(spark, rows[:60]), 85).collect()
+        runs.append([sorted(map(str, x)) for x in (exact_dedup.exact_dedup(spark, path).collect(), near, substring_dedup.substring_dedup(frame(spark, rows), 12, (4, 8)).collect())])
+    assert runs[0] == runs[1]
+
+
+def test_recall_at_the_threshold():
+    """Pairs of sets just at the threshold share a band and pass the sketch filter."""
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    for num in (85, 80):
+        share, found, pairs = num / 100, 0, 1000
+        for _ in range(pairs // 50):
+            sets = []
+            for _ in range(50):
+                union = r.integers(0, 1 << 63, 400, dtype=np.uint64)
+                own = (400 - 4 * num) // 2
+                sets += [np.unique(union[: 400 - own]), np.unique(union[own:])]
+            owner = np.repeat(np.arange(100), [len(s) for s in sets])
+            width = near_dedup.rows_for(share)
+            sketch = near_dedup.sketches(np.concatenate(sets), owner, 100, max(near_dedup.BANDS * width, near_dedup.FILTER))
+            keys = near_dedup.band_keys(sketch[:, : near_dedup.BANDS * width], near_dedup.BANDS, width)
+            marks = sketch[:, : near_dedup.FILTER]
+            alike = (marks[::2] == marks[1::2]).mean(axis=1) >= share - 6 * float(np.sqrt(share * (1 - share) / near_dedup.FILTER))
+            found += int(((keys[::2] == keys[1::2]).any(axis=1) & alike).sum())
+        assert found / pairs > 0.99
+
+
 def test_empty_tables(spark, tmp_path):
     none = spark.createDataFrame([], "doc_id long, text string, source string")
     path = f"{tmp_path}/documents.parquet"

@@ -152,7 +152,7 @@ def test_lines(spark):
         cut = sum(len(x) for x, b in zip(lines, bad) if b) <= 0.5 * sum(map(len, lines))
         gone = [b and cut for b in bad]
         expected[(i, None if t is None else "\n".join(x for x, g in zip(lines, gone) if not g), len(lines), sum(gone))] += 1
-    got = Counter((x.doc_id, x.text, x.n_lines, x.n_removed) for x in line_dedup.line_dedup(df).collect())
+    got = Counter((x.doc_id, x.text, x.n_lines, x.n_removed) for x in line_dedup.line_dedup(df, most=0.5).collect())
     assert got == expected and sum(k[3] for k in got) > 0
     assert line_dedup.line_dedup(df.limit(0)).count() == 0
 
@@ -162,7 +162,7 @@ def test_lines_of_any_share(spark):
     copied = "An article\nthat ten sites have\nCookie notice"
     rows = [(k, f"Cookie notice of this site\nown {k}", f"s{k}") for k in range(9)] + [(20 + k, copied, f"s{k}") for k in range(10)]
     rows += [(40 + k, f"Cookie notice\n{k}", f"s{k}") for k in range(8)] + [(60, "Cookie notice", "s0"), (61, "that ten sites have\nalone", "s1")]
-    out = {x.doc_id: (x.text, x.n_lines, x.n_removed) for x in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string, source string"), most=None).collect()}
+    out = {x.doc_id: (x.text, x.n_lines, x.n_removed) for x in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     expected = {k: (f"own {k}", 2, 1) for k in range(9)} | {20 + k: ("An article\nthat ten sites have", 3, 1) for k in range(10)}
     assert out == expected | {40 + k: (f"{k}", 2, 1) for k in range(8)} | {60: ("", 1, 1), 61: ("alone", 2, 1)}
 
