@@ -121,16 +121,31 @@ def without_fence(text: Column) -> Column:
     return stripped(F.when(t.startswith("```") & (F.size(lines) > 2), inner).otherwise(t))
 
 
+def _any_of(words: list[str]) -> str:
+    """A pattern for any of the words in which each letter is tried once: words that begin alike share their beginning."""
+    tails: dict[str, list[str]] = {}
+    for w in words:
+        if w:
+            tails.setdefault(w[0], []).append(w[1:])
+    each = "|".join(c + _any_of(rest) for c, rest in sorted(tails.items()))
+    return "" if not each else f"(?:{each})" + ("?" if "" in words else "")
+
+
 def english_words(text: Column) -> Column:
     """How many of the text's ASCII words of two letters or more are common English ones."""
-    return F.regexp_count(F.lower(text), F.lit(r"(?U)\b(?:" + "|".join(w for w in ENGLISH_STOP_WORDS if len(w) > 1) + r")\b"))
+    return F.regexp_count(F.lower(text), F.lit(r"(?U)\b" + _any_of([w for w in ENGLISH_STOP_WORDS if len(w) > 1]) + r"\b"))
+
+
+def ascii_share(squeezed_text: Column) -> Column:
+    """ASCII letters over all characters but spaces; what is counted is what goes when they are taken out, a run at a time."""
+    letters = F.length(squeezed_text) - F.length(F.regexp_replace(squeezed_text, "[A-Za-z]+", ""))
+    return F.try_divide(letters, F.greatest(F.length(F.replace(squeezed_text, F.lit(" "), F.lit(""))), F.lit(1)))
 
 
 def english_heavy(text: Column, least: int = 140, hits: int = 6) -> Column:
-    """Long text that is mostly ASCII letters and holds enough common English words."""
+    """Long text that is mostly ASCII letters and holds enough common English words; the cheap tests come first."""
     t = squeezed(text)
-    share = F.try_divide(F.regexp_count(t, F.lit("[A-Za-z]")), F.greatest(F.regexp_count(t, F.lit(r"(?U)\S")), F.lit(1)))
-    return (F.length(t) >= least) & (share >= 0.25) & (english_words(t) >= hits)
+    return (F.length(t) >= least) & (ascii_share(t) >= 0.25) & (english_words(t) >= hits)
 
 
 def has_cyrillic(text: Column) -> Column:

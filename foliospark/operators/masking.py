@@ -34,10 +34,14 @@ LONGEST_INLINE = 5000
 RESULT = "masked string, tokens array<struct<token: string, kind: string, original: string>>, stats map<string,int>"
 
 Span = tuple[int, int]
+#: Characters without which a text has none of a form: looking for them is much cheaper than scanning.
+MARKS = {"comment": "%", "dollars": "$", "pair": "$\\"}
 
 
 def _environment_spans(text: str, name: str) -> list[Span]:
     """Outermost begin/end pairs of an environment; ends without a begin are ignored, begins without an end too."""
+    if f"\\begin{{{name}}}" not in text:
+        return []
     open_at: list[int] = []
     pairs: list[Span] = []
     for m in re.finditer(rf"\\(begin|end)\{{{re.escape(name)}\}}", text):
@@ -64,6 +68,8 @@ def _closing(text: str, at: int, opening: str, closing: str) -> int:
 
 def _command_spans(text: str, name: str) -> Iterator[Span]:
     """A command with one optional and one required argument; a second optional one ends it."""
+    if f"\\{name}" not in text:
+        return
     rx, at = re.compile(rf"\\{re.escape(name)}(?=[\[{{])"), 0
     while m := rx.search(text, at):
         end = m.end()
@@ -77,6 +83,8 @@ def _command_spans(text: str, name: str) -> Iterator[Span]:
 
 def _delimited_spans(text: str, name: str) -> Iterator[Span]:
     """A command whose argument stands between two equal characters; a backslash before the second one escapes it."""
+    if f"\\{name}" not in text:
+        return
     rx, at = re.compile(rf"\\{name}\*?(\S)"), 0
     while m := rx.search(text, at):
         close = re.compile(rf"(?<!\\){re.escape(m[1])}").search(text, m.end())
@@ -100,6 +108,8 @@ def _dollar_spans(text: str) -> Iterator[Span]:
 
 def _spans(text: str, form: str, names: tuple[str, ...]) -> Iterator[list[Span]]:
     """Spans to replace at once, in the order in which they are numbered."""
+    if form in MARKS and not any(mark in text for mark in MARKS[form]):
+        return
     if form == "comment":
         yield [m.span() for m in re.finditer(r"(?<!\\)%[^\n]*", text)]
     elif form == "pair":
@@ -155,10 +165,27 @@ def masked(df: DataFrame, key: str, tex: str) -> DataFrame:
     return rows.mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, {RESULT}")
 
 
+TOKEN = r"<<[A-Z_]+_\d+>>"
+
+
+def _looked_up(text: Column, originals: Column) -> Column:
+    """text with each token that map `originals` knows replaced, in one pass."""
+    parts, found = F.split(text, TOKEN, -1), F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    return F.array_join(F.zip_with(parts, found, lambda p, t: F.concat(p, F.coalesce(F.try_element_at(originals, t), t, F.lit("")))), "")
+
+
 def restored(text: Column, tokens: Column, rounds: int = 10) -> Column:
-    """Tokens replaced by their originals, nested ones too: at most `rounds` passes, none once nothing is left."""
-    once = lambda t: F.aggregate(tokens, t, lambda acc, e: F.replace(acc, e["token"], e["original"]))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), text, lambda acc, _: F.when(acc.contains("<<"), once(acc)).otherwise(acc))
+    """Tokens replaced by their originals, nested ones too, at most `rounds` levels deep.
+
+    Originals that hold tokens are resolved first, among themselves; the text is cut at its tokens once.
+    """
+    as_map = lambda ts: F.map_from_entries(F.transform(ts, lambda e: F.struct(e["token"], e["original"])))
+    nested = lambda ts: F.exists(ts, lambda e: e["original"].rlike(TOKEN))
+    deeper = lambda ts: F.element_at(F.transform(F.array(as_map(ts)), lambda m: F.transform(ts, lambda e: F.struct(e["token"].alias("token"), F.when(e["original"].rlike(TOKEN), _looked_up(e["original"], m)).otherwise(e["original"]).alias("original")))), 1)
+    own = F.transform(tokens, lambda e: F.struct(e["token"].alias("token"), e["original"].alias("original")))
+    known = F.aggregate(F.sequence(F.lit(1), F.lit(rounds - 1)), own, lambda acc, _: F.when(nested(acc), deeper(acc)).otherwise(acc))
+    whole = F.element_at(F.transform(F.array(as_map(known)), lambda m: _looked_up(text, m)), 1)
+    return F.when(text.contains("<<") & (F.size(tokens) > 0), whole).otherwise(text)
 
 
 def unmasked(text: Column, tokens: Column) -> Column:

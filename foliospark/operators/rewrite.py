@@ -101,7 +101,7 @@ def times_font(t: Column) -> Column:
     plain = F.replace(F.replace(t, F.lit("\\usepackage{graphicx,times}"), F.lit("\\usepackage{graphicx}")), F.lit("\\usepackage{times}"), F.lit(""))
     ieee = X.document_class(t).contains("ieeetran") & ~t.contains("\\renewcommand{\\rmdefault}{cmr}")
     with_default = F.when(ieee, F.regexp_replace(plain, r"(?s)^(.*?\\documentclass(?:\[[^\]]*\])?\{[^}]+\})", "$1\n\\\\renewcommand{\\\\rmdefault}{cmr}\n")).otherwise(plain)
-    return F.when(T.has_cyrillic(t) & t.contains("\\usepackage[T2A]{fontenc}"), F.regexp_replace(with_default, r"\n\s*\n\s*\n+", "\n\n")).otherwise(t)
+    return F.when(t.contains("\\usepackage[T2A]{fontenc}") & T.has_cyrillic(t), F.regexp_replace(with_default, r"\n\s*\n\s*\n+", "\n\n")).otherwise(t)
 
 
 _CJK = "[ぁ-ゟ゠-ヿ一-龯]"
@@ -411,8 +411,8 @@ def stamped(t: Column, stamp: Column) -> Column:
 
 #: What a text must hold for a rule to change it: searching for that is much cheaper than the rule's patterns.
 NEEDLES = {
-    "closing_signs": (">", ")"), "redefined_commands": ("\\newcommand",), "section_fonts": ("sectsty",), "cjk_package": ("CJK",), "leftover_tokens": ("<<",), "minted": ("minted",),
-    "floats": ("figure", "table", "includegraphics", "Figure", "Table"), "column_graphics": ("textwidth",), "broken_graphics": ("\\1",), "broken_commands": ("\\ ", "head", "foot"),
+    "closing_signs": ("\\usepackage{", "\\begin{", "\\end{"), "stray_class_lines": ("\\documentclass",), "times_font": ("T2A",), "babel_options": ("\\documentclass", "{babel}"), "redefined_commands": ("\\newcommand",), "section_fonts": ("sectsty",), "cjk_package": ("CJK",), "leftover_tokens": ("<<",), "minted": ("minted",),
+    "floats": ("{figure", "{table", "includegraphics", "{Figure", "{Table"), "column_graphics": ("textwidth",), "broken_graphics": ("\\1",), "broken_commands": ("\\ ", "head", "foot"),
     "typos": ("e.g.", "i.e.", *PACKAGE_TYPOS), "abstract_name": ("abstract",), "abstract_page": ("abstract}",), "orphan_bibliography": ("thebibliography",),
     "no_bibliography": ("nobibliography",), "last_end": ("\\end{document}",), "acm_countries": ("acmart",), "acm_title": ("acmart",), "acm_lines": ("acmart",), "package_order": ("fontenc",), "rtl_stamp": ("ArxivStamp",), "thanks_layout": ("\\maketitle",),
 }

@@ -60,26 +60,33 @@ def assembled(spark, d):
     return out.join(rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("parts")), "conv_id")
 
 
+MARKED_TEX = (
+    "\\documentclass{article}\n\\begin{document}\n% a note\nSee \\cite[p. 2]{a{b}c} and \\verb|x$y| at 5\\% off.\n\\begin{equation}\nE=mc^2 % inside\n\\end{equation}\n\\includegraphics[width=1cm]{f.png} "
+    "$a_№$ ¤\n\\begin{tikzpicture}\\begin{scope} a \\end{scope}\\end{tikzpicture} \\(z\\) $$q$$ \\[ w \\] $k$\n\\end{document}\n"
+)
+
+
 def _tex_with_marks(spark, d):
     """Documents with formulas, a figure, code, citations and comments around their text."""
-    head = F.lit("\\documentclass{article}\n\\begin{document}\n% a note\nSee \\cite[p. 2]{a{b}c} and \\verb|x$y| at 5\\% off.\n\\begin{equation}\nE=mc^2 % inside\n\\end{equation}\n\\includegraphics[width=1cm]{f.png} ")
-    tail = F.lit("\n\\begin{tikzpicture}\\begin{scope} a \\end{scope}\\end{tikzpicture} \\(z\\) $$q$$ \\[ w \\] $k$\n\\end{document}\n")
-    return table(spark, d, "documents").select("doc_id", F.concat(head, F.lit("$a_"), F.col("doc_id").cast("string"), F.lit("$ "), F.col("text"), tail).alias("tex"))
+    return table(spark, d, "documents").select("doc_id", varied([MARKED_TEX]).alias("tex"))
 
 
-@query("m00_masked")
+@query("m00_masked", f"""WITH t AS (SELECT doc_id, text, {varied_sql([MARKED_TEX])} AS tex FROM (SELECT doc_id, translate(text, '%$', '') AS text FROM documents))
+SELECT doc_id, 12 AS n_tokens, sha256(concat('\\documentclass{{article}}', chr(10), '\\begin{{document}}', chr(10), '<<COMMENT_0>>', chr(10), 'See <<CMD_11>> and <<CODE_2>> at 5\\% off.', chr(10), '<<MATH_DISP_5>>', chr(10), '<<IMG_4>> <<MATH_INLINE_9>> ', text, chr(10),
+ '<<TIKZ_3>> <<MATH_INLINE_8>> <<MATH_DISP_7>> <<MATH_DISP_6>> <<MATH_INLINE_10>>', chr(10), '\\end{{document}}', chr(10))) AS masked_sha FROM t""")
 def masked(spark, d):
-    rows = masking.masked(_tex_with_marks(spark, d), "doc_id", "tex")
-    return rows.select("doc_id", F.sha2("masked", 256).alias("masked_sha"), F.size("tokens").alias("n_tokens"), "stats")
+    plain = table(spark, d, "documents").withColumn("text", F.translate("text", "%$", ""))  # marks are those of the form only
+    rows = masking.masked(plain.select("doc_id", varied([MARKED_TEX]).alias("tex")), "doc_id", "tex")
+    return rows.select("doc_id", F.sha2("masked", 256).alias("masked_sha"), F.size("tokens").alias("n_tokens"))
 
 
-@query("j01_j02_m16_round_trip", "SELECT doc_id, true AS same, 0 AS leftovers, true AS single_pass_differs FROM documents")
+@query("j01_j02_m16_round_trip", f"SELECT doc_id, sha256({varied_sql([MARKED_TEX])}) AS tex_sha, 0 AS leftovers, true AS single_pass_differs FROM documents")
 def round_trip(spark, d):
     docs = _tex_with_marks(spark, d)
     rows = masking.masked(docs, "doc_id", "tex").join(docs, "doc_id")
     back = masking.restored(F.col("masked"), F.col("tokens"))
     once = masking.unmasked(F.col("masked"), F.col("tokens"))
-    return rows.select("doc_id", (back == F.col("tex")).alias("same"), F.size(masking.leftovers(back)).alias("leftovers"), (once != F.col("tex")).alias("single_pass_differs"))
+    return rows.select("doc_id", F.sha2(back, 256).alias("tex_sha"), F.size(masking.leftovers(back)).alias("leftovers"), (once != F.col("tex")).alias("single_pass_differs"))
 
 
 @query("m08_m09_m17_flat_tokens", r"""
@@ -91,10 +98,10 @@ def flat_tokens(spark, d):
     return table(spark, d, "documents").select("doc_id", F.regexp_count(s, F.lit(r"(?s)\$\$.*?\$\$")).alias("displays"), F.size(masking.leftovers(s)).alias("tokens"), F.sha2(masking.without_leftovers(s), 256).alias("clean_sha"))
 
 
-@query("a01_mask_counts", "SELECT lang, count(*) AS documents, (count(*) * 2)::BIGINT AS comments_at_least, count(*)::BIGINT AS images, count(*)::BIGINT AS specialized FROM documents GROUP BY lang")
+@query("a01_mask_counts", r"""SELECT lang, count(*) AS documents, sum(2 + len(regexp_extract_all(text, '%[^\n]*')))::BIGINT AS comments, count(*)::BIGINT AS images, count(*)::BIGINT AS specialized FROM documents GROUP BY lang""")
 def mask_counts(spark, d):
     rows = masking.masked(_tex_with_marks(spark, d), "doc_id", "tex").join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
-    return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.least(F.col("stats")["comments"], F.lit(2))).cast("long").alias("comments_at_least"), F.sum(F.col("stats")["images"]).cast("long").alias("images"), F.sum(F.col("stats")["specialized"]).cast("long").alias("specialized"))
+    return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.col("stats")["comments"]).cast("long").alias("comments"), F.sum(F.col("stats")["images"]).cast("long").alias("images"), F.sum(F.col("stats")["specialized"]).cast("long").alias("specialized"))
 
 
 @query("j06_relevant_terms", f"WITH {GLOSSARY_SQL}, {FOUND_SQL} SELECT * FROM f")
@@ -288,15 +295,19 @@ def thanks_lines(spark, d):
     return table(spark, d, "documents").select("doc_id", structure.thanks_lines(tex).alias("lines"))
 
 
-@query("a22_japanese_style", r"""SELECT doc_id, 20 + (doc_id % 3)::INT AS sentences, (doc_id % 3)::INT + 20 AS dearu, 20 + (doc_id % 3)::INT AS topics, doc_id % 2 = 0 AS literal FROM documents""")
+@query("a22_japanese_style", r"""WITH t AS (SELECT doc_id, concat(translate(text, '\%$&{}<', ''), '。', repeat('これは本である。', 10 + (doc_id % 20)::INT), CASE WHEN doc_id % 2 = 0 THEN 'つまりそのため。' ELSE 'つまり。' END) AS s FROM documents),
+p AS (SELECT doc_id, trim(regexp_replace(s, '\s+', ' ', 'g')) AS s FROM t), q AS (SELECT doc_id, s, list_filter(list_transform(string_split_regex(s, '[。．.]'), lambda x: trim(x)), lambda x: x <> '') AS each FROM p),
+n AS (SELECT doc_id, len(each)::INT AS sentences, len(regexp_extract_all(s, 'である|であり|であった'))::INT AS dearu, len(list_filter(each[1:200], lambda x: regexp_matches(x, '^\S{1,24}は')))::INT AS topics, len(regexp_extract_all(s, 'したがって|従って|そのため|なぜなら|つまり')) AS connectors FROM q)
+SELECT doc_id, sentences, dearu, topics, sentences >= 18 AND dearu >= 10 AND topics >= 8 AND connectors >= 2 AS literal FROM n""")
 def japanese_style(spark, d):
     from foliospark.operators import validation as V
 
     k = F.col("doc_id")
-    tex = F.concat(F.repeat(F.lit("これは本である。"), (20 + k % 3).cast("int")), F.when(k % 2 == 0, "つまりそのため。").otherwise("つまり。"))
+    plain = F.translate("text", "\\%$&{}<", "")
+    tex = F.concat(plain, F.lit("。"), F.repeat(F.lit("これは本である。"), (10 + k % 20).cast("int")), F.when(k % 2 == 0, "つまりそのため。").otherwise("つまり。"))
     s = V.japanese_style(tex)
     rows = table(spark, d, "documents").select("doc_id", s.alias("s"))
-    return rows.select("doc_id", (F.col("s.sentences") - 1).alias("sentences"), "s.dearu", "s.topics", "s.literal")
+    return rows.select("doc_id", "s.sentences", "s.dearu", "s.topics", "s.literal")
 
 
 @query("r35_m18_right_to_left", r"""WITH t AS (SELECT doc_id, translate(text, '\$%{}<', '') AS s FROM documents)

@@ -226,8 +226,10 @@ w AS (SELECT doc_id, t, len(list_filter(string_split_regex(lower(t), '[^\p{L}\p{
   len(regexp_extract_all(t, '[A-Za-z]'))::DOUBLE / greatest(len(regexp_extract_all(t, '\S')), 1) AS share FROM s)
 SELECT doc_id, hits, length(t) >= 140 AND share >= 0.25 AND hits >= 6 AS for_repair, length(t) >= 80 AND share >= 0.25 AND hits >= 4 AS for_chunks FROM w""")
 def english_heavy(spark, d):
-    t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", T.english_words(T.squeezed(t)).alias("hits"), T.english_heavy(t).alias("for_repair"), T.english_heavy(t, 80, 4).alias("for_chunks"))
+    rows = table(spark, d, "documents").select("doc_id", T.squeezed(F.col("text")).alias("t"))
+    counted = rows.select("doc_id", F.length("t").alias("n"), T.english_words(F.col("t")).alias("hits"), T.ascii_share(F.col("t")).alias("share"))
+    heavy = lambda least, hits: (F.col("n") >= least) & (F.col("share") >= 0.25) & (F.col("hits") >= hits)
+    return counted.select("doc_id", "hits", heavy(140, 6).alias("for_repair"), heavy(80, 4).alias("for_chunks"))
 
 
 @query("p18_p19_p20_scripts", r"""
