@@ -58,7 +58,13 @@ def translated(requests: DataFrame, cache: DataFrame, translate: Callable[[str],
     return hit.mapInPandas(run, hit.schema)
 
 
-def compiled(documents: DataFrame, cache: DataFrame, key: str = "sha256") -> DataFrame:
-    """documents with the path of an earlier result: the same digest, successful, its file still there; of several the last."""
-    usable = cache.filter("success AND path IS NOT NULL").groupBy(key).agg(F.max_by("path", "written").alias("compiled_path"))
+def compiled(documents: DataFrame, cache: DataFrame, key: str = "sha256", files: DataFrame | None = None) -> DataFrame:
+    """documents with the path of an earlier result: the same digest, successful; of several the last.
+
+    With `files` (path), a listing of what is there, results whose file is gone do not count.
+    """
+    usable = cache.filter("success AND path IS NOT NULL")
+    if files is not None:
+        usable = usable.join(files.select("path").distinct(), "path", "left_semi")
+    usable = usable.groupBy(key).agg(F.max_by("path", "written").alias("compiled_path"))
     return documents.join(usable, key, "left")

@@ -7,8 +7,14 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import text as T
 
-#: Glossaries up to so many terms are broadcast; larger ones meet the documents' words in a shuffled join.
-BROADCAST_TERMS = 100_000
+#: Glossaries up to so many bytes (three a character, and 64 a row) are broadcast; larger ones are joined by shuffle.
+BROADCAST_BYTES = 16 << 20
+
+
+def small(rows: DataFrame) -> DataFrame:
+    """rows of strings with a broadcast hint if they were measured to be under the bound."""
+    size = rows.agg(F.sum(F.lit(64) + sum((F.coalesce(F.length(c), F.lit(0)) for c in rows.columns), F.lit(0)) * 3)).first()[0] or 0
+    return F.broadcast(rows) if size <= BROADCAST_BYTES else rows
 
 
 def chosen(glossary: DataFrame, lang: str) -> DataFrame:
@@ -36,8 +42,7 @@ def relevant_terms(docs: DataFrame, glossary: DataFrame, key: str, text: str) ->
     """
     words = lambda t: F.regexp_extract_all(t, F.lit(r"(?U)\w+"), F.lit(0))
     terms = glossary.select(F.lower("term").alias("term")).distinct().withColumn("word", F.get(words(F.col("term")), F.lit(0))).filter("word IS NOT NULL")
-    if terms.count() <= BROADCAST_TERMS:
-        terms = F.broadcast(terms)
+    terms = small(terms)
     doc = docs.select(F.col(key), F.lower(text).alias("low"))
     hits = doc.select(key, "low", F.explode(F.array_distinct(words(F.col("low")))).alias("word")).join(terms, "word")
     return hits.filter(F.col("low").contains(F.col("term")) & F.rlike("low", bounded(F.col("term")))).select(key, "term").distinct()
@@ -60,11 +65,12 @@ def token_cost(formatted: Column, terms: Column) -> Column:
 def usage(docs: DataFrame, glossary: DataFrame, key: str, text: str, lang: str = "ru") -> DataFrame:
     """key and total_terms, relevant_terms, usage_percentage, full_tokens, relevant_tokens, tokens_saved for every document."""
     plain = chosen(glossary, lang)
-    pairs = lambda rows: F.map_from_entries(F.collect_list(F.struct("term", "translation")))
-    full = plain.agg(pairs(plain).alias("m")).select(token_cost(compact(F.col("m")), F.size("m")).alias("full_tokens"))
+    # The whole glossary as JSON is not made: its length is that of its pairs, each alone, with commas between and braces around.
+    pair = F.length(F.to_json(F.create_map("term", "translation"))) - 2
+    full = plain.agg(F.coalesce(F.sum(pair + 1) + 1, F.lit(2)).alias("size"), F.count(F.lit(1)).alias("n")).select(F.when(F.col("n") == 0, 0).otherwise(F.greatest(F.floor(F.col("size") / 4), F.lit(1))).cast("long").alias("full_tokens"))
     total = glossary.select("term").distinct().agg(F.count(F.lit(1)).alias("total_terms"))
     found = relevant_terms(docs, glossary, key, text)
-    own = found.join(F.broadcast(plain), "term", "left").groupBy(key).agg(F.count(F.lit(1)).alias("relevant_terms"), F.map_from_entries(F.filter(F.collect_list(F.struct("term", "translation")), lambda e: e["translation"].isNotNull())).alias("m"))
+    own = found.join(small(plain), "term", "left").groupBy(key).agg(F.count(F.lit(1)).alias("relevant_terms"), F.map_from_entries(F.filter(F.collect_list(F.struct("term", "translation")), lambda e: e["translation"].isNotNull())).alias("m"))
     rows = docs.select(key).join(own, key, "left").crossJoin(F.broadcast(total)).crossJoin(F.broadcast(full))
     rel = F.coalesce("relevant_terms", F.lit(0))
     tokens = F.when(F.col("m").isNull(), 0).otherwise(token_cost(compact(F.col("m")), F.size("m"))).cast("long")

@@ -46,11 +46,22 @@ def section_chunks(spark, d):
     return rows.groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum(size).cast("long").alias("chars"))
 
 
-@query("w03_bibliography_chunks")
+@query("w03_d03_w18_bibliography_chunks", r"""
+WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+p AS (SELECT doc_id, i, concat(CASE WHEN i = 1 THEN concat('\begin{thebibliography}{9}', chr(10)) ELSE '' END, '\bibitem{b', (i - 1)::VARCHAR, '} ', line, chr(10)) AS part FROM l),
+w AS (SELECT doc_id, (sum(length(part)) + length('\end{thebibliography}')) // 4 > 300 AS large, max(i) AS last FROM p GROUP BY doc_id),
+r AS (SELECT p.doc_id, i, 0 AS chunk, length(part) // 4 AS tokens FROM p WHERE i = 1 UNION ALL
+  SELECT p.doc_id, p.i, CASE WHEN large AND r.tokens + length(part) // 4 > 300 THEN chunk + 1 ELSE chunk END, CASE WHEN large AND r.tokens + length(part) // 4 > 300 THEN length(part) // 4 ELSE r.tokens + length(part) // 4 END
+  FROM r JOIN p ON p.doc_id = r.doc_id AND p.i = r.i + 1 JOIN w ON w.doc_id = p.doc_id),
+t AS (SELECT r.doc_id, chunk, concat(string_agg(part, '' ORDER BY r.i), CASE WHEN max(r.i) = any_value(last) THEN '\end{thebibliography}' ELSE '' END) AS text FROM r JOIN p ON p.doc_id = r.doc_id AND p.i = r.i JOIN w ON w.doc_id = r.doc_id GROUP BY r.doc_id, chunk),
+b AS (SELECT doc_id, concat('chunk_', (chunk + 2)::VARCHAR, '_bib') AS chunk_id, text FROM t),
+a AS (SELECT doc_id, concat('chunk_', (max(chunk) + 3)::VARCHAR, '_paragraph') AS chunk_id, concat(chr(10), '\appendix', chr(10), 'rest', chr(10), '\end{document}', chr(10), chr(10)) AS text FROM t GROUP BY doc_id),
+h AS (SELECT doc_id, 'chunk_0_preamble' AS chunk_id, '' AS text FROM documents UNION ALL SELECT doc_id, 'chunk_1_paragraph', concat('\begin{document}', chr(10), chr(10), chr(10)) FROM documents)
+SELECT doc_id, chunk_id, sha256(text) AS text_sha FROM b UNION ALL SELECT doc_id, chunk_id, sha256(text) FROM a UNION ALL SELECT doc_id, chunk_id, sha256(text) FROM h""")
 def bibliography_chunks(spark, d):
     items = F.array_join(F.transform(F.split("text", "\n", -1), lambda x, i: F.concat(F.lit("\\bibitem{b"), i.cast("string"), F.lit("} "), x, F.lit("\n"))), "")
     tex = F.concat(F.lit("\\begin{document}\n\\begin{thebibliography}{9}\n"), items, F.lit("\\end{thebibliography}\n\\appendix\nrest\n\\end{document}"))
-    return chunking.chunks(table(spark, d, "documents").select("doc_id", tex.alias("tex")), "doc_id", "tex", 300)
+    return chunking.chunks(table(spark, d, "documents").select("doc_id", tex.alias("tex")), "doc_id", "tex", 300).select("doc_id", "chunk_id", F.sha2("text", 256).alias("text_sha"))
 
 
 @query("a14_t03_assembled", r"SELECT conv_id, sha256(string_agg(text, chr(10) || chr(10) ORDER BY turn)) AS full_sha, count(*) AS parts FROM conversations GROUP BY conv_id")
@@ -203,7 +214,7 @@ R00_FORMS = [
 ]
 
 
-@query("r00_v04_rewritten", f"SELECT doc_id, length(t) AS size, sha256(t) AS text_sha FROM (SELECT doc_id, {varied_sql([b for _, b in R00_FORMS])} AS t FROM documents)")
+@query("r00_rewritten", f"SELECT doc_id, length(t) AS size, sha256(t) AS text_sha FROM (SELECT doc_id, {varied_sql([b for _, b in R00_FORMS])} AS t FROM documents)")
 def rewritten(spark, d):
     rows = table(spark, d, "documents").select("doc_id", varied([a for a, _ in R00_FORMS]).alias("s"))
     return rewrite.rewritten(rows, "s").select("doc_id", F.length("s").alias("size"), F.sha2("s", 256).alias("text_sha"))
