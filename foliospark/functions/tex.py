@@ -120,3 +120,31 @@ def table_rows(body: Column) -> Column:
 
 def wide_table(spec: Column) -> Column:
     return F.length(F.regexp_replace(F.regexp_replace(spec, r"@\{[^}]*\}", ""), "[^lcr]", "")) >= 6
+
+
+def without_command(tex: Column, prefix: str) -> Column:
+    """tex without commands whose names begin with `prefix` and their argument (braces in it up to three deep)."""
+    return F.regexp_replace(tex, rf"\\{prefix}[A-Za-z]*\*?\s*\{{(?:[^{{}}\\]++|\\.|\{{(?:[^{{}}\\]++|\\.|\{{[^{{}}]*+\}})*+\}})*+\}}", "")
+
+
+def wraps_pdf(tex: Column) -> Column:
+    """Whether a document only includes a PDF, so that there is nothing to translate."""
+    return tex.contains("pdfpages") & tex.contains("includepdf")
+
+
+def special_command(name: Column, commands: Column, used: Column) -> Column:
+    """Whether a command is one of `commands` or its name begins with or holds the name of a package in `used`."""
+    return F.array_contains(commands, name) | F.exists(used, lambda p: name.contains(p))
+
+
+#: Kinds of chunks that are translated and checked (fixed values).
+TRANSLATABLE = ("intro", "section", "subsection", "paragraph")
+
+
+def translatable(kind: Column) -> Column:
+    return kind.isin(*TRANSLATABLE)
+
+
+def full_command(line: Column) -> Column:
+    """The first command of a line with one optional and all required arguments (braces up to two deep)."""
+    return F.regexp_extract(line, r"(\\[A-Za-z]+\*?(?:\[[^\]]*\])?(?:\{(?:[^{}]++|\{[^{}]*+\})*+\})*)", 1)

@@ -162,3 +162,21 @@ def page_geometry(df: DataFrame, page_width: float, page_height: float) -> DataF
         F.bool_or(F.col("class_name").isin("title", "abstract") & (F.col("page") == 0)).alias("title_page"),
     )
     return edges.join(page_columns(df, page_width), "page").join(margins(df, page_width, page_height), "page", "left")
+
+
+def headers_and_footers(spans: DataFrame, regions: DataFrame, page_width: float, page_height: float) -> DataFrame:
+    """page, position, content, alignment, has_page_number of the text in a page's top and bottom regions(page, top, bottom).
+
+    The first page's regions are 120 and 70 points high at least. spans(page, ord, x0, x1, y0, text) count by their upper edge.
+    """
+    from foliospark.operators.flow import alignment
+
+    first = F.col("page") == 0
+    own = spans.join(regions, "page").withColumn("top", F.when(first, F.greatest("top", F.lit(120.0))).otherwise(F.col("top"))).withColumn("bottom", F.when(first, F.greatest("bottom", F.lit(70.0))).otherwise(F.col("bottom")))
+    position = F.when(F.col("y0") < F.col("top"), "header").when(F.col("y0") > page_height - F.col("bottom"), "footer")
+    rows = own.withColumn("position", position).filter("position IS NOT NULL").groupBy("page", "position").agg(
+        F.sort_array(F.collect_list(F.struct("ord", "text"))).alias("p"), F.min_by(F.struct("x0", "x1"), "ord").alias("b"))
+    content = T.stripped(F.array_join(F.transform("p", lambda x: x["text"]), " "))
+    numbered = F.contains(F.col("content"), (F.col("page") + 1).cast("string")) | F.contains(F.col("content"), F.col("page").cast("string"))
+    out = rows.select("page", "position", content.alias("content"), alignment(F.col("b.x0"), F.col("b.x1") - F.col("b.x0"), page_width).alias("alignment")).filter("content <> ''")
+    return out.withColumn("has_page_number", numbered)

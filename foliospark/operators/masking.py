@@ -205,3 +205,25 @@ def missing(text: Column, tokens: Column) -> Column:
 
 def without_leftovers(text: Column) -> Column:
     return F.when(text.rlike("<<[^>]+>>"), F.regexp_replace(F.regexp_replace(text, "<<[^>]+>>", ""), "\n\n\n+", "\n\n")).otherwise(text)
+
+
+#: What a translation of running text keeps: citations, numbered references, formulas, addresses, acronyms (fixed patterns).
+PRESERVED = r"\[[\d,\s\-–]+\]|\(Eq\.?\s*\d+\)|\(Figure\s*\d+[a-z]?\)|\(Fig\.?\s*\d+[a-z]?\)|\(Table\s*\d+\)|\$[^$]+\$|https?://[^\s]+|\b[A-Z]{2,}\b"
+
+
+def numbered_mask(text: Column, pattern: str, token: str) -> Column:
+    """struct<masked, kept>: matches of a pattern, in order, as token with its number from 0 (`token` holds one %)."""
+    kept = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    before, after = token.split("%")
+    named = F.transform(kept, lambda _, i: F.concat(F.lit(before), i.cast("string"), F.lit(after)))
+    masked = F.array_join(F.zip_with(F.split(text, pattern, -1), named, lambda p, t: F.concat(p, F.coalesce(t, F.lit("")))), "")
+    return F.struct(F.when(text.isNotNull(), masked).alias("masked"), kept.alias("kept"))
+
+
+def numbered_unmask(text: Column, kept: Column, token: str) -> Column:
+    """text with its numbered tokens as what `kept` has at their numbers; numbers beyond it stay."""
+    before, after = (re.escape(x) for x in token.split("%"))
+    rx = f"{before}(\\d+){after}"
+    numbers = F.regexp_extract_all(text, F.lit(rx), F.lit(0))
+    own = F.transform(numbers, lambda t: F.coalesce(F.get(kept, F.regexp_extract(t, rx, 1).cast("int")), t))
+    return F.array_join(F.zip_with(F.split(text, rx, -1), own, lambda p, t: F.concat(p, F.coalesce(t, F.lit("")))), "")

@@ -13,7 +13,7 @@ from foliospark.plans.catalog import BOXES_SQL, PAGE_HEIGHT, PAGE_WIDTH, TEX_SQL
 STOP_SQL = "[" + ", ".join(f"'{w}'" for w in T.ENGLISH_STOP_WORDS) + "]"
 
 
-@query("x01_paper_id", r"""
+@query("x01_x02_paper_id", r"""
 WITH u AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN concat('https://arxiv.org/abs/', lpad((page_id % 10000)::VARCHAR, 4, '1'), '.', lpad((page_id * 37 % 100000)::VARCHAR, 5, '0'), 'v2')
    WHEN 1 THEN concat(' ', lpad((page_id % 10000)::VARCHAR, 4, '1'), '.', lpad((page_id * 37 % 10000)::VARCHAR, 4, '0'), ' ')
    WHEN 2 THEN concat('https://arxiv.org/pdf/hep-th/', lpad(page_id::VARCHAR, 7, '9'), '.pdf') ELSE url END AS address FROM pages),
@@ -232,7 +232,7 @@ def english_heavy(spark, d):
     return counted.select("doc_id", "hits", heavy(140, 6).alias("for_repair"), heavy(80, 4).alias("for_chunks"))
 
 
-@query("p18_p19_p20_scripts", r"""
+@query("p18_p19_p20_x22_scripts", r"""
 SELECT doc_id, regexp_matches(text, '[а-яА-ЯёЁ]') AS cyrillic, regexp_matches(text, '[^\x00-\x7F\P{L}]') AS foreign_letters, regexp_matches(text, '[\x{3040}-\x{30FF}]') AS kana,
  regexp_matches(text, '[\x{4E00}-\x{9FFF}]') AS han FROM documents""")
 def scripts(spark, d):

@@ -198,3 +198,8 @@ def with_originals(papers: DataFrame, originals: DataFrame, key: str) -> DataFra
 def articles(metadata: DataFrame, mains: DataFrame, originals: DataFrame, key: str) -> DataFrame:
     """What is known of each paper that has metadata and an elected main file, with its original if there is one."""
     return with_originals(metadata.join(mains, key), originals, key)
+
+
+def with_defaults(rows: DataFrame, **defaults: str) -> DataFrame:
+    """rows with a default in the named columns where they are null, as metadata that could not be read."""
+    return rows.withColumns({name: F.coalesce(name, F.lit(value)) for name, value in defaults.items()})
