@@ -164,3 +164,15 @@ def only_page(pages: DataFrame, number: int) -> DataFrame:
 def footnote_text(command: Column) -> Column:
     """What stands between a command's first braces, up to the first closing one; null without."""
     return F.when(command.rlike(r"\\[a-zA-Z@]+\{[^}]*\}"), F.regexp_extract(command, r"\\[a-zA-Z@]+\{([^}]*)\}", 1))
+
+
+def math_blocks(spans: DataFrame, block: str, share: float = 0.7) -> DataFrame:
+    """block, math_share, is_equation: blocks of spans(block, font, text) more than `share` of which are mathematics.
+
+    A span is mathematics by its font, or if it holds Greek letters or signs of relation, sum and root.
+    """
+    from foliospark.functions import fonts
+
+    signs = F.col("text").rlike(r"[Ͱ-Ͽ∀-⋿=±×÷√∑∏∫]")
+    rows = spans.withColumn("_math", (fonts.is_math(F.col("font")) | signs).cast("double"))
+    return rows.groupBy(block).agg(F.avg("_math").alias("math_share")).withColumn("is_equation", F.col("math_share") > share)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import tex as X
 from foliospark.functions import text as T
-from foliospark.operators import chunking, diagnose, exchange, layout, masking, rewrite, structure
+from foliospark.operators import chunking, diagnose, exchange, flow, layout, masking, rewrite, structure
 from foliospark.plans.analytics import LOG_SQL, _logs
 from foliospark.plans.cases import rule_query
 from foliospark.plans.catalog import BOX_TEXTS_SQL, PAGE_HEIGHT, PAGE_WIDTH, box_texts, boxes, query, table, varied, varied_sql
@@ -145,3 +145,35 @@ def full_commands(spark, d):
     s = F.translate("text", "{}\\", "")
     line = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("a \\cmd*[o]{"), s, F.lit("}{b{c}} tail"))).when(F.col("doc_id") % 3 == 1, F.concat(s, F.lit("\\x tail"))).otherwise(s)
     return table(spark, d, "documents").select("doc_id", F.sha2(X.full_command(line), 256).alias("command_sha"))
+
+
+@query("s01_metadata", "SELECT c_custkey::VARCHAR AS paper_id, c_name AS title, CASE WHEN c_custkey % 2 = 0 THEN 'v' || (c_custkey % 9)::VARCHAR END AS version FROM customer WHERE c_custkey IN (1, 7, 42)")
+def metadata(spark, d):
+    """Records written as JSON, some without a version, and those of three papers read."""
+    path = new_path(spark, "papers")
+    k = F.col("c_custkey")
+    rows = table(spark, d, "customer").select(k.cast("string").alias("paper_id"), F.col("c_name").alias("title"), F.when(k % 2 == 0, F.concat(F.lit("v"), (k % 9).cast("string"))).alias("version"))
+    rows.write.json(path)
+    return files.papers(spark, path, ["1", "7", "42"]).select("paper_id", "title", "version")
+
+
+@query("s13_j27_z05_retried", "SELECT o_orderkey::VARCHAR AS arxiv_id, o_orderstatus AS label, CASE WHEN o_orderkey % 6 = 0 THEN 1 ELSE 0 END AS pass FROM orders")
+def retried(spark, d):
+    """A corpus written as one JSON record and read; those that reports call timed out run again."""
+    path = new_path(spark, "corpus")
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("arxiv_id"), F.col("o_orderstatus").alias("label"), F.lit("smoke").alias("tier"), F.lit("").alias("notes"))
+    rows.withColumn("batch", F.crc32("arxiv_id") % 16).groupBy("batch").agg(F.collect_list(F.struct("arxiv_id", "label", "tier", "notes")).alias("items")).select(F.lit(1).alias("version"), "items").write.json(path)
+    items = spark.read.schema(files.CORPUS).json(path).select(F.inline("items"))
+    late = F.when(F.col("arxiv_id").cast("bigint") % 6 == 0, F.array(F.lit("cli_timeout_sec=9"))).otherwise(F.array(F.lit("log_category: x")))
+    reports = items.select(F.array(F.struct("arxiv_id", late.alias("reasons"))).alias("results"))
+    again = items.join(files.timed_out(reports), "arxiv_id", "left_semi").select("arxiv_id", F.lit(1).alias("pass"))
+    return items.join(again, "arxiv_id", "left").select("arxiv_id", "label", F.coalesce("pass", F.lit(0)).alias("pass"))
+
+
+@query("x59_math_blocks", r"""WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS t, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents),
+s AS (SELECT doc_id, CASE WHEN (i + doc_id) % 4 = 0 THEN 'ABC+CMSY10' ELSE 'Times' END AS font, CASE WHEN doc_id % 3 = 0 THEN concat(t, '=') ELSE t END AS t FROM w),
+m AS (SELECT doc_id, avg((font = 'ABC+CMSY10' OR regexp_matches(t, '[\x{0370}-\x{03ff}\x{2200}-\x{22ff}=±×÷√∑∏∫]'))::INT) AS math_share FROM s GROUP BY doc_id) SELECT doc_id, math_share, math_share > 0.7 AS is_equation FROM m""")
+def math_blocks(spark, d):
+    words = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", " ", -1)).alias("i", "t"))
+    spans = words.select("doc_id", F.when((F.col("i") + 1 + F.col("doc_id")) % 4 == 0, "ABC+CMSY10").otherwise("Times").alias("font"), F.when(F.col("doc_id") % 3 == 0, F.concat("t", F.lit("="))).otherwise(F.col("t")).alias("text"))
+    return flow.math_blocks(spans, "doc_id")

@@ -92,7 +92,7 @@ def tables_put_back(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(exchange.environments_put_back(varied([a for a, _ in TABLE_FORMS]), original), 256).alias("tex_sha"))
 
 
-@query("l08_l10_l11_summaries", """SELECT doc_id, sha256(CASE WHEN length(text) < 50 THEN text WHEN doc_id % 3 = 0 THEN left(text, 400) ELSE concat('S', length(text)::VARCHAR) END) AS summary_sha, sha256(CASE WHEN doc_id % 5 IN (0, 1) THEN concat('U:', text) ELSE text END) AS block_sha FROM documents""")
+@query("l08_l10_l11_v01_summaries", """SELECT doc_id, sha256(CASE WHEN length(text) < 50 THEN text WHEN doc_id % 3 = 0 THEN left(text, 400) ELSE concat('S', length(text)::VARCHAR) END) AS summary_sha, sha256(CASE WHEN doc_id % 5 IN (0, 1) THEN concat('U:', text) ELSE text END) AS block_sha FROM documents""")
 def summaries(spark, d):
     """A model that fails on a third of the abstracts; of the blocks only titles and paragraphs are translated."""
     docs = table(spark, d, "documents").withColumn("q", F.concat((F.col("doc_id") % 3).cast("string"), "text"))
@@ -264,7 +264,7 @@ def repaired(spark, d):
     return again.select("doc_id", F.array_join("first_rules", ",").alias("rules"), F.sha2("tex", 256).alias("tex_sha"), F.sha2("again", 256).alias("again_sha"))
 
 
-@query("c04_c05_c06_p30_p31_p34_engines", r"""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN true WHEN 1 THEN contains(text, '\setmainfont') ELSE true END AS xetex, CASE doc_id % 4 WHEN 0 THEN 'lualatex' ELSE 'pdflatex' END AS engine,
+@query("c04_c05_c06_c09_p30_p31_p34_engines", r"""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN true WHEN 1 THEN contains(text, '\setmainfont') ELSE true END AS xetex, CASE doc_id % 4 WHEN 0 THEN 'lualatex' ELSE 'pdflatex' END AS engine,
  CASE doc_id % 4 WHEN 0 THEN NULL ELSE 'xelatex' END AS next_engine, CASE doc_id % 5 WHEN 0 THEN 'biber' WHEN 1 THEN 'biber' WHEN 2 THEN 'bibtex' WHEN 3 THEN 'bibtex' END AS tool, doc_id % 2 = 0 AS temporary FROM documents""")
 def engines(spark, d):
     k = F.col("doc_id")
