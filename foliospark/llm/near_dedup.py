@@ -218,33 +218,37 @@ def _block_links(open_: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
     def run(tables):
         import pyarrow as pa
 
-        def links(rows: list):
-            first = [r for r in rows if not r[2]]
-            second = [r for r in rows if r[2]] or first
-            if not first or len(rows) < 2:
-                return
-            common = _common_counts([r[3] for r in first], [r[3] for r in second])
-            sizes = [np.array([len(r[3]) for r in side]) for side in (first, second)]
-            linked = den * common >= num * (sizes[0][:, None] + sizes[1][None, :] - common)
-            linked &= np.array([r[1] for r in first])[:, None] != np.array([r[1] for r in second])[None, :]
-            for i, j in zip(*np.nonzero(linked)):
-                yield first[i][0], second[j][0]
-
-        def emit(found: list):
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-        key, held = None, []
+        def links(held: list):
+            """Of one meeting of two blocks (or of a block with itself), as batches: the links between different roots."""
+            own = pa.Table.from_batches(held)
+            node, root = (own.column(k).to_numpy() for k in ("node", "root"))
+            late = own.column("second").to_numpy().astype(bool)
+            sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in own.column("shingles")]
+            size = np.array([len(s) for s in sets])
+            first = np.flatnonzero(~late)
+            second = np.flatnonzero(late) if late.any() else first
+            if not len(first) or len(sets) < 2:
+                return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, names=["a", "b"])
+            common = _common_counts([sets[i] for i in first], [sets[j] for j in second])
+            linked = den * common >= num * (size[first][:, None] + size[second][None, :] - common)
+            i, j = np.nonzero(linked & (root[first][:, None] != root[second][None, :]))
+            return pa.RecordBatch.from_arrays([pa.array(node[first[i]]), pa.array(node[second[j]])], names=["a", "b"])
+
+        before, held = None, []
         for table in tables:
-            keys = list(zip(*(table.column(k).to_pylist() for k in ("bucket", "kind", "p", "q"))))
-            nodes, roots, second = (table.column(k).to_pylist() for k in ("node", "root", "second"))
-            for i, at in enumerate(keys):
-                if at != key:
-                    if held:
-                        yield emit(list(links(held)))
-                    key, held = at, []
-                held.append((nodes[i], roots[i], second[i], np.frombuffer(table.column("shingles")[i].as_buffer().to_pybytes(), dtype=np.uint64)))
+            if not table.num_rows:
+                continue
+            keys = np.stack([table.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("bucket", "kind", "p", "q")])
+            edges = np.concatenate(([0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, [table.num_rows]))
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                at = tuple(keys[:, a].tolist())
+                if held and at != before:
+                    yield links(held)
+                    held = []
+                before = at
+                held.append(table.slice(a, b - a))
         if held:
-            yield emit(list(links(held)))
+            yield links(held)
 
     where = ["bucket", "kind", "p", "q"]
     dealt = dealt.repartition(store.partitions(open_.sparkSession), *where).sortWithinPartitions(*where)
