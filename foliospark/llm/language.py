@@ -24,6 +24,8 @@ ALL_CHARS = 1 << 20
 LEAST_CHARS = 512
 #: Texts are cut into segments of so many symbols that are parsed in step; parses are then carried across the cuts.
 SEGMENT = 256
+#: Rounds in which parses of neighbouring segments are joined side by side.
+ROUNDS = 2
 #: Characters times languages that are parsed together; a longer text is parsed alone.
 BATCH = 8_000_000
 NEW_PHRASE = 1 << 30
@@ -129,6 +131,7 @@ class CrossParser:
             self.outside.append(outside + base)
             self.bits.append(np.log2(max(len(joined), 2)))
             base += outside + 1
+        self._steps: dict[int, int] | None = None
         self.edges = Edges(np.concatenate(keys), np.concatenate(targets)) if keys else Edges(np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     @property
@@ -171,25 +174,64 @@ class CrossParser:
         """Where phrases begin in the whole texts of `flat`, for each language; their segments are at..end, in order, of text `owner`.
 
         All segments are parsed as if each began a text. Then each is entered in the state in which the one before it
-        ended, until its parse meets the one it has; where it meets none, the segment after it is entered again.
+        ended, until its parse meets the one it has. Where parses do not meet, as in periodic text, what they end in
+        changes; after ROUNDS such rounds the rest of those texts is parsed symbol by symbol, from the first segment that was entered in another state.
         """
         many, n = len(self.languages), len(at)
         starts = np.zeros((many, len(flat)), dtype=bool)
         lang, segment = np.repeat(np.arange(many), n), np.tile(np.arange(n), many)
-        ends = self._run(flat, at, end, lang, segment, np.array(self.outside, dtype=np.int64)[lang], starts, False).reshape(many, n)
-        inner = np.append(owner[1:] == owner[:-1], False)  # another segment of the text follows
-        todo = np.zeros((many, n), dtype=bool)
-        todo[:, 1:] = inner[:-1]
-        while todo.any():
-            lang, segment = np.nonzero(todo)
-            reached = self._run(flat, at, end, lang, segment, ends[lang, segment - 1], starts, True)
-            moved = (reached >= 0) & (reached != ends[lang, segment])
-            lang, segment = lang[moved], segment[moved]
-            ends[lang, segment] = reached[moved]
-            todo[:] = False
-            todo[lang[inner[segment]], segment[inner[segment]] + 1] = True
+        entered = np.repeat(np.array(self.outside, dtype=np.int64)[:, None], n, axis=1)
+        ends = self._run(flat, at, end, lang, segment, entered.ravel(), starts, False).reshape(many, n)
+        inner = np.append(False, owner[1:] == owner[:-1])  # another segment of the text is before it
+        before = np.empty_like(ends)
+        for _ in range(ROUNDS):
+            before[:, 1:] = ends[:, :-1]
+            lang, segment = np.nonzero(inner & (entered != before))
+            if not len(lang):
+                return starts
+            entered[lang, segment] = before[lang, segment]
+            reached = self._run(flat, at, end, lang, segment, before[lang, segment], starts, True)
+            unmet = reached >= 0
+            ends[lang[unmet], segment[unmet]] = reached[unmet]
+        before[:, 1:] = ends[:, :-1]
+        lang, segment = np.nonzero(inner & (entered != before))
+        if len(lang):
+            one = np.flatnonzero(np.append(True, (lang[1:] != lang[:-1]) | (owner[segment[1:]] != owner[segment[:-1]])))
+            for l, k in zip(lang[one].tolist(), segment[one].tolist()):
+                self._walk(flat, at, end, l, k, int(np.searchsorted(owner, owner[k], side="right")), starts[l], entered[l], ends[l])
         return starts
 
+    def _walk(self, flat: np.ndarray, at: np.ndarray, end: np.ndarray, lang: int, segment: int, last: int, starts: np.ndarray, entered: np.ndarray, ends: np.ndarray) -> None:
+        """Parse segments segment..last of a text one after another, skipping those that were entered in the state that is reached."""
+        step, first, width = self.steps, self.first[lang].tolist(), self.width
+        state = int(ends[segment - 1])
+        for k in range(segment, last):
+            if entered[k] == state:
+                state = int(ends[k])
+                continue
+            entered[k] = state
+            a, b = int(at[k]), int(end[k])
+            marks = starts[a:b].tolist()
+            for i, symbol in enumerate(flat[a:b].tolist()):
+                target = step.get(state * width + symbol, -1)
+                if target < 0:
+                    if marks[i]:
+                        state = int(ends[k])  # as parsed before from here on
+                        break
+                    marks[i], state = True, first[symbol]
+                else:
+                    marks[i], state = False, target
+            ends[k] = state
+            starts[a:b] = marks
+
+    @property
+    def steps(self) -> dict[int, int]:
+        """The transitions as a dictionary, made when a text first needs it."""
+        if self._steps is None:
+            there = self.edges.keys >= 0
+            self._steps = dict(zip(self.edges.keys[there].tolist(), self.edges.targets[there].tolist()))
+        return self._steps
+
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(languages x texts) phrases of the whole texts and the number of symbols of each text."""
         found = [self.symbols(t) for t in texts]
