@@ -56,7 +56,7 @@ def brute_paragraphs(text):
         piece = ""
         for k, t in enumerate(re.findall("[\u2e80-\U0010ffff]|[^\x20\x09-\x0D\u2e80-\U0010ffff]{1,64}[\x20\x09-\x0D]{0,64}|[\x20\x09-\x0D]{1,64}", p)):
             piece += t
-            if hashlib.md5(t.encode()).hexdigest()[0] in "01" or k % 64 == 63:
+            if (ord(t[0]) + len(t)) % 8 == 0 or k % 64 == 63:
                 out.append(piece)
                 piece = ""
         out.append(piece)
