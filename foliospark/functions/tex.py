@@ -18,6 +18,7 @@ def replaced(text: Column, *steps: tuple[str, str]) -> Column:
     return reduce(lambda t, s: F.regexp_replace(t, s[0], s[1]), steps, text)
 
 
+#: What counts as mathematics in prose, in order (fixed patterns).
 _MATH = [(r"(?s)\$\$.*?\$\$", " "), (r"\$[^$]*\$", " "), (r"(?s)\\\[.*?\\\]", " "), (r"(?s)\\begin\{equation\*?\}.*?\\end\{equation\*?\}", " "), (r"(?s)\\begin\{align\*?\}.*?\\end\{align\*?\}", " ")]
 
 
@@ -103,6 +104,7 @@ def untranslated_heading(title: Column) -> Column:
 
 def anchors(text: Column) -> Column:
     """The set of commands, inline mathematics and numbers that a translation keeps."""
+    # Fixed patterns.
     patterns = (r"\\[A-Za-z]+\*?(?:\[[^\]]*\])?(?:\{[^{}]*\})?", r"\$[^$]*\$", r"\b\d+(?:\.\d+)?\b")
     return F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in patterns]))
 

@@ -14,6 +14,7 @@ LOG_ERRORS = (
     ("bibtex_error", r"I couldn't open database file"), ("bibtex_error", r"BibTeX.*error"), ("runaway_argument", r"Runaway argument\?"),
     ("emergency_stop", r"! Emergency stop\.?"), ("undefined_control_sequence", r"Undefined control sequence\.?"),
 )
+#: Marks in logs by what they ask for (fixed values).
 UNRESOLVED = ("There were undefined references", "Rerun to get cross-references right")
 BIBER = ("please (re)run biber", "run biber")
 RERUN = ("There were undefined references", "Rerun to get cross-references right", "Label(s) may have changed", "Rerun LaTeX")
@@ -92,21 +93,6 @@ def unicode_error(log: Column) -> Column:
     return log.contains("LaTeX Error") & log.contains("Unicode character")
 
 
-#: Repairs by what an error says, in order: rule, needle (fixed values; a part that needs no other file).
-REPAIRS = (
-    ("add_graphicx", "includegraphics"), ("add_hyperref", "\\href"), ("define_command", "Undefined control sequence"), ("replace_package", ".sty' not found"),
-    ("escape_unicode", "Unicode character"), ("close_environment", "\\begin{"), ("close_brace", "Runaway argument"), ("drop_option", "Option clash"),
-    ("rename_command", "already defined"), ("restore_tables", "Misplaced alignment tab"), ("restore_tables", "Extra alignment tab"),
-)
-
-
-def repairs(df: DataFrame, key: str, found: str) -> DataFrame:
-    """key, rule, ord: the repairs that a document's errors call for, each once; a join with the small table of rules."""
-    rules = df.sparkSession.createDataFrame([(i, r, n) for i, (r, n) in enumerate(REPAIRS)], "ord int, rule string, needle string")
-    each = df.select(key, F.explode(found).alias("error")).distinct()
-    return each.join(F.broadcast(rules), F.col("error").contains(F.col("needle"))).groupBy(key, "rule").agg(F.min("ord").alias("ord"))
-
-
 def table_errors(found: Column) -> Column:
     """Whether the errors speak of a broken table."""
     joined = F.array_join(found, "\n")

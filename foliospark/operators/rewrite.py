@@ -190,10 +190,13 @@ def cjk_package(t: Column) -> Column:
 
 
 def minted(t: Column) -> Column:
-    """minted becomes verbatim."""
+    """minted becomes verbatim, where its environments are closed."""
+    begin = r"\\begin\{minted\}(\[[^\]]*\])?\{[^}]*\}"
+    opened = F.regexp_replace(t, begin, "\\\\begin{verbatim}\n")
+    closed = F.replace(opened, F.lit("\\end{minted}"), F.lit("\n\\end{verbatim}"))
+    t = F.when(F.regexp_count(t, F.lit(begin)) == F.regexp_count(t, F.lit(r"\\end\{minted\}")), closed).otherwise(t)
     return X.replaced(
         t, (r"\\usepackage(\[[^\]]*\])?\{minted\}\s*(%[^\n]*)?\n?", ""),
-        (r"(?s)\\begin\{minted\}(?:\[[^\]]*\])?\{[^}]*\}(.*?)\\end\{minted\}", "\\\\begin{verbatim}\n$1\n\\\\end{verbatim}"),
         (r"\\inputminted(?:\[[^\]]*\])?\{[^}]*\}\{([^}]*)\}", r"\\texttt{[code from $1 omitted]}"),
         (r"(?m)^\s*\\setminted(\[[^\]]*\])?\{[^}]*\}\s*(%[^\n]*)?\n?", ""),
     )
@@ -272,7 +275,13 @@ def abstract_page(t: Column) -> Column:
 
 
 def orphan_bibliography(t: Column) -> Column:
-    return F.regexp_replace(t, r"\n[ \t]*\\begin\{thebibliography\}\{[^}]+\}\s*(?:[ \t]*%[^\n]*\n|[ \t]*\n)*?(?=\\end\{document\})", "\n")
+    """A last bibliography that holds nothing but comments before the document ends, and has no end of its own, goes."""
+    begin, end = F.lit("\\begin{thebibliography}"), F.lit("\\end{document}")
+    inside = F.substring_index(t, "\\begin{thebibliography}", -1)
+    plain = T.stripped(F.regexp_replace(F.regexp_replace(inside, r"^\{[^}]+\}", ""), r"(?m)^[ \t]*%.*$", ""))
+    head = F.rtrim(F.substring(t, F.lit(1), F.length(t) - F.length(inside) - F.length(begin)), F.lit(" \t"))
+    orphan = t.contains("\\begin{thebibliography}") & plain.startswith(end) & head.endswith("\n")
+    return F.when(orphan, F.concat(head, F.substring(inside, F.instr(inside, "\\end{document}"), F.length(inside)))).otherwise(t)
 
 
 def ragged_bibliography(t: Column) -> Column:

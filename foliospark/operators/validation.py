@@ -1,4 +1,4 @@
-"""Scores of a translation beside its original."""
+"""Scores of a translation beside its original. The texts of issues are result values (fixed)."""
 
 from __future__ import annotations
 

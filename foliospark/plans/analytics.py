@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from foliospark.functions import geometry as G
-from foliospark.operators import diagnose, layout, report, structure
+from foliospark.operators import diagnose, layout, repair, report, structure
 from foliospark.plans.catalog import BOX_TEXTS_SQL, BOXES_SQL, PAGE_HEIGHT, PAGE_WIDTH, box_texts, boxes, query, table
 
 LINES = {0: "! LaTeX Error: File `foo.sty' not found.", 1: "! Undefined control sequence.", 2: "LaTeX Warning: Citation `a' on page 1 undefined", 3: "Overfull \\hbox (1pt)", 4: "Underfull \\hbox", 5: "Rerun to get cross-references right", 6: "No file main.bbl.", 7: "! Missing $ inserted."}
@@ -193,11 +193,12 @@ def errors(spark, d):
     return _logs(spark, d).select("user_id", F.array_join(diagnose.errors(F.col("log")), "|").alias("errors"))
 
 
-@query("c08_v06_repairs", f"WITH {LOG_SQL}" + r""", x AS (SELECT DISTINCT user_id, line FROM e WHERE starts_with(line, '!'))
-SELECT user_id, CASE WHEN contains(line, 'Undefined') THEN 'define_command' ELSE 'replace_package' END AS rule, CASE WHEN contains(line, 'Undefined') THEN 2 ELSE 3 END AS ord FROM x WHERE contains(line, 'Undefined') OR contains(line, '.sty'' not found')""")
-def repairs(spark, d):
-    rows = _logs(spark, d).select("user_id", diagnose.errors(F.col("log")).alias("errors"))
-    return diagnose.repairs(rows, "user_id", "errors")
+@query("c08_v06_asked_rules", f"WITH {LOG_SQL}" + r""", x AS (SELECT user_id, bool_or(contains(line, 'not found')) AS missing, bool_or(contains(line, 'Undefined control')) AS undefined, any_value(log) AS log FROM e JOIN g USING (user_id) WHERE starts_with(line, '!') GROUP BY user_id)
+SELECT user_id, array_to_string(list_filter([CASE WHEN undefined THEN 19 END, CASE WHEN missing THEN 30 END], lambda n: n IS NOT NULL), ',') AS rules FROM x""")
+def asked_rules(spark, d):
+    """The rules that each user's log calls for, the text being one with graphics."""
+    rows = _logs(spark, d).select("user_id", diagnose.errors(F.col("log")).alias("errors")).filter(F.size("errors") > 0)
+    return rows.select("user_id", F.array_join(repair.asked_rules(F.col("errors"), F.lit("\\includegraphics{f}")), ",").alias("rules"))
 
 
 @query("p37_tex_issues", r"""
