@@ -261,3 +261,38 @@ def test_registry():
 
     assert sorted(int(k[2:].split("_")[0]) for k in registry.QUERIES) == list(range(1, 11))
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES)
+
+
+def test_pipeline_on_empty_and_odd_tables(spark):
+    """No rows, columns of clashing names, nulls in every column and a very long text."""
+    import corpus_pipeline as P
+
+    shape = "doc_id long, text string, lang string, source string, n_chars long"
+    clash = {c: F.lit("x") for c in ("key", "h", "g", "row", "repeats", "lang_pred", "score", "n_lines", "ids", "size", "bucket", "kept")}
+    long = " ".join(f"word{k % 977} of line {k}" for k in range(9_000))
+    odd = [(1, long, None, None, None), (None, None, None, None, None), (2, None, "en", "s", 1), (None, "some words in a row without a number", "en", None, 5), (3, "", "en", "s", 0), (4, long + " end", "en", "t", None)]
+    for rows in ([], odd):
+        now = spark.createDataFrame(rows, shape)
+        for name, stage in P.STAGES:
+            now = stage(spark, now.withColumns({k: v for k, v in clash.items() if k not in now.columns}), "")
+            if name != "bpe":
+                assert now.columns == P.COLUMNS
+                now = spark.createDataFrame(now.collect(), shape)
+        out = now.collect()
+        ids = {x.doc_id for x in out}
+        assert all(x.round_trip for x in out) and ({1} <= ids <= {1, None} if rows is odd else not ids)  # 4 copies 1; 2 and 3 have no letter
+
+
+def test_very_long_texts(spark):
+    """A document of a hundred thousand words, forty thousand lines, among short ones."""
+    from foliospark.llm import language, near_dedup
+
+    long = "\n".join(f"own line {k}\nshared by sites" for k in range(20_000))
+    rows = [(k, f"shared by sites\nshort {k}", f"s{k}") for k in range(9)] + [(100, long, "s0"), (101, long + " more", "s1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    cut = {x.doc_id: x for x in line_dedup.line_dedup(df).collect()}
+    assert cut[100].n_removed == 20_000 and cut[100].text == "\n".join(f"own line {k}" for k in range(20_000)) and cut[3].text == "short 3"
+    near = {x.doc_id: x.component_id for x in near_dedup.near_duplicates(df).collect()}
+    assert near[101] == near[100] == 100
+    parser = language.CrossParser({"a": ["own line shared by sites"], "b": ["eigene zeile"]})
+    assert parser.predict([long, "eigene zeile"])[0] == ["a", "b"]
