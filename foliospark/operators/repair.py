@@ -29,6 +29,7 @@ def inputenc_utf8(t: Column) -> Column:
     return F.regexp_replace(t, r"(?i)\\usepackage\[(?![^\]]*utf8)\s*[^\]\s][^\]]*\]\{inputenc\}", r"\\usepackage[utf8]{inputenc}")
 
 
+#: What stands in for letters that an encoding lacks (fixed values).
 EMPTY_ETH = "\\providecommand{\\DH}{}\n\\renewcommand{\\DH}{DH}\n\\providecommand{\\dh}{}\n\\renewcommand{\\dh}{dh}\n"
 PLAIN_ETH = "\\providecommand{\\DH}{DH}\n\\providecommand{\\dh}{dh}\n\\renewcommand{\\DH}{DH}\n\\renewcommand{\\dh}{dh}\n"
 
