@@ -27,7 +27,7 @@ SEGMENT = 256
 #: Rounds in which parses of neighbouring segments are joined side by side.
 ROUNDS = 2
 #: Characters times languages that are parsed together; a longer text is parsed alone.
-BATCH = 8_000_000
+BATCH = 2_000_000
 NEW_PHRASE = 1 << 30
 LETTER = regex.compile(r"\p{L}")
 UNDETERMINED = "und"
@@ -131,7 +131,6 @@ class CrossParser:
             self.outside.append(outside + base)
             self.bits.append(np.log2(max(len(joined), 2)))
             base += outside + 1
-        self._steps: dict[int, int] | None = None
         self.edges = Edges(np.concatenate(keys), np.concatenate(targets)) if keys else Edges(np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     @property
@@ -196,14 +195,16 @@ class CrossParser:
         before[:, 1:] = ends[:, :-1]
         lang, segment = np.nonzero(inner & (entered != before))
         if len(lang):
+            there = self.edges.keys >= 0  # as a dictionary only here: it is larger than the arrays, and few texts need it
+            steps = dict(zip(self.edges.keys[there].tolist(), self.edges.targets[there].tolist()))
             one = np.flatnonzero(np.append(True, (lang[1:] != lang[:-1]) | (owner[segment[1:]] != owner[segment[:-1]])))
             for l, k in zip(lang[one].tolist(), segment[one].tolist()):
-                self._walk(flat, at, end, l, k, int(np.searchsorted(owner, owner[k], side="right")), starts[l], entered[l], ends[l])
+                self._walk(steps, flat, at, end, l, k, int(np.searchsorted(owner, owner[k], side="right")), starts[l], entered[l], ends[l])
         return starts
 
-    def _walk(self, flat: np.ndarray, at: np.ndarray, end: np.ndarray, lang: int, segment: int, last: int, starts: np.ndarray, entered: np.ndarray, ends: np.ndarray) -> None:
+    def _walk(self, steps: dict[int, int], flat: np.ndarray, at: np.ndarray, end: np.ndarray, lang: int, segment: int, last: int, starts: np.ndarray, entered: np.ndarray, ends: np.ndarray) -> None:
         """Parse segments segment..last of a text one after another, skipping those that were entered in the state that is reached."""
-        step, first, width = self.steps, self.first[lang].tolist(), self.width
+        first, width = self.first[lang].tolist(), self.width
         state = int(ends[segment - 1])
         for k in range(segment, last):
             if entered[k] == state:
@@ -213,7 +214,7 @@ class CrossParser:
             a, b = int(at[k]), int(end[k])
             marks = starts[a:b].tolist()
             for i, symbol in enumerate(flat[a:b].tolist()):
-                target = step.get(state * width + symbol, -1)
+                target = steps.get(state * width + symbol, -1)
                 if target < 0:
                     if marks[i]:
                         state = int(ends[k])  # as parsed before from here on
@@ -224,14 +225,6 @@ class CrossParser:
             ends[k] = state
             starts[a:b] = marks
 
-    @property
-    def steps(self) -> dict[int, int]:
-        """The transitions as a dictionary, made when a text first needs it."""
-        if self._steps is None:
-            there = self.edges.keys >= 0
-            self._steps = dict(zip(self.edges.keys[there].tolist(), self.edges.targets[there].tolist()))
-        return self._steps
-
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(languages x texts) phrases of the whole texts and the number of symbols of each text."""
         found = [self.symbols(t) for t in texts]
