@@ -65,16 +65,16 @@ def timeout_stage(*exists: Column) -> Column:
 
 
 def token_breakdown(system: Column, user: Column, glossary: Column) -> Column:
-    """struct of estimated input tokens by part, a quarter of the characters each; the system prompt holds the glossary."""
+    """struct of estimated input tokens by part, a quarter of the characters each; the system prompt holds the glossary, a shorter one counts as 0."""
     size = lambda c: F.length(c) / 4
     terms = F.when(F.coalesce(glossary, F.lit("{}")) == "{}", 0.0).otherwise(size(glossary))
     whole = lambda c: c.cast("bigint")
-    return F.struct(whole(size(system) - terms).alias("system"), whole(terms).alias("glossary"), whole(size(user)).alias("document"), whole(size(system) + size(user)).alias("total"))
+    return F.struct(whole(F.when(size(system) < terms, 0.0).otherwise(size(system) - terms)).alias("system"), whole(terms).alias("glossary"), whole(size(user)).alias("document"), whole(size(system) + size(user)).alias("total"))
 
 
 def prompt(*parts: Column) -> Column:
     """Parts of a prompt on lines of their own; blank ones are left out."""
-    return F.array_join(F.filter(F.array(*parts), lambda p: F.trim(p) != ""), "\n")
+    return F.array_join(F.filter(F.array(*parts), lambda p: p.rlike(r"[^\t\n\f\r ]")), "\n")
 
 
 def compared(df: DataFrame, kind: str = "renderer") -> DataFrame:

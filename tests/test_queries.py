@@ -54,3 +54,23 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def small(spark, tmp_path, name, **tables):
+    """Sorted rows of a query and of its SQL over small tables, given as SQL; whole numbers and doubles print alike."""
+    con = duckdb.connect()
+    for t, sql in tables.items():
+        con.execute(f"CREATE TABLE {t} AS {sql}")
+        con.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet'")
+    found = con.execute(plans.ORACLE_SQL[name])
+    columns = [c[0] for c in found.description]
+    got = [[plain(v) for v in r] for r in plans.QUERIES[name](spark, str(tmp_path)).select(columns).collect()]
+    return sorted(map(str, got)), sorted(str([plain(v) for v in r]) for r in found.fetchall())
+
+
+def test_token_breakdown_of_short_and_blank_texts(spark, tmp_path):
+    """A prompt shorter than its glossary has no tokens of its own, and a text of line ends or tabs is no part of it."""
+    texts = ["A.", "Re.", "", " ", chr(10) * 30, chr(9) * 9, chr(13) + chr(12), chr(11) * 20, chr(160) * 20, "ab" * 9 + chr(10)]
+    rows = ", ".join(f"({i}, " + " || ".join(f"chr({ord(c)})" for c in t) + ")" if t else f"({i}, '')" for i, t in enumerate(texts))
+    got, expected = small(spark, tmp_path, "a25_x32_token_breakdown", documents=f"SELECT * FROM (VALUES {rows}, (99, NULL)) t(doc_id, text)")
+    assert got == expected
