@@ -177,7 +177,7 @@ def like_heading(text: Column) -> Column:
     """Numbered, a number over a short line, few words in capitals, or a known section name."""
     t = stripped(text)
     lines = F.split(t, "\n", -1)
-    numbered = (t.rlike(r"^\d+(\.\d+)*\.?$") & (F.length(t) < 10)) | t.rlike(r"(?U)^\d+(\.\d+)*\.?\s+\w")
+    numbered = (t.rlike(r"^\d+(\.\d+)*\.?$") & (F.length(t) < 10)) | t.rlike(r"(?U)^\d+(\.\d+)*\.?\s+[\p{L}\p{N}_]")
     two = (F.size(lines) == 2) & F.trim(F.get(lines, F.lit(0))).rlike(r"^\d+(\.\d+)*$") & (F.length(F.trim(F.get(lines, F.lit(1)))) < 50)
     capitals = t.rlike(r"\p{Lu}") & ~t.rlike(r"\p{Ll}") & (F.size(F.split(squeezed(t), " ")) <= 5)
     return numbered | two | capitals | F.lower(t).isin(*SECTION_NAMES)

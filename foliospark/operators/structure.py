@@ -22,9 +22,13 @@ KEPT = ("doi", "journal_info", "dates", "copyright", "license", "correspondence"
 OPTIONAL = ("abstract_label", "keywords_label", "references_heading")
 
 
-def block_kind(class_name: Column, text: Column, page: Column) -> Column:
-    """The kind of a block by its class, then by what its text says, in order."""
+def block_kind(class_name: Column, text: Column, page: Column, footnote_below: int | None = 200) -> Column:
+    """The kind of a block by its class, then by what its text says, in order.
+
+    Text that begins with a footnote's mark is a footnote if it is shorter than `footnote_below` characters; None: of any length.
+    """
     low, plain = F.lower(T.stripped(text)), class_name == "plain_text"
+    short = F.lit(True) if footnote_below is None else F.length(text) < footnote_below
     by_class = T.mapped(class_name, CLASS_KINDS, F.lit("unknown"))
     return (
         F.when((class_name == "title") & (page > 0), "section_heading")
@@ -36,7 +40,7 @@ def block_kind(class_name: Column, text: Column, page: Column) -> Column:
         .when(low.isin("references", "bibliography", "литература", "список литературы"), "references_heading")
         .when(low.startswith("acknowledgement") | low.startswith("acknowledgment"), "acknowledgements")
         .when(low.contains("doi") | text.contains("10.1"), "doi")
-        .when(class_name.isin("plain_text", "footnote") & text.rlike(r"^[†‡*\d]") & (F.length(text) < 200), "footnote")
+        .when(class_name.isin("plain_text", "footnote") & text.rlike(r"^[†‡*\d]") & short, "footnote")
         .otherwise(by_class)
     )
 

@@ -123,6 +123,12 @@ def test_stamp_and_parts(value):
     assert style.literal and style.topics == 20
 
 
+def test_footnotes_by_mark_and_length(value):
+    kind = lambda x, **most: value(lambda c: structure.block_kind(F.lit("plain_text"), c, F.lit(1), **most), x=x)
+    assert (kind("†" + "a" * 198), kind("†" + "a" * 199), kind("†" + "a" * 199, footnote_below=None)) == ("footnote", "paragraph", "footnote")
+    assert kind("1 " + chr(769) + "a") == "list_item" and kind("1 a") == "section_heading"
+
+
 def test_spans(spark):
     rows = [(0, 0, 100.0, 100.0, "Title here", True), (0, 1, 101.0, 100.5, "x", False), (0, 2, 300.0, 101.0, "Title", False), (0, 3, 5.0, 300.0, "accepted paper", False), (0, 4, 200.0, 300.0, "other", False), (1, 0, 100.0, 100.0, "x", False)]
     df = spark.createDataFrame(rows, "page int, ord int, x double, y double, text string, is_title boolean")

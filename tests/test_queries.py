@@ -74,3 +74,12 @@ def test_token_breakdown_of_short_and_blank_texts(spark, tmp_path):
     rows = ", ".join(f"({i}, " + " || ".join(f"chr({ord(c)})" for c in t) + ")" if t else f"({i}, '')" for i, t in enumerate(texts))
     got, expected = small(spark, tmp_path, "a25_x32_token_breakdown", documents=f"SELECT * FROM (VALUES {rows}, (99, NULL)) t(doc_id, text)")
     assert got == expected
+
+
+def test_block_kinds_of_long_texts_that_begin_with_a_mark(spark, tmp_path):
+    """Every sixteenth element is plain text; of three, one gets words before its text and one behind."""
+    texts = ["77 " + "ab " * 90, "77 ab", "†" + "ab " * 90, "* " + "ab " * 90, "1 " + chr(769) + "ab"]
+    rows = ", ".join(f"({7 + 16 * (3 * i + k)}, '{t}')" for i, t in enumerate(texts) for k in range(3))
+    documents = f"SELECT * FROM (VALUES {rows}) t(doc_id, text)"
+    got, expected = small(spark, tmp_path, "x58_p48_p45_block_kinds", documents=documents, embeddings="SELECT unnest(range(300)) AS vec_id")
+    assert got == expected and sum("footnote" in r for r in got) == 4
