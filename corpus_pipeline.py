@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm import bpe, language, line_dedup, mixing, near_dedup, store
+from foliospark.sources.shared import few_files
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A text is like no learned language if its mean match is under this share of what unrelated symbols would have.
@@ -17,6 +18,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Where no row is labelled no language is learned, and only documents without a letter go.
     """
+    store.arrow_batches(spark)
     model = language.fit(docs)
     if not model.languages:
         return docs.filter(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
@@ -27,7 +29,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of many sites are cut out of the texts, whatever their share; texts of many sites are left to the next stage."""
-    return line_dedup.line_dedup(docs, most=None).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+    return few_files(line_dedup.line_dedup(docs, most=None).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,6 +37,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Different texts under one doc_id are documents of their own, in order of their hashes.
     """
+    store.arrow_batches(spark)
     text = F.coalesce("text", F.lit(""))
     named = docs.filter("doc_id IS NOT NULL").select(*COLUMNS, F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("g"))
     own = ["doc_id", "h", "g"]
@@ -45,18 +48,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         keyed = store.save(named.join(numbers.hint("merge"), own), "near-keyed")
     kept = near_dedup.near_duplicates(keyed.select(F.col("key").alias("doc_id"), "text")).filter("kept").select(F.col("doc_id").alias("key")).distinct()
     first = keyed.join(kept.hint("merge"), "key").groupBy("key").agg(F.min(F.struct("text", "doc_id", "lang", "source", "n_chars")).alias("row"))
-    return first.select("row.*").select(*COLUMNS).unionByName(docs.filter("doc_id IS NULL").select(*COLUMNS))
+    return few_files(first.select("row.*").select(*COLUMNS).unionByName(docs.filter("doc_id IS NULL").select(*COLUMNS)))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's target asks."""
-    return mixing.mixed_documents(docs.select(*COLUMNS))
+    return few_files(mixing.mixed_documents(docs.select(*COLUMNS)))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text; what they decode to is compared with it."""
     import public_tokenizers
 
+    store.arrow_batches(spark)
     both = bpe.recode(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     same = F.decode("decoded", "UTF-8") == F.coalesce("text", F.lit(""))
     return both.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))

@@ -12,7 +12,6 @@ from __future__ import annotations
 import base64
 import hashlib
 from array import array
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -206,13 +205,12 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, self.vocabulary.split(text)))
 
 
-@lru_cache(maxsize=4)
-def _loaded(key: str, holder) -> Encoder:
-    return Encoder(Vocabulary(*holder.value))
+#: Vocabularies whose tables a worker keeps.
+LOADED = 4
 
 
 class _Held:
-    """Broadcast rank file and pattern, hashable so that a worker builds its tables once."""
+    """Broadcast rank file and pattern; a worker builds their tables once."""
 
     def __init__(self, spark: SparkSession, path: str, pattern: str):
         with open(path, "rb") as f:
@@ -224,14 +222,13 @@ class _Held:
     def value(self):
         return self.shared.value
 
-    def __hash__(self):
-        return hash(self.key)
-
-    def __eq__(self, other):
-        return self.key == other.key
-
     def encoder(self) -> Encoder:
-        return _loaded(self.key, self)
+        loaded = store.kept("bpe")
+        if self.key not in loaded:
+            while len(loaded) >= LOADED:
+                del loaded[next(iter(loaded))]
+            loaded[self.key] = Encoder(Vocabulary(*self.value))
+        return loaded[self.key]
 
 
 def _parts(batches, rows: int = 256):

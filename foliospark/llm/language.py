@@ -313,6 +313,7 @@ def identify(df: DataFrame, model: CrossParser, column: str = "text") -> DataFra
     def run(batches):
         import pyarrow as pa
 
+        store.kept("language")
         parser = shared.value
         together = BATCH // max(len(parser.languages), 1)
         for batch in batches:

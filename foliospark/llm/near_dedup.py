@@ -102,6 +102,7 @@ def _sketch_rows(docs: DataFrame, width: int, bands: int, rows: int) -> DataFram
     def run(tables):
         import pyarrow as pa
 
+        store.kept("near")
         for table in tables:
             for row, data, starts, ends in vectors.batches(table.column("text")):
                 sets, owner = shingle_sets(data, starts, ends, width)
@@ -123,6 +124,7 @@ def _set_rows(docs: DataFrame, width: int) -> DataFrame:
     def run(tables):
         import pyarrow as pa
 
+        store.kept("near")
         for table in tables:
             for row, data, starts, ends in vectors.batches(table.column("text")):
                 sets, owner = shingle_sets(data, starts, ends, width)
@@ -143,6 +145,7 @@ def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     def run(tables):
         import pyarrow as pa
 
+        store.kept("near")
         for table in tables:
             linked = []
             for x, y in zip(table.column("sa"), table.column("sb")):
@@ -164,6 +167,7 @@ def _alike(pairs: DataFrame, share: float) -> DataFrame:
     def run(tables):
         import pyarrow as pa
 
+        store.kept("near")
         for table in tables:
             marks = [np.frombuffer(table.column(k).buffers()[2], dtype=np.uint8, count=FILTER * table.num_rows, offset=table.column(k).offset * FILTER).reshape(-1, FILTER) for k in ("ma", "mb")] if table.num_rows else None
             if marks is None:
@@ -218,6 +222,7 @@ def _block_links(open_: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
     def run(tables):
         import pyarrow as pa
 
+        store.kept("near")
         def links(held: list):
             """Of one meeting of two blocks (or of a block with itself), as batches: the links between different roots."""
             own = pa.Table.from_batches(held)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.sources.shared import new_path
+from foliospark.sources.shared import few_files, new_path
 
 #: Steps after which components that still change are an error; their number grows with the logarithm of the longest path.
 MOST_STEPS = 100
@@ -35,7 +35,7 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
 
 def _saved(df: DataFrame, label: str) -> DataFrame:
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    few_files(df).write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._foliospark_path = path
     return out

@@ -256,6 +256,49 @@ def test_pipeline_keeps_different_texts_of_one_id(spark):
     assert got == Counter([(3, "w0"), (3, "w100"), (4, "w200"), (6, "w300"), (None, "w0")])
 
 
+def test_tables_are_written_in_few_files(spark):
+    """However many the shuffle partitions; a file starts processes that count with their executor's whole memory."""
+    from foliospark.llm import store
+    from foliospark.operators import components
+
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 120)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        edges = spark.range(600).selectExpr("id + 1 AS a", "id - id % 3 AS b")
+        out = store.save(edges.groupBy("a").agg(F.min("b").alias("b")), "few")
+        roots = store.save(components.components(edges), "few-roots")
+        most = max(4 * spark.sparkContext.defaultParallelism, 15)
+        assert out.select(F.input_file_name()).distinct().count() <= most and roots.select(F.input_file_name()).distinct().count() <= most
+        assert sorted(out.collect()) == sorted(edges.collect()) and roots.count() == 601
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_pipeline_sets_batches_of_whole_texts(spark):
+    import corpus_pipeline as P
+
+    from foliospark.llm import store
+
+    docs = spark.createDataFrame([(1, "some words", "en", "s", 10)], "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(P.STAGES)
+    for name in ("language_id", "near_dedup", "bpe"):
+        for key in store.ARROW:
+            spark.conf.unset(key)
+        stages[name](spark, docs, "")
+        assert {k: spark.conf.get(k) for k in store.ARROW} == {k: ours for k, (_, ours) in store.ARROW.items()}, name
+
+
+def test_a_worker_keeps_one_operators_tables():
+    from foliospark.llm import store
+
+    store.kept("bpe")["a"] = 1
+    assert store.kept("bpe") == {"a": 1}
+    store.kept("language")["m"] = 2
+    assert store.KEPT == {"language": {"m": 2}} and store.kept("bpe") == {}
+
+
 def test_registry():
     from foliospark.llm import registry
 
