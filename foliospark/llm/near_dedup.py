@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from foliospark.llm import store, vectors
 from foliospark.operators import components
+from foliospark.sources.shared import few_files
 
 WIDTH = 5
 BANDS = 40
@@ -289,6 +290,7 @@ def near_duplicates(df: DataFrame, num: int = 80, den: int = 100, width: int = W
     members = store.save(exploded.join(shared, "bucket"), "near-members")
     need = store.save(members.select("node").distinct().join(classes.drop("bands"), "node"), "near-need")
     sets = store.save(_class_sets(docs, need, width), "near-sets")
+    nodes = need.count()
     marks = need.select("node", "n", "sketch")
 
     def side(rows: DataFrame, node: str, as_: str) -> DataFrame:
@@ -305,7 +307,7 @@ def near_duplicates(df: DataFrame, num: int = 80, den: int = 100, width: int = W
             new = found.filter("linked").select("a", "b")
         else:
             new = store.save(_block_links(open_, sets, num, den), "near-links")
-        roots = store.save(components.components(links.unionByName(new)), "near-roots")
+        roots = store.save(components.components(links.unionByName(new)), "near-roots", nodes)
         links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
         if step == ROUNDS:
             break
@@ -338,7 +340,7 @@ def _class_sets(docs: DataFrame, need: DataFrame, width: int) -> DataFrame:
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(store.documents(spark, sf_dir), num=85)
+    return few_files(near_duplicates(store.documents(spark, sf_dir), num=85))
 
 
 SQL = r"""

@@ -20,8 +20,9 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """
     now = _saved(_oriented(edges), f"{label}-0")
     before = None
+    rows = now.count()
     for k in range(1, MOST_STEPS + 1):
-        old, now = now, _saved(_small_star(_large_star(now)), f"{label}-{k}")
+        old, now = now, _saved(_small_star(_large_star(now)), f"{label}-{k}", rows)
         _deleted(old)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
@@ -33,9 +34,9 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).groupBy("node").agg(F.min("root").alias("root"))
 
 
-def _saved(df: DataFrame, label: str) -> DataFrame:
+def _saved(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     path = new_path(df.sparkSession, label)
-    few_files(df).write.parquet(path)
+    few_files(df, rows).write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._foliospark_path = path
     return out
