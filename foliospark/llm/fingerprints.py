@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm import store
+from foliospark.sources.shared import few_files
 
 #: After a line feed, or after white space that follows a sentence end. Nothing is lost: pieces keep their ends.
 PARAGRAPH_END = r"(?<=\n)|(?<=[.!?]\s)(?=\S)"
@@ -163,7 +164,7 @@ def merkle_fingerprints(df: DataFrame) -> DataFrame:
 
 
 def op1_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merkle_fingerprints(store.documents(spark, sf_dir))
+    return few_files(merkle_fingerprints(store.documents(spark, sf_dir)))
 
 
 def _sql() -> str:

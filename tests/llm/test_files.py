@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from foliospark.llm import near_dedup
+from foliospark.llm import fingerprints, near_dedup
 from foliospark.operators import components
 from foliospark.sources.shared import FILE_ROWS, few_files
 
@@ -41,7 +41,7 @@ def test_small_steps_in_a_file_a_core(spark, many, monkeypatch):
     assert len(seen) > 1 and max(seen[1:]) <= many
 
 
-@pytest.mark.parametrize("query", [near_dedup.op8_minhash_near_dedup])
+@pytest.mark.parametrize("query", [fingerprints.op1_merkle_fingerprints, near_dedup.op8_minhash_near_dedup])
 def test_results_in_few_files(spark, many, tmp_path, query):
     rows = [(k, f"text {k % 40} of some words that are written here. And more {k % 40}.") for k in range(120)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
